@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_sources
+from corvane.llm.near_dedup import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -33,6 +38,7 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_mixing_sources": op8_mixing_sources,
 }
