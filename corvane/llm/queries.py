@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.html_text import extract_main_text
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
@@ -37,6 +38,11 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars", "fits_wrapper")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
 }
