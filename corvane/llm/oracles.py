@@ -27,7 +27,34 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+# Base-32 digits are cut from the bits of the hash, five at a time.
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top FROM p),
+b AS (SELECT DISTINCT h, list_transform(range(32), lambda i: (
+        ('0x' || substr(h || '0', i * 5 // 4 + 1, 2))::INTEGER >> (3 - (i * 5) % 4)) % 32) AS d FROM p)
+SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+       array_to_string(list_transform(d, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g JOIN b USING (h)
+"""
+
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
+    "op3_warc": OP3,
     "op4_exact_dedup": OP4,
+    "op6_exact_topk": OP6,
 }

@@ -14,6 +14,9 @@ from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import fit_quality, score_quality
 
+from corvane.llm.topk import top_k_search
+from corvane.llm.warc import archive_and_read
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +31,22 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_and_read(table(spark, sf_dir, "pages"))
+    r = F.col("response")
+    return captures.select("page_id", r.payload_bytes.alias("payload_bytes"), r.payload_digest.alias("payload_digest"), r.kind.alias("record_type"), "refers_to")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k_search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -53,7 +67,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_exact_topk": op6_exact_topk,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
