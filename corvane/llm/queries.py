@@ -14,6 +14,7 @@ from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import fit_quality, score_quality
 
+from corvane.llm.secret_scan import fit_secret_model, scan_secrets
 from corvane.llm.topk import top_k_search
 from corvane.llm.warc import archive_and_read
 
@@ -42,6 +43,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), fit_secret_model())
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k_search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scans": op5_secret_scans,
     "op6_exact_topk": op6_exact_topk,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
