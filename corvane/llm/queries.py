@@ -15,6 +15,7 @@ from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import fit_quality, score_quality
 
 from corvane.llm.secret_scan import fit_secret_model, scan_secrets
+from corvane.llm.subword import encode_samples, vocabulary_of
 from corvane.llm.topk import top_k_search
 from corvane.llm.warc import archive_and_read
 
@@ -52,6 +53,13 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_samples(docs, vocabulary_of(spark), samples=2).select("doc_id", F.posexplode("samples").alias("sample", "s"))
+    s = F.col("s")
+    return out.select("doc_id", "sample", F.size(s.ids).alias("n_pieces"), F.xxhash64(s.ids).alias("ids_hash"), s.logp.alias("logp"), s.inclusion.alias("inclusion"), s.exact.alias("exact"))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_exact_topk": op6_exact_topk,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
