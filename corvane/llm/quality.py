@@ -65,6 +65,9 @@ def text_statistics(raw: bytes) -> list[float]:
     return [float(v) for v in out]
 
 
+N_STATISTICS = len(text_statistics(b""))
+
+
 def _statistics(text_col: str, out_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +88,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc")
     got = rows.mapInArrow(_statistics("text", pa.list_(pa.float64())), "doc long, label int, x array<double>").collect()
     got.sort(key=lambda r: (r.doc, r.label, r.x))
-    x = np.array([r.x for r in got], dtype=float).reshape(len(got), -1)
+    x = np.array([r.x for r in got], dtype=float).reshape(-1, N_STATISTICS)
     return fit_boosted(x, np.array([r.label for r in got], dtype=float))
 
 
@@ -100,7 +103,7 @@ def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(pa.Table.from_batches([batch]), text_col)
-            x = np.array([text_statistics(raw) for raw in texts], dtype=float).reshape(len(texts), -1)
+            x = np.array([text_statistics(raw) for raw in texts], dtype=float).reshape(-1, N_STATISTICS)
             score = forest.probabilities(x) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 

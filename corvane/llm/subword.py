@@ -51,7 +51,7 @@ class Vocabulary:
         pieces = tuple(m.id_to_piece(i) for i in range(n))
         kinds = tuple("byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "text" for i in range(n))
         # A merge that training never scored is no piece that encoding can give.
-        usable = tuple(k == "text" and m.get_score(i) > -1e8 for i, k in enumerate(kinds))
+        usable = tuple(k == "text" and (m.get_score(i) > -1e8 or len(pieces[i]) == 1) for i, k in enumerate(kinds))
         return Vocabulary(pieces, kinds, usable, alpha, xxhash.xxh3_64_hexdigest(repr((pieces, usable, alpha)).encode()))
 
 
