@@ -1,4 +1,432 @@
-"""Named queries over the supplied tables and the DuckDB SQL that must agree with them."""
+"""Named queries over the supplied tables and the DuckDB SQL that must agree with them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The supplied tables stand in for the engine's own: documents for evidence and papers, labels
+for screening, conversations for chat, events for heartbeats and usage, orders, customers and
+suppliers for projects, members and entries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import biblio as B
+from corvane.functions import geometry as G
+from corvane.functions import text as T
+from corvane.operators import accounts as A
+from corvane.operators import layout as L
+from corvane.operators import retrieval as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+ASKED = [("q1", "the onble thtion of eranth"), ("q2", "der und pflich ungeheit src3"), ("q3", "MIT License released under")]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _tok(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '\p{{Han}}+|[\p{{L}}\p{{N}}_]+')"
+
+
+def _sq(x: str) -> str:
+    return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
+
+
+# Lines of documents, numbered from 0.
+_LINES = "(SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
+# Layout blocks: five lines a page, kinds and boxes by arithmetic.
+_BLOCKS = f"(SELECT doc_id, source, pos, pos // 5 + 1 AS page, 's' || doc_id || '_' || pos AS seq_id, line AS text, CASE (doc_id * 7 + pos) % 10 WHEN 0 THEN 'Figure' WHEN 1 THEN 'Table' WHEN 2 THEN 'Equation' WHEN 3 THEN 'Title' ELSE 'Body' END AS type, (doc_id * 31 + pos * 17) % 400 AS x0, (doc_id * 13 + pos * 29) % 700 AS y0 FROM {_LINES})"
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    d, p = F.col("doc_id"), F.col("pos")
+    kind = F.when((d * 7 + p) % 10 == 0, "Figure").when((d * 7 + p) % 10 == 1, "Table").when((d * 7 + p) % 10 == 2, "Equation").when((d * 7 + p) % 10 == 3, "Title").otherwise("Body")
+    return lines(spark, sf).select("doc_id", "source", "pos", (F.floor(p / 5) + 1).alias("page"), F.concat(F.lit("s"), d, F.lit("_"), p).alias("seq_id"), F.col("line").alias("text"), kind.alias("type"), ((d * 31 + p * 17) % 400).alias("x0"), ((d * 13 + p * 29) % 700).alias("y0"))
+
+
+# Retrieval ------------------------------------------------------------------------------------
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    d = t(spark, sf, "documents")
+    return d.select(F.col("source").alias("paper_id"), F.col("source").alias("source_id"), F.col("doc_id").alias("segment_id"), F.lit("").alias("title"), "text", F.lit("paper_segment").alias("source_type"), F.lit("").alias("paper_title"))
+
+
+_ASKED = ", ".join(f"('{i}', '{q}')" for i, q in ASKED)
+_HITS = f"""
+q AS (SELECT query_id, query, list_distinct({_tok('query')}) AS q, regexp_replace(lower(query), '[^a-z0-9]+', '', 'g') AS cq FROM (VALUES {_ASKED}) v(query_id, query)),
+e AS (SELECT doc_id, source, text, {_tok("source || ' ' || source || ' ' || source || '   ' || text")} AS w FROM documents),
+s AS (SELECT query_id, source AS paper_id, source AS source_id, doc_id AS segment_id, text,
+        len(list_intersect(q, w)) AS o, len(q) AS nq, len(list_filter(w, lambda x: list_contains(q, x))) AS tf, len(w) AS nw,
+        len(source) >= 4 AND (contains(cq, source) OR contains(source, cq)) AS named_match FROM e, q),
+h AS (SELECT *, round(CASE WHEN o > 0 THEN round(0.58 * o / nq + 0.37 * (tf / (tf + 1.5 + 0.25 * greatest(0, nw - 80) / 80)) + 0.02, 6) ELSE 0 END + CASE WHEN named_match THEN 1.0 ELSE 0 END, 6) AS score,
+        greatest(1, length(text) // 4) AS estimated_tokens FROM s),
+hits AS (SELECT * FROM h WHERE score > 0)"""
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank::INT AS rank, paper_id, segment_id, score, named_match, estimated_tokens FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, segment_id) AS rank FROM hits) WHERE rank <= 20")
+def evidence_search(spark, sf):
+    """I01, I05, I16, I17, I19, C01, D04, G01."""
+    return R.best(R.score_evidence(evidence(spark, sf), ASKED), 20, "segment_id").select("query_id", "rank", "paper_id", "segment_id", "score", "named_match", "estimated_tokens")
+
+
+@query(f"""WITH {_HITS},
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, segment_id) AS n, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, source_id, segment_id) AS k FROM hits),
+b AS (SELECT *, min(n) OVER (PARTITION BY query_id, paper_id) AS f, max(named_match::INT) OVER (PARTITION BY query_id, paper_id) AS nm FROM a),
+c AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY f) AS pr, sum(CASE WHEN k = 1 AND nm = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS nn FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nn = 1 THEN 1 WHEN nn >= 2 AND nm = 1 THEN 0 WHEN nn = 0 AND pr <= 4 AND k <= 3 THEN 0 ELSE 1 END,
+   CASE WHEN nn >= 2 AND nm = 1 THEN k WHEN nn = 0 AND pr <= 4 AND k <= 3 THEN pr ELSE 0 END, CASE WHEN nn >= 2 AND nm = 1 THEN f WHEN nn = 0 AND pr <= 4 AND k <= 3 THEN k ELSE 0 END, n) AS pick FROM c)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, segment_id)::INT AS rank, paper_id, segment_id, score FROM p WHERE pick <= 12""")
+def evidence_search_quota(spark, sf):
+    """F07."""
+    return R.per_paper_quota(R.score_evidence(evidence(spark, sf), ASKED), 12).select("query_id", "rank", "paper_id", "segment_id", "score")
+
+
+def screening(spark, sf):
+    s = F.when(F.col("toxic") == 1, "excluded").when(F.col("quality") == 1, "included").otherwise("unknown")
+    return t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), s.alias("status"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'included' ELSE 'unknown' END AS status FROM labels)
+SELECT d.doc_id::VARCHAR AS paper_id, CASE WHEN d.doc_id % 10 = 0 THEN 'study_note' ELSE 'paper_segment' END AS source_type FROM documents d
+WHERE d.doc_id % 10 = 0 OR (d.doc_id IN (SELECT doc_id FROM s WHERE status = 'included') AND d.doc_id NOT IN (SELECT doc_id FROM s WHERE status = 'excluded'))""")
+def evidence_screened(spark, sf):
+    """C02, C03, E20."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.when(F.col("doc_id") % 10 == 0, "study_note").otherwise("paper_segment").alias("source_type"))
+    return R.screening_gate(d, screening(spark, sf), "writing")
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'included' ELSE 'unknown' END AS status, count(*) AS papers FROM labels GROUP BY 1")
+def screening_counts(spark, sf):
+    """E16."""
+    return screening(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, segment_id) AS rank FROM hits),
+g AS (SELECT query_id, paper_id, round(sum(score), 6) AS score, count(*) AS segments, min_by(segment_id, rank) AS first_segment FROM r WHERE rank <= 15 GROUP BY ALL)
+SELECT query_id, paper_id, score, segments, first_segment, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM g) WHERE rank <= 5""")
+def citation_suggest(spark, sf):
+    """E04."""
+    hits = R.best(R.score_evidence(evidence(spark, sf), ASKED), 15, "segment_id").withColumn("snippet", F.substring("text", 1, 200))
+    return R.citation_suggestions(hits, 5).select("query_id", "paper_id", "score", F.size("segment_ids").cast("long").alias("segments"), F.col("segment_ids")[0].alias("first_segment"), "rank")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS w FROM conversations),
+x AS (SELECT conv_id, turn, unnest(w) AS k FROM c), f AS (SELECT conv_id, turn, k, count(*) AS n FROM x GROUP BY ALL),
+z AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM f GROUP BY ALL),
+p AS (SELECT a.conv_id, a.turn, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.k = b.k AND b.turn = 0 GROUP BY ALL)
+SELECT c.conv_id, c.turn, round(coalesce(p.dot / (z.norm * z0.norm), 0), 6) AS cosine FROM c LEFT JOIN p USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn) LEFT JOIN z z0 ON z0.conv_id = c.conv_id AND z0.turn = 0""")
+def lexical_chain_cosine(spark, sf):
+    """Each turn against the first of its conversation."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", T.chain_tokens(F.col("text")).alias("w"))
+    first = c.where("turn = 0").select("conv_id", F.col("w").alias("w0"))
+    return c.join(first, "conv_id", "left").select("conv_id", "turn", F.round(F.coalesce(R.sparse_cosine(F.col("w"), F.col("w0")), F.lit(0.0)), 6).alias("cosine"))
+
+
+@query("""WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT qe FROM q)::DOUBLE[]), 6) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 20""")
+def dense_topk(spark, sf):
+    """G02 on dense vectors: the 20 nearest to vector 0."""
+    e = t(spark, sf, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("qe"))
+    s = e.where("vec_id <> 0").join(F.broadcast(q)).select("vec_id", F.round(R.dense_cosine(F.col("embedding"), F.col("qe")), 6).alias("score"))
+    return s.orderBy(F.col("score").desc(), "vec_id").limit(20)
+
+
+@query("""SELECT sha256('{"metadata": {"lang": "' || lang || '"}, "text": ' || to_json(text)::VARCHAR || '}') AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
+def content_hash_dedupe(spark, sf):
+    """JSON text with sorted keys and the separators of the stored hashes."""
+    js = F.concat(F.lit('{"metadata": {"lang": "'), F.col("lang"), F.lit('"}, "text": '), F.substring(F.to_json(F.array("text")), 2, 2**31 - 1))
+    raw = F.concat(F.regexp_replace(js, r"\]$", ""), F.lit("}"))
+    return t(spark, sf, "documents").groupBy(F.sha2(raw, 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+# Text rules -----------------------------------------------------------------------------------
+
+_LOW = r"""(length(s) < 24 OR len(regexp_extract_all(s, '[A-Za-z0-9]')) < 0.48 * length(s) OR (len(regexp_extract_all(s, '[A-Za-z]')) < 10 AND len(regexp_extract_all(s, '[0-9%#\-+./]')) >= 10) OR regexp_matches(s, '(?:\b[A-Za-z]{1,2}\b[\s,;:\-|]*){8,}'))"""
+
+
+@query(rf"WITH l AS (SELECT doc_id, pos, line, {_sq('line')} AS s FROM {_LINES}) SELECT doc_id, pos::INT AS pos, {_LOW} AS low_information, regexp_matches(line, '{T.CITATION_NEEDED}') AS citation_needed FROM l")
+def line_predicates(spark, sf):
+    """C09, C11, I60 over every line."""
+    return lines(spark, sf).select("doc_id", "pos", T.is_low_information(F.col("line")).alias("low_information"), T.is_citation_needed(F.col("line")).alias("citation_needed"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, pos, {_sq('line')} AS s FROM {_LINES}), w AS (SELECT *, regexp_extract_all(s, '[A-Za-z][A-Za-z\-'']+') AS ws FROM l)
+SELECT doc_id, pos::INT AS pos, (length(s) = 0 OR (length(s) <= 240 AND (regexp_matches(s, '{T.META_NOISE}') OR (len(ws) >= 8 AND len(regexp_extract_all(s, '[,;]\s*[A-Za-z]')) >= 3 AND length(s) <= 220 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= 6 AND list_sum(list_transform(ws, lambda x: length(x))) <= 10 * len(ws))))) AS meta_noise FROM w""")
+def meta_noise_lines(spark, sf):
+    """C12."""
+    return lines(spark, sf).select("doc_id", "pos", T.is_meta_noise(F.col("line")).alias("meta_noise"))
+
+
+@query(rf"""SELECT doc_id, round(len(regexp_extract_all(text, '\p{{Han}}')) / greatest(1, len(regexp_extract_all(text, '\S'))), 6) AS cjk_share,
+ floor(1.5::DOUBLE * len(regexp_extract_all(text, '\p{{Han}}')) + 0.35::DOUBLE * (length(text) - len(regexp_extract_all(text, '\p{{Han}}')))) AS tokens_cjk, greatest(1, length(text) // 4) AS tokens_quarter, greatest(1, ceil(length(text) / 3.6)::BIGINT) AS tokens_provider FROM documents""")
+def token_estimates(spark, sf):
+    """C30, I18, I19, I20."""
+    d = t(spark, sf, "documents")
+    share = F.regexp_count("text", F.lit(f"[{T.CJK}]")) / F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S")))
+    return d.select("doc_id", F.round(share, 6).alias("cjk_share"), T.estimate_cjk(F.col("text")).cast("double").alias("tokens_cjk"), T.estimate_quarter(F.col("text")).alias("tokens_quarter"), T.estimate_provider(F.col("text")).alias("tokens_provider"))
+
+
+_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(h, '(?i){p}') THEN '{lab}'" for lab, p in T.SECTION_LABELS) + " ELSE '' END"
+
+
+@query(rf"""WITH b AS (SELECT item_id, unnest(string_split(text, '.')) AS s FROM benchmark UNION ALL SELECT r_regionkey, v || ' ' || r_name FROM region, (VALUES ('2.1 Methods and'), ('IV. Results of'), ('Abstract'), ('3) Future Work in'), ('References')) x(v)),
+n AS (SELECT item_id, trim(s) AS s, lower(trim(regexp_replace({_sq('s')}, '^(?:[0-9]+(?:\.[0-9]+)*[.)]?|[IVXivx]+[.)])\s+', ''))) AS h FROM b)
+SELECT item_id, s AS heading, {_LABEL} AS label, length(s) <= 90 AND regexp_matches(s, '{T.NUMBERED_HEADING}') AS numbered, length(s) > 0 AND ((length(s) <= 90 AND regexp_matches(s, '{T.NUMBERED_HEADING}')) OR (length(s) <= 90 AND len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: length(x) > 0)) <= 14 AND NOT regexp_matches(s, '[。！？!?]\s'))) AS heading_like FROM n""")
+def heading_labels(spark, sf):
+    """C13, C14, C15, I62."""
+    b = t(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", r"\.")).alias("s"))
+    made = t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("item_id"), F.explode(F.transform(F.array(*[F.lit(x) for x in ("2.1 Methods and", "IV. Results of", "Abstract", "3) Future Work in", "References")]), lambda x: F.concat_ws(" ", x, "r_name"))).alias("s"))
+    s = F.trim("s")
+    return b.unionByName(made).select("item_id", s.alias("heading"), T.section_label(F.col("s")).alias("label"), T.is_numbered_heading(F.col("s")).alias("numbered"), T.is_heading_like(F.col("s")).alias("heading_like"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS pages, count(*) AS n FROM {_BLOCKS} GROUP BY doc_id, page)
+SELECT doc_id, page, n AS blocks, CASE WHEN page / pages <= 0.12 THEN 'Abstract' WHEN page / pages <= 0.35 THEN 'Introduction' WHEN page / pages <= 0.62 THEN 'Methods' WHEN page / pages <= 0.82 THEN 'Results' WHEN page / pages <= 0.94 THEN 'Discussion' ELSE 'Conclusion' END AS label FROM p""")
+def position_labels(spark, sf):
+    """C16."""
+    p = blocks(spark, sf).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("blocks"))
+    return p.withColumn("pages", F.max("page").over(Window.partitionBy("doc_id"))).select("doc_id", "page", "blocks", T.label_by_position(F.col("page"), F.col("pages")).alias("label"))
+
+
+@query(rf"""WITH l AS (SELECT source, doc_id, lower({_sq('line')}) AS norm FROM {_LINES}) SELECT source, norm, count(DISTINCT doc_id) AS pages FROM l WHERE norm <> '' AND length(norm) < 90 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""")
+def running_header_lines(spark, sf):
+    """C17 with documents as pages of their source."""
+    return L.running_headers(lines(spark, sf), "source", "doc_id", "line")
+
+
+@query(rf"""WITH l AS (SELECT source, doc_id, pos, line, lower({_sq('line')}) AS norm FROM {_LINES}), h AS (SELECT source, norm FROM l WHERE norm <> '' AND length(norm) < 90 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS kept, sum(length(line))::BIGINT AS chars FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source = l.source AND h.norm = l.norm) GROUP BY doc_id""")
+def without_headers(spark, sf):
+    """C17, F25."""
+    return L.without_running_headers(lines(spark, sf), "source", "doc_id", "line").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+k AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(prev), '[a-z]{4,}')) AS b FROM w WHERE prev IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE round(100.0 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 1) END AS overlap FROM k""")
+def overlap_report(spark, sf):
+    """Each turn against the one before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t(spark, sf, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev IS NOT NULL")
+    return c.select("conv_id", "turn", T.overlap_jaccard(F.col("text"), F.col("prev")).alias("overlap"))
+
+
+@query(r"""WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS nxt FROM benchmark),
+n AS (SELECT item_id, lower(trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'))) AS g, lower(trim(regexp_replace(substr(coalesce(nxt, ''), 1, 120), '\s+', ' ', 'g'))) AS p FROM b)
+SELECT item_id, round(CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(g, p) / length(g) END, 6) AS cer FROM n WHERE NOT regexp_matches(g || p, '[^\x00-\x7F]')""")
+def ocr_cer(spark, sf):
+    """I23, I24, I25, E11 on ASCII text, where both engines count the same characters."""
+    b = t(spark, sf, "benchmark").withColumn("nxt", F.lead("text").over(Window.orderBy("item_id")))
+    g, p = F.substring("text", 1, 120), F.substring(F.coalesce("nxt", F.lit("")), 1, 120)
+    return b.where(~F.regexp_like(F.concat(T.normalize_metric_text(g), T.normalize_metric_text(p)), F.lit(r"[^\x00-\x7F]"))).select("item_id", F.round(T.character_error_rate(p, g), 6).alias("cer"))
+
+
+# Packing and listing --------------------------------------------------------------------------
+
+@query("""WITH c AS (SELECT conv_id, turn, text, greatest(1, length(text) // 4) AS cost, coalesce(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, turn, rtrim(CASE WHEN cost <= 60 - before THEN text ELSE rtrim(substr(text, 1, (4 * (60 - before))::INT)) END) AS packed, CASE WHEN cost <= 60 - before THEN cost ELSE 60 - before END::BIGINT AS packed_tokens FROM c WHERE before < 60""")
+def budget_pack(spark, sf):
+    """F09."""
+    out = R.pack_budget(t(spark, sf, "conversations"), 60, ["conv_id"], "turn", "text")
+    return out.select("conv_id", "turn", F.rtrim("packed").alias("packed"), "packed_tokens")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, sum(floor(0.35::DOUBLE * length(text))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
+SELECT conv_id, turn, used::BIGINT AS used FROM c WHERE used <= 120""")
+def history_tail_pack(spark, sf):
+    """F10, F11, I18."""
+    return R.pack_newest(t(spark, sf, "conversations"), 120, ["conv_id"], "turn").select("conv_id", "turn", F.col("used").cast("long").alias("used"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
+def last_n_turns(spark, sf):
+    """A10, A11, A40."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))
+    return t(spark, sf, "conversations").withColumn("n", n).where("n <= 4").select("conv_id", "turn", "role")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn, count(*) FILTER (WHERE role = 'user') AS user_turns FROM conversations GROUP BY conv_id), n AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY last_turn DESC, conv_id) AS n FROM c)
+SELECT conv_id, message_count, last_turn, user_turns, total FROM n WHERE n > 10 AND n <= 60""")
+def conversation_list(spark, sf):
+    """The second page of 50, and how many there are."""
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("message_count"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("user_turns"))
+    total = c.agg(F.count(F.lit(1)).alias("total"))
+    page = c.orderBy(F.col("last_turn").desc(), "conv_id").offset(10).limit(50)
+    return page.join(F.broadcast(total))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
+def paged_listing(spark, sf):
+    """A12, A13, A16, E23."""
+    return t(spark, sf, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").offset(100).limit(50).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5)::BIGINT AS batch FROM orders")
+def fixed_batches(spark, sf):
+    """E24."""
+    return L.batches(t(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "batch")
+
+
+# Layout ---------------------------------------------------------------------------------------
+
+@query(f"""WITH b AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'full' ELSE 'other' END AS col, doc_id % 2 = 0 AS two, min(y0) OVER (PARTITION BY doc_id, page) AS top FROM {_BLOCKS}),
+z AS (SELECT *, CASE WHEN NOT two THEN 0 WHEN col = 'full' AND y0 <= top + 0.6 * 20 THEN 0 WHEN col = 'left' THEN 1 WHEN col = 'right' THEN 2 WHEN col = 'full' THEN 3 ELSE 4 END AS zone FROM b)
+SELECT doc_id, page, seq_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY zone, y0, x0, seq_id)::INT AS reading_order FROM z""")
+def reading_order(spark, sf):
+    """F01, G08, G09."""
+    b = blocks(spark, sf).withColumn("y1", F.col("y0") + 20).withColumn("two_columns", F.col("doc_id") % 2 == 0)
+    b = b.withColumn("column", F.when(F.col("pos") % 4 == 0, "left").when(F.col("pos") % 4 == 1, "right").when(F.col("pos") % 4 == 2, "full").otherwise("other"))
+    return L.reading_order(b, ["doc_id", "page"]).select("doc_id", "page", "seq_id", "reading_order")
+
+
+@query(f"""WITH b AS (SELECT doc_id, page, pos, seq_id, type, lag(seq_id) OVER w AS prev_id, lead(seq_id) OVER w AS next_id, lag(type) OVER w AS pt, lead(type) OVER w AS nt FROM {_BLOCKS} WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos))
+SELECT seq_id, prev_id, next_id, 'eq:' || CASE WHEN type = 'Equation' THEN seq_id WHEN nt = 'Equation' THEN next_id WHEN pt = 'Equation' THEN prev_id END AS affinity FROM b""")
+def prev_next_links(spark, sf):
+    """F02."""
+    return L.neighbour_links(blocks(spark, sf), ["doc_id", "page"], "pos").select("seq_id", "prev_id", "next_id", "affinity")
+
+
+@query(f"""WITH b AS (SELECT seq_id, type, sum((type = 'Figure')::INT) OVER w AS f, sum((type = 'Table')::INT) OVER w AS t, sum((type = 'Equation')::INT) OVER w AS e FROM {_BLOCKS} WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT seq_id, CASE type WHEN 'Figure' THEN 'fig.' || f::BIGINT WHEN 'Table' THEN 'table.' || t::BIGINT WHEN 'Equation' THEN 'eq.' || e::BIGINT END AS label FROM b""")
+def label_counters(spark, sf):
+    """F03."""
+    return L.label_counters(blocks(spark, sf), "doc_id", ["pos"]).select("seq_id", "label")
+
+
+@query(f"""SELECT seq_id, last_value(CASE WHEN type = 'Title' AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM {_BLOCKS}""")
+def section_forward_fill(spark, sf):
+    """F04, F26."""
+    title = F.when(F.col("type") == "Title", F.col("text")).otherwise("")
+    return L.section_fill(blocks(spark, sf), "doc_id", ["pos"], title).select("seq_id", "section")
+
+
+@query(f"""WITH b AS (SELECT *, sum((type = 'Title')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM {_BLOCKS}),
+s AS (SELECT doc_id, island, coalesce(max(CASE WHEN type = 'Title' THEN text END), 'Front Matter') AS title, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE type <> 'Title'), '') AS text FROM b GROUP BY doc_id, island),
+f AS (SELECT *, max(island) OVER (PARTITION BY doc_id) AS titles FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island)::INT AS segment, title, sha256(text) AS text_hash FROM f WHERE titles > 0 AND length(text) >= 20""")
+def title_segments(spark, sf):
+    """F05, K11."""
+    s = L.title_segments(blocks(spark, sf), "doc_id", "pos", F.col("type") == "Title", F.col("text"))
+    return s.select("doc_id", "segment", "title", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"""SELECT doc_id, page, string_agg(text, chr(10) ORDER BY pos) AS text FROM {_BLOCKS} WHERE type NOT IN ('Figure', 'Table') GROUP BY doc_id, page HAVING length(string_agg(text, chr(10) ORDER BY pos)) >= 20""")
+def page_segments(spark, sf):
+    """A29, K12."""
+    b = blocks(spark, sf).where(~F.col("type").isin("Figure", "Table"))
+    g = b.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return g.where(F.length("text") >= 20)
+
+
+_BOX = "[x0, y0, x0 + 120, y0 + 60]"
+
+
+def _reader(b: DataFrame, shift: int) -> DataFrame:
+    x, y = F.col("x0") + shift, F.col("y0") + shift
+    return b.select("doc_id", "page", "seq_id", "type", F.array(x, y, x + 120, y + 60).alias("bbox"), F.col("text").alias("content"), ((F.col("doc_id") * 7 + F.col("pos") * 3 + shift) % 100 / 100.0).alias("score"))
+
+
+@query(f"""WITH a AS (SELECT * FROM {_BLOCKS} WHERE type = 'Body'), b AS (SELECT doc_id, page, CASE WHEN pos % 2 = 0 THEN seq_id ELSE 'b' || seq_id END AS bid, x0 + 10 AS bx, y0 + 10 AS byy, pos FROM {_BLOCKS}),
+i AS (SELECT a.seq_id, b.bid, true AS by_id FROM a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq_id = b.bid),
+r AS (SELECT a.seq_id, b.bid, false AS by_id, greatest(0, least(a.x0 + 120, b.bx + 120) - greatest(a.x0, b.bx)) * greatest(0, least(a.y0 + 60, b.byy + 60) - greatest(a.y0, b.byy)) AS inter, a.x0, a.y0, b.bx, b.byy
+  FROM a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.doc_id = a.doc_id AND c.page = a.page AND c.bid = a.seq_id))
+SELECT seq_id, bid AS b_seq_id, by_id FROM i UNION ALL SELECT seq_id, bid, by_id FROM r WHERE inter / (14400.0 - inter) > 0.1 OR (bx + 60 BETWEEN x0 AND x0 + 120 AND byy + 30 BETWEEN y0 AND y0 + 60)""")
+def dual_reader_match(spark, sf):
+    """D05, I28, I31."""
+    b = blocks(spark, sf)
+    right = _reader(b.withColumn("seq_id", F.when(F.col("pos") % 2 == 0, F.col("seq_id")).otherwise(F.concat(F.lit("b"), "seq_id"))), 10)
+    return L.match_readers(_reader(b.where("type = 'Body'"), 0), right, ["doc_id", "page"]).select("seq_id", "b_seq_id", "by_id")
+
+
+@query(f"""WITH a AS (SELECT seq_id, type, trim(text) AS a, (doc_id * 7 + pos * 3) % 100 / 100.0 AS sa, trim(substr(text, 1, length(text) - length(text) // 10)) AS b, (doc_id * 7 + pos * 3 + 30) % 100 / 100.0 AS sb FROM {_BLOCKS} WHERE type IN ('Body', 'Figure', 'Table')),
+d AS (SELECT *, CASE WHEN length(a) < 3 AND length(b) > 3 THEN true WHEN sb > sa + 0.1 AND length(b) >= greatest(3, floor(length(a) * 0.85)) THEN true WHEN type IN ('Figure', 'Table') AND length(b) > length(a) THEN true ELSE false END AS ub FROM a)
+SELECT seq_id, sha256(CASE WHEN ub THEN b ELSE a END) AS content_hash, CASE WHEN ub THEN 'stack_b_override' ELSE 'stack_a' END AS source, round(CASE WHEN ub THEN sb WHEN sa > 0 THEN sa ELSE sb END, 4) AS score, round(greatest(sa, sb), 4) AS arbiter_score FROM d""")
+def dual_reader_arbitrate(spark, sf):
+    """D08 (without rescue), I36, H10 apart."""
+    b = blocks(spark, sf).where("type IN ('Body', 'Figure', 'Table')")
+    right = b.withColumn("text", F.substr("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 10).cast("int")))
+    out = L.arbitrate(_reader(b, 0), _reader(right, 30).withColumn("bbox", F.col("bbox")), ["doc_id", "page"])
+    return out.select("seq_id", F.sha2("content", 256).alias("content_hash"), "source", "score", "arbiter_score")
+
+
+@query(f"""WITH b AS (SELECT seq_id, x0, y0, (x0 * 3 + 50) % 400 AS x, (y0 * 5 + 20) % 700 AS y FROM {_BLOCKS}), i AS (SELECT *, greatest(0, least(x0 + 120, x + 100) - greatest(x0, x)) * greatest(0, least(y0 + 60, y + 80) - greatest(y0, y)) AS inter FROM b)
+SELECT seq_id, round(inter / (7200 + 8000 - inter), 6) AS iou, round(inter / 7200, 6) AS overlap, (x0 <= x + 50 AND x + 50 <= x0 + 120 AND y0 <= y + 40 AND y + 40 <= y0 + 60) AS inside FROM i""")
+def box_overlap(spark, sf):
+    """I27, I28, I29, I30, I31, D07."""
+    x, y = (F.col("x0") * 3 + 50) % 400, (F.col("y0") * 5 + 20) % 700
+    a = F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60)
+    b = F.array(x, y, x + 100, y + 80)
+    return blocks(spark, sf).select("seq_id", F.round(G.iou(a, b), 6).alias("iou"), F.round(G.overlap_ratio(a, b), 6).alias("overlap"), G.center_inside(b, a).alias("inside"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, pos // 7 AS section, min(pos) AS first, max(pos) AS last FROM {_BLOCKS} WHERE pos % 3 <> 2 GROUP BY doc_id, pos // 7), r AS (SELECT doc_id, seq_id AS ref, pos FROM {_BLOCKS} WHERE pos % 3 = 2),
+j AS (SELECT r.*, s.section, s.last, (s.first <= r.pos AND r.pos <= s.last) AS inside FROM r JOIN s ON r.doc_id = s.doc_id AND (s.last <= r.pos OR (s.first <= r.pos AND r.pos <= s.last)))
+SELECT ref, section FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY inside DESC, last DESC, section DESC) AS n FROM j) WHERE n = 1""")
+def nearest_section_asof(spark, sf):
+    """D14."""
+    b = blocks(spark, sf)
+    s = b.where("pos % 3 <> 2").groupBy("doc_id", F.floor(F.col("pos") / 7).alias("section")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    r = b.where("pos % 3 = 2").select("doc_id", F.col("seq_id").alias("ref"), "pos")
+    return L.nearest_section(r, s, "doc_id").select("ref", "section")
+
+
+@query(f"""SELECT doc_id, ref, n::INT AS n FROM (SELECT doc_id, seq_id AS ref, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM {_BLOCKS} WHERE NOT (type = 'Body' AND pos % 2 = 0)) WHERE n <= 180""")
+def uncovered_refs(spark, sf):
+    """D15, H08."""
+    b = blocks(spark, sf).select("doc_id", F.col("seq_id").alias("ref"), "pos", "type")
+    return L.uncovered(b, b.where("type = 'Body' AND pos % 2 = 0"), "doc_id").select("doc_id", "ref", "n")
+
+
+@query(f"""SELECT doc_id, min(section) AS section, ref FROM (SELECT doc_id, pos % 3 AS section, type AS ref FROM {_BLOCKS}) GROUP BY doc_id, ref""")
+def first_claims(spark, sf):
+    """Kinds of block as refs, claimed by position modulo 3."""
+    s = blocks(spark, sf).groupBy("doc_id", (F.col("pos") % 3).alias("section")).agg(F.collect_set("type").alias("refs"))
+    return L.first_claim(s, "doc_id").select("doc_id", "section", "ref")
+
+
+@query(f"""WITH r AS (SELECT doc_id, length(text) AS n, type = 'Body' AS a, type = 'Table' AS d FROM {_BLOCKS})
+SELECT doc_id, count(*) AS refs, sum((a OR d)::INT)::BIGINT AS covered, round(sum((a OR d)::INT) / count(*), 4) AS ref_ratio, round(least(2.0, sum(CASE WHEN a THEN n ELSE 0 END) / greatest(1, sum(n))), 4) AS char_ratio FROM r GROUP BY doc_id""")
+def reflow_coverage(spark, sf):
+    """E06, E07, E15."""
+    r = blocks(spark, sf).select("doc_id", F.col("seq_id").alias("ref"), "text", (F.col("type") == "Body").alias("assigned"), (F.col("type") == "Table").alias("dropped"))
+    return L.coverage(r, "doc_id").select("doc_id", "refs", "covered", "ref_ratio", "char_ratio")
+
+
+@query(rf"""WITH b AS (SELECT doc_id, trim(text) AS tx, text, {_sq('text')} AS s FROM {_BLOCKS} WHERE trim(text) <> ''), g AS (SELECT doc_id, count(*) AS blocks, sum(floor(0.35::DOUBLE * length(text)))::BIGINT AS tokens, round(avg(length(tx)), 4) AS mean_chars, sum({_LOW}::INT) AS low FROM b GROUP BY doc_id)
+SELECT doc_id, blocks, tokens, mean_chars, array_to_string(list_filter([CASE WHEN blocks < 3 THEN 'few_blocks' END, CASE WHEN mean_chars < 60 THEN 'short_blocks' END, CASE WHEN low > 0.5 * blocks THEN 'low_information' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+def fusion_quality(spark, sf):
+    """E05."""
+    return L.quality_metrics(blocks(spark, sf), "doc_id").select("doc_id", "blocks", "tokens", "mean_chars", "reasons")
+
+
+@query(f"""SELECT doc_id, page, sum((type = 'Body')::INT)::BIGINT AS body, sum((type = 'Figure')::INT)::BIGINT AS figure, sum((type = 'Table')::INT)::BIGINT AS "table", sum((type = 'Equation')::INT)::BIGINT AS equation, count(*) AS blocks, count(x0 % 50) <> count(DISTINCT x0 % 50) AS order_repeats FROM {_BLOCKS} GROUP BY doc_id, page""")
+def page_audit(spark, sf):
+    """E08, E18."""
+    return L.page_audit(blocks(spark, sf).withColumn("reading_order", F.col("x0") % 50), ["doc_id", "page"])
+
+
+@query(f"""WITH h AS (SELECT DISTINCT doc_id FROM {_BLOCKS} WHERE type = 'Title' AND page = 1)
+SELECT doc_id, arg_max(seq_id, (length(text), seq_id)) AS ref, max(length(text)) AS chars FROM {_BLOCKS} WHERE page = 1 AND length(text) >= 300 AND doc_id NOT IN (SELECT doc_id FROM h) GROUP BY doc_id""")
+def abstract_fallback(spark, sf):
+    """F23, A04."""
+    r = blocks(spark, sf).select("doc_id", "page", F.col("seq_id").alias("ref"), "text", F.when((F.col("type") == "Title") & (F.col("page") == 1), "Abstract").alias("label"))
+    return L.longest_as_abstract(r, "doc_id").select("doc_id", "ref", F.col("chars").cast("long").alias("chars"))
