@@ -2,39 +2,43 @@
 
 1. Texts with equal shingle sets form a class; its smallest id stands for it from here on.
 2. Minima under many universal hash functions are cut into bands; classes that agree on a
-   band share a bucket. At the contract's threshold 0.8 the defaults (40 bands of 6) miss a
-   pair with probability (1 - 0.8^6)^40 < 1e-5.
+   band share a bucket. At the contract's threshold 0.8 the defaults (26 bands of 5) miss a
+   pair with probability (1 - 0.8^5)^26 < 4e-5.
 3. Each class goes once to its largest bucket, split into cells of bounded size, and full
    shingle sets are compared there. That links most of each group.
-4. Buckets that still hold several components are looked at again: signatures within a margin
+4. Components that meet in a bucket send a few documents each, so that parts of one group join.
+5. Buckets that still hold several components are looked at again: signatures within a margin
    of the threshold connect classes of different components, and the groups that come of it
    compare full sets between components, as a grid of bounded cells. Nothing that shares a
    bucket stays unchecked, and within a component nothing more need be.
-5. Large-star and small-star label the links' components.
+6. Large-star and small-star label the links' components.
 
 No pair is ever written out: cells emit one edge for each document linked in them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, mix64, shuffle_partitions, text_bytes, word_hashes
 from corvane.llm.components import connected_components
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 26, 5
 #: Documents of one side of a cell in which full sets or signatures are compared.
 CELL = 256
+#: Documents that a component sends to each of its buckets to meet other components.
+ENVOYS = 4
 #: Ids that may be broadcast to pick candidates' texts; beyond that they are joined by shuffle.
 BROADCAST_IDS = 400_000
 #: By how much a signature's estimate may lie below the threshold: over 5 standard deviations.
-MARGIN = 0.15
+MARGIN = 0.18
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -209,6 +213,10 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(c, F.col("doc") == F.col("x"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("x", "component")
 
 
+def _stars(comps: DataFrame) -> DataFrame:
+    return comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of word shingles.
 
@@ -227,7 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = taking_part.groupBy("ident").agg(F.min("doc").alias("rep"))
     reps = taking_part.join(classes.select(F.col("rep").alias("doc"), "ident"), ["doc", "ident"], "left_semi").dropDuplicates(["doc", "ident"])
 
-    keys = reps.select("doc", F.explode("bands").alias("bucket"))
+    # Sets whose sizes differ by more than the threshold allows can't be linked: 1.25 at 80 %.
+    size_class = F.floor(F.ln(F.col("n")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    keys = reps.select("doc", size_class.alias("k"), F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = materialize(keys.join(shared, "bucket"), "near-members")
     wanted = materialize(members.select("doc").distinct(), "near-candidates")
@@ -236,14 +246,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialize(texts.dropDuplicates(["doc", "text"]) if not few else texts, "near-texts")
 
     # Each class once, in its largest bucket.
-    first = members.groupBy("doc").agg(F.max(F.struct("c", "bucket")).alias("b"))
+    first = members.groupBy("doc").agg(F.max(F.struct("c", "bucket", "k")).alias("b"))
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("b.c") / CELL))
-    first = first.select("doc", F.xxhash64("b.bucket", part).alias("cell"))
+    first = first.select("doc", F.xxhash64("b.bucket", F.when(F.col("b.c") > CELL, F.col("b.k")), part).alias("cell"))
     compare, edge = _compare_sets(words, percent), "a long, b long"
     group = F.pmod(F.xxhash64("cell"), F.lit(4 * p)).cast("int")
     edges = materialize(texts.join(first, "doc").withColumn("grp", group).groupBy("grp").applyInArrow(compare, edge), "near-edges")
     comps = materialize(connected_components(edges), "near-components")
 
+    # A few of each component in each bucket: parts of one group that lay in different cells.
+    known = members.select("doc", "bucket").join(comps.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc")
+    several = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_distinct("comp").alias("comps")).where("lo <> hi").select(F.col("bucket").alias("b"), "comps")
+    rank = F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(F.xxhash64("doc", F.lit(3)), "doc"))
+    envoys = known.withColumn("rank", rank).where(F.col("rank") <= ENVOYS).join(several, F.col("bucket") == F.col("b"))
+    part = F.pmod(F.xxhash64("comp", F.lit(5)), F.ceil(F.col("comps") * ENVOYS / CELL))
+    envoys = envoys.select("doc", F.xxhash64("bucket", part).alias("cell"))
+    bridges = materialize(texts.join(envoys, "doc").withColumn("grp", group).groupBy("grp").applyInArrow(compare, edge).unionAll(_stars(comps)), "near-edges")
+    comps = materialize(connected_components(bridges), "near-components")
+
     # What is left between components.
     dealt = _grid(_with_component(members.select("doc", "bucket"), comps), "bucket").join(reps.select("doc", "sig"), "doc")
     close = dealt.withColumn("grp", group).groupBy("grp").applyInArrow(_compare_signatures(percent / 100 - MARGIN), edge)
@@ -252,8 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = left.join(texts, "doc").withColumn("grp", group).groupBy("grp").applyInArrow(compare, edge)
     more = materialize(more, "near-edges")
     if not more.isEmpty():
-        own = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = materialize(connected_components(own.unionAll(more)), "near-components")
+        comps = materialize(connected_components(_stars(comps).unionAll(more)), "near-components")
 
     of = _with_component(classes.select("ident", F.col("rep").alias("doc")), comps).select("ident", "comp")
     out = signed.dropDuplicates(["doc", "ident"]).join(of, "ident", "left")
