@@ -20,6 +20,11 @@ IDLE_SECONDS = 300
 ROLE_RANK = {"owner": 5, "editor": 4, "coauthor": 3, "reviewer": 2, "viewer": 1}
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds of the epoch of a timestamp with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def price_table(spark: SparkSession) -> DataFrame:
     rows = [(k, *v, *LONG_PROMPTS.get(k, (None, None, None, None))) for k, v in PRICES.items()]
     return spark.createDataFrame(rows, "model_key string, p_in double, p_cached double, p_out double, tier_over long, t_in double, t_cached double, t_out double")
@@ -61,11 +66,11 @@ def first_number(raw: Column, *keys: str) -> Column:
 def sessions(events: DataFrame, user: str, ts: str, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Sessions that end at the last sign of life before a gap longer than the limit."""
     w = Window.partitionBy(user).orderBy(ts)
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
+    gap = micros(F.col(ts)) - micros(F.lag(ts).over(w))
     e = events.withColumn("new", F.when(gap.isNull() | (gap > idle_seconds * 1_000_000), 1).otherwise(0))
     e = e.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = e.groupBy(user, "session").agg(F.min(ts).alias("login_at"), F.max(ts).alias("ended_at"), F.count(F.lit(1)).alias("beats"))
-    return s.withColumn("seconds", F.floor((F.unix_micros("ended_at") - F.unix_micros("login_at")) / 1_000_000))
+    return s.withColumn("seconds", F.floor((micros(F.col("ended_at")) - micros(F.col("login_at"))) / 1_000_000))
 
 
 def activity(sessions_df: DataFrame, user: str) -> DataFrame:
@@ -76,7 +81,7 @@ def activity(sessions_df: DataFrame, user: str) -> DataFrame:
 
 def rate_windows(events: DataFrame, ts: str, tokens: Column, minute_limit: int) -> DataFrame:
     """Requests and tokens of each minute of the epoch, and whether they pass the limit (J03 sums)."""
-    minute = F.floor(F.unix_micros(F.col(ts)) / 60_000_000)
+    minute = F.floor(micros(F.col(ts)) / 60_000_000)
     g = events.groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens"))
     return g.withColumn("over", F.col("requests") > minute_limit)
 
@@ -85,7 +90,7 @@ def admitted(events: DataFrame, ts: str, tokens: str, token_limit: int, tie: str
     """Which requests a minute's token budget lets in, in order; what is refused uses nothing.
 
     Sequential within a minute: a minute's requests are folded by one array expression."""
-    minute = F.floor(F.unix_micros(F.col(ts)) / 60_000_000).alias("minute")
+    minute = F.floor(micros(F.col(ts)) / 60_000_000).alias("minute")
     g = events.groupBy(minute).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("id"), F.col(tokens).cast("long").alias("n")))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     fold = F.aggregate("rows", start, lambda a, r: F.when(a["used"] + r["n"] <= token_limit, F.struct((a["used"] + r["n"]).alias("used"), F.concat(a["ids"], F.array(r["id"])).alias("ids"))).otherwise(a))
@@ -174,10 +179,10 @@ def latest_decision(ledger: DataFrame, by: list[str], order: list[str]) -> DataF
 
 def fail_stale(jobs: DataFrame, running: list[str], updated: str, as_of: Column, hours: int = 24) -> DataFrame:
     """Running jobs without an update for 24 hours, or without any, become failed."""
-    old = F.col(updated).isNull() | (F.unix_micros(as_of) - F.unix_micros(F.col(updated)) > hours * 3_600_000_000)
+    old = F.col(updated).isNull() | (micros(as_of) - micros(F.col(updated)) > hours * 3_600_000_000)
     return jobs.withColumn("status", F.when(F.col("status").isin(running) & old, "failed").otherwise(F.col("status")))
 
 
 def within_ttl(entries: DataFrame, ts: str, as_of: Column, seconds: int = 21_600) -> DataFrame:
     """Entries not older than six hours."""
-    return entries.where(F.unix_micros(as_of) - F.unix_micros(F.col(ts)) <= seconds * 1_000_000)
+    return entries.where(micros(as_of) - micros(F.col(ts)) <= seconds * 1_000_000)

@@ -430,3 +430,350 @@ def abstract_fallback(spark, sf):
     """F23, A04."""
     r = blocks(spark, sf).select("doc_id", "page", F.col("seq_id").alias("ref"), "text", F.when((F.col("type") == "Title") & (F.col("page") == 1), "Abstract").alias("label"))
     return L.longest_as_abstract(r, "doc_id").select("doc_id", "ref", F.col("chars").cast("long").alias("chars"))
+
+
+# Usage, sessions and rates ----------------------------------------------------------------------
+
+def usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a usage log: vendors and models in turn, tokens from the value and the id."""
+    e, i = t(spark, sf, "events"), F.col("event_id")
+    vendor = F.when(i % 3 == 0, "OpenAI").when(i % 3 == 1, "Google").otherwise("openrouter")
+    model = F.when(i % 3 == 0, F.when(i % 2 == 0, "gpt-4.1").otherwise("gpt-4.1-mini-2025-04-14")).when(i % 3 == 1, F.when(i % 2 == 0, "gemini-2.5-pro").otherwise("gemini-flash-latest")).otherwise("auto")
+    return e.select("event_id", "user_id", F.concat(F.lit("p"), F.col("user_id") % 7).alias("pid"), vendor.alias("vendor"), model.alias("model"), ((i * 37) % 400000).alias("input_tokens"), ((i * 11) % 900).alias("output_tokens"), ((i * 5) % 500).alias("cached_tokens"))
+
+
+_USAGE = """u AS (SELECT event_id, user_id, 'p' || user_id % 7 AS pid, CASE event_id % 3 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Google' ELSE 'openrouter' END AS vendor,
+  CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'gpt-4.1' ELSE 'gpt-4.1-mini-2025-04-14' END WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'gemini-2.5-pro' ELSE 'gemini-flash-latest' END ELSE 'auto' END AS model,
+  (event_id * 37) % 400000 AS i, (event_id * 11) % 900 AS o, least((event_id * 5) % 500, (event_id * 37) % 400000) AS c, (event_id * 5) % 500 AS craw FROM events),
+r AS (SELECT *, CASE WHEN model = 'gpt-4.1' THEN [2.0, 0.5, 8.0] WHEN model LIKE 'gpt-4.1-mini%' THEN [0.4, 0.1, 1.6] WHEN model = 'gemini-2.5-pro' THEN CASE WHEN i > 200000 THEN [2.5, 0.25, 15.0] ELSE [1.25, 0.125, 10.0] END END::DECIMAL(9,4)[] AS p FROM u),
+k AS (SELECT *, round(((i - c) * p[1] + c * p[2] + o * p[3])::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 6)::DOUBLE AS cost FROM r)"""
+
+
+@query(f"""WITH {_USAGE} SELECT pid, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(craw)::BIGINT AS cached_tokens, sum(i + o)::BIGINT AS total_tokens, round(sum(coalesce(cost, 0)), 4) AS cost_usd,
+max((cost IS NULL)::INT) AS has_unpriced, sum(CASE WHEN cost IS NULL THEN i + o ELSE 0 END)::BIGINT AS unpriced_tokens, array_to_string(list_sort(list(DISTINCT vendor || '/' || model)), ',') AS models FROM k GROUP BY pid""")
+def usage_summary(spark, sf):
+    """E01, E02, I37, I38."""
+    return A.usage_summary(A.with_cost(usage(spark, sf)), "pid").withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query(f"WITH {_USAGE} SELECT event_id, cost AS cost_usd FROM k")
+def usage_cost(spark, sf):
+    """Null where a model has no price."""
+    return A.with_cost(usage(spark, sf)).select("event_id", "cost_usd")
+
+
+@query(f"WITH {_USAGE} SELECT vendor, model, count(*) AS calls, count(cost) AS priced, count(*) - count(cost) AS unpriced FROM k GROUP BY ALL")
+def usage_unpriced(spark, sf):
+    """What a backfill can price."""
+    c = A.with_cost(usage(spark, sf))
+    return c.groupBy("vendor", "model").agg(F.count(F.lit(1)).alias("calls"), F.count("cost_usd").alias("priced"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"))
+
+
+@query("""WITH j AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"prompt_tokens": ' || event_id || ', "completion_tokens": 5}' WHEN 1 THEN '{"prompt_token_count": ' || event_id || ', "candidates_token_count": 3, "total_token_count": 10}' ELSE '{"input_tokens": "x", "cached_tokens": 4}' END AS raw FROM events)
+SELECT event_id, CASE event_id % 3 WHEN 2 THEN 0 ELSE event_id END AS input, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 0 END::BIGINT AS output, CASE event_id % 3 WHEN 0 THEN event_id + 5 WHEN 1 THEN 10 ELSE 0 END::BIGINT AS total FROM j""")
+def usage_normalised(spark, sf):
+    """Keys of several vendors, total falling back to the sum."""
+    i = F.col("event_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit('{"prompt_tokens": '), i, F.lit(', "completion_tokens": 5}'))).when(i % 3 == 1, F.concat(F.lit('{"prompt_token_count": '), i, F.lit(', "candidates_token_count": 3, "total_token_count": 10}'))).otherwise(F.lit('{"input_tokens": "x", "cached_tokens": 4}'))
+    e = t(spark, sf, "events").select("event_id", raw.alias("raw"))
+    e = e.select("event_id", A.first_number(F.col("raw"), "input_tokens", "prompt_tokens", "prompt_token_count").alias("input"), A.first_number(F.col("raw"), "output_tokens", "completion_tokens", "candidates_token_count").alias("output"), A.first_number(F.col("raw"), "total_tokens", "total_token_count").alias("t"))
+    return e.select("event_id", "input", "output", F.when(F.col("t") > 0, F.col("t")).otherwise(F.col("input") + F.col("output")).alias("total"))
+
+
+_SESSIONS = """e AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e),
+s AS (SELECT user_id, session, min(ts) AS login_at, max(ts) AS ended_at, count(*) AS beats, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::BIGINT AS seconds FROM n GROUP BY user_id, session)"""
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, epoch_us(login_at) AS login_us, epoch_us(ended_at) AS ended_us, beats, seconds FROM s")
+def idle_sessions(spark, sf):
+    """J01, J02, J07."""
+    s = A.sessions(t(spark, sf, "events"), "user_id", "ts", 3600)
+    return s.select("user_id", F.unix_micros(F.col("login_at").cast("timestamp")).alias("login_us"), F.unix_micros(F.col("ended_at").cast("timestamp")).alias("ended_us"), "beats", "seconds")
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, count(*) AS logins, sum(seconds)::BIGINT AS total_seconds, epoch_us(max(login_at)) AS last_login_us, round(sum(seconds) / 60, 1) AS total_minutes, round(sum(seconds) / 60 / count(*), 1) AS mean_minutes FROM s GROUP BY user_id")
+def activity_stats(spark, sf):
+    """E09."""
+    a = A.activity(A.sessions(t(spark, sf, "events"), "user_id", "ts", 3600), "user_id")
+    return a.select("user_id", "logins", "total_seconds", F.unix_micros(F.col("last_login").cast("timestamp")).alias("last_login_us"), "total_minutes", "mean_minutes")
+
+
+@query("""SELECT epoch_us(ts) // 60000000 AS minute, count(*) AS requests, sum((event_id * 11) % 900)::BIGINT AS tokens, count(*) > 2 AS over FROM events GROUP BY 1""")
+def rate_windows(spark, sf):
+    """Sums of tumbling minutes."""
+    return A.rate_windows(t(spark, sf, "events"), "ts", (F.col("event_id") * 11) % 900, 2)
+
+
+@query()
+def rate_admission(spark, sf):
+    """Refused requests use nothing, so a minute is folded in order."""
+    e = t(spark, sf, "events").withColumn("tokens", (F.col("event_id") * 11) % 900)
+    return A.admitted(e, "ts", "tokens", 1000, "event_id")
+
+
+# Bibliography -----------------------------------------------------------------------------------
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidate references: titles repeat, some have a DOI."""
+    k = F.col("p_partkey")
+    return t(spark, sf, "part").select(
+        k.alias("pos"), F.concat_ws(" ", F.initcap("p_name"), "p_type").alias("title"), F.when(k % 5 == 0, F.concat(F.lit("https://doi.org/10.1234/ABC."), k % 300, F.lit("."))).otherwise("").alias("doi"), F.when(k % 4 == 0, "").otherwise(F.concat_ws(" ", F.lit("Alice Chen and"), "p_brand")).alias("authors"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise((F.lit(1990) + k % 35).cast("int")).alias("year"), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("http://ex.org/"), k)).alias("url"), F.col("p_brand").alias("venue"), F.when(k % 4 == 1, "arXiv").when(k % 4 == 2, "crossref").otherwise("web").alias("source"), (k % 150).alias("citations"))
+
+
+_CAND = """c AS (SELECT p_partkey AS pos, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' ' || p_type AS title,
+ CASE WHEN p_partkey % 5 = 0 THEN 'https://doi.org/10.1234/ABC.' || p_partkey % 300 || '.' ELSE '' END AS rawdoi, CASE WHEN p_partkey % 5 = 0 THEN '10.1234/ABC.' || p_partkey % 300 ELSE '' END AS doi,
+ CASE WHEN p_partkey % 4 = 0 THEN [] ELSE ['Alice Chen', p_brand] END AS authors, CASE WHEN p_partkey % 3 <> 0 THEN (1990 + p_partkey % 35)::INT END AS year, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'http://ex.org/' || p_partkey END AS url, p_brand AS venue,
+ CASE p_partkey % 4 WHEN 1 THEN 'arXiv' WHEN 2 THEN 'crossref' ELSE 'web' END AS source, p_partkey % 150 AS citations FROM part),
+d AS (SELECT *, regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '', 'g') AS tk, (CASE WHEN title <> '' THEN 1 ELSE 0 END + (len(authors) > 0)::INT + (year IS NOT NULL)::INT + (doi <> '' OR url <> '')::INT) / 4 AS complete FROM c),
+e AS (SELECT *, CASE WHEN doi <> '' THEN 'doi:' || lower(doi) ELSE 'title:' || tk[:120] END AS ckey FROM d)"""
+
+
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    c = candidates(spark, sf).withColumn("doi", B.normalize_doi(F.col("doi"))).withColumn("authors", B.clean_authors(F.col("authors")))
+    return c.withColumn("complete", B.completeness(F.col("title"), F.col("authors"), F.col("year"), F.col("doi"), F.col("url"))).withColumn("ckey", B.candidate_key(F.col("doi"), F.col("title")))
+
+
+@query(f"WITH {_CAND} SELECT pos, doi, len(authors)::INT AS n_authors, year, CASE WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE regexp_replace(url, '^http://', 'https://') END AS link, 'lib-' || substr(sha1(CASE WHEN doi <> '' THEN 'doi:' || lower(doi) ELSE 'title:' || tk[:200] END), 1, 12) AS entry, ckey, complete FROM e")
+def reference_keys(spark, sf):
+    """I09, I40, I42, I48, I50, H01, H02."""
+    return prepared(spark, sf).select("pos", "doi", F.size("authors").alias("n_authors"), B.normalize_year(F.col("year")).alias("year"), B.canonical_url(F.col("doi"), F.col("url")).alias("link"), B.entry_key(F.col("doi"), F.col("title")).alias("entry"), "ckey", "complete")
+
+
+@query(f"WITH {_CAND} SELECT ckey, pos, min(seen) AS seen_at FROM (SELECT ckey, first_value(pos) OVER (PARTITION BY ckey ORDER BY complete DESC, pos) AS pos, pos AS seen FROM e) GROUP BY ckey, pos")
+def candidate_dedupe(spark, sf):
+    """H01."""
+    return A.dedupe_candidates(prepared(spark, sf), "ckey", "complete", "pos").select("ckey", "pos", "seen_at")
+
+
+_TERMS = ["economy", "steel", "polished copper", "brushed"]
+
+
+@query(f"""WITH {_CAND}, s AS (SELECT pos, len(list_filter(['economy', 'steel', 'polished copper', 'brushed'], lambda x: contains(lower(title || ' ' || venue), x))) / 4 AS kw, CASE lower(source) WHEN 'crossref' THEN 1.0 WHEN 'arxiv' THEN 0.9 ELSE 0.7 END::DOUBLE AS sw, least(ln(1 + citations) / 6.0, 1.0) AS ci, CASE WHEN year IS NULL THEN 0.4 ELSE greatest(0.0, 1.0 - greatest(0, 2026 - year) / 20.0) END::DOUBLE AS re, complete FROM e)
+SELECT pos, round(kw, 4) AS keyword, round(sw, 4) AS source, round(ci, 4) AS citation, round(re, 4) AS recency, round(greatest(0, least(1, 0.35::DOUBLE * kw + 0.25::DOUBLE * sw + 0.2::DOUBLE * ci + 0.1::DOUBLE * re + 0.1::DOUBLE * complete)), 4) AS confidence FROM s""")
+def candidate_rank(spark, sf):
+    """I08, G04, C10 with a stated year."""
+    c = prepared(spark, sf)
+    s = B.candidate_score(F.concat_ws(" ", "title", "venue"), F.array(*[F.lit(x) for x in _TERMS]), F.col("source"), F.col("citations"), F.col("year"), F.col("complete"), 2026)
+    return c.select("pos", s.alias("s")).select("pos", "s.keyword", "s.source", "s.citation", "s.recency", F.col("s.final").alias("confidence"))
+
+
+@query(f"WITH {_CAND}, k AS (SELECT *, contains(lower(title), 'steel') OR contains(lower(title), 'zebra') AS hit FROM e) SELECT pos FROM k WHERE hit OR (SELECT count(*) FROM k WHERE hit) = 0")
+def keyword_filter(spark, sf):
+    """Rows with a keyword, or all where none has one."""
+    low = F.lower("title")
+    hit = low.contains("steel") | low.contains("zebra")
+    c = prepared(spark, sf).withColumn("hit", hit)
+    any_hit = c.agg(F.max(F.col("hit").cast("int")).alias("any"))
+    return c.join(F.broadcast(any_hit)).where("hit OR any = 0").select("pos")
+
+
+@query(f"""WITH {_CAND}, b AS (SELECT ckey AS key, min_by(title, pos) AS title, max(doi) AS doi, min_by(venue, pos) AS venue, max((pos % 6 = 0)::INT) = 1 AS suspect FROM e WHERE pos % 3 <> 1 GROUP BY ckey), c2 AS (SELECT ckey AS key, min_by(title, pos) AS title, max(doi) AS doi, min_by(venue, pos) AS venue FROM e WHERE pos % 3 <> 2 GROUP BY ckey)
+SELECT coalesce(b.key, c2.key) AS key, coalesce(b.title, c2.title) AS title, coalesce(nullif(b.doi, ''), c2.doi) AS doi, coalesce(b.venue, c2.venue) AS venue, b.key IS NOT NULL AND c2.key IS NOT NULL AS consensus FROM b FULL OUTER JOIN c2 ON b.key = c2.key WHERE (b.key IS NOT NULL AND c2.key IS NOT NULL) OR NOT coalesce(b.suspect, false)""")
+def scout_merge(spark, sf):
+    """D12, G06, H03."""
+    c = prepared(spark, sf)
+    g = lambda d, *more: d.groupBy(F.col("ckey").alias("key")).agg(F.min_by("title", "pos").alias("title"), F.max("doi").alias("doi"), F.min_by("venue", "pos").alias("venue"), *more)
+    b = g(c.where("pos % 3 <> 1"), (F.max((F.col("pos") % 6 == 0).cast("int")) == 1).alias("suspect"))
+    return A.scout_merge(b, g(c.where("pos % 3 <> 2")))
+
+
+@query(f"""WITH {_CAND} SELECT ckey, min_by(title, pos) AS title, min_by(venue, pos) AS venue, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max((pos % 7 = 0)::INT) AS verified, max(citations / 150) AS confidence, count(*) AS seen FROM e GROUP BY ckey""")
+def library_merge(spark, sf):
+    """K03, K04, A26."""
+    c = prepared(spark, sf).withColumn("verified", F.col("pos") % 7 == 0).withColumn("confidence", F.col("citations") / 150).withColumn("abstract", F.lit(""))
+    return A.merge_candidates(c, "ckey", "pos").drop("abstract")
+
+
+_CKEY = "coalesce(nullif(regexp_replace(lower(string_split(coalesce(authors[1], 'unknown'), ' ')[-1]) || coalesce(year::VARCHAR, 'nd') || array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+')[:3], ''), '[^a-z0-9_:-]', '', 'g'), ''), 'ref')"
+
+
+@query(f"""WITH {_CAND} SELECT pos, '@article{{' || {_CKEY} || ',' || chr(10) || array_to_string(list_filter(['  title = {{' || title || '}}', CASE WHEN len(authors) > 0 THEN '  author = {{' || array_to_string(authors, ' and ') || '}}' END, '  year = {{' || year || '}}', '  journal = {{' || venue || '}}', CASE WHEN doi <> '' THEN '  doi = {{' || doi || '}}' END, CASE WHEN url <> '' THEN '  url = {{' || url || '}}' END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM e""")
+def bibtex_export(spark, sf):
+    """B01, B04, I53."""
+    c = prepared(spark, sf)
+    return c.select("pos", B.bibtex_entry(F.col("authors"), F.col("year"), F.col("title"), F.col("venue"), F.col("doi"), F.col("url")).alias("entry"))
+
+
+@query(f"""WITH {_CAND} SELECT pos, array_to_string(list_filter(['TY  - JOUR', 'TI  - ' || title, CASE WHEN len(authors) > 0 THEN 'AU  - ' || array_to_string(authors, chr(10) || 'AU  - ') END, 'PY  - ' || year, 'JO  - ' || venue, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, CASE WHEN url <> '' THEN 'UR  - ' || url END, 'ER  - '], lambda x: x IS NOT NULL), chr(10)) AS entry FROM e""")
+def ris_export(spark, sf):
+    """B02."""
+    return prepared(spark, sf).select("pos", B.ris_entry(F.col("authors"), F.col("year"), F.col("title"), F.col("venue"), F.col("doi"), F.col("url")).alias("entry"))
+
+
+@query(f"""WITH {_CAND} SELECT pos, CASE len(authors) WHEN 0 THEN 'Unknown' ELSE authors[1] || ' & ' || authors[2] END || ' (' || coalesce(year::VARCHAR, 'n.d.') || '). ' || title || '. ' || venue || '.' || CASE WHEN doi <> '' THEN ' https://doi.org/' || doi WHEN url <> '' THEN ' ' || url ELSE '' END AS citation FROM e""")
+def apa_citations(spark, sf):
+    """I46, I47."""
+    return prepared(spark, sf).select("pos", B.apa_citation(F.col("authors"), F.col("year"), F.col("title"), F.col("venue"), F.col("doi"), F.col("url")).alias("citation"))
+
+
+@query(f"""WITH {_CAND} SELECT pos, '{{"type":"article-journal","id":"' || {_CKEY} || '","title":"' || title || '"' || CASE WHEN len(authors) > 0 THEN ',"author":[{{"literal":"' || authors[1] || '"}},{{"literal":"' || authors[2] || '"}}]' ELSE '' END || CASE WHEN year IS NOT NULL THEN ',"issued":{{"date-parts":[[' || year || ']]}}' ELSE '' END || ',"container-title":"' || venue || '"' || CASE WHEN doi <> '' THEN ',"DOI":"' || doi || '"' ELSE '' END || CASE WHEN url <> '' THEN ',"URL":"' || url || '"' ELSE '' END || '}}' AS item FROM e""")
+def csl_export(spark, sf):
+    """B03."""
+    return prepared(spark, sf).select("pos", B.csl_json(F.col("authors"), F.col("year"), F.col("title"), F.col("venue"), F.col("doi"), F.col("url")).alias("item"))
+
+
+# Members, versions, merges ------------------------------------------------------------------------
+
+@query("""SELECT n_name AS project, c_custkey AS user_id, c_mktsegment AS role FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""")
+def project_membership(spark, sf):
+    """D01, D02."""
+    c = t(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return c.join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("project"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
+
+
+_ROLES = "CASE c_custkey % 5 WHEN 0 THEN 'owner' WHEN 1 THEN 'editor' WHEN 2 THEN 'coauthor' WHEN 3 THEN 'reviewer' ELSE 'viewer' END"
+
+
+@query(f"""WITH m AS (SELECT c_nationkey AS user_id, 'P' || c_custkey % 9 AS base_pid, {_ROLES} AS role, [5, 4, 3, 2, 1][c_custkey % 5 + 1] AS rank FROM customer) SELECT user_id, base_pid, max_by(role, rank) AS role FROM m GROUP BY ALL""")
+def workspace_roles(spark, sf):
+    """D27, H09."""
+    k = F.col("c_custkey")
+    role = F.element_at(F.array(*[F.lit(x) for x in ("owner", "editor", "coauthor", "reviewer", "viewer")]), (k % 5 + 1).cast("int"))
+    pid = F.concat(F.lit("P"), k % 9, F.when(k % 2 == 0, "-p").otherwise(""))
+    m = t(spark, sf, "customer").select(F.col("c_nationkey").alias("user_id"), pid.alias("pid"), role.alias("role"))
+    return A.highest_role(m, "user_id", "pid", "role")
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS projects, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_tasks, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey)
+SELECT c_custkey, coalesce(projects, 0) AS projects, coalesce(open_tasks, 0) AS open_tasks, coalesce(total, 0) AS total FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def mentor_dashboard(spark, sf):
+    """Aggregated first, then joined."""
+    o = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("projects"), F.count_if(F.col("o_orderstatus") == "O").alias("open_tasks"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    c = t(spark, sf, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select("c_custkey", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("projects", "open_tasks", "total")])
+
+
+@query("""SELECT DISTINCT a.o_custkey AS mentor, b.o_custkey AS mentee FROM (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 0) a JOIN (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 1) b ON a.d = b.d""")
+def shared_projects(spark, sf):
+    """Pairs that share a project (here, a day)."""
+    o = t(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).distinct()
+    a, b = o.where("o_custkey % 10 = 0").withColumnRenamed("o_custkey", "mentor"), o.where("o_custkey % 10 = 1").withColumnRenamed("o_custkey", "mentee")
+    return a.join(b, "d").select("mentor", "mentee").distinct()
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE (o_orderpriority = '1-URGENT') OR (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0)""")
+def comment_versions(spark, sf):
+    """An equal version, or old rows without one."""
+    ver = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))
+    legacy = F.col("o_orderkey") % 3 == 0
+    o = t(spark, sf, "orders")
+    return o.where((F.col("o_orderpriority") == "1-URGENT") | (ver.isNull() & legacy)).select("o_orderkey", "o_custkey")
+
+
+@query("""WITH v AS (SELECT o_custkey, 'V' || (o_orderkey % 40) // 10 || '.' || (o_orderkey % 40) % 10 AS ver FROM orders), p AS (SELECT o_custkey, regexp_extract(ver, '^V([0-9]+)\\.([0-9])$', 1)::INT * 10 + regexp_extract(ver, '^V([0-9]+)\\.([0-9])$', 2)::INT AS tenths FROM v)
+SELECT o_custkey, max(tenths) + 1 AS next_tenths, ((max(tenths) + 1) // 10) || '.' || ((max(tenths) + 1) % 10) AS next_version FROM p GROUP BY o_custkey""")
+def next_versions(spark, sf):
+    """A14, A15, F24, I54, I55, K16."""
+    n = F.col("o_orderkey") % 40
+    v = t(spark, sf, "orders").select("o_custkey", B.parse_version(F.concat(F.lit("V"), F.floor(n / 10), F.lit("."), n % 10)).alias("tenths"))
+    return A.next_version(v, "o_custkey").withColumn("next_version", B.format_version(F.col("next_tenths")))
+
+
+@query("""WITH u AS (SELECT DISTINCT l_suppkey, l_linenumber + l_orderkey % 3 AS n FROM lineitem), g AS (SELECT l_suppkey, n, row_number() OVER (PARTITION BY l_suppkey ORDER BY n) AS k FROM u WHERE n > 0)
+SELECT l_suppkey, coalesce(max(n) FILTER (WHERE n = k), 0) + 1 AS free FROM g GROUP BY l_suppkey""")
+def smallest_free_number(spark, sf):
+    """F28, F29."""
+    u = t(spark, sf, "lineitem").select("l_suppkey", (F.col("l_linenumber") + F.col("l_orderkey") % 3).alias("n"))
+    return A.smallest_free(u, "l_suppkey", "n")
+
+
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS venue, c_acctbal AS created FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new ' || c_name END AS title, '' AS venue, -1.0::DOUBLE AS created FROM customer WHERE c_custkey % 3 <> 1)
+SELECT coalesce(o.id, n.id) AS id, coalesce(nullif(n.title, ''), o.title) AS title, coalesce(nullif(n.venue, ''), o.venue) AS venue, coalesce(o.created, n.created) AS created, o.id IS NOT NULL AS existed FROM o FULL OUTER JOIN n ON o.id = n.id""")
+def evidence_upsert(spark, sf):
+    """K01, K05, B12."""
+    c, k = t(spark, sf, "customer"), F.col("c_custkey")
+    old = c.where(k % 3 != 0).select(k.alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("venue"), F.col("c_acctbal").alias("created"))
+    new = c.where(k % 3 != 1).select(k.alias("id"), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("new "), "c_name")).alias("title"), F.lit("").alias("venue"), F.lit(-1.0).alias("created"))
+    return A.upsert_latest(old, new, ["id"], ["title", "venue"], ["created"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'old' AS state FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderstatus = 'P'""")
+def paper_replacement(spark, sf):
+    """K02, K10, B05."""
+    old = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("old").alias("state"))
+    new = t(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("new").alias("state"))
+    return A.replace_partition(old, new, ["l_orderkey"])
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_decisions(spark, sf):
+    """K06, C07, E13."""
+    return A.latest_decision(t(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') AND epoch_us((SELECT max(o_orderdate) FROM orders)) - epoch_us(o_orderdate) > 24 * 3600000000 THEN 'failed' ELSE o_orderstatus END AS status FROM orders""")
+def stale_jobs(spark, sf):
+    """J08 as of the latest order."""
+    o = t(spark, sf, "orders")
+    as_of = o.agg(F.max("o_orderdate").cast("timestamp").alias("as_of"))
+    j = o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("updated")).join(F.broadcast(as_of))
+    return A.fail_stale(j, ["O", "P"], "updated", F.col("as_of")).select("o_orderkey", "status")
+
+
+@query("SELECT event_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) <= 21600 * 1000000::BIGINT")
+def search_cache_ttl(spark, sf):
+    """J05, J06 as of the latest event."""
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return A.within_ttl(e.join(F.broadcast(e.agg(F.max("ts").alias("as_of")))), "ts", F.col("as_of")).select("event_id")
+
+
+@query("""SELECT c_custkey, c_custkey % 4 AS base_rev, (c_custkey * 7) % 4 AS rev, c_custkey % 5 <> 0 AND c_custkey % 4 <> (c_custkey * 7) % 4 AS conflict, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 4 <> (c_custkey * 7) % 4 THEN (c_custkey * 7) % 4 ELSE (c_custkey * 7) % 4 + 1 END AS new_rev FROM customer WHERE c_custkey % 5 <> 0""")
+def optimistic_saves(spark, sf):
+    """K17."""
+    c, k = t(spark, sf, "customer"), F.col("c_custkey")
+    current = c.select("c_custkey", ((k * 7) % 4).alias("rev"))
+    writes = c.where(k % 5 != 0).select("c_custkey", (k % 4).alias("base_rev"))
+    return A.optimistic_save(current, writes, "c_custkey")
+
+
+@query("""SELECT user_id, (user_id % 4) AS level, (event_id % 6) AS need, (CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) >= (CASE event_id % 6 WHEN 0 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END) AS allowed, (event_id % 3 = 0 OR event_id % 5 = user_id % 5) AS tenant_ok, event_id FROM events""")
+def access_predicates(spark, sf):
+    """C04, C05."""
+    names = F.array(*[F.lit(x) for x in ("public", "internal", "confidential", "secret", "odd", "")])
+    at = lambda c: F.element_at(names, (c + 1).cast("int"))
+    level, need = F.col("user_id") % 4, F.col("event_id") % 6
+    tag = F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 5).cast("string"))
+    return t(spark, sf, "events").select("user_id", level.alias("level"), need.alias("need"), R.access_allowed(at(need), at(level)).alias("allowed"), R.tenant_allowed(tag, (F.col("user_id") % 5).cast("string")).alias("tenant_ok"), "event_id")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS grp, c_custkey AS claim_id, 1990 + c_custkey % 30 AS year, floor(abs(c_acctbal)) AS confidence FROM customer), w AS (SELECT *, lead(claim_id) OVER v AS o, lead(year) OVER v AS oy, lead(confidence) OVER v AS oc FROM c WINDOW v AS (PARTITION BY grp ORDER BY confidence DESC, claim_id)),
+f AS (SELECT grp, claim_id AS subject, CASE WHEN year >= oy THEN 'improves_upon' ELSE 'precursor_of' END AS predicate, o AS object, (confidence + oc) / 2 AS confidence FROM w WHERE o IS NOT NULL)
+SELECT grp, subject, predicate, object, confidence FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY confidence DESC, subject) AS n FROM f) WHERE n <= 80""")
+def chronology_triples(spark, sf):
+    """F08."""
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("claim_id"), (1990 + F.col("c_custkey") % 30).alias("year"), F.floor(F.abs("c_acctbal")).cast("double").alias("confidence"))
+    return R.chronology_triples(c, "grp").select("grp", "subject", "predicate", "object", "confidence")
+
+
+@query("SELECT DISTINCT l_suppkey AS pid FROM lineitem")
+def distinct_projects(spark, sf):
+    """E14."""
+    return t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pid")).distinct()
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '85%' WHEN 1 THEN '101' WHEN 2 THEN 'x' ELSE '' || (s_suppkey % 90 + 0.5) END AS v FROM supplier)
+SELECT s_suppkey, v, CASE s_suppkey % 4 WHEN 0 THEN 85 WHEN 1 THEN 100 WHEN 3 THEN round_even(s_suppkey % 90 + 0.5, 0)::INT END AS pct FROM s""")
+def percent_clamp(spark, sf):
+    """Halves to even."""
+    k = F.col("s_suppkey")
+    v = F.when(k % 4 == 0, "85%").when(k % 4 == 1, "101").when(k % 4 == 2, "x").otherwise((k % 90 + F.lit(0.5)).cast("string"))
+    return t(spark, sf, "supplier").select("s_suppkey", v.alias("v"), B.clamp_percent(v).alias("pct"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, starts_with(url, 'https://') AND regexp_matches(url, '^https?://[^/?#]*example\.org') AS allowed FROM pages""")
+def url_allow(spark, sf):
+    """C46."""
+    host = F.expr("try_parse_url(url, 'HOST')")
+    return t(spark, sf, "pages").select("page_id", host.alias("host"), (F.col("url").startswith("https://") & host.rlike(r"example\.org$")).alias("allowed"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE rtrim(substr(s, 1, 120)) || '...' END AS clipped, sha1(lower(s)) AS query_key, CASE WHEN length(s) <= 1200 THEN s ELSE substr(s, 1, 380) || substr(s, length(s) // 2, 380) || substr(s, length(s) - 379, 380) END AS sampled FROM d""")
+def clip_and_sample(spark, sf):
+    """I15, I61, F30."""
+    s = T.squash(F.col("text"))
+    d = t(spark, sf, "documents").select("doc_id", s.alias("s"))
+    n = F.length("s")
+    mid = F.concat(F.substr("s", F.lit(1), F.lit(380)), F.substr("s", F.floor(n / 2).cast("int"), F.lit(380)), F.substr("s", n - 379, F.lit(380)))
+    return d.select("doc_id", T.clip(F.col("s"), 120).alias("clipped"), T.query_key(F.col("s")).alias("query_key"), F.when(n <= 1200, F.col("s")).otherwise(mid).alias("sampled"))
