@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions import biblio as B
 from corvane.functions import geometry as G
+from corvane.functions import status as S
 from corvane.functions import text as T
+from corvane.functions import udfs as U
 from corvane.operators import accounts as A
 from corvane.operators import layout as L
+from corvane.operators import pages as P
 from corvane.operators import retrieval as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -777,3 +780,178 @@ def clip_and_sample(spark, sf):
     n = F.length("s")
     mid = F.concat(F.substr("s", F.lit(1), F.lit(380)), F.substr("s", F.floor(n / 2).cast("int"), F.lit(380)), F.substr("s", n - 379, F.lit(380)))
     return d.select("doc_id", T.clip(F.col("s"), 120).alias("clipped"), T.query_key(F.col("s")).alias("query_key"), F.when(n <= 1200, F.col("s")).otherwise(mid).alias("sampled"))
+
+
+# Sequential and algorithmic rules -----------------------------------------------------------------
+
+@query()
+def html_text(spark, sf):
+    """I57, B11 in part."""
+    return t(spark, sf, "pages").select("page_id", U.html_to_text(F.col("html")).alias("text"))
+
+
+@query()
+def ocr_wer(spark, sf):
+    """Each benchmark text against the next."""
+    b = t(spark, sf, "benchmark").withColumn("nxt", F.lead("text").over(Window.orderBy("item_id")))
+    return b.select("item_id", F.round(U.word_error_rate(F.coalesce("nxt", F.lit("")), F.col("text")), 6).alias("wer"))
+
+
+@query()
+def title_similarity(spark, sf):
+    """Candidates of one block compared with the first of it."""
+    c = prepared(spark, sf)
+    first = c.groupBy("venue").agg(F.min_by("title", "pos").alias("t0"))
+    j = c.join(F.broadcast(first), "venue").select("pos", F.round(U.title_similarity(F.col("title"), F.col("t0")), 6).alias("ratio"))
+    return j.withColumn("same", F.col("ratio") >= 0.82)
+
+
+@query()
+def densest_snippet(spark, sf):
+    """F14."""
+    hits = R.best(R.score_evidence(evidence(spark, sf), ASKED), 20, "segment_id")
+    words = F.create_map(*[x for i, q in ASKED for x in (F.lit(i), F.array(*[F.lit(w) for w in q.lower().split()]))])[F.col("query_id")]
+    return hits.select("query_id", "rank", "segment_id", U.snippet(600)(F.col("text"), words).alias("snippet"))
+
+
+@query()
+def budget_truncation(spark, sf):
+    """An equal share for each text."""
+    d = t(spark, sf, "documents").select("doc_id", U.truncate_to_budget(F.col("text"), F.lit(200)).alias("cut"))
+    return d.withColumn("tokens", T.estimate_cjk(F.col("cut")))
+
+
+@query()
+def sentence_packing(spark, sf):
+    """F15, F16."""
+    pieces = t(spark, sf, "documents").select("doc_id", F.posexplode(U.split_long_text(600)(F.col("text"))).alias("n", "piece"))
+    return P.request_batches(pieces, "doc_id", "n", "piece").select("doc_id", "n", F.length("piece").alias("chars"), "batch")
+
+
+@query()
+def line_cleaners(spark, sf):
+    """F18, F19, F20, F21."""
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", U.clean_text()(F.col("text")).alias("strict"), U.clean_text(least=14, key_chars=120)(F.col("text")).alias("relaxed"), U.clean_text(least=4, key_chars=180, most_lines=40, most_chars=12000)(F.col("text")).alias("extractive"))
+
+
+@query()
+def hash_embedding(spark, sf):
+    """I10, L01."""
+    return t(spark, sf, "documents").select("doc_id", U.hash_embedding(32)(F.col("text")).alias("vector"))
+
+
+@query()
+def protected_spans(spark, sf):
+    """I65, I66."""
+    d = t(spark, sf, "documents").select("doc_id", "text", U.protect_spans(F.col("text")).alias("p"))
+    back = F.aggregate(F.map_entries("p.spans"), F.col("p.text"), lambda a, e: F.replace(a, e["key"], e["value"]))
+    return d.select("doc_id", F.size(F.col("p.spans")).alias("spans"), (back == F.col("text")).alias("restored"))
+
+
+@query()
+def reader_rescue(spark, sf):
+    """D06, D07."""
+    b = blocks(spark, sf)
+    used = _reader(b.where("type = 'Body'"), 0)
+    return P.rescue(used, _reader(b.where("type <> 'Body'"), 10), ["doc_id", "page"]).select("doc_id", "page", "seq_id")
+
+
+@query()
+def merged_bodies(spark, sf):
+    """F06, C21."""
+    b = blocks(spark, sf).select("doc_id", "pos", "type", "text", F.lit(False).alias("noise"), F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox"))
+    return P.merge_bodies(b, "doc_id", "pos").select("doc_id", "pos", "type", F.length("text").alias("chars"), "bbox")
+
+
+@query()
+def merged_boxes(spark, sf):
+    """F27."""
+    b = blocks(spark, sf).select("doc_id", "page", F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox"))
+    return P.merge_boxes(b, ["doc_id", "page"])
+
+
+@query()
+def caption_pairs(spark, sf):
+    """D09, I32, I33, C42."""
+    kind = F.when(F.col("type") == "Figure", "figure").when(F.col("type") == "Table", "table").when(F.col("pos") % 2 == 0, "caption")
+    b = blocks(spark, sf).select("doc_id", "page", "seq_id", kind.alias("kind"), F.when(F.col("x0") < 200, "left").otherwise("right").alias("column"), F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox"))
+    return P.pair_captions(b.where("kind IS NOT NULL"), ["doc_id", "page"], 520, 760)
+
+
+@query()
+def section_keys(spark, sf):
+    """K18."""
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("n"), F.concat(F.lit("k"), F.col("o_orderkey") % 3, F.when(F.col("o_orderkey") % 4 == 0, " bad").otherwise("")).alias("section_key"))
+    return P.unique_keys(o, "project", "n")
+
+
+@query()
+def affinity_chunks(spark, sf):
+    """F17."""
+    b = blocks(spark, sf).select("doc_id", "pos", F.when(F.col("pos") % 9 < 6, F.floor(F.col("pos") / 9).cast("string")).otherwise("").alias("affinity"))
+    return P.affinity_chunks(b, "doc_id", "pos", 8)
+
+
+@query()
+def stub_replies(spark, sf):
+    """A fixed model in the place of a hosted one."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", U.stub_model(F.concat(F.lit("User: "), "text")).alias("reply"))
+    return c.select("conv_id", "turn", U.parse_json_reply(F.col("reply")).alias("reply"))
+
+
+# States -------------------------------------------------------------------------------------------
+
+_STATES = ["timeout", "flowb_broken", "queued", "completed", "", "Running"]
+
+
+@query("""WITH e AS (SELECT event_id, ['timeout', 'flowb_broken', 'queued', 'completed', '', 'Running'][event_id % 6 + 1] AS s FROM events)
+SELECT event_id, CASE s WHEN 'timeout' THEN 'timeout' WHEN 'flowb_broken' THEN 'translation_incomplete' WHEN '' THEN NULL ELSE 'failed' END AS error, CASE lower(s) WHEN 'queued' THEN 'waiting' WHEN 'completed' THEN 'ready' WHEN 'running' THEN 'processing' ELSE 'waiting' END AS progress,
+CASE event_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 60 WHEN 2 THEN 100 ELSE 0 END AS pct FROM e""")
+def states(spark, sf):
+    """C31, C32, I73, I74."""
+    i = F.col("event_id")
+    s = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (i % 6 + 1).cast("int"))
+    done = F.when(i % 4 == 0, F.array(F.lit("upload"))).when(i % 4 == 1, F.array(F.lit("upload"), F.lit("arbitrate"))).when(i % 4 == 2, F.array(F.lit("ready"))).otherwise(F.array().cast("array<string>"))
+    return t(spark, sf, "events").select("event_id", S.classify_error(s).alias("error"), S.progress_state(s).alias("progress"), S.progress_percent(S.milestones(done)).alias("pct"))
+
+
+@query(r"""WITH b AS (SELECT l_orderkey, l_linenumber, 'p' || l_linenumber || '_figure_' || l_orderkey AS seq FROM lineitem)
+SELECT l_orderkey, l_linenumber, regexp_extract(seq, '^p([0-9]+)_', 1)::INT AS page, regexp_extract(seq, '_([0-9]+)$', 1)::INT AS ord, CASE WHEN l_linenumber % 3 = 0 THEN 'cloud' WHEN l_orderkey > 20000 THEN 'cloud' WHEN l_linenumber % 2 = 0 THEN 'local' ELSE 'cloud' END AS engine FROM b""")
+def media_keys(spark, sf):
+    """G10, G11, I68, L09."""
+    l = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_linenumber", F.lit("_figure_"), "l_orderkey").alias("seq"))
+    parts = S.sequence_parts(F.col("seq"))
+    engine = S.translation_engine(F.col("l_orderkey"), F.when(F.col("l_linenumber") % 3 == 0, "study").otherwise("batch"), F.col("l_linenumber") % 2 == 0)
+    return l.select("l_orderkey", "l_linenumber", parts["page"].alias("page"), parts["order"].alias("ord"), engine.alias("engine"))
+
+
+@query("""SELECT user_id, count(*) AS artifacts, count(*) FILTER (WHERE event_type = 'click') AS clicks, CASE WHEN count(*) FILTER (WHERE event_type = 'click') = 0 THEN 'empty' WHEN count(*) FILTER (WHERE event_type = 'click') >= 5 THEN 'ready' ELSE 'started' END AS status FROM events GROUP BY user_id""")
+def workflow_snapshot(spark, sf):
+    """E10, D11 in part: states from counts of artifacts."""
+    clicks = F.count_if(F.col("event_type") == "click")
+    return t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("artifacts"), clicks.alias("clicks"), F.when(clicks == 0, "empty").when(clicks >= 5, "ready").otherwise("started").alias("status"))
+
+
+@query("""WITH b AS (SELECT p_brand, min(p_partkey) AS base FROM part GROUP BY p_brand) SELECT p.p_partkey AS target, b.base AS baseline FROM part p JOIN b USING (p_brand) WHERE p.p_partkey <> b.base""")
+def baseline_pairs(spark, sf):
+    """The first paper of a project against each other one."""
+    p = t(spark, sf, "part").select("p_brand", "p_partkey")
+    base = p.groupBy("p_brand").agg(F.min("p_partkey").alias("baseline"))
+    return p.join(base, "p_brand").where("p_partkey <> baseline").select(F.col("p_partkey").alias("target"), "baseline")
+
+
+@query("""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS page, coalesce(a.q, b.q) AS value, a.q IS NOT NULL AS fixed FROM (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) a FULL OUTER JOIN (SELECT l_orderkey, min(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b ON a.l_orderkey = b.l_orderkey""")
+def raw_fixed_merge(spark, sf):
+    """The corrected page, else the raw one."""
+    l = t(spark, sf, "lineitem")
+    a = l.where("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.max("l_quantity").alias("fq"))
+    b = l.where("l_linestatus = 'O'").groupBy("l_orderkey").agg(F.min("l_quantity").alias("rq"))
+    return a.join(b, "l_orderkey", "full_outer").select(F.col("l_orderkey").alias("page"), F.coalesce("fq", "rq").alias("value"), F.col("fq").isNotNull().alias("fixed"))
+
+
+@query("""SELECT n_regionkey AS project, string_agg(n_name, ', ' ORDER BY n_name) AS sections FROM nation WHERE n_regionkey % 2 = 1 OR n_nationkey % 3 = 0 GROUP BY n_regionkey""")
+def visible_sections(spark, sf):
+    """Section-scoped roles see what they are assigned; others all."""
+    n = t(spark, sf, "nation").where("n_regionkey % 2 = 1 OR n_nationkey % 3 = 0")
+    return n.groupBy(F.col("n_regionkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sections"))
