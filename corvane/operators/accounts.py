@@ -160,8 +160,8 @@ def next_version(versions: DataFrame, *by: str) -> DataFrame:
 def smallest_free(used: DataFrame, group: str, number: str) -> DataFrame:
     """The lowest positive number a group doesn't use (F28): the first gap in the sorted numbers."""
     w = Window.partitionBy(group).orderBy(number)
-    d = used.where(F.col(number) > 0).select(group, number).distinct().withColumn("n", F.row_number().over(w))
-    return d.groupBy(group).agg((F.coalesce(F.max(F.when(F.col(number) == F.col("n"), F.col("n"))), F.lit(0)) + 1).alias("free"))
+    d = used.where(F.col(number) > 0).select(group, number).distinct().withColumn("__k", F.row_number().over(w))
+    return d.groupBy(group).agg((F.coalesce(F.max(F.when(F.col(number) == F.col("__k"), F.col("__k"))), F.lit(0)) + 1).alias("free"))
 
 
 def optimistic_save(current: DataFrame, writes: DataFrame, key: str) -> DataFrame:

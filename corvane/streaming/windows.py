@@ -27,9 +27,10 @@ def presence_stream(events: DataFrame, sid: str = "sid") -> DataFrame:
     return events.groupBy(sid).agg(F.max_by("state", "ts").alias("state"), F.max("ts").alias("ts"))
 
 
-def admission_stream(requests: DataFrame, key: str, minute: str, tokens: str, limit: int) -> DataFrame:
+def admission_stream(requests: DataFrame, key: str, ts: str, tokens: str, limit: int, late: str = "2 minutes") -> DataFrame:
     """Requests in arrival order against a minute's token budget; what is refused uses nothing
-    (J03, J04). State is one number for each key and minute, dropped after two minutes."""
+    (J03, J04). State is one number for each key and minute, dropped once the watermark has
+    passed the minute."""
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -41,8 +42,9 @@ def admission_stream(requests: DataFrame, key: str, minute: str, tokens: str, li
                 fits = used + int(n) <= limit
                 used += int(n) if fits else 0
                 ok.append(fits)
-            yield pd.DataFrame({key: b[key], minute: b[minute], tokens: b[tokens], "admitted": ok})
+            yield pd.DataFrame({key: b[key], "minute": group[1], tokens: b[tokens], "admitted": ok})
         state.update((used,))
-        state.setTimeoutDuration(120_000)
+        state.setTimeoutTimestamp(max((int(group[1]) + 1) * 60_000, int(state.getCurrentWatermarkMs()) + 1))
 
-    return requests.groupBy(key, minute).applyInPandasWithState(run, f"{key} string, {minute} long, {tokens} long, admitted boolean", "used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark(ts, late).withColumn("minute", F.floor(F.unix_micros(F.col(ts)) / 60_000_000))
+    return timed.groupBy(key, "minute").applyInPandasWithState(run, f"{key} string, minute long, {tokens} long, admitted boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -187,5 +187,6 @@ def test_streams(spark, tmp_path):
     assert [(r.beats, (r.ended_at - r.login_at).seconds) for r in run(W.session_stream(events, idle="300 seconds", late="0 seconds"), "s")] == [(2, 100)]
     assert sorted(r.requests for r in run(W.rate_stream(events, late="0 seconds"), "r", "complete")) == [1, 1, 1]
     assert len(run(W.presence_stream(events.withColumnRenamed("user_id", "sid").withColumn("state", F.lit("on"))), "p", "complete")) == 1
-    keyed = events.select(F.col("user_id").alias("key"), F.lit(1).cast("long").alias("minute"), "tokens")
-    assert sorted(r.admitted for r in run(W.admission_stream(keyed, "key", "minute", "tokens", 25), "a")) == [False, True, True]
+    same = events.withColumn("ts", F.lit(base).cast("timestamp"))
+    got = run(W.admission_stream(same, "user_id", "ts", "tokens", 25), "a")
+    assert sorted(r.admitted for r in got) == [False, True, True]
