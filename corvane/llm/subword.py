@@ -26,7 +26,7 @@ from corvane.llm.common import mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the texts that are sampled together, and arcs a worker keeps between batches.
-BATCH_CHARS, MOST_ARCS = 1_000_000, 4_000_000
+BATCH_CHARS, MOST_ARCS = 500_000, 1_200_000
 #: Natural log weight of an arc that spells a character in bytes.
 BYTE_WEIGHT = -30.0
 BLANK = "▁"
@@ -138,12 +138,12 @@ class _Lattices:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.first = np.zeros(1 << 16, dtype=np.int64)  # arcs of node: first[node] .. first[node + 1]
+        self.first = np.zeros(1 << 16, dtype=np.int32)  # arcs of node: first[node] .. first[node + 1]
         self.share = np.zeros(1 << 17)  # cumulated within a node, ends at 1
         self.logp = np.zeros(1 << 17)
-        self.next = np.zeros(1 << 17, dtype=np.int64)  # node, or -1 at the end of the cut
-        self.out = np.zeros(1 << 17, dtype=np.int64)  # piece id, or -1 - (start of byte ids)
-        self.node = np.zeros(1 << 17, dtype=np.int64)  # that the arc leaves
+        self.next = np.zeros(1 << 17, dtype=np.int32)  # node, or -1 at the end of the cut
+        self.out = np.zeros(1 << 17, dtype=np.int32)  # piece id, or -1 - (start of byte ids)
+        self.node = np.zeros(1 << 17, dtype=np.int32)  # that the arc leaves
         self.nodes = self.arcs = 0
         self.spelled: list[int] = []
 
@@ -465,6 +465,7 @@ def encode_samples(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_i
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], _nested(found, texts[lo:hi], v)], names=[*names, "samples"])
                 lo = hi
+        _state(v).clear()  # an idle worker keeps no lattices
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema)
     return keyed.mapInArrow(run, f"{fields}samples {SAMPLES}")
