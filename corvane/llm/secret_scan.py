@@ -34,29 +34,60 @@ OTHER_NAMES = "sha sha1 sha256 md5 hash checksum digest commit revision uuid gui
 DICTIONARY = "about account action address admin after again all and another any app application are array auth base been before between body build button cache call can change changeme check class client code color column command common config connection container content context control count create custom data database date default delete demo description development device digital document domain down email enable end engine error event example export false field file filter final find first font foo for format from function general get global group handler have header height hello her high home host http https image import index info input inner insert integer item join key label language last layer left length level library license line link list local location log login long main make manager map match max member menu message method model module more name network new next node none not null number object only open option order other output page panel parameter parent part pass password path pattern place placeholder point port position post prefix print private process product profile project property public query random range read record reference release remove request resource response result return right role root row run sample save schema script search section select sequence server service session set shared simple size small some source standard start state static status step stop storage store string style subject summary support switch system table target task template test text that the their then there this time title token tool total tree true type under undefined update url use user username value variable version view was web when where which width window with word work would write your".split()
 TEST_PATHS = re.compile(r"(?:^|[/_.-])(?:test|tests|spec|fixture|fixtures|example|examples|sample|samples|doc|docs|mock|demo)(?:[/_.-]|$)", re.I)
 
-_ASSIGNED = re.compile(r"(?::=|=>|[:=])[ \t]{0,3}([\"'`]?)([A-Za-z0-9+/_.~!@#$%^&*-]{8,200}={0,2})")
+_ASSIGNED = re.compile(r"(?::=|=>|[:=])[ \t]{0,3}([\"'`]?)([A-Za-z0-9+/_.~!@#$%^&*-]{8,}+={0,2})")
 _NAME = re.compile(r"([A-Za-z_][\w.-]{0,39})[\"']?[ \t]{0,3}$")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}")
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+# A signed or encrypted web token with its dots, or a run of key characters.
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:eyJ[A-Za-z0-9_-]{17,}+(?:\.[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++){3}|(?:\.[A-Za-z0-9_-]++){2})|[A-Za-z0-9+/_-]{20,}+={0,2})")
+_KEY_LINE = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,20})PRIVATE KEY-----")
+# What can follow a BEGIN line that has no END: full lines of base64, then a last one of any length.
+_KEY_BODY = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2})++(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={0,2}(?=[\r\n\\\"'`]|\Z))?+")
 _WORDS = re.compile(r"[a-z_][a-z0-9_]*")
 _LETTERS = re.compile(r"[a-z]{3,}")
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each private key from its BEGIN to its END line. Without an END of its
+    type before the next BEGIN, the base64 that follows belongs to it."""
+    begun = None
+
+    def unended(b: re.Match, upto: int) -> tuple[int, int]:
+        body = _KEY_BODY.match(text, b.end(), upto)
+        return b.start(), body.end() if body else b.end()
+
+    for m in _KEY_LINE.finditer(text):
+        if m.group(1) == "BEGIN":
+            if begun:
+                yield unended(begun, m.start())
+            begun = m
+        elif begun and m.group(2) == begun.group(2):
+            yield begun.start(), m.end()
+            begun = None
+    if begun:
+        yield unended(begun, len(text))
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, rule) of each candidate of a text, in order; assigned values come first
-    where rules overlap."""
+    """(start, end, rule) of each candidate of a text, in order and whole, of any length; key
+    blocks come first where rules overlap, then assigned values."""
+    at = 0
+    for start, end in key_blocks(text):
+        yield from _tokens(text, at, start)
+        yield start, end, "key_block"
+        at = end
+    yield from _tokens(text, at, len(text))
+
+
+def _tokens(text: str, at: int, upto: int) -> Iterator[tuple[int, int, str]]:
     taken_to = -1
     found = []
-    for m in _ASSIGNED.finditer(text):
+    for m in _ASSIGNED.finditer(text, at, upto):
         if m.group(1) or _NAME.search(text, max(0, m.start() - 44), m.start()):
             found.append((m.start(2), m.end(2), "assigned"))
-    found += [(m.start(), m.end(), "key_block") for m in _KEY_BLOCK.finditer(text)]
-    for m in _BARE.finditer(text):
+    for m in _BARE.finditer(text, at, upto):
         v = m.group()
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
             found.append((m.start(), m.end(), "bare"))
-    order = {"key_block": 0, "assigned": 1, "bare": 2}
-    for start, end, rule in sorted(found, key=lambda x: (x[0], order[x[2]])):
+    for start, end, rule in sorted(found, key=lambda x: (x[0], x[2])):
         if start >= taken_to:
             taken_to = end
             yield start, end, rule
@@ -194,7 +225,8 @@ def fit_secret_model(findings: list[tuple[str, str, str, str, int]] | DataFrame
 
 def scan_secrets(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", *, threshold: float = THRESHOLD) -> DataFrame:
     """Every candidate of every text: doc_id, start and end (code points), rule, value_sha256,
-    score, is_secret (score >= threshold). Values themselves are not returned.
+    score, is_secret (score >= threshold). Values themselves are not returned; a value is the
+    whole token, a private key its block from BEGIN to END.
 
     Null or empty text has no candidates; a null path counts as empty; rows that repeat are
     each scanned; null ids pass. Empty table: empty result. Other columns are not read.

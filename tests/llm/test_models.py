@@ -77,6 +77,25 @@ def test_secret_candidates():
     assert list(candidates("")) == [] and list(candidates("plain words only, nothing else here")) == []
 
 
+@pytest.mark.parametrize("n", [199, 201, 513, 5000])
+def test_secret_candidates_are_whole(n):
+    value = ("Ab1+" * n)[:n]
+    for text in (f'key = "{value}==" x', f"see {value}== here"):
+        assert [text[a:b] for a, b, _ in candidates(text)] == [value + "=="]
+    token = ".".join(("eyJhbGciOiJIUzI1NiJ9", "eyJ" + "dWI1"[:4] * n, "c2ln" * n))
+    for text in (f"bearer {token}. Next", f'token: "{token}"'):
+        assert [text[a:b] for a, b, _ in candidates(text)] == [token]
+
+
+def test_key_blocks_are_whole():
+    def block(c, n=3, end=True):
+        return "-----BEGIN RSA PRIVATE KEY-----\n" + (c * 64 + "\n") * n + "Zz1=" + ("\n-----END RSA PRIVATE KEY-----" if end else "")
+
+    text = f'private_key = "{block("a")}"\n{block("b", end=False)}\n-----END PUBLIC KEY----- {block("c", 900)} tail'
+    got = [(text[a:b], rule) for a, b, rule in candidates(text)]
+    assert got == [(block("a"), "key_block"), (block("b", end=False), "key_block"), (block("c", 900), "key_block")]
+
+
 def test_secret_forest_on_held_out_findings():
     model = fit_secret_model(default_findings(3000, seed=1))
     test = default_findings(1500, seed=2)
