@@ -33,13 +33,18 @@ BROADCAST_BYTES = 32 << 20
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|head|title|object|canvas|audio|video"
+RAW = "script|style|textarea|title"
+#: Elements whose inside is no text of the page; end tags inside do not close what is outside.
+EMBEDDED = frozenset("noscript template iframe svg math select object canvas audio video".split())
+#: What head may hold; anything else ends it where its end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split())
 DROPPED = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 MAIN = frozenset(("article", "main"))
 #: Words in class, id or role that mark what is not the article.
 _MARKS = r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|share|sharing|social|related|recommend\w*|comment|comments|respond|disqus|widget|toolbar|contentinfo|complementary|search|skip)(?:$|[\s_-])"
 MARKED = re.compile(_MARKS, re.I)
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<({RAW})\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>|[^<]++|<", re.S | re.I)
+_EMBED = re.compile(rf"<(?:{'|'.join(sorted(EMBEDDED))})\b", re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)(?=[\s>/=])|aria-(hidden)\s*=\s*[\"']?true", re.I)
 
@@ -54,6 +59,7 @@ class Page:
         self.shape: list[str] = []
         stack: list[tuple[str, str, bool]] = []
         block = 0
+        unended = _unended(source)
         for m in TOKEN.finditer(source):
             token = m.group()
             if m.group(1) is not None:
@@ -63,6 +69,9 @@ class Page:
                 continue
             if token[0] != "<" or token == "<":
                 if token.strip():
+                    if stack and stack[-1][0] == "head":
+                        self._close(stack, len(stack) - 1)
+                        block += 1
                     self.shape.append("#")
                 self.texts.append((token, block, tuple(x[1] for x in stack if x[0] in BLOCK), any(x[2] for x in stack)))
                 continue
@@ -77,10 +86,17 @@ class Page:
                     if stack[i][0] == tag:
                         self._close(stack, i)
                         break
+                    if stack[i][0] in EMBEDDED:
+                        break
                 continue
+            if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+                self._close(stack, len(stack) - 1)
+                block += 1
             words = " ".join(x for g in _ATTR.findall(token) for x in g if x) if "=" in token or "hidden" in token else ""
             sign = f"{tag}.{words}" if words else tag
-            if tag in VOID or token.endswith("/>"):
+            if tag in EMBEDDED or tag == "head":
+                block += 1
+            if tag in VOID or token.endswith("/>") or m.start() in unended:
                 self.shape.append(f"<{sign}/>")
                 continue
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end an open one of their kind
@@ -88,9 +104,9 @@ class Page:
                     if stack[i][0] == tag:
                         self._close(stack, i)
                         break
-                    if stack[i][0] in BLOCK and stack[i][0] != "p":
+                    if stack[i][0] in EMBEDDED or stack[i][0] in BLOCK and stack[i][0] != "p":
                         break
-            dropped = tag in DROPPED or bool(words) and tag not in ("html", "body") and tag not in MAIN and (MARKED.search(words) is not None or "hidden" in words.lower().split())
+            dropped = tag in DROPPED or tag in EMBEDDED or tag == "head" or bool(words) and tag not in ("html", "body") and tag not in MAIN and (MARKED.search(words) is not None or "hidden" in words.lower().split())
             stack.append((tag, sign, dropped))
             self.shape.append(f"<{sign}>")
         self._close(stack, 0)
@@ -101,6 +117,22 @@ class Page:
         del stack[upto:]
 
 
+def _unended(source: str) -> set[int]:
+    """Where embedded elements begin whose end tag is missing: their tags alone are left out."""
+    if not _EMBED.search(source):
+        return set()
+    begun: dict[str, list[int]] = {}
+    for m in TOKEN.finditer(source):
+        token = m.group()
+        if m.group(1) is None and token[0] == "<" and (name := _NAME.match(token)) and (tag := name.group(1).lower()) in EMBEDDED:
+            if token[1] != "/":
+                if not token.endswith("/>"):
+                    begun.setdefault(tag, []).append(m.start())
+            elif begun.get(tag):
+                begun[tag].pop()
+    return {x for of in begun.values() for x in of}
+
+
 def parse(shape: list[str]) -> tuple:
     """Balanced tokens as nodes: a string, or ("e", sign, nodes)."""
     stack: list[tuple[str, list]] = [("", [])]

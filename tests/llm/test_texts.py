@@ -58,6 +58,23 @@ def test_main_text(body, want):
     assert main_text(page(body), None)[0] == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<html><head><title>T</title><body><article><p>x</article>", "x"),
+        ("<html><head><meta charset=utf-8><title>T</title><style>p{}</style><p>x<p>y", "x\ny"),
+        ("<head><title>T</title>x<p>y", "x\ny"),
+        ("<head><title>T</title></head><noscript><iframe src=a></iframe></noscript><p>x", "x"),
+        ("<article><p>a</p><select><option>o<p>b</p></article><article>c</article>", "a\no\nb\nc"),
+        ("<article><object data=x><p>a</p><svg><text>s</text></svg><p>b</p></article>", "a\nb"),
+        ("<article><p>a<object><p>no</p></div></object>b<video><video>v</video></video>c</article>", "a\nb\nc"),
+        ("<article>a<textarea><p>no</textarea><script>'<object>'</script><iframe src=x />b</article>", "a\nb"),
+    ],
+)
+def test_missing_end_tags_cut_nothing(source, want):
+    assert main_text(source, None)[0] == want
+
+
 def test_constant_text_outside_an_article_is_template():
     sources = [f"<body><div><p>Shared banner text</p><p>own text number {i} of this page here</p></div></body>" for i in range(4)]
     w = json.dumps(infer_wrapper(sources))
