@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and word lists that results depend on.
@@ -101,6 +101,11 @@ def character_error_rate(prediction: Column, truth: Column) -> Column:
     return F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / F.length(t))
 
 
+def average_error_rates(rates: DataFrame) -> DataFrame:
+    """Means of cer and wer over all samples, 0 where there are none."""
+    return rates.agg(F.count(F.lit(1)).alias("samples"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"average_{c}") for c in ("cer", "wer")])
+
+
 def is_non_evidence_title(title: Column) -> Column:
     return F.regexp_like(F.coalesce(title, F.lit("")), F.lit(NON_EVIDENCE_TITLE))
 

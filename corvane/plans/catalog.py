@@ -237,12 +237,31 @@ def overlap_report(spark, sf):
 n AS (SELECT item_id, lower(trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'))) AS g, lower(trim(regexp_replace(substr(coalesce(nxt, ''), 1, 120), '\s+', ' ', 'g'))) AS p FROM b)
 SELECT item_id, round(CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(g, p) / length(g) END, 6) AS cer FROM n WHERE NOT regexp_matches(g || p, '[^\x00-\x7F]')""")
 def ocr_cer(spark, sf):
-    """I23, I24, I25, E11 on ASCII text, where both engines count the same characters."""
+    """I23, I24 and I25 on ASCII prefixes only, where both engines count the same characters;
+    ocr_error_rates has the whole texts of all rows."""
     b = t(spark, sf, "benchmark").withColumn("nxt", F.lead("text").over(Window.orderBy("item_id")))
     g, p = F.substring("text", 1, 120), F.substring(F.coalesce("nxt", F.lit("")), 1, 120)
     return b.where(~F.regexp_like(F.concat(T.normalize_metric_text(g), T.normalize_metric_text(p)), F.lit(r"[^\x00-\x7F]"))).select("item_id", F.round(T.character_error_rate(p, g), 6).alias("cer"))
 
 
+def rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Error rates of each benchmark text, whole, against the next."""
+    b = t(spark, sf, "benchmark").withColumn("nxt", F.coalesce(F.lead("text").over(Window.orderBy("item_id")), F.lit("")))
+    return b.select("item_id", T.character_error_rate(F.col("nxt"), F.col("text")).alias("cer"), U.word_error_rate(F.col("nxt"), F.col("text")).alias("wer"))
+
+
+@query()
+def ocr_error_rates(spark, sf):
+    """I23, I24, I25, I26 of whole texts; no SQL, as DuckDB's levenshtein counts bytes."""
+    return rates(spark, sf)
+
+
+@query()
+def ocr_average(spark, sf):
+    """0 where there is no sample."""
+    return T.average_error_rates(rates(spark, sf))
+
+
 # Packing and listing --------------------------------------------------------------------------
 
 @query("""WITH c AS (SELECT conv_id, turn, text, greatest(1, length(text) // 4) AS cost, coalesce(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)

@@ -4,10 +4,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.operators import accounts as A
 from corvane.operators import layout as L
 from corvane.operators import pages as P
 from corvane.operators import retrieval as R
+from corvane.plans import catalog
 from corvane.sources import files
 from corvane.streaming import windows as W
 
@@ -190,3 +192,27 @@ def test_streams(spark, tmp_path):
     same = events.withColumn("ts", F.lit(base).cast("timestamp"))
     got = run(W.admission_stream(same, "user_id", "ts", "tokens", 25), "a")
     assert sorted(r.admitted for r in got) == [False, True, True]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 150 + "b" * 30, "a" * 150 + "c" * 30, "Größe  深度學習 café", "", "größe 深度学习 cafe"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def rate(p, g):
+        return distance(p, g) / len(g) if g else float(bool(p))
+
+    norm = [" ".join(x.lower().split()) for x in texts] + [""]
+    want = [(i, rate(norm[i + 1], norm[i]), rate(norm[i + 1].split(), norm[i].split())) for i in range(5)]
+    got = sorted(catalog.ocr_error_rates(spark, str(tmp_path)).collect())
+    assert [tuple(x) for x in got] == [pytest.approx(w) for w in want]
+    mean = catalog.ocr_average(spark, str(tmp_path)).first()
+    assert tuple(mean) == pytest.approx((5, sum(w[1] for w in want) / 5, sum(w[2] for w in want) / 5))
+    assert tuple(T.average_error_rates(spark.createDataFrame([], "cer double, wer double")).first()) == (0, 0.0, 0.0)
