@@ -186,3 +186,14 @@ def fail_stale(jobs: DataFrame, running: list[str], updated: str, as_of: Column,
 def within_ttl(entries: DataFrame, ts: str, as_of: Column, seconds: int = 21_600) -> DataFrame:
     """Entries not older than six hours."""
     return entries.where(micros(as_of) - micros(F.col(ts)) <= seconds * 1_000_000)
+
+
+def shared_project_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (mentor, mentee) whose two hold a role in one project that is not section-scoped.
+
+    members: user, pid, role, open. A coauthor is section-scoped unless the project is open.
+    Links that repeat are given once."""
+    scoped = F.coalesce(F.col("role") == "coauthor", F.lit(False)) & ~F.coalesce(F.col("open"), F.lit(False))
+    m = members.where(~scoped).select("user", "pid").distinct()
+    held = links.select("mentor", "mentee").distinct().join(m.withColumnRenamed("user", "mentee"), "mentee")
+    return held.join(m.withColumnRenamed("user", "mentor"), ["mentor", "pid"], "left_semi").select("mentor", "mentee").distinct()

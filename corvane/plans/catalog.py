@@ -669,12 +669,24 @@ def mentor_dashboard(spark, sf):
 
 @query("""SELECT DISTINCT a.o_custkey AS mentor, b.o_custkey AS mentee FROM (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 0) a JOIN (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 1) b ON a.d = b.d""")
 def shared_projects(spark, sf):
-    """Pairs that share a project (here, a day)."""
+    """D22 in part: pairs that share a project (here, a day), of customers ending in 0 and 1 only;
+    mentor_project_links has all customers and the roles."""
     o = t(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).distinct()
     a, b = o.where("o_custkey % 10 = 0").withColumnRenamed("o_custkey", "mentor"), o.where("o_custkey % 10 = 1").withColumnRenamed("o_custkey", "mentee")
     return a.join(b, "d").select("mentor", "mentee").distinct()
 
 
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS u, o_orderdate::DATE AS pid FROM orders WHERE o_orderpriority <> '5-LOW' OR day(o_orderdate) % 7 = 0)
+SELECT c_custkey // 5 AS mentor, c_custkey AS mentee FROM customer WHERE c_custkey // 5 <> c_custkey AND EXISTS (SELECT 1 FROM m a JOIN m b ON a.pid = b.pid WHERE a.u = c_custkey // 5 AND b.u = c_custkey)""")
+def mentor_project_links(spark, sf):
+    """Every customer and a mentor derived from the key; orders are memberships of the day's
+    project, the low ones as coauthors; each seventh day's project is open to them."""
+    links = t(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 5).cast(t(spark, sf, "customer").schema["c_custkey"].dataType).alias("mentor"), F.col("c_custkey").alias("mentee")).where("mentor <> mentee")
+    role = F.when(F.col("o_orderpriority") == "5-LOW", "coauthor").otherwise("editor")
+    members = t(spark, sf, "orders").select(F.col("o_custkey").alias("user"), F.to_date("o_orderdate").alias("pid"), role.alias("role"), (F.dayofmonth("o_orderdate") % 7 == 0).alias("open"))
+    return A.shared_project_links(links, members)
+
+
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE (o_orderpriority = '1-URGENT') OR (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0)""")
 def comment_versions(spark, sf):
     """An equal version, or old rows without one."""

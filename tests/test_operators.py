@@ -216,3 +216,10 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
     mean = catalog.ocr_average(spark, str(tmp_path)).first()
     assert tuple(mean) == pytest.approx((5, sum(w[1] for w in want) / 5, sum(w[2] for w in want) / 5))
     assert tuple(T.average_error_rates(spark.createDataFrame([], "cer double, wer double")).first()) == (0, 0.0, 0.0)
+
+
+def test_shared_projects_of_all_and_roles(spark):
+    links = spark.createDataFrame([(2, 3), (2, 4), (2, 5), (6, 7), (2, 3)], "mentor long, mentee long")
+    rows = [(2, "p", "editor", False), (3, "p", "viewer", False), (4, "p", "coauthor", False), (5, "q", "editor", False), (6, "o", "coauthor", True), (7, "o", "owner", True)]
+    got = A.shared_project_links(links, spark.createDataFrame(rows, "user long, pid string, role string, open boolean"))
+    assert sorted(map(tuple, got.collect())) == [(2, 3), (6, 7)]
