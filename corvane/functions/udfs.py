@@ -13,9 +13,12 @@ import math
 import re
 import urllib.parse
 import zipfile
+from functools import lru_cache
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +52,11 @@ def word_error_rate(prediction: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([word_error(p, t) for p, t in zip(prediction, truth)])
 
 
+def normal_title(title: Column) -> Column:
+    """As title_ratio reads a title."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+
+
 def title_ratio(left: str | None, right: str | None) -> float:
     a, b = (re.sub(r"[^a-z0-9]+", " ", (x or "").lower()).strip() for x in (left, right))
     if not a or not b:
@@ -62,6 +70,28 @@ def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([title_ratio(a, b) for a, b in zip(left, right)])
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(title: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(title.encode("ascii", "replace"), dtype=np.uint8) & 127, minlength=128)
+
+
+def title_similarity_from(floor: float):
+    """title_similarity of normalised titles, null below floor; pairs whose letters in common
+    cannot reach it are not compared."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = np.full(len(left), np.nan)
+        if len(left):
+            a, b = np.stack([_letters(x) for x in left]), np.stack([_letters(x) for x in right])
+            most = 2 * np.minimum(a, b).sum(axis=1) / np.maximum(1, a.sum(axis=1) + b.sum(axis=1))
+            for i in np.flatnonzero(most >= floor - 1e-9):
+                out[i] = title_ratio(left.iat[i], right.iat[i])
+        return pd.Series(out).where(out >= floor)
+
+    return similarity
+
+
 def estimate(text: str) -> int:
     cjk = sum("一" <= c <= "鿿" for c in text)
     return int(1.5 * cjk + 0.35 * (len(text) - cjk))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.biblio import blank
+from corvane.functions.biblio import blank, normalize_year
+from corvane.functions.udfs import normal_title, title_similarity, title_similarity_from
 
 # USD per million tokens (input, cached input, output), a second rate for long
 # prompts (threshold, input, cached, output), and names that stand for changing models.
@@ -197,3 +198,39 @@ def shared_project_links(links: DataFrame, members: DataFrame) -> DataFrame:
     m = members.where(~scoped).select("user", "pid").distinct()
     held = links.select("mentor", "mentee").distinct().join(m.withColumnRenamed("user", "mentee"), "mentee")
     return held.join(m.withColumnRenamed("user", "mentor"), ["mentor", "pid"], "left_semi").select("mentor", "mentee").distinct()
+
+
+#: Services in the order in which titles are looked for (D21); others come last.
+FINDERS = ("crossref", "openalex", "pubmed", "arxiv")
+
+
+def resolve_references(refs: DataFrame, papers: DataFrame, block: list[str], *, doi_floor: float = 0.55, title_floor: float = 0.82, verbatim: float = 0.95, years: int = 1) -> DataFrame:
+    """The paper that each reference means, if any: ref, paper, match (doi, title), score.
+
+    refs: ref, title, year, doi and block columns; papers: paper, title, year, doi, source and
+    block columns; DOIs are normalised. A DOI hit (the first service's paper of least key) counts
+    from doi_floor on, or where the reference has no title. Else the best title of the
+    block from title_floor on, the earlier service on ties; once a service has a verbatim one,
+    later services are not asked. The best one's year may be years off where both are known.
+    Each pair of different titles that share a block is compared once."""
+    rank = F.lit(len(FINDERS))
+    for i, name in enumerate(FINDERS):
+        rank = F.when(F.lower("source") == name, F.lit(i)).otherwise(rank)
+    p = papers.withColumn("rank", rank).withColumn("first", F.struct("rank", "paper"))
+    r = refs.select("ref", *block, F.trim(F.coalesce("title", F.lit(""))).alias("title"), normalize_year(F.col("year")).alias("year"), F.lower(F.coalesce("doi", F.lit(""))).alias("doi"))
+    of_doi = p.where(F.coalesce("doi", F.lit("")) != "").groupBy(F.lower("doi").alias("doi")).agg(F.min_by("paper", "first").alias("paper"), F.min_by("title", "first").alias("hit"))
+    score = F.when(F.col("title") == "", F.lit(1.0)).otherwise(title_similarity(F.col("title"), F.col("hit")))
+    by_doi = r.join(of_doi, "doi").withColumn("score", score).where(F.col("score") >= doi_floor).select("ref", "paper", F.lit("doi").alias("match"), F.round("score", 4).alias("score"))
+
+    asked = r.where("title <> ''").join(by_doi.select("ref"), "ref", "left_anti").withColumn("key", normal_title(F.col("title")))
+    held = p.groupBy(*block, normal_title(F.col("title")).alias("known"), "rank").agg(F.min("paper").alias("paper"), F.min_by("year", "paper").alias("found_year"))
+    keys = asked.select(*block, "key").distinct()
+    pairs = keys.join(held.select(*block, "known").distinct(), block).select("key", "known").distinct()
+    like = pairs.withColumn("s", title_similarity_from(title_floor)(F.col("key"), F.col("known"))).where("s IS NOT NULL")
+    sure, at = F.col("s") >= verbatim, F.col("rank").cast("double")
+    order = F.struct((~sure).alias("a"), F.when(sure, at).otherwise(-F.col("s")).alias("b"), F.when(sure, -F.col("s")).otherwise(at).alias("c"), "paper", "found_year", "s")
+    best = keys.join(like, "key").join(held, [*block, "known"]).groupBy(*block, "key").agg(F.min(order).alias("best")).select(*block, "key", "best.paper", "best.found_year", "best.s")
+    found = normalize_year(F.col("found_year"))
+    near = F.coalesce(F.abs(F.col("year") - found) <= years, F.lit(True))
+    by_title = asked.join(best, [*block, "key"]).where(near).select("ref", "paper", F.lit("title").alias("match"), F.round("s", 4).alias("score"))
+    return by_doi.unionByName(by_title)

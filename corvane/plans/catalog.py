@@ -346,7 +346,7 @@ s AS (SELECT doc_id, island, coalesce(max(CASE WHEN type = 'Title' THEN text END
 f AS (SELECT *, max(island) OVER (PARTITION BY doc_id) AS titles FROM s)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island)::INT AS segment, title, sha256(text) AS text_hash FROM f WHERE titles > 0 AND length(text) >= 20""")
 def title_segments(spark, sf):
-    """F05, K11."""
+    """F05; of K11 the title sections alone."""
     s = L.title_segments(blocks(spark, sf), "doc_id", "pos", F.col("type") == "Title", F.col("text"))
     return s.select("doc_id", "segment", "title", F.sha2("text", 256).alias("text_hash"))
 
@@ -830,13 +830,24 @@ def ocr_wer(spark, sf):
 
 @query()
 def title_similarity(spark, sf):
-    """Candidates of one block compared with the first of it."""
+    """Candidates of one block compared with the first of it."""
     c = prepared(spark, sf)
     first = c.groupBy("venue").agg(F.min_by("title", "pos").alias("t0"))
     j = c.join(F.broadcast(first), "venue").select("pos", F.round(U.title_similarity(F.col("title"), F.col("t0")), 6).alias("ratio"))
     return j.withColumn("same", F.col("ratio") >= 0.82)
 
 
+@query()
+def resolved_references(spark, sf):
+    """Every part cited with a word left out or a later year, looked for among all parts of
+    its brand; a DOI among all parts."""
+    c = prepared(spark, sf)
+    k = F.col("pos")
+    refs = c.select(k.alias("ref"), "venue", F.when(k % 3 == 0, F.regexp_replace("title", r"^\S+ ", "")).when(k % 7 == 0, "").otherwise(F.col("title")).alias("title"), (F.col("year") + k % 4).cast("int").alias("year"), F.when(k % 2 == 0, F.col("doi")).otherwise("").alias("doi"))
+    papers = c.select(k.alias("paper"), "venue", "title", "year", "doi", "source")
+    return A.resolve_references(refs, papers, ["venue"])
+
+
 @query()
 def densest_snippet(spark, sf):
     """F14."""

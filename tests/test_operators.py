@@ -223,3 +223,10 @@ def test_shared_projects_of_all_and_roles(spark):
     rows = [(2, "p", "editor", False), (3, "p", "viewer", False), (4, "p", "coauthor", False), (5, "q", "editor", False), (6, "o", "coauthor", True), (7, "o", "owner", True)]
     got = A.shared_project_links(links, spark.createDataFrame(rows, "user long, pid string, role string, open boolean"))
     assert sorted(map(tuple, got.collect())) == [(2, 3), (6, 7)]
+
+
+def test_references_resolve_to_the_best_of_a_block(spark):
+    papers = [(1, "x", "A first other thing", 2000, "", "crossref"), (2, "x", "Deep learning of glucose", 2010, "", "arXiv"), (3, "x", "Deep learning of glucose", 2010, "", "crossref"), (4, "x", "Deep learning of glucoses", 2010, "10.1/a", "openalex"), (5, "y", "Deep learning of glucose", 1990, "10.1/b", "web"), (6, "x", "Sleep and memory", None, "", "web")]
+    refs = [(1, "x", "Deep learning of glucose", 2011, ""), (2, "x", "Deep learning of glucose", 2012, ""), (3, "x", "Deep learnings of glucose!", None, "10.1/A"), (4, "x", "Wholly different words", 2010, "10.1/a"), (5, "x", None, None, "10.1/b"), (6, "x", None, 2000, "10.1/c"), (7, "x", "Sleep and memories", 1901, ""), (8, "y", "Deep learning on glucose", 1990, "")]
+    got = A.resolve_references(spark.createDataFrame(refs, "ref int, venue string, title string, year int, doi string"), spark.createDataFrame(papers, "paper int, venue string, title string, year int, doi string, source string"), ["venue"])
+    assert sorted((x.ref, x.paper, x.match) for x in got.collect()) == [(1, 3, "title"), (3, 4, "doi"), (5, 5, "doi"), (7, 6, "title"), (8, 5, "title")]
