@@ -1,325 +1,274 @@
-"""HTML extraction: wrappers inferred by aligning the token streams of a host's pages.
-
-From a bounded sample of each host's pages a union-free regular expression over tags is built:
-neighbours of one kind fold into repeated groups, then one page after another is aligned with
-what there is, element by element; what only one side has becomes an optional group, and texts
-become slots. The wrapper says which container holds the main text and which texts outside an article
-are the same on each page. It is applied to every page of the host; each page is read whole.
+"""HTML extraction: main text from the slots of wrappers that are inferred for each host.
+
+1. Every page becomes a tree of containers and text slots; the distinct trees of a host are
+   aligned one after another into a wrapper with optional and repeated groups (html_tree).
+2. Every page is laid on its host's wrapper. What its slots hold is counted over all pages of
+   the host: characters, characters in links, and on how many pages each line is found.
+3. From these each slot gets a role. Furniture: named so by elements or classes. Template: lines
+   that nearly all pages repeat in one slot. Menu: slots of links on nearly every page. Content:
+   the rest, below article or main, or else below the container that holds most of the rest.
+4. A page's text is that of its content slots.
+
+Trees, wrappers and counts are small next to the pages, and pages themselves are never shuffled
+unless the wrappers are too large to broadcast.
 """
 
 from __future__ import annotations
 
-import html
 import json
-import re
-from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, without
+from corvane.llm.common import materialize, shuffle_partitions, unused, without
+from corvane.llm.html_tree import align, dump, in_main, is_furniture, line_text, load, match, parse, slot_paths
 
-#: Pages of one host that its wrapper is inferred from, at most.
-SAMPLE_PAGES = 6
-#: Tokens of a sampled page that are aligned; pages are always extracted whole.
-ALIGN_TOKENS = 4000
 #: Bytes of all wrappers up to which they are broadcast; beyond that, pages are joined by host.
 BROADCAST_BYTES = 32 << 20
-
-# Element names of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|textarea|title"
-#: Elements whose inside is no text of the page; end tags inside do not close what is outside.
-EMBEDDED = frozenset("noscript template iframe svg math select object canvas audio video".split())
-#: What head may hold; anything else ends it where its end tag is left out.
-IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button label fieldset".split())
-MAIN = frozenset(("article", "main"))
-#: Words in class, id or role that mark what is not the article.
-_MARKS = r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|share|sharing|social|related|recommend\w*|comment|comments|respond|disqus|widget|toolbar|contentinfo|complementary|search|skip)(?:$|[\s_-])"
-MARKED = re.compile(_MARKS, re.I)
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<({RAW})\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>|[^<]++|<", re.S | re.I)
-_EMBED = re.compile(rf"<(?:{'|'.join(sorted(EMBEDDED))})\b", re.I)
-_NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)(?=[\s>/=])|aria-(hidden)\s*=\s*[\"']?true", re.I)
-
-
-class Page:
-    """Texts of a page in order, each with its block number and the path of open containers."""
-
-    __slots__ = ("texts", "shape")
-
-    def __init__(self, source: str):
-        self.texts: list[tuple[str, int, tuple[str, ...], bool]] = []
-        self.shape: list[str] = []
-        stack: list[tuple[str, str, bool]] = []
-        block = 0
-        unended = _unended(source)
-        for m in TOKEN.finditer(source):
-            token = m.group()
-            if m.group(1) is not None:
-                self.shape.append(f"<{m.group(1).lower()}/>")
-                if m.group(1).lower() not in ("script", "style"):
-                    block += 1
-                continue
-            if token[0] != "<" or token == "<":
-                if token.strip():
-                    if stack and stack[-1][0] == "head":
-                        self._close(stack, len(stack) - 1)
-                        block += 1
-                    self.shape.append("#")
-                self.texts.append((token, block, tuple(x[1] for x in stack if x[0] in BLOCK), any(x[2] for x in stack)))
-                continue
-            name = _NAME.match(token)
-            if name is None:
-                continue
-            tag = name.group(1).lower()
-            if tag in BLOCK:
-                block += 1
-            if token[1] == "/":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        self._close(stack, i)
-                        break
-                    if stack[i][0] in EMBEDDED:
-                        break
-                continue
-            if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
-                self._close(stack, len(stack) - 1)
-                block += 1
-            words = " ".join(x for g in _ATTR.findall(token) for x in g if x) if "=" in token or "hidden" in token else ""
-            sign = f"{tag}.{words}" if words else tag
-            if tag in EMBEDDED or tag == "head":
-                block += 1
-            if tag in VOID or token.endswith("/>") or m.start() in unended:
-                self.shape.append(f"<{sign}/>")
-                continue
-            if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end an open one of their kind
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        self._close(stack, i)
-                        break
-                    if stack[i][0] in EMBEDDED or stack[i][0] in BLOCK and stack[i][0] != "p":
-                        break
-            dropped = tag in DROPPED or tag in EMBEDDED or tag == "head" or bool(words) and tag not in ("html", "body") and tag not in MAIN and (MARKED.search(words) is not None or "hidden" in words.lower().split())
-            stack.append((tag, sign, dropped))
-            self.shape.append(f"<{sign}>")
-        self._close(stack, 0)
-
-    def _close(self, stack: list, upto: int) -> None:
-        """Ends the elements from upto on, innermost first, so that shape is balanced."""
-        self.shape += [f"</{x[1]}>" for x in reversed(stack[upto:])]
-        del stack[upto:]
-
-
-def _unended(source: str) -> set[int]:
-    """Where embedded elements begin whose end tag is missing: their tags alone are left out."""
-    if not _EMBED.search(source):
-        return set()
-    begun: dict[str, list[int]] = {}
-    for m in TOKEN.finditer(source):
-        token = m.group()
-        if m.group(1) is None and token[0] == "<" and (name := _NAME.match(token)) and (tag := name.group(1).lower()) in EMBEDDED:
-            if token[1] != "/":
-                if not token.endswith("/>"):
-                    begun.setdefault(tag, []).append(m.start())
-            elif begun.get(tag):
-                begun[tag].pop()
-    return {x for of in begun.values() for x in of}
-
-
-def parse(shape: list[str]) -> tuple:
-    """Balanced tokens as nodes: a string, or ("e", sign, nodes)."""
-    stack: list[tuple[str, list]] = [("", [])]
-    for t in shape:
-        if t[:2] == "</":
-            sign, inner = stack.pop()
-            stack[-1][1].append(("e", sign, fold(inner)))
-        elif t[0] == "<" and t[-2:] != "/>":
-            stack.append((t[1:-1], []))
-        else:
-            stack[-1][1].append(t)
-    while len(stack) > 1:  # only where a shape was cut
-        sign, inner = stack.pop()
-        stack[-1][1].append(("e", sign, fold(inner)))
-    return fold(stack[0][1])
-
-
-def fold(nodes: list, longest: int = 6) -> tuple:
-    """Folds adjacent equal runs into ("+", run), shortest first. Of nodes that differ inside only,
-    neighbours of one sign are merged first, so that items of a list are one repeated group."""
-    out: list = []
-    for x in nodes:
-        if out and isinstance(x, tuple) and _label(out[-1]) == _label(x) and _label(x) is not None:
-            out[-1] = _merge(out[-1], x, repeated=True)
-        else:
-            out.append(x)
-    for width in range(2, longest + 1):
-        i, folded = 0, []
-        while i < len(out):
-            unit, n = out[i : i + width], 1
-            while len(unit) == width and out[i + n * width : i + (n + 1) * width] == unit:
-                n += 1
-            folded += [("+", tuple(unit))] if n > 1 else out[i : i + 1]
-            i += n * width if n > 1 else 1
-        out = folded
-    return tuple(out)
-
-
-def _label(node) -> str | None:
-    """What nodes must share to be aligned: the sign of an element, alone or in a group."""
-    if isinstance(node, str):
-        return node
-    if node[0] == "e":
-        return f"<{node[1]}>"
-    return _label(node[1][0]) if len(node[1]) == 1 else repr([_label(x) for x in node[1]])
-
-
-def _merge(x, y, repeated: bool = False):
-    """One node that accepts what either of two nodes of one label accepts."""
-    optional = plus = False
-    parts = []
-    for node in (x, y):
-        while isinstance(node, tuple) and node[0] in ("+", "?"):
-            optional, plus = optional or node[0] == "?", plus or node[0] == "+"
-            if len(node[1]) != 1:
-                break
-            node = node[1][0]
-        parts.append(node)
-    a, b = parts
-    if isinstance(a, tuple) and a[0] == "e":
-        inner = (("e", a[1], align(a[2], b[2])),)
-    else:
-        inner = a[1] if isinstance(a, tuple) else (a,)
-    node = ("+", inner) if plus or repeated else inner[0] if len(inner) == 1 else ("+", inner)
-    return ("?", (node,)) if optional else node
-
-
-def align(wrapper: tuple, page: tuple) -> tuple:
-    """The wrapper widened to accept the page: nodes of one label are merged, what only one side
-    has becomes optional."""
-    if wrapper == page:
-        return wrapper
-    a, b = [_label(x) for x in wrapper], [_label(x) for x in page]
-    out: list = []
-    for kind, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [_merge(x, y) for x, y in zip(wrapper[i:j], page[k:n])]
-        else:
-            out += [x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,)) for x in (*wrapper[i:j], *page[k:n])]
-    return tuple(out)
-
-
-def _pattern(nodes, letters: dict[str, str]) -> str:
-    def letter(token: str) -> str:
-        return re.escape(letters.setdefault(token, chr(0x100 + len(letters))))
-
-    out = []
-    for x in nodes:
-        if isinstance(x, str):
-            out.append(letter(x))
-        elif x[0] == "e":
-            out.append(letter(f"<{x[1]}>") + _pattern(x[2], letters) + letter(f"</{x[1]}>"))
-        else:
-            out.append(f"(?:{_pattern(x[1], letters)}){x[0]}+")
-    return "".join(out)
-
-
-def infer_wrapper(sources: list[str]) -> dict:
-    """Pattern over tags, container of the main text and texts that repeat on each page."""
-    pages = [Page(s) for s in sources]
-    wrapper: tuple = ()
-    for k, p in enumerate(pages):
-        tree = parse(p.shape[:ALIGN_TOKENS])
-        wrapper = align(wrapper, tree) if k else tree
-    letters: dict[str, str] = {}
-    pattern = _pattern(wrapper, letters)
-    mass: Counter = Counter()
-    held: dict[str, set[int]] = {}
-    for k, p in enumerate(pages):
-        for text, _, path, dropped in p.texts:
-            if not dropped and (t := " ".join(text.split())):
-                for d in range(len(path)):
-                    mass["/".join(path[: d + 1])] += len(t)
-                held.setdefault("/".join(path) + "\0" + t, set()).add(k)
-    main = [x for x in mass if x.rpartition("/")[2].partition(".")[0] in MAIN]
-    whole = max(mass.values(), default=0)
-    inner = max((x for x in mass if mass[x] >= 0.8 * whole), key=lambda x: x.count("/"), default="")
-    while inner and inner.rpartition("/")[2].partition(".")[0] in ("p", "li", "td", "tr", "ul", "ol", "h1", "h2", "h3", "dd", "dt", "pre", "blockquote"):
-        inner = inner.rpartition("/")[0]
-    constant = [x for x, of in held.items() if len(pages) >= 3 and len(of) == len(pages)]
-    if len(constant) == len(held):  # all pages are copies: nothing sets the template apart
-        constant = []
-    return {"pattern": pattern, "letters": letters, "container": "" if main else inner, "constant": [x for x in constant if not any(t.partition(".")[0] in MAIN for t in x.partition("\0")[0].split("/"))]}
-
-
-@lru_cache(maxsize=4096)
-def _compiled(wrapper: str):
-    w = json.loads(wrapper)
-    try:
-        pattern = re.compile(w["pattern"])
-    except (re.error, RecursionError, OverflowError):
-        pattern = None
-    return w, pattern, frozenset(w["constant"])
-
-
-def main_text(source: str, wrapper: str | None) -> tuple[str, bool]:
-    """Blocks of the main text joined by newlines; whether the page fits its host's pattern."""
-    page = Page(source)
-    w, pattern, constant = _compiled(wrapper) if wrapper else ({"container": "", "letters": {}}, None, frozenset())
-    fits = pattern is not None and pattern.fullmatch("".join(w["letters"].get(x, "\x01") for x in page.shape)) is not None
-    has_main = any(any(s.partition(".")[0] in MAIN for s in path) for _, _, path, _ in page.texts)
-    box = tuple(w["container"].split("/")) if w["container"] and not has_main else ()
-    if box and not any(path[: len(box)] == box for _, _, path, _ in page.texts):
-        box = ()
-    blocks: dict[int, list[str]] = {}
-    for text, block, path, dropped in page.texts:
-        if dropped or (has_main and not any(s.partition(".")[0] in MAIN for s in path)) or (box and path[: len(box)] != box):
+#: Pages of a slot from which on a repeated line or a menu can tell that it is template.
+LEAST_PAGES = 3
+#: Share of a slot's pages that hold a template line; of a host's pages that hold a menu.
+NEARLY_ALL = 0.9
+#: Share of the text that the container of the main text holds, where no article or main does.
+MOST_TEXT = 0.8
+#: Containers that can hold the main text where no article or main does.
+REGIONS = frozenset("body center details div html section table td tr".split())
+HOST_SALTS = 32
+
+
+def _key(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _bare(signs: tuple[str, ...]) -> bool:
+    """Whether a slot lies in an article with nothing that has a name of its own around it."""
+    last = max((i for i, s in enumerate(signs) if s in ("article", "main")), default=None)
+    return last is not None and all("." not in s for s in signs[last:])
+
+
+@lru_cache(maxsize=1024)
+def _wrapper(text: str):
+    nodes = load(text)
+    paths = slot_paths(nodes)
+    return nodes, {id(x): i for i, (x, _, _) in enumerate(paths)}, [(at, signs) for _, at, signs in paths]
+
+
+@lru_cache(maxsize=1024)
+def _rules(text: str):
+    r = json.loads(text)
+    return r["wrapper"], frozenset(r["main"]), frozenset(r["rest"]), frozenset(map(tuple, r["lines"]))
+
+
+def slots_of(source: str, wrapper: str) -> tuple[list[tuple[int, list]], list[tuple[int, tuple[str, ...]]]]:
+    """A page laid on a wrapper: (slot, lines) in order of the wrapper, and for slots without a
+    place there (slot -1) the signs of the page's own elements."""
+    tree = parse(source)
+    nodes, number, _ = _wrapper(wrapper)
+    found = match(nodes, tree)
+    own = {id(x): signs for x, _, signs in slot_paths(tree)} if any(w is None for _, w in found) else {}
+    laid = [(number[id(w)] if w is not None else -1, p.lines) for p, w in found]
+    return laid, [(k, own[id(p)]) for k, (p, w) in enumerate(found) if w is None]
+
+
+def infer_wrapper(shapes: list[str]) -> str:
+    """The alignment of trees, each as dump() writes it."""
+    wrapper = load(shapes[0])
+    for shape in shapes[1:]:
+        wrapper = align(wrapper, load(shape))
+    return dump(wrapper)
+
+
+def page_counts(source: str, wrapper: str) -> Iterator[tuple[int, int | None, int, int, int]]:
+    """(slot, line, characters, characters in links, lines): one row without a line for each slot
+    of a page, one for the page itself (slot -1), one for each distinct line of a slot that may
+    hold template, and one for the page's lines as a whole (slot -1 again)."""
+    paths = _wrapper(wrapper)[2]
+    total: dict[int, list] = {-1: [0, 0, 0]}
+    seen: dict[tuple[int, int], int] = {}
+    whole = xxhash.xxh3_64()
+    for slot, lines in slots_of(source, wrapper)[0]:
+        if slot < 0:
             continue
-        if constant and not has_main and "/".join(path) + "\0" + " ".join(text.split()) in constant:
+        of = total.setdefault(slot, [0, 0, 0])
+        for _, raw, links in lines:
+            if text := line_text(raw):
+                of[0] += len(text)
+                of[1] += min(links, len(text))
+                of[2] += 1
+                whole.update(text.encode("utf-8", "surrogatepass") + b"\n")
+                if not _bare(paths[slot][1]):
+                    seen[slot, _key(text)] = len(text)
+    seen[-1, whole.intdigest() - (1 << 63)] = 0
+    for slot, of in total.items():
+        yield slot, None, *of
+    for (slot, key), chars in seen.items():
+        yield slot, key, chars, 0, 0
+
+
+def judge_slots(wrapper: str, counts: dict[int, tuple[int, int, int, int]], repeated: list[tuple[int, int, int, int]]) -> str:
+    """Roles of a wrapper's slots as JSON. counts: pages, characters, characters in links and
+    lines by slot; repeated: (slot, line, characters) of lines on nearly all of a slot's pages.
+    Where nearly all pages are copies of one, nothing sets template apart and no line is."""
+    if any(s < 0 for s, *_ in repeated):
+        repeated = []
+    paths = _wrapper(wrapper)[2]
+    pages = counts.get(-1, (0,) * 4)[0]
+    empty = (0, 0, 0, 0)
+    menu = {s for s, (n, chars, links, lines) in counts.items() if s >= 0 and n >= max(LEAST_PAGES, NEARLY_ALL * pages) and links >= NEARLY_ALL * chars > 0 and lines >= 3 * n and paths[s][1] and paths[s][1][-1] not in ("article", "main")}
+    able = [s for s in range(len(paths)) if s not in menu and not is_furniture(paths[s][1])]
+    fixed: dict[int, int] = {}
+    for s, _, chars in repeated:
+        fixed[s] = fixed.get(s, 0) + chars
+    mass = {s: max(0, counts.get(s, empty)[1] - counts.get(s, empty)[2] - fixed.get(s, 0)) for s in able}
+    rest = [s for s in able if not in_main(paths[s][1])]
+    whole, names = sum(mass[s] for s in rest), _names(wrapper)
+    below: dict[tuple[int, ...], int] = {}
+    for s in rest:
+        at = paths[s][0]
+        for d in range(1, len(at) + 1):
+            below[at[:d]] = below.get(at[:d], 0) + mass[s]
+    region = max((at for at, held in below.items() if held >= MOST_TEXT * whole > 0 and names[at].partition(".")[0] in REGIONS), key=len, default=())
+    return json.dumps({"wrapper": wrapper, "main": [s for s in able if in_main(paths[s][1])], "rest": [s for s in rest if paths[s][0][: len(region)] == region], "lines": [(s, key) for s, key, _ in repeated]}, ensure_ascii=False)
+
+
+def _names(wrapper: str) -> dict[tuple[int, ...], str]:
+    out: dict[tuple[int, ...], str] = {}
+
+    def walk(nodes: list, at: tuple[int, ...]) -> None:
+        for i, x in enumerate(nodes):
+            out[(*at, i)] = x.sign
+            walk(x.kids, (*at, i))
+
+    walk(_wrapper(wrapper)[0], ())
+    return out
+
+
+def main_text(source: str, rules: str) -> tuple[str, bool]:
+    """Blocks of the main text joined by newlines; whether the page fits its host's wrapper."""
+    wrapper, main, rest, template = _rules(rules)
+    paths = _wrapper(wrapper)[2]
+    laid, strange = slots_of(source, wrapper)
+    own = dict(strange)
+    has_main = any(in_main(own[k]) if s < 0 else in_main(paths[s][1]) for k, (s, _) in enumerate(laid))
+    blocks: dict[int, list[str]] = {}
+    for k, (slot, lines) in enumerate(laid):
+        if slot < 0:  # no place in the wrapper: the page's own names decide
+            if is_furniture(own[k]) or has_main and not in_main(own[k]):
+                continue
+        elif slot not in (main if has_main else rest):
             continue
-        blocks.setdefault(block, []).append(text)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
-    return "\n".join(x for x in lines if x), fits
-
-
-def _infer(host: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    sources = [s or "" for s in table.sort_by("__page").column("html").to_pylist()]
-    return pa.table({"__host": pa.array([host[0].as_py()]), "wrapper": pa.array([json.dumps(infer_wrapper(sources))])})
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """The main text of every page, by wrappers inferred for each host.
+        for block, raw, _ in lines:
+            if not template or (slot, _key(line_text(raw))) not in template:
+                blocks.setdefault(block, []).append(raw)
+    found = (line_text("".join(parts)) for _, parts in sorted(blocks.items()))
+    return "\n".join(x for x in found if x), not strange
+
+
+def rules_of(sources: list[str]) -> str:
+    """Wrapper and roles of the slots of some pages of one host: the job's steps on a list."""
+    wrapper = infer_wrapper(sorted({dump(parse(s)) for s in sources}))
+    counts: dict[int, list[int]] = {}
+    on: dict[tuple[int, int], list[int]] = {}
+    for s in sources:
+        for slot, key, *of in page_counts(s, wrapper):
+            if key is None:
+                counts[slot] = [x + y for x, y in zip(counts.get(slot, [0] * 4), (1, *of))]
+            else:
+                on[slot, key] = [x + y for x, y in zip(on.get((slot, key), [0] * 2), (1, of[0]))]
+    repeated = [(s, key, chars) for (s, key), (n, chars) in sorted(on.items()) if n >= max(LEAST_PAGES, NEARLY_ALL * counts[s][0])]
+    return judge_slots(wrapper, {s: tuple(x) for s, x in counts.items()}, repeated)
+
+
+def _by_host(df: DataFrame, host: str, of: DataFrame, columns: list[str], broadcast_bytes: int) -> DataFrame:
+    """df with columns of its host's row of `of` (h, *columns); a host's rows are dealt over
+    several keys where `of` is too large to broadcast."""
+    size = of.agg(F.sum(sum((F.octet_length(c) for c in columns), F.octet_length("h")))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return df.join(F.broadcast(of), F.col(host) == F.col("h"), "left").drop("h")
+    at, salt = unused(df, "at", "salt")
+    dealt = df.withColumn(salt, F.floor(F.rand(3) * HOST_SALTS).cast("int"))
+    spread = of.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+    return dealt.join(spread, (F.col(host) == F.col("h")) & (F.col(salt) == F.col(at)), "left").drop("h", at, salt)
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = dict.fromkeys((h, dump(parse(s or ""))) for h, s in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["host", "shape"])
+
+
+def _infer(table: pa.Table) -> pa.Table:
+    return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "shape": pa.array([infer_wrapper(sorted(table.column("shape").to_pylist()))], pa.string())})
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["host", "slot", "line", "chars", "links", "lines"]
+    types = [pa.string(), *[pa.int64()] * 5]
+    for batch in batches:
+        found = [(h, *x) for h, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))) for x in page_counts(s or "", w)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 6, types)], names=names)
+
+
+def _judge(counts: pa.Table, wrappers: pa.Table) -> pa.Table:
+    rows = list(zip(*(counts.column(c).to_pylist() for c in ("slot", "line", "pages", "chars", "links", "lines"))))
+    by_slot = {s: (n, *of) for s, line, n, *of in rows if line is None}
+    repeated = sorted((s, line, chars) for s, line, _, chars, *_ in rows if line is not None)
+    host, wrapper = (wrappers.column(c)[0].as_py() for c in ("h", "wrapper"))
+    return pa.table({"h": pa.array([host], pa.string()), "rules": pa.array([judge_slots(wrapper, by_slot, repeated)], pa.string())})
+
+
+def host_rules(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(h, rules) of each host of pages (host, html), from all its pages."""
+    p = shuffle_partitions(pages.sparkSession)
+    shapes = materialize(pages.mapInArrow(_shapes, "host string, shape string").distinct(), "html-shapes")
+    part = F.pmod(F.xxhash64("shape"), F.lit(p)).cast("int")
+    parts = shapes.withColumn("part", part).groupBy("host", "part").applyInArrow(_infer, "host string, shape string")
+    wrappers = parts.groupBy("host").applyInArrow(_infer, "host string, shape string")
+    wrappers = materialize(wrappers.select(F.col("host").alias("h"), F.col("shape").alias("wrapper")), "html-wrappers")
+
+    seen = _by_host(pages, "host", wrappers, ["wrapper"], broadcast_bytes).mapInArrow(_count, "host string, slot long, line long, chars long, links long, lines long")
+    sums = [F.sum(c).alias(c) for c in ("chars", "links", "lines")]
+    seen = materialize(seen.groupBy("host", "slot", "line").agg(F.count(F.lit(1)).alias("pages"), *sums).where(F.col("line").isNull() | (F.col("pages") >= LEAST_PAGES)), "html-counts")
+    slots = seen.where("line IS NULL")
+    # Lines of one slot of a large host are many: they meet its page count under several keys.
+    salt = F.pmod("line", F.lit(HOST_SALTS))
+    of = slots.select(F.col("host").alias("sh"), F.col("slot").alias("ss"), F.col("pages").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))).alias("at"))
+    lines = seen.where("line IS NOT NULL").join(of, (F.col("host") == F.col("sh")) & (F.col("slot") == F.col("ss")) & (salt == F.col("at")))
+    lines = lines.where(F.col("pages") >= NEARLY_ALL * F.col("of")).select(slots.columns)
+    found = slots.unionAll(lines).groupBy("host").cogroup(wrappers.groupBy("h")).applyInArrow(_judge, "h string, rules string")
+    return materialize(found, "html-rules")
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The main text of every page, from the slots of wrappers inferred for each host.
 
     Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-    markup and reader comments; where a page has article or main elements, all outside them.
-    Character references are decoded, white space inside a block becomes one space, blocks are
-    trimmed and joined by a newline. Returns page columns but html_col, with text, n_chars (code
-    points) and fits_wrapper. Null html: empty text. Null or odd url: pages of one unnamed host.
-    Rows that repeat an id are each extracted. Empty table: empty result. Columns of pages
-    named text, n_chars or fits_wrapper are replaced.
+    markup and reader comments; where a page has article or main elements, all outside them; what
+    nearly all pages of a host (3 at least) repeat in one slot, but for text that lies in the
+    article under no name of its own. Character references are decoded, white space inside a
+    block becomes one space, blocks are trimmed and joined by a newline. Returns page columns but
+    html_col, with text, n_chars (code points) and fits_wrapper. Null html: empty text. Null or
+    odd url: pages of one unnamed host. Rows that repeat an id are each extracted. Empty table:
+    empty result. Columns of pages named text, n_chars or fits_wrapper are replaced; all others
+    pass. id_col is not read.
     """
-    host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1), F.lit(""))
-    plain = without(pages, "text", "n_chars", "fits_wrapper").withColumn("__host", F.lower(host))
-    rank = F.row_number().over(Window.partitionBy("__host").orderBy(F.xxhash64("__page"), "__page"))
-    picked = plain.select("__host", F.col(id_col).cast("long").alias("__page")).withColumn("rank", rank).where(F.col("rank") <= sample_pages)
-    picked = materialize(picked.select(F.col("__host").alias("h"), F.col("__page").alias("p")), "html-picked")
-    sample = plain.select("__host", F.col(id_col).cast("long").alias("__page"), F.col(html_col).alias("html")).join(picked, F.col("__host").eqNullSafe(F.col("h")) & F.col("__page").eqNullSafe(F.col("p"))).drop("h", "p")
-    wrappers = materialize(sample.groupBy("__host").applyInArrow(_infer, "__host string, wrapper string"), "html-wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("__host"))).first()[0] or 0
-    joined = plain.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "__host", "left").drop("__host")
-    names = [c for c in joined.columns if c not in (html_col, "wrapper")]
+    plain = without(pages, "text", "n_chars", "fits_wrapper")
+    host, rules = unused(plain, "host", "rules")
+    of: Column = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    hosted = plain.withColumn(host, of)
+    found = host_rules(hosted.select(F.col(host).alias("host"), F.col(html_col).alias("html")), broadcast_bytes=broadcast_bytes)
+    joined = _by_host(hosted, host, found.withColumnRenamed("rules", rules), [rules], broadcast_bytes)
+    names = [c for c in plain.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, used = batch.column(html_col).to_pylist(), batch.column("wrapper").to_pylist()
-            got = [main_text(s or "", w) for s, w in zip(sources, used)]
+            sources, used = batch.column(html_col).to_pylist(), batch.column(rules).to_pylist()
+            got = [main_text(s or "", r) for s, r in zip(sources, used)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([f for _, f in got], pa.bool_())], names=[*names, "text", "n_chars", "fits_wrapper"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
-    return joined.mapInArrow(run, f"{fields}, text string, n_chars long, fits_wrapper boolean")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema if f.name != html_col)
+    return joined.mapInArrow(run, f"{fields}text string, n_chars long, fits_wrapper boolean")

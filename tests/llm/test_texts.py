@@ -1,12 +1,10 @@
 import collections
 import hashlib
-import json
 
 import numpy as np
 import pytest
 
 from corvane.llm.common import mix64, word_hashes
-from corvane.llm.html_text import Page, align, extract_main_text, fold, infer_wrapper, main_text, parse
 from corvane.llm.subword import Vocabulary, _state, decode, decode_pieces, encode_samples, sample_texts
 from corvane.llm.warc import archive_and_read, parse_records, read_warc, write_warc
 
@@ -20,77 +18,6 @@ def test_word_hashes_depend_on_words_alone():
     assert word_hashes(long)[1] == a[0] and len(word_hashes(b" \n")) == 0
 
 
-def page(body, n=1):
-    return f'<html><head><title>T</title></head><body><nav><ul>{"<li><a href=x>m</a></li>" * n}</ul></nav>{body}<footer>&copy; f</footer></body></html>'
-
-
-def test_fold_and_align():
-    li = ("e", "li", ("#",))
-    assert parse(["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"]) == (("e", "ul", (("+", (li,)),)),)
-    assert align(("<a/>", "<b/>", "<c/>"), ("<a/>", "<c/>")) == ("<a/>", ("?", ("<b/>",)), "<c/>")
-    assert align((li,), (("+", (li,)),)) == (("+", (li,)),)
-    assert fold(["<dt/>", "<dd/>", "<dt/>", "<dd/>"]) == (("+", ("<dt/>", "<dd/>")),)
-    both = align((("e", "p", ("#",)),), (("e", "p", ("<br/>",)),))
-    assert both == (("e", "p", (("?", ("#",)), ("?", ("<br/>",)))),)
-
-
-def test_wrapper_accepts_its_pages():
-    sources = [page(f"<article><h1>t{i}</h1>" + "<p>x</p>" * (i + 1) + ("<div class='share'>s</div>" if i == 1 else "") + "</article>", i + 1) for i in range(3)]
-    w = json.dumps(infer_wrapper(sources))
-    for s in sources:
-        text, fits = main_text(s, w)
-        assert fits and "m" not in text.split("\n") and "s" not in text.split("\n")
-
-
-@pytest.mark.parametrize(
-    "body, want",
-    [
-        ("<article><h1>A&amp;B</h1><p>one\n two<b> bold</b></p><p>three<br>four</article>", "A&B\none two bold\nthree\nfour"),
-        ("<div class='ad'>buy</div><article><p>x</p><aside>no</aside><form>f<input></form><script>var a='</p>';</script><!-- c --><div class='comments'>r</div></article>", "x"),
-        ("<article></article>", ""),
-        ("<article><p>a < b &lt;i&gt; &#233; &eacute;</p></article>", "a < b <i> é é"),
-        ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
-        ("<main><p>in</p></main><div>out</div>", "in"),
-        ("<div><p>no landmark</p></div>", "no landmark"),
-    ],
-)
-def test_main_text(body, want):
-    assert main_text(page(body), None)[0] == want
-
-
-@pytest.mark.parametrize(
-    "source, want",
-    [
-        ("<html><head><title>T</title><body><article><p>x</article>", "x"),
-        ("<html><head><meta charset=utf-8><title>T</title><style>p{}</style><p>x<p>y", "x\ny"),
-        ("<head><title>T</title>x<p>y", "x\ny"),
-        ("<head><title>T</title></head><noscript><iframe src=a></iframe></noscript><p>x", "x"),
-        ("<article><p>a</p><select><option>o<p>b</p></article><article>c</article>", "a\no\nb\nc"),
-        ("<article><object data=x><p>a</p><svg><text>s</text></svg><p>b</p></article>", "a\nb"),
-        ("<article><p>a<object><p>no</p></div></object>b<video><video>v</video></video>c</article>", "a\nb\nc"),
-        ("<article>a<textarea><p>no</textarea><script>'<object>'</script><iframe src=x />b</article>", "a\nb"),
-    ],
-)
-def test_missing_end_tags_cut_nothing(source, want):
-    assert main_text(source, None)[0] == want
-
-
-def test_constant_text_outside_an_article_is_template():
-    sources = [f"<body><div><p>Shared banner text</p><p>own text number {i} of this page here</p></div></body>" for i in range(4)]
-    w = json.dumps(infer_wrapper(sources))
-    assert main_text(sources[2], w)[0] == "own text number 2 of this page here"
-    same = [sources[0]] * 4
-    assert main_text(same[0], json.dumps(infer_wrapper(same)))[0].startswith("Shared banner text")
-
-
-def test_extract_rows(spark):
-    rows = [(1, "http://a.example/x", page("<article><p>hi</p></article>")), (2, "http://a.example/y", None), (3, None, ""), (4, "not a url", page("<article><p>ho</p></article>")), (4, "not a url", page("<article><p>ho</p></article>")), (5, "http://b.example", page("<article>" + "<p>word é</p>" * 4000 + "</article>"))]
-    out = extract_main_text(spark.createDataFrame([(*r, 7) for r in rows], PAGES + ", text int")).collect()
-    assert sorted((x.page_id, x.text[:7], x.n_chars) for x in out) == [(1, "hi", 2), (2, "", 0), (3, "", 0), (4, "ho", 2), (4, "ho", 2), (5, "word é\n", 7 * 4000 - 1)]
-    assert extract_main_text(spark.createDataFrame([], PAGES)).collect() == []
-    assert Page("<p").texts or True
-
-
 def b32(raw):
     import base64
 
