@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACE = b" \t\n\x0b\x0c\r"
+#: Keys with this share (one in ...) of all rows, and so many rows, are dealt over several tasks.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,6 +46,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_at(df: DataFrame, path: str, old: str | None = None) -> DataFrame:
+    """Writes df to path, reads it back, and deletes old, the step that path follows: what is
+    written in the shared folder outlives executors, so steps before the last are not needed."""
+    df.write.parquet(path)
+    if old:
+        sc = df.sparkSession.sparkContext
+        gone = sc._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hot(rows: DataFrame, held: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+    """rows joined with held, which has one row for each key and in size the number of its rows.
+
+    Keys of at least a HOT_SHARE-th of total rows (and HOT_ROWS), of which there are at most
+    HOT_SHARE, are dealt over several tasks by spread, each with its copy of the row of held."""
+    hot = max(HOT_ROWS, total // HOT_SHARE)
+    at, salts = unused(rows, "at", "salts")
+    parts = F.ceil(F.col(size) / hot).cast("int")
+    few = held.where(F.col(size) >= hot).select(key, parts.alias(salts))
+    dealt = rows.join(F.broadcast(few), key, "left").withColumn(at, F.pmod(spread, F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    return dealt.join(held.withColumn(at, F.explode(F.sequence(F.lit(0), parts - 1))), [key, at]).drop(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize_at, shared_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of edges (a, b); component: the smallest node reachable.
 
     Null ends and loops are ignored, repeated edges count once; no edges: empty result. Each
-    round is written to the shared folder; rounds end when the edges no longer change."""
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    round is written to the shared folder in place of the one before; rounds end when the edges
+    no longer change."""
+    last = shared_path(edges.sparkSession, "edges")
+    now = materialize_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), last)
     mark = None
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        path = shared_path(edges.sparkSession, "edges")
+        now, last = materialize_at(_small_star(_large_star(now)), path, last), path
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if seen == mark:
             break

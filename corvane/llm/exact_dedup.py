@@ -16,15 +16,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, materialize, shared_path
+from corvane.llm.common import ascii_lower, join_hot, materialize, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that are compared with one copy of its kept text.
 ROWS_PER_SALT = 128
 #: Bits that the bitmap has for each shared digest, and at most in all (128 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 30
-#: Digests that hold at least this share of all rows are dealt over several tasks.
-HOT_SHARE = 1000
 #: Bits of one bitmap of bitmap_construct_agg.
 _WIDTH = 32768
 
@@ -95,17 +93,11 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     """
     state = materialize(digest_state(spark, path, id_col, text_col, digest, files_per_batch), "exact-dedup-digests")
     total, n_shared = state.agg(F.sum("group_size"), F.count(F.when(F.col("group_size") > 1, 1))).first()
-    hot = max(1000, (total or 0) // HOT_SHARE)
-    salts = F.ceil(F.col("group_size") / hot).cast("int")
 
     docs = spark.read.parquet(path).select(F.col(id_col).cast("long").alias("doc_id"), _locator().alias("own"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
     docs = _maybe_shared(docs, state.where("group_size > 1"), n_shared).withColumn("norm", F.when(F.col("maybe"), F.col("norm"))).drop("maybe")
-    # At most HOT_SHARE digests are hot. Their rows go to several tasks, each with the digest's state.
-    dealt = docs.join(F.broadcast(state.where(F.col("group_size") >= hot).select("digest", salts.alias("salts"))), "digest", "left")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("own"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    held = state.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    found = dealt.join(held, ["digest", "salt"]).withColumn("norm", F.when(F.col("group_size") > 1, F.col("norm"))).drop("salt")
-    found = materialize(found, "exact-dedup-rows")
+    found = join_hot(docs, state, "digest", "group_size", total or 0, F.xxhash64("own"))
+    found = materialize(found.withColumn("norm", F.when(F.col("group_size") > 1, F.col("norm"))), "exact-dedup-rows")
 
     hits = found.where("group_size > 1").select("digest", "own", "doc_id", "norm", "locator", F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int").alias("salts"))
     kept = hits.where("own = locator").select(F.col("digest").alias("kd"), F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("ks"))

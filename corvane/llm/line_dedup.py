@@ -3,8 +3,9 @@
 A document belongs to the block its id hashes to. A block sends each of its distinct line
 hashes once, packed by shard, so a line that a third of all documents hold arrives once from
 each block. A shard builds a minimal perfect hash over the distinct hashes, fills arrays of
-fingerprints, document counts and smallest ids through it, and answers each block from them.
-Lines themselves are never shuffled for the comparison; texts move once, to their block.
+fingerprints, document counts and smallest ids through it, and answers each block with the
+lines that repeat. A block puts these under a hash of the same kind, and its documents probe the
+arrays. Lines themselves are never shuffled for the comparison; texts move once, to their block.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE, mix64, shuffle_partitions, text_bytes, without
+from corvane.llm.common import SPACE, mix64, shuffle_partitions, text_bytes, unused, without
 
 ABSENT = np.iinfo(np.int64).max
+# n: twice the number of documents with an id, and one more where rows without an id hold the line.
 _ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("n", "<i8")])
-_ANSWER = np.dtype([("key", "S16"), ("doc", "<i8")])
+_ANSWER = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8")])
 
 
 class MinimalPerfectHash:
@@ -58,6 +60,33 @@ class MinimalPerfectHash:
         return out
 
 
+class CompactIndex:
+    """Slots of 128-bit hashes: a minimal perfect hash over their first halves, an array of
+    fingerprints with the second. A hash that shares its first half with another is kept apart
+    in a table of its own, so that no two hashes are ever taken for one."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray):
+        self.mph = MinimalPerfectHash(np.unique(h1))
+        at = self.mph.slots(h1)
+        self.fingerprint = np.zeros(self.mph.n, dtype=np.uint64)
+        self.fingerprint[at] = h2
+        self.others: dict[tuple[int, int], int] = {}
+        for i in np.flatnonzero(self.fingerprint[at] != h2):
+            self.others.setdefault((int(h1[i]), int(h2[i])), self.mph.n + len(self.others))
+        self.n = self.mph.n + len(self.others)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it is not indexed."""
+        if not self.n:
+            return np.full(len(h1), -1, dtype=np.int64)
+        at = self.mph.slots(h1)
+        at[(at >= 0) & (self.fingerprint[np.maximum(at, 0)] != h2)] = -1
+        if self.others:
+            for i in np.flatnonzero(at < 0):
+                at[i] = self.others.get((int(h1[i]), int(h2[i])), -1)
+        return at
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """What lines are compared by, or None for a line too short to be dropped."""
     key = line.strip(SPACE).lower()  # bytes.lower changes A-Z alone
@@ -88,7 +117,9 @@ def _hash_block(id_col: str, text_col: str, min_chars: int, shards: int):
         first = np.flatnonzero(new)
         out = np.zeros(len(first), dtype=_ENTRY)
         out["h1"], out["h2"], out["doc"] = h[first, 0], h[first, 1], doc[first]
-        out["n"] = np.add.reduceat(fresh.astype(np.int64), first) if len(first) else 0
+        if len(first):
+            named = doc != ABSENT
+            out["n"] = 2 * np.add.reduceat((fresh & named).astype(np.int64), first) + np.maximum.reduceat((~named).astype(np.int64), first)
         shard = (out["h1"] % np.uint64(shards)).astype(np.int32)
         by = np.argsort(shard, kind="stable")
         out, shard = out[by], shard[by]
@@ -99,59 +130,50 @@ def _hash_block(id_col: str, text_col: str, min_chars: int, shards: int):
     return run
 
 
-def _index_and_probe(min_docs: int):
+def _index_and_probe(min_docs: int, block: str):
     def run(table: pa.Table) -> pa.Table:
         blocks = table.column("blk").to_pylist()
         packed = [np.frombuffer(x, dtype=_ENTRY) for x in table.column("keys").to_pylist()]
         rows = np.concatenate(packed)
-        mph = MinimalPerfectHash(np.unique(rows["h1"]))
-        slot = mph.slots(rows["h1"])
-        fingerprint = np.zeros(mph.n, dtype=np.uint64)
-        fingerprint[slot] = rows["h2"]
-        own = fingerprint[slot] == rows["h2"]
-        count = np.bincount(slot[own], weights=rows["n"][own], minlength=mph.n).astype(np.int64)
-        smallest = np.full(mph.n, ABSENT, dtype=np.int64)
-        np.minimum.at(smallest, slot[own], rows["doc"][own])
-        # Two lines whose first 64 bits agree and whose others don't: kept apart by the whole hash.
-        other: dict[tuple, list[int]] = {}
-        for r in rows[~own]:
-            seen = other.setdefault((r["h1"], r["h2"]), [0, ABSENT])
-            other[r["h1"], r["h2"]] = [seen[0] + int(r["n"]), min(seen[1], int(r["doc"]))]
+        index = CompactIndex(rows["h1"], rows["h2"])
+        slot = index.find(rows["h1"], rows["h2"])
+        count, nameless, smallest = np.zeros(index.n, dtype=np.int64), np.zeros(index.n, dtype=np.int64), np.full(index.n, ABSENT, dtype=np.int64)
+        np.add.at(count, slot, rows["n"] >> 1)
+        np.maximum.at(nameless, slot, rows["n"] & 1)
+        np.minimum.at(smallest, slot, rows["doc"])
+        count += nameless
         out_blocks, answers = [], []
         for blk, part in zip(blocks, packed):
-            at = mph.slots(part["h1"])
-            known = fingerprint[at] == part["h2"]
-            n, least = count[at], smallest[at]
-            for i in np.flatnonzero(~known):
-                n[i], least[i] = other[part["h1"][i], part["h2"][i]]
-            dup = n >= min_docs
+            at = index.find(part["h1"], part["h2"])
+            dup = count[at] >= min_docs
             if dup.any():
-                chosen = np.zeros(int(dup.sum()), dtype=[("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8")])
-                chosen["h1"], chosen["h2"], chosen["doc"] = part["h1"][dup], part["h2"][dup], least[dup]
+                chosen = np.zeros(int(dup.sum()), dtype=_ANSWER)
+                chosen["h1"], chosen["h2"], chosen["doc"] = part["h1"][dup], part["h2"][dup], smallest[at[dup]]
                 out_blocks.append(blk)
                 answers.append(chosen.tobytes())
-        return pa.table({"__blk": pa.array(out_blocks, pa.int32()), "keys": pa.array(answers, pa.binary())})
+        return pa.table({block: pa.array(out_blocks, pa.int32()), "keys": pa.array(answers, pa.binary())})
 
     return run
 
 
 def _rewrite(id_col: str, text_col: str, min_chars: int, schema_names: list[str]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        owner: dict[bytes, int] = {}
-        for packed in answers.column("keys").to_pylist():
-            for i in range(0, len(packed), 24):
-                owner[packed[i : i + 16]] = int.from_bytes(packed[i + 16 : i + 24], "little", signed=True)
+        found = np.frombuffer(b"".join(answers.column("keys").to_pylist()), dtype=_ANSWER)
+        index = CompactIndex(found["h1"], found["h2"])
+        owner = np.full(index.n, ABSENT, dtype=np.int64)
+        owner[index.find(found["h1"], found["h2"])] = found["doc"]
         texts, n_lines, n_dropped = [], [], []
         for raw, doc in zip(text_bytes(docs, text_col), _ids(docs, id_col).tolist()):
             lines = raw.split(b"\n")
-            kept = []
-            for line in lines:
-                key = line_key(line, min_chars) if owner else None
-                if key is None or owner.get(xxhash.xxh3_128_digest(key), doc) == doc:
-                    kept.append(line)
-            texts.append(b"\n".join(kept) if len(kept) < len(lines) else raw)
+            keyed = [(i, k) for i, x in enumerate(lines) if (k := line_key(x, min_chars)) is not None] if index.n else []
+            gone: set[int] = set()
+            if keyed:
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for _, k in keyed]), dtype="<u8").reshape(-1, 2)
+                at = index.find(h[:, 0], h[:, 1])
+                gone = {keyed[i][0] for i in np.flatnonzero((at >= 0) & (owner[at] != doc))}
+            texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else raw)
             n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(kept))
+            n_dropped.append(len(gone))
         new = {text_col: pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string()) if texts else pa.array([], pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
         return pa.table([new[c] if c in new else docs.column(c) for c in schema_names], names=schema_names)
 
@@ -176,9 +198,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p = shuffle_partitions(spark)
     blocks, shards = blocks or 3 * p, shards or p
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    blocked = without(docs, "n_lines", "n_dropped").withColumn("__blk", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int"))
-    sent = blocked.groupBy("__blk").applyInArrow(_hash_block(id_col, text_col, min_chars, shards), "shard int, blk int, keys binary")
-    answers = sent.groupBy("shard").applyInArrow(_index_and_probe(min_docs), "__blk int, keys binary")
+    plain = without(docs, "n_lines", "n_dropped")
+    (block,) = unused(plain, "blk")
+    # Rows without an id are one document, dealt over the blocks by their texts.
+    of = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
+    blocked = plain.withColumn(block, F.pmod(of, F.lit(blocks)).cast("int"))
+    sent = blocked.groupBy(block).applyInArrow(_hash_block(id_col, text_col, min_chars, shards), "shard int, blk int, keys binary")
+    answers = sent.groupBy("shard").applyInArrow(_index_and_probe(min_docs, block), f"`{block}` int, keys binary")
     out_names = [*names, "n_lines", "n_dropped"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", n_lines long, n_dropped long"
-    return blocked.groupBy("__blk").cogroup(answers.groupBy("__blk")).applyInArrow(_rewrite(id_col, text_col, min_chars, out_names), schema)
+    return blocked.groupBy(block).cogroup(answers.groupBy(block)).applyInArrow(_rewrite(id_col, text_col, min_chars, out_names), schema)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, materialize
+from corvane.llm.common import WORD, materialize, materialize_at, shared_path
 
 #: Documents of one source and size that are ranked together when copies are dealt out.
 CELL_ROWS = 2048
@@ -52,7 +52,8 @@ def solve_multipliers(cells: DataFrame, sources: DataFrame, limit: float, tolera
     mean = F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9))
     low = F.when(F.col("target") < F.col("source_size"), mean * F.ln(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size"))).otherwise(F.lit(0.0))
     lam = sources.select("source", "source_size", "target", mean.alias("mean"), F.lit(0.0).alias("lam"), low.alias("low"), (mean * math.log(limit)).alias("high"), (F.col("target") >= limit * F.col("source_size") * (1 - 1e-12)).alias("full"))
-    lam = materialize(lam.coalesce(1), "mix-step")
+    last = shared_path(cells.sparkSession, "mix-step")
+    lam = materialize_at(lam.coalesce(1), last)
     for _ in range(most_steps):
         rate = _rate(limit)
         tokens = F.col("n") * F.col("size") * rate
@@ -64,7 +65,9 @@ def solve_multipliers(cells: DataFrame, sources: DataFrame, limit: float, tolera
         newton = F.col("lam") - F.col("gap") / F.greatest(F.col("h"), F.lit(1e-300))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         nxt = F.when(F.abs("gap") <= tolerance * F.col("target"), F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        lam = materialize(step.select("source", "source_size", "target", "mean", nxt.alias("lam"), "low", "high", "full", "gap").coalesce(1), "mix-step")
+        path = shared_path(cells.sparkSession, "mix-step")
+        lam = materialize_at(step.select("source", "source_size", "target", "mean", nxt.alias("lam"), "low", "high", "full", "gap").coalesce(1), path, last)
+        last = path
         worst = lam.agg(F.max(F.abs("gap") / F.greatest(F.col("target"), F.lit(1e-9)))).first()[0]
         if worst is None or worst <= tolerance:
             break
@@ -89,7 +92,7 @@ def _whole_copies(cells: DataFrame, limit: int) -> DataFrame:
     return c.withColumn("m", F.col("m") + F.when(F.col("rest") > 0, move).otherwise(-move)).select("source", "size", "part", "n", "m", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: int = 2) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: int = 2, carry: bool = False) -> DataFrame:
     """How many copies of each document a mix of share times all words takes.
 
     Size is the number of words (null text: 0). Sources in code point order, null last, get
@@ -97,22 +100,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     target (of the source, in words), copies (0 to limit), taken (copies * size). A source's
     taken words miss its target by less than the size of one of its small documents; a
     source without words has target 0 and its documents get whole copies near rate 1.
-    Copies follow from the row's id, so reruns agree; rows that repeat an id are dealt copies
-    one by one. Null ids hash alike and are dealt copies one by one. Empty table: empty result.
+    Copies follow from the row's id and text, so reruns agree; rows that repeat an id, or have
+    none, are dealt copies one by one. Empty table: empty result. With carry, also the row of
+    docs itself as a struct named row; its columns may have any names. The distinct sources
+    are ranked in one task: millions fit, a source for each document would not.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(sized, "mix-sizes")
+    key = F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)).alias("key")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    wide, sized = sized, materialize(sized.drop("row"), "mix-sizes")
     counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("s"), F.col("size").alias("z"), F.ceil(F.col("n") / CELL_ROWS).alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    placed = sized.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("doc_id", "source", "size", part.alias("part"))
-    placed = materialize(placed, "mix-placed")
+    counts = materialize(counts, "mix-counts")
+
+    def place(rows: DataFrame) -> DataFrame:
+        part = F.pmod("key", F.col("parts")).cast("int")
+        return rows.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(*rows.columns, part.alias("part"))
+
+    placed = materialize(place(sized), "mix-placed")
     cells = materialize(placed.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
     lam = solve_multipliers(cells, materialize(water_fill(sources, weights, share, float(limit)), "mix-targets"), float(limit))
     rated = cells.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", _rate(float(limit))).drop("s")
     dealt = _whole_copies(rated, limit).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "n", "m", "source_size", "target")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit("mix"), F.col("doc_id")), "doc_id"))
-    ranked = placed.withColumn("rank", rank)
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("key", "doc_id"))
+    ranked = (place(wide) if carry else placed).withColumn("rank", rank)
     out = ranked.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
     copies = F.floor(F.col("m") / F.col("n")) + (F.col("rank") <= F.pmod("m", "n")).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(["row"] if carry else []))

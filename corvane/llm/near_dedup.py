@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, mix64, shuffle_partitions, text_bytes, word_hashes
+from corvane.llm.common import join_hot, materialize, mix64, shuffle_partitions, text_bytes, unused, word_hashes
 from corvane.llm.components import connected_components
 
 BANDS, ROWS = 26, 5
@@ -182,7 +182,7 @@ def _compare_signatures(least_share: float):
     return run
 
 
-def _grid(rows: DataFrame, key: str) -> DataFrame:
+def _grid(rows: DataFrame, key: str, total: int) -> DataFrame:
     """Deals rows (key, doc, comp) of groups with several components into cells, so that any two
     rows of one group and different components meet in a cell of at most about 2 * CELL rows.
 
@@ -191,8 +191,8 @@ def _grid(rows: DataFrame, key: str) -> DataFrame:
     other's."""
     per = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy(key).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("comps"))
-    top = top.where("comps > 1").select(F.col(key).alias("k"), F.col("top.comp").alias("main"), F.col("n"), F.ceil(F.col("top.c") / CELL).cast("int").alias("gm"), F.ceil((F.col("n") - F.col("top.c")) / CELL).cast("int").alias("go"))
-    r = rows.join(top, F.col(key) == F.col("k"))
+    top = top.where("comps > 1").select(key, F.col("top.comp").alias("main"), F.col("n"), F.ceil(F.col("top.c") / CELL).cast("int").alias("gm"), F.ceil((F.col("n") - F.col("top.c")) / CELL).cast("int").alias("go"))
+    r = join_hot(rows, top, key, "n", total, F.xxhash64("doc")).withColumn("k", F.col(key))
     spread = F.xxhash64("doc", F.lit(7))
     is_main = F.col("comp") == F.col("main")
     own_m, own_o = F.pmod(spread, F.col("gm")).cast("int"), F.pmod(spread, F.col("go")).cast("int")
@@ -222,9 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of other than white space, A-Z lower-cased; a text of fewer words than a
     shingle is one shingle; a text without words, or null, has none and is linked with nothing.
-    Returns for each distinct (id, text): doc_id (long), n_shingles, component_id (smallest id
-    reachable), kept (doc_id = component_id). Rows of one id and different texts are one node
-    of the graph. A null id takes no part: component_id null, kept true. Ties and repeated rows
+    Returns for each row: doc_id (long), n_shingles, component_id (smallest id reachable), kept
+    (doc_id = component_id). Rows of one id and different texts are one node of the graph. A null id takes no part: component_id null, kept true. Ties and repeated rows
     fall into one class. Empty table: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -232,14 +231,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = materialize(base.mapInArrow(_sign(words, bands, rows), "doc long, n long, ident binary, bands array<long>, sig binary"), "near-signed")
     taking_part = signed.where("doc IS NOT NULL AND n > 0")
-    classes = taking_part.groupBy("ident").agg(F.min("doc").alias("rep"))
+    classes = taking_part.groupBy("ident").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    total = signed.count()
     reps = taking_part.join(classes.select(F.col("rep").alias("doc"), "ident"), ["doc", "ident"], "left_semi").dropDuplicates(["doc", "ident"])
 
     # Sets whose sizes differ by more than the threshold allows can't be linked: 1.25 at 80 %.
     size_class = F.floor(F.ln(F.col("n")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
     keys = reps.select("doc", size_class.alias("k"), F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = materialize(keys.join(shared, "bucket"), "near-members")
+    members = materialize(join_hot(keys, shared, "bucket", "c", total, F.xxhash64("doc")), "near-members")
     wanted = materialize(members.select("doc").distinct(), "near-candidates")
     few = wanted.count() <= BROADCAST_IDS
     texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
@@ -265,23 +265,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = materialize(connected_components(bridges), "near-components")
 
     # What is left between components.
-    dealt = _grid(_with_component(members.select("doc", "bucket"), comps), "bucket").join(reps.select("doc", "sig"), "doc")
+    dealt = _grid(_with_component(members.select("doc", "bucket"), comps), "bucket", total).join(reps.select("doc", "sig"), "doc")
     close = dealt.withColumn("grp", group).groupBy("grp").applyInArrow(_compare_signatures(percent / 100 - MARGIN), edge)
     rough = materialize(connected_components(close), "near-rough")
-    left = _grid(_with_component(rough.select(F.col("node").alias("doc"), F.col("component").alias("rough")), comps), "rough")
+    left = _grid(_with_component(rough.select(F.col("node").alias("doc"), F.col("component").alias("rough")), comps), "rough", total)
     more = left.join(texts, "doc").withColumn("grp", group).groupBy("grp").applyInArrow(compare, edge)
     more = materialize(more, "near-edges")
     if not more.isEmpty():
         comps = materialize(connected_components(_stars(comps).unionAll(more)), "near-components")
 
-    of = _with_component(classes.select("ident", F.col("rep").alias("doc")), comps).select("ident", "comp")
-    out = signed.dropDuplicates(["doc", "ident"]).join(of, "ident", "left")
+    # Texts without words and rows without an id have no class.
+    of = _with_component(classes.select("ident", "copies", F.col("rep").alias("doc")), comps).select("ident", "copies", "comp")
+    narrow = signed.select("doc", "n", "ident")
+    classed = join_hot(narrow.where("doc IS NOT NULL AND n > 0"), of, "ident", "copies", total, F.xxhash64("doc")).select("doc", "n", "comp")
+    out = classed.unionAll(narrow.where("doc IS NULL OR n = 0").select("doc", "n", F.lit(None).cast("long").alias("comp")))
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("comp"))
     out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """Rows of docs whose document stands for its component; columns unchanged."""
-    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The row of docs that stands for each component; columns unchanged. Of rows that repeat the
+    id that stays, that of smallest text hash stays; rows without an id all stay."""
+    (own,) = unused(docs, "own")
+    found = near_duplicates(docs, id_col, text_col, **settings).where("kept AND doc_id IS NOT NULL")
+    kept = materialize(found.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    same = F.col(id_col).cast("long") == F.col(own)
+    once = docs.join(kept.where("n = 1"), same, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    again = docs.join(kept.where("n > 1"), same, "left_semi")
+    first = again.groupBy(F.col(id_col).cast("long")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64(text_col), F.col(text_col))).alias("r")).select("r.*")
+    return once if kept.where("n > 1").isEmpty() else once.unionByName(first)

@@ -81,12 +81,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Trees fitted on labelled rows whose crc32(id as text) mod 3 is not 1.
 
     Of more than most_rows such rows, those of smallest hash are taken. Null labels and labels
-    without a document are skipped; labels of one class only, or none, give a constant score."""
+    without a document are skipped; an id that repeats, in docs or labels, gives a row for each
+    pair, within most_rows; labels of one class only, or none, give a constant score."""
     train = labels.where((F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) != 1) & F.col(label_col).isNotNull())
     train = train.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("label"))
     sample = train.orderBy(F.xxhash64("doc"), "doc", "label").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc")
-    got = rows.mapInArrow(_statistics("text", pa.list_(pa.float64())), "doc long, label int, x array<double>").collect()
+    stats = rows.mapInArrow(_statistics("text", pa.list_(pa.float64())), "doc long, label int, x array<double>")
+    got = stats.orderBy(F.xxhash64("doc"), "doc", "label", "x").limit(most_rows).collect()  # ids may repeat
     got.sort(key=lambda r: (r.doc, r.label, r.x))
     x = np.array([r.x for r in got], dtype=float).reshape(-1, N_STATISTICS)
     return fit_boosted(x, np.array([r.label for r in got], dtype=float))

@@ -13,7 +13,6 @@ from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import fit_quality, score_quality
-
 from corvane.llm.secret_scan import fit_secret_model, scan_secrets
 from corvane.llm.subword import encode_samples, vocabulary_of
 from corvane.llm.topk import top_k_search
@@ -73,7 +72,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = fit_quality(docs, table(spark, sf_dir, "labels"))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     return score_quality(docs, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

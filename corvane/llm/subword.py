@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mix64
+from corvane.llm.common import mix64, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the texts that are sampled together, and arcs a worker keeps between batches.
@@ -448,13 +448,14 @@ def encode_samples(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "samples"])
     names = plain.columns
-    keyed = plain.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col).cast("long")))
+    (key,) = unused(plain, "key")
+    keyed = plain.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            seeds = mix64(np.array(batch.column("__key").to_pylist(), dtype=np.int64).view(np.uint64))
+            seeds = mix64(np.array(batch.column(key).to_pylist(), dtype=np.int64).view(np.uint64))
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0

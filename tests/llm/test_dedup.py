@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
 from corvane.llm.exact_dedup import exact_dedup
-from corvane.llm.line_dedup import MinimalPerfectHash, line_dedup
-from corvane.llm.near_dedup import near_duplicates, shingle_set
+from corvane.llm.line_dedup import CompactIndex, MinimalPerfectHash, line_dedup
+from corvane.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_set
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -38,14 +38,25 @@ def test_minimal_perfect_hash_is_minimal_and_perfect():
     assert MinimalPerfectHash(np.zeros(0, dtype=np.uint64)).n == 0
 
 
+def test_compact_index_tells_all_hashes_apart():
+    r = np.random.default_rng(2)
+    h1, h2 = r.integers(0, 40, 300).astype(np.uint64), r.integers(0, 6, 300).astype(np.uint64)  # first halves clash
+    index = CompactIndex(h1, h2)
+    slot = index.find(h1, h2)
+    of = {(a, b): s for a, b, s in zip(h1.tolist(), h2.tolist(), slot.tolist())}
+    assert index.n == len(of) and sorted(of.values()) == list(range(index.n))
+    assert index.find(np.array([1000, h1[0]], dtype=np.uint64), np.array([0, 77], dtype=np.uint64)).tolist() == [-1, -1]
+    assert CompactIndex(h1[:0], h2[:0]).find(h1, h2).tolist() == [-1] * 300
+
+
 def test_line_dedup_against_brute_force(spark):
     r = random.Random(3)
     pool = [" ".join(r.choice(["alpha", "Beta", "äöü", "x"]) for _ in range(r.randint(1, 5))) for _ in range(30)]
     rows = [(i, r.choice(["\n", "\r\n"]).join(r.choice(["", " ", "\t"]) + r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "same line of text\nsame line of text"), (103, "SAME line of text  "), (104, "short"), (105, "short"), (106, "long " * 5000 + "\nsame line of text")]
-    docs = spark.createDataFrame([(d, t, "extra", 1) for d, t in rows], DOCS + ", `odd name` string, n_lines int")
+    docs = spark.createDataFrame([(d, t, "extra", 1) for d, t in rows], DOCS + ", `odd name` string, n_lines int").withColumn("__blk", F.lit("b")).withColumn("BLK", F.lit(1))
     out = line_dedup(docs, blocks=5, shards=3)
-    assert out.columns == ["doc_id", "text", "odd name", "n_lines", "n_dropped"]
+    assert out.columns == ["doc_id", "text", "odd name", "__blk", "BLK", "n_lines", "n_dropped"]
     assert sorted((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in out.collect()) == brute_lines(rows)
 
 
@@ -54,6 +65,9 @@ def test_line_dedup_empty_null_and_repeated_ids(spark):
     rows = [(1, "a line that is long"), (1, "a line that is long"), (None, "a line that is long"), (2, "another line here")]
     out = {(x.doc_id, x.text, x.n_dropped) for x in line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
     assert out == {(1, "a line that is long", 0), (None, "", 1), (2, "another line here", 0)}
+    # Rows without an id are one document, wherever their texts take them.
+    alone = [(None, f"only without an id\n{i}") for i in range(9)]
+    assert {x.n_dropped for x in line_dedup(spark.createDataFrame(alone, DOCS), blocks=7, shards=2).collect()} == {0}
 
 
 def expected_groups(rows):
@@ -163,6 +177,15 @@ def test_near_duplicates_against_brute_force(spark, words):
     assert sorted(tuple(x) for x in got.collect()) == brute_near(rows, words, 80)
 
 
+def brute_near_of_few(rows):
+    """As brute_near, over the few distinct texts."""
+    first = {}
+    for d, t in sorted(rows):
+        first.setdefault(t, d)
+    of = {d: (n, c) for d, n, c, _ in brute_near([(d, t) for t, d in first.items()], 2, 80)}
+    return sorted((d, of[first[t]][0], of[first[t]][1], d == of[first[t]][1]) for d, t in rows)
+
+
 def test_near_duplicates_large_group_is_split_into_cells(spark):
     r = random.Random(9)
     base = [f"b{i}" for i in range(60)]
@@ -179,8 +202,19 @@ def test_near_duplicates_large_group_is_split_into_cells(spark):
 def test_near_duplicates_nulls_repeats_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "A b c d e f g")]
-    got = {tuple(x) for x in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {(1, 3, 1, True), (None, 3, None, True), (2, 3, 1, False)}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((tuple(x) for x in near_duplicates(docs).collect()), key=str)
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True)]
+    left = drop_near_duplicates(docs.withColumn("own", F.lit("x"))).collect()
+    assert sorted((str(x.doc_id), x.own) for x in left) == [("1", "x"), ("None", "x")]
+    two = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "u v w x y z"), (4, "u v w x y z")], DOCS)
+    assert [x.doc_id for x in drop_near_duplicates(two).collect()] == [1]
+
+
+def test_near_duplicates_hot_copies_are_dealt(spark):
+    rows = [(i, "copy of one text that is held by many rows") for i in range(2600)] + [(5000 + i, f"copy of one text that is held by many rows {i % 3}") for i in range(40)]
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), words=2).collect()
+    assert sorted(tuple(x) for x in got) == brute_near_of_few(rows)
 
 
 def test_shingles_ignore_case_of_a_to_z_only():

@@ -38,7 +38,8 @@ def test_archives_round_trip(spark, tmp_path):
     assert all(x.request is not None and x.metadata is not None for x in got)
     write_warc(pages, str(tmp_path / "w"))
     read = read_warc(spark, str(tmp_path / "w")).where("kind = 'response'").collect()
-    assert sorted(x.payload for x in read) == sorted({(t or "").encode() for _, _, t in rows} | {b"one"}) + [] or len(read) == 7
+    # One response of each payload; of the rows that repeat the largest id and the payload, both.
+    assert sorted(x.payload for x in read) == sorted([*{(t or "").encode() for _, _, t in rows}, b"one"])
     assert archive_and_read(spark.createDataFrame([], PAGES)).collect() == []
 
 

@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 from collections import defaultdict
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.mixing import mix_sources, water_fill
+from corvane.llm.mixing import mix_sources, solve_multipliers, water_fill
 from corvane.llm.topk import search_blocks, top_k_search
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -26,7 +27,7 @@ def test_top_k_against_brute_force(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-0.5, 0.5) for _ in range(6)]) for i in range(300)]
     rows += [(300 + i, [0.25] * 6) for i in range(50)]  # ties
-    rows += [(400, None), (401, [0.1, None, 0, 0, 0, 0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(400, None), (401, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame([(*x, 3) for x in rows], VECTORS + ", rank int")
     got = top_k_search(df, df.where("vec_id % 50 = 0"), k=5).collect()
     assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_top(rows, {i for i, _ in rows if i is not None and i % 50 == 0}, 5)
@@ -105,6 +106,31 @@ def test_rates_are_exponentially_tilted(spark):
     assert rate[100] < rate[10] <= 2
 
 
+def test_rates_solve_the_dual(spark):
+    """Multipliers against plain bisection on each source's tilted sum."""
+    r = random.Random(3)
+    sizes = {"a": [r.randint(0, 300) for _ in range(900)], "b": [r.randint(1, 40) for _ in range(500)], "c": [5] * 50}
+    cells = [(s, z, 0, n) for s, of in sizes.items() for z, n in sorted(collections.Counter(of).items())]
+    target = {"a": 0.4 * sum(sizes["a"]), "b": 1.7 * sum(sizes["b"]), "c": 2.0 * sum(sizes["c"])}
+    df = spark.createDataFrame(cells, "source string, size long, part int, n long")
+    of = spark.createDataFrame([(s, len(x), sum(x), target[s]) for s, x in sizes.items()], "source string, docs long, source_size long, target double")
+    got = {x.source: x for x in solve_multipliers(df, of, 2.0).collect()}
+    assert got["c"].full
+    for s in "ab":
+        mean, low, high = sum(sizes[s]) / len(sizes[s]), -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            total = sum(z * min(2.0, math.exp(min(50.0, mid * z / mean))) for z in sizes[s])
+            low, high = (mid, high) if total < target[s] else (low, mid)
+        assert got[s].lam == pytest.approx(low, rel=1e-4)
+
+
+def test_mix_carries_rows(spark):
+    rows = [(1, "a b", "s", 5), (1, "a b c", "s", 6), (None, None, None, 7)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, `row` int"), carry=True).collect()
+    assert sorted((x["row"]["text"] or "", x["row"]["row"], x.size) for x in out) == [("", 7, 0), ("a b", 5, 2), ("a b c", 6, 3)]
+
+
 def test_mix_degenerate_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mix_sources(spark.createDataFrame([], schema)).collect() == []
