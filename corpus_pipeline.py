@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
@@ -35,12 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    dealt = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    # Rows that repeat an id were dealt copies one by one: pair them up again by number.
-    left = docs.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    right = dealt.withColumn("__m", F.row_number().over(Window.partitionBy("__id").orderBy(F.col("copies").desc())))
-    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__m")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    dealt = mix_sources(docs.select(*COLUMNS), carry=True).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
