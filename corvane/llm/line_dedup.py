@@ -162,18 +162,25 @@ def _rewrite(id_col: str, text_col: str, min_chars: int, schema_names: list[str]
         index = CompactIndex(found["h1"], found["h2"])
         owner = np.full(index.n, ABSENT, dtype=np.int64)
         owner[index.find(found["h1"], found["h2"])] = found["doc"]
-        texts, n_lines, n_dropped = [], [], []
-        for raw, doc in zip(text_bytes(docs, text_col), _ids(docs, id_col).tolist()):
-            lines = raw.split(b"\n")
-            keyed = [(i, k) for i, x in enumerate(lines) if (k := line_key(x, min_chars)) is not None] if index.n else []
-            gone: set[int] = set()
-            if keyed:
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for _, k in keyed]), dtype="<u8").reshape(-1, 2)
-                at = index.find(h[:, 0], h[:, 1])
-                gone = {keyed[i][0] for i in np.flatnonzero((at >= 0) & (owner[at] != doc))}
-            texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else raw)
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone))
+        texts, ids = text_bytes(docs, text_col), _ids(docs, id_col)
+        n_lines, n_dropped = [raw.count(b"\n") + 1 for raw in texts], [0] * len(texts)
+        digests: list[bytes] = []
+        lines_of, count = [], []
+        for raw in texts if index.n else ():  # one probe for all lines of the block
+            before = len(digests)
+            for i, x in enumerate(raw.split(b"\n")):
+                if (k := line_key(x, min_chars)) is not None:
+                    digests.append(xxhash.xxh3_128_digest(k))
+                    lines_of.append(i)
+            count.append(len(digests) - before)
+        h = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+        of = np.repeat(np.arange(len(count)), count)
+        at = index.find(h[:, 0], h[:, 1])
+        gone = np.flatnonzero((at >= 0) & (owner[at] != ids[of])) if index.n else at
+        for part in np.split(gone, np.flatnonzero(np.diff(of[gone])) + 1) if len(gone) else ():
+            doc, dropped = int(of[part[0]]), {lines_of[i] for i in part}
+            texts[doc] = b"\n".join([x for i, x in enumerate(texts[doc].split(b"\n")) if i not in dropped])
+            n_dropped[doc] = len(dropped)
         new = {text_col: pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string()) if texts else pa.array([], pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
         return pa.table([new[c] if c in new else docs.column(c) for c in schema_names], names=schema_names)
 
