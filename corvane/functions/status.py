@@ -81,3 +81,24 @@ def voxel_line(value: Column, x: Column, y: Column, z: Column, text: Column) ->
     """Value clamped to 0..1 in front of its place and text."""
     v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
     return F.format_string("[RPI: %.2f] (%s, %s, %s) %s", v, x, y, z, F.regexp_replace(F.coalesce(text, F.lit("")), "\n", "<br>"))
+
+
+# Hosts that may be asked.
+ALLOWED_HOSTS = ["api.crossref.org", "api.openalex.org", "export.arxiv.org", "eutils.ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "doi.org"]
+
+
+def url_host(url: Column) -> Column:
+    """The lower-cased host of an absolute URL, without user, port or brackets; else empty."""
+    return F.lower(F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:@\[\]]*))", 2))
+
+
+def is_private_address(address: Column) -> Column:
+    """IPv4 addresses that are private, loopback, link-local, shared, reserved or multicast."""
+    return F.regexp_like(F.coalesce(address, F.lit("")), F.lit(r"^(?:0|10|127)\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.(?:0\.[02]|168)\.|^198\.(?:1[89]\.|51\.100\.)|^203\.0\.113\.|^2(?:2[4-9]|[345]\d)\."))
+
+
+def is_allowed_url(url: Column, hosts: list[str] = ALLOWED_HOSTS, addresses: Column | None = None) -> Column:
+    """https and a host of the list; where its landed addresses are given, none of them private,
+    and at least one (C46)."""
+    ok = F.regexp_like(F.lower(F.trim(F.coalesce(url, F.lit("")))), F.lit("^https://")) & url_host(url).isin(hosts)
+    return ok if addresses is None else ok & F.coalesce((F.size(addresses) > 0) & ~F.exists(addresses, is_private_address), F.lit(False))

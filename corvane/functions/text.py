@@ -25,6 +25,8 @@ CITATION_NEEDED = r"(?i)研究指出|文獻顯示|已被證實|previous studies|
 NON_EVIDENCE_TITLE = r"(?i)^\s*([0-9]+[.\s]*)*\s*(references?|bibliography|acknowledge?ments?)\s*$|uncovered\s+ocr"
 POSITION_LABELS = [(0.12, "Abstract"), (0.35, "Introduction"), (0.62, "Methods"), (0.82, "Results"), (0.94, "Discussion")]
 HEADING_TYPES = ["title", "maintitle", "subtitle", "subsubtitle", "heading", "section_title"]
+TEMPLATE_TITLES = r"(?U)研究背景與動機|context\s*&\s*background|project background"
+RETRYABLE = ["timeout", "timed out", "request failed after", "503", "429", "resource_exhausted", "quota throttle", "rate limit", "connection reset"]
 LATEX_WORDS = r"(?i)\b(sum|prod|frac|sqrt|alpha|beta|gamma|theta|lambda)\b"
 STOP_WORDS = "the and for with from that this into using based study research analysis of in on to a an".split()
 
@@ -46,10 +48,12 @@ def sanitize(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words; a run of CJK becomes its character pairs, a single one stays."""
+    """Lower-cased words; a run of CJK becomes its character pairs, a single one stays.
+    Words are looked at one by one only in texts that hold such a run."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RUN), F.lit(0))
     cjk = F.lit(rf"^[{CJK}]{{2,}}$")
-    return F.flatten(F.transform(runs, lambda r: F.when(F.regexp_like(r, cjk), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))).otherwise(F.array(r))))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.regexp_like(r, cjk), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))).otherwise(F.array(r))))
+    return F.when(F.regexp_like(text, F.lit(f"[{CJK}]{{2}}")), pairs).otherwise(runs)
 
 
 def chain_tokens(text: Column) -> Column:
@@ -177,12 +181,13 @@ def label_by_position(page: Column, pages: Column) -> Column:
 
 
 def is_garbage_fragment(text: Column) -> Column:
-    """Under 40 characters with mathematical symbols, half short tokens, or few letters."""
+    """Empty, or under 40 characters with brackets or mathematical signs, half short tokens, or
+    under 6 letters (C18)."""
     t = squash(text)
     parts = F.filter(F.split(t, " "), lambda w: F.length(w) > 0)
     short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
-    symbols = F.regexp_like(t, F.lit(r"[=+^_{}\\<>|~]"))
-    return (F.length(t) < 40) & (symbols | (2 * short >= F.size(parts)) | (F.regexp_count(t, F.lit(f"[A-Za-z{CJK}]")) < 6))
+    symbols = F.regexp_like(t, F.lit(r"(?U)[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]"))
+    return (t == "") | (F.length(t) < 40) & (symbols | (2 * short >= F.size(parts)) | (F.regexp_count(t, F.lit(f"[A-Za-z{CJK}]")) < 6))
 
 
 def is_failed_equation(text: Column) -> Column:
@@ -206,25 +211,30 @@ def is_mostly_chinese(text: Column, threshold: float = 0.4) -> Column:
 
 
 def has_degenerate_repetition(text: Column) -> Column:
-    """A run of 8 equal characters, or a cycle of 2 to 4 repeated 6 times in the second half."""
-    t = F.coalesce(text, F.lit(""))
+    """A run of 8 equal characters, or 6 turns of 2 to 4 characters that begin in the first
+    2, 4 or 6 to 8 places of the second half (C29)."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     tail = F.substr(t, F.floor(F.length(t) / 2).cast("int") + 1)
-    return F.regexp_like(t, F.lit(r"(\S)\1{7,}")) | F.regexp_like(tail, F.lit(r"(\S{2,4}?)\1{5,}"))
+    turns = [F.regexp_like(tail, F.lit(rf"(?sU)^.{{0,{2 * n - 1}}}(?!\s{{{n}}})(.{{{n}}})\1{{5}}")) for n in (2, 3, 4)]
+    return F.regexp_like(t, F.lit(r"(?U)(\S)\1{7}")) | turns[0] | turns[1] | turns[2]
 
 
 def is_noisy_summary(text: Column) -> Column:
-    """60 characters or more, hardly any Chinese, and much English or citations."""
+    """60 characters or more, hardly any Chinese, and much English, citations or odd tokens."""
     t = squash(text)
     zh, en = F.regexp_count(t, F.lit(f"[{CJK}]")), F.regexp_count(t, F.lit("[A-Za-z]"))
-    cites = F.regexp_count(t, F.lit(r"\[[0-9]+\]|\([A-Z][a-z]+ et al"))
-    return (F.length(t) >= 60) & (((zh <= 3) & (en >= 80)) | ((zh <= 5) & (cites >= 2)))
+    cites = F.regexp_count(t, F.lit(r"(?U)\[[0-9,\s]{1,20}\]"))
+    weird = F.regexp_like(t, F.lit(r"[~_|]{2}|[A-Za-z]{28}"))
+    return (F.length(t) >= 60) & (((zh <= 3) & (en >= 80)) | ((zh <= 5) & ((cites >= 2) | weird)))
 
 
 def is_plausible_title(title: Column) -> Column:
-    """3 to 260 characters, no placeholder, under two sentence ends."""
+    """3 to 260 characters, no placeholder or heading of a template, under two sentence ends, and
+    no long list of clauses (C28)."""
     t = squash(title)
-    ends = F.regexp_count(t, F.lit(r"[.!?。！？]\s"))
-    return F.length(t).between(3, 260) & ~F.lower(t).isin("untitled", "unknown", "none", "null", "n/a") & (ends < 2) & ~((F.length(t) > 120) & (F.regexp_count(t, F.lit(",")) >= 6))
+    ends, commas = F.regexp_count(t, F.lit(r"[。！？!?]")), F.regexp_count(t, F.lit(r"[，,；;]"))
+    known = F.lower(t).isin("untitled", "unknown", "n/a") | F.regexp_like(F.lower(t), F.lit(TEMPLATE_TITLES))
+    return F.length(t).between(3, 260) & ~known & (ends < 2) & ~((F.length(t) > 120) & (commas >= 8))
 
 
 def is_mergeable_body(kind: Column, text: Column, noise: Column) -> Column:
@@ -269,9 +279,11 @@ def retry_after_seconds(error: Column) -> Column:
 
 
 def is_retryable(error: Column) -> Column:
-    return F.regexp_like(F.lower(F.coalesce(error, F.lit(""))), F.lit("timeout|timed out|429|503|quota|resource_exhausted|unavailable|connection"))
+    """Whether an error names what may pass."""
+    return F.regexp_like(F.lower(F.coalesce(error, F.lit(""))), F.lit("|".join(RETRYABLE)))
 
 
 def is_daily_quota(error: Column) -> Column:
+    """A quota error that names a day or a model of a project."""
     e = F.lower(F.coalesce(error, F.lit("")))
-    return F.regexp_like(e, F.lit("quota|429")) & F.regexp_like(e, F.lit("per ?day|daily|perday|requestsperday"))
+    return F.regexp_like(e, F.lit("quota|429")) & F.regexp_like(e, F.lit("perday|per day|daily|perprojectpermodel"))

@@ -130,12 +130,19 @@ def coverage(rows: DataFrame, group: str) -> DataFrame:
     return g.withColumn("ref_ratio", F.round(F.col("covered") / F.col("refs"), 4)).withColumn("char_ratio", F.round(F.least(F.lit(2.0), F.col("kept_chars") / F.greatest(F.lit(1), F.col("chars"))), 4))
 
 
-def quality_metrics(blocks: DataFrame, group: str) -> DataFrame:
-    """Counts, mean length and reasons for low quality of a paper's blocks."""
-    text = F.trim(F.coalesce("text", F.lit("")))
-    g = blocks.where(text != "").groupBy(group).agg(F.count(F.lit(1)).alias("blocks"), F.sum(T.estimate_cjk(F.col("text"))).alias("tokens"), F.round(F.avg(F.length(text)), 4).alias("mean_chars"), F.sum(T.is_low_information(F.col("text")).cast("int")).alias("low"))
-    reasons = F.array_compact(F.array(F.when(F.col("blocks") < 3, "few_blocks"), F.when(F.col("mean_chars") < 60, "short_blocks"), F.when(F.col("low") > 0.5 * F.col("blocks"), "low_information")))
-    return g.withColumn("reasons", F.array_join(reasons, ","))
+def quality_metrics(blocks: DataFrame, group: str, *, min_blocks: int = 16, min_avg: float = 4.0, max_b: float = 0.92, min_avg_high_b: float | None = None) -> DataFrame:
+    """Blocks with text, their word runs, shares by reader and reasons for low quality.
+    blocks: (group, text, source); readers are told by the beginning of source."""
+    high = max(min_avg, 2 * min_avg) if min_avg_high_b is None else min_avg_high_b
+    text, reader = T.squash(F.col("text")), F.lower(F.trim(F.coalesce("source", F.lit(""))))
+    runs = F.regexp_count(text, F.lit(f"[A-Za-z0-9{T.CJK}]+"))
+    g = blocks.where(text != "").groupBy(group).agg(F.count(F.lit(1)).alias("block_count"), F.sum(runs).cast("long").alias("token_total"), F.count(F.when(reader.startswith("stack_a"), 1)).alias("stack_a_count"), F.count(F.when(reader.startswith("stack_b"), 1)).alias("stack_b_count"))
+    avg, share = F.col("token_total") / F.col("block_count"), F.col("stack_b_count") / F.col("block_count")
+    enough = F.col("block_count") >= min_blocks
+    few = F.when(enough & (avg < min_avg), F.format_string(f"avg_tokens_per_block=%.2f<{min_avg:.2f}", avg))
+    one = F.when(enough & (share > max_b) & (avg < high), F.format_string(f"stack_b_ratio=%.3f>{max_b:.3f} with avg_tokens=%.2f<{high:.2f}", share, avg))
+    g = g.withColumn("avg_tokens_per_block", F.round(avg, 4)).withColumn("stack_a_ratio", F.round(F.col("stack_a_count") / F.col("block_count"), 4)).withColumn("stack_b_ratio", F.round(share, 4))
+    return g.withColumn("reasons", F.array_compact(F.array(few, one))).withColumn("low_quality", F.size("reasons") > 0)
 
 
 def page_audit(blocks: DataFrame, page: list[str]) -> DataFrame:

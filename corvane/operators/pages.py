@@ -79,14 +79,25 @@ def merge_boxes(boxes: DataFrame, page: list[str], x_gap: int = 24, y_gap: int =
     return boxes.select(*page, "bbox").groupBy(*page).applyInPandas(run, boxes.select(*page, "bbox").schema)
 
 
-def pair_score(main, cap, page_w: float, page_h: float, same_column: bool) -> float:
-    """Overlap, gap, width and column of a figure or table and a caption (I32)."""
-    width = min(main[2], cap[2]) - max(main[0], cap[0])
-    overlap = max(0.0, width / max(1, min(main[2] - main[0], cap[2] - cap[0])))
-    gap = max(0, max(main[1], cap[1]) - min(main[3], cap[3]))
-    near = max(0.0, 1 - gap / max(1.0, 0.12 * page_h))
-    alike = 1 - min(1.0, abs((main[2] - main[0]) - (cap[2] - cap[0])) / max(1.0, page_w))
-    return 0.55 * min(1.0, overlap) + 0.25 * near + 0.12 * alike + 0.08 * same_column
+def pair_score(main, cap, page_w: float, page_h: float, main_column: str, cap_column: str) -> float:
+    """Overlap, gap, width and column of a figure or table and a caption (I32): nothing without
+    18 % of overlap, or unless the caption lies below or, closer, above."""
+    x1, y1, x2, y2 = (int(v) for v in main[:4])
+    u1, v1, u2, v2 = (int(v) for v in cap[:4])
+    width, other = x2 - x1, u2 - u1
+    if width <= 0 or other <= 0 or y2 <= y1 or v2 <= v1:
+        return 0.0
+    overlap = max(0, min(x2, u2) - max(x1, u1)) / min(width, other)
+    near = 0.0
+    if v1 >= y2:
+        near = 1 - (v1 - y2) / max(1, int(0.09 * page_h))
+    if y1 >= v2:
+        near = max(near, 0.85 * (1 - (y1 - v2) / max(1, int(0.03 * page_h))))
+    if overlap < 0.18 or near <= 0:
+        return 0.0
+    alike = 1 - abs(width - other) / max(width, other)
+    column = main_column == cap_column or "span" in (main_column, cap_column)
+    return min(1.0, 0.55 * overlap + 0.25 * near + 0.12 * alike + 0.08 * column)
 
 
 def pair_captions(blocks: DataFrame, page: list[str], page_w: float, page_h: float, least: float = 0.58) -> DataFrame:
@@ -100,7 +111,7 @@ def pair_captions(blocks: DataFrame, page: list[str], page_w: float, page_h: flo
             best, score = None, -1.0
             for c in captions:
                 if c["seq_id"] not in used:
-                    s = pair_score(m["bbox"], c["bbox"], page_w, page_h, m["column"] == c["column"])
+                    s = pair_score(m["bbox"], c["bbox"], page_w, page_h, m["column"], c["column"])
                     if s > score:
                         best, score = c, s
             if best is not None and score >= least:

@@ -17,8 +17,13 @@ def lexical_score(query: Column, words: Column, priority: Column | float = 1.0,
     q = F.array_distinct(query)
     overlap = F.size(F.array_intersect(q, words))
     tf = F.size(F.filter(words, lambda t: F.array_contains(q, t)))
-    coverage = overlap / F.greatest(F.lit(1), F.size(q))
-    saturated = tf / (tf + 1.5 + 0.25 * F.greatest(F.lit(0), F.size(words) - 80) / 80)
+    return score_of_counts(overlap, tf, F.size(q), F.size(words), priority, updated)
+
+
+def score_of_counts(overlap: Column, tf: Column, asked: Column, length: Column, priority: Column | float = 1.0, updated: Column | bool = True) -> Column:
+    """The score of a text of that many words, overlap distinct ones of the asked, tf in all."""
+    coverage = overlap / F.greatest(F.lit(1), asked)
+    saturated = tf / (tf + 1.5 + 0.25 * F.greatest(F.lit(0), length - 80) / 80)
     recency = F.when(F.lit(updated) if isinstance(updated, bool) else updated, 0.02).otherwise(0.0)
     return F.when(overlap > 0, F.round((0.58 * coverage + 0.37 * saturated + recency) * priority, 6)).otherwise(0.0)
 
@@ -39,17 +44,29 @@ def named_match(query: Column, *names: Column) -> Column:
 
 def score_evidence(evidence: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
     """Hits of each (id, text) query in evidence(paper_id, source_id, segment_id, title, text,
-    source_type, paper_title), without limit. Evidence is tokenised once and meets the queries as
-    an array of constants, so nothing is joined; hits of no overlap are dropped (G01)."""
+    source_type, paper_title), without limit; hits of score 0 are dropped (G01).
+
+    The queries' few distinct words are counted in each row's words once, and each query's score
+    is a sum of these counts, so nothing is joined or shuffled; rows leave as (row, query) only
+    where the score is above 0."""
+    spark = evidence.sparkSession
+    asked = spark.createDataFrame([(i, q) for i, q in queries], "id string, query string").select("id", "query", F.array_distinct(T.tokens(F.col("query"))).alias("q"), T.compact_identifier(F.col("query")).alias("c")).collect()
+    terms = sorted({w for r in asked for w in r.q})
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv])[F.col("source_type")], F.lit(0.5))
     body = F.concat_ws(" ", "paper_id", "source_id", "paper_id", "paper_title", "title", "text")
-    rows = evidence.where(~T.is_non_evidence_title(F.col("title"))).withColumn("words", T.tokens(body)).withColumn("priority", kind)
-    asked = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query"), T.tokens(F.lit(q)).alias("q")) for i, q in queries])
-    hits = rows.withColumn("hit", F.explode(asked)).where(F.arrays_overlap("words", "hit.q") | named_match(F.col("hit.query"), F.col("paper_id"), F.col("paper_title")))
-    named = named_match(F.col("hit.query"), F.col("paper_id"), F.col("paper_title"))
-    score = lexical_score(F.col("hit.q"), F.col("words"), F.col("priority"))
-    hits = hits.withColumn("named_match", named).withColumn("score", F.round(score + F.when(named, 1.0).otherwise(0.0), 6))
-    return hits.where("score > 0").select(F.col("hit.query_id").alias("query_id"), "paper_id", "source_id", "segment_id", "title", "text", "named_match", "score", T.estimate_quarter(F.col("text")).alias("estimated_tokens"))
+    names = F.array_distinct(F.concat(T.identifier_variants(F.col("paper_id")), T.identifier_variants(F.col("paper_title"))))
+    rows = evidence.where(~T.is_non_evidence_title(F.col("title"))).withColumn("words", T.tokens(body)).withColumn("names", names).withColumn("priority", kind)
+    rows = rows.withColumn("counts", F.array(*[F.size("words") - F.size(F.array_remove("words", w)) for w in terms]) if terms else F.array().cast("array<int>"))
+
+    def hit(r) -> Column:
+        own = [F.col("counts")[terms.index(w)] for w in r.q]
+        overlap, tf = (sum(x, F.lit(0)) for x in ([F.when(c > 0, 1).otherwise(0) for c in own], own))
+        named = F.exists("names", lambda a: F.lit(r.c).contains(a) | a.contains(r.c)) if r.c else F.lit(False)
+        return F.struct(F.lit(r.id).alias("query_id"), named.alias("named"), score_of_counts(overlap, tf, F.lit(len(r.q)), F.size("words"), F.col("priority")).alias("lexical"))
+
+    scored = F.transform(F.array(*[hit(r) for r in asked]), lambda h: F.struct(h["query_id"].alias("query_id"), h["named"].alias("named"), F.round(h["lexical"] + F.when(h["named"], 1.0).otherwise(0.0), 6).alias("score")))
+    hits = rows.withColumn("hit", F.explode(F.filter(scored, lambda h: h["score"] > 0)))
+    return hits.select("hit.query_id", "paper_id", "source_id", "segment_id", "title", "text", F.col("hit.named").alias("named_match"), "hit.score", T.estimate_quarter(F.col("text")).alias("estimated_tokens"))
 
 
 def best(hits: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -65,7 +82,9 @@ def per_paper_quota(hits: DataFrame, k: int, least: int = 3) -> DataFrame:
     best papers get least places each. What is left goes by score."""
     by_score = [F.col("score").desc(), F.col("source_id"), F.col("segment_id")]
     q, paper = Window.partitionBy("query_id"), Window.partitionBy("query_id", "paper_id")
-    h = hits.withColumn("n", F.row_number().over(q.orderBy(*by_score))).withColumn("of_paper", F.row_number().over(paper.orderBy(*by_score)))
+    # No paper gives more than k rows, so its best k are all that need be ranked.
+    h = hits.withColumn("of_paper", F.row_number().over(paper.orderBy(*by_score))).where(F.col("of_paper") <= k)
+    h = h.withColumn("n", F.row_number().over(q.orderBy(*by_score)))
     h = h.withColumn("first", F.min("n").over(paper)).withColumn("named", F.max(F.col("named_match").cast("int")).over(paper))
     h = h.withColumn("paper_rank", F.dense_rank().over(q.orderBy("first"))).withColumn("papers", F.max("paper_rank").over(q)).withColumn("rows", F.count(F.lit(1)).over(q))
     h = h.withColumn("n_named", F.sum(F.when((F.col("of_paper") == 1) & (F.col("named") == 1), 1).otherwise(0)).over(q))

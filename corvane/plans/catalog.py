@@ -433,11 +433,15 @@ def reflow_coverage(spark, sf):
     return L.coverage(r, "doc_id").select("doc_id", "refs", "covered", "ref_ratio", "char_ratio")
 
 
-@query(rf"""WITH b AS (SELECT doc_id, trim(text) AS tx, text, {_sq('text')} AS s FROM {_BLOCKS} WHERE trim(text) <> ''), g AS (SELECT doc_id, count(*) AS blocks, sum(floor(0.35::DOUBLE * length(text)))::BIGINT AS tokens, round(avg(length(tx)), 4) AS mean_chars, sum({_LOW}::INT) AS low FROM b GROUP BY doc_id)
-SELECT doc_id, blocks, tokens, mean_chars, array_to_string(list_filter([CASE WHEN blocks < 3 THEN 'few_blocks' END, CASE WHEN mean_chars < 60 THEN 'short_blocks' END, CASE WHEN low > 0.5 * blocks THEN 'low_information' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+@query(rf"""WITH b AS (SELECT doc_id, {_sq('text')} AS s, CASE WHEN pos % 9 = 4 THEN ' Stack_A.left' WHEN doc_id % 4 = 1 AND pos % 9 = 5 THEN '' ELSE 'stack_b' END AS src FROM {_BLOCKS}),
+g AS (SELECT doc_id, count(*) AS block_count, sum(len(regexp_extract_all(s, '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]+')))::BIGINT AS token_total, count(*) FILTER (WHERE starts_with(lower(trim(src)), 'stack_a')) AS stack_a_count, count(*) FILTER (WHERE starts_with(lower(trim(src)), 'stack_b')) AS stack_b_count FROM b WHERE s <> '' GROUP BY doc_id),
+v AS (SELECT *, token_total / block_count AS a, stack_b_count / block_count AS r FROM g)
+SELECT doc_id, block_count, token_total, stack_a_count, stack_b_count, round(a, 4) AS avg_tokens_per_block, round(stack_a_count / block_count, 4) AS stack_a_ratio, round(r, 4) AS stack_b_ratio,
+  (block_count >= 16 AND (a < 4 OR r > 0.92 AND a < 8)) AS low_quality, concat_ws(',', CASE WHEN block_count >= 16 AND a < 4 THEN printf('avg_tokens_per_block=%.2f<4.00', a) END, CASE WHEN block_count >= 16 AND r > 0.92 AND a < 8 THEN printf('stack_b_ratio=%.3f>0.920 with avg_tokens=%.2f<8.00', r, a) END) AS reasons FROM v""")
 def fusion_quality(spark, sf):
-    """E05."""
-    return L.quality_metrics(blocks(spark, sf), "doc_id").select("doc_id", "blocks", "tokens", "mean_chars", "reasons")
+    """Readers by position."""
+    reader = F.when(F.col("pos") % 9 == 4, " Stack_A.left").when((F.col("doc_id") % 4 == 1) & (F.col("pos") % 9 == 5), "").otherwise("stack_b")
+    return L.quality_metrics(blocks(spark, sf).withColumn("source", reader), "doc_id").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"""SELECT doc_id, page, sum((type = 'Body')::INT)::BIGINT AS body, sum((type = 'Figure')::INT)::BIGINT AS figure, sum((type = 'Table')::INT)::BIGINT AS "table", sum((type = 'Equation')::INT)::BIGINT AS equation, count(*) AS blocks, count(x0 % 50) <> count(DISTINCT x0 % 50) AS order_repeats FROM {_BLOCKS} GROUP BY doc_id, page""")
@@ -796,11 +800,52 @@ def percent_clamp(spark, sf):
     return t(spark, sf, "supplier").select("s_suppkey", v.alias("v"), B.clamp_percent(v).alias("pct"))
 
 
-@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, starts_with(url, 'https://') AND regexp_matches(url, '^https?://[^/?#]*example\.org') AS allowed FROM pages""")
+_URL = r"""CASE page_id % 9 WHEN 0 THEN 'https://api.crossref.org/works?q=' || page_id WHEN 1 THEN 'https://evildoi.org/' WHEN 2 THEN 'https://doi.org.evil/' WHEN 3 THEN 'HTTPS://User:pw@DOI.org:443/10.1/x' WHEN 4 THEN 'http://doi.org/10.1' WHEN 5 THEN 'https://doi.org@evil.org/' WHEN 6 THEN 'https://export.arxiv.org#a' WHEN 7 THEN 'https://evil.org/?u=https://doi.org/' ELSE url END"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_URL} AS u FROM pages)
+SELECT page_id, regexp_extract(lower(u), '^[a-z]+://(?:[^/?#]*@)?([^/?#:@]*)', 1) AS host, lower(u) LIKE 'https://%' AND regexp_extract(lower(u), '^[a-z]+://(?:[^/?#]*@)?([^/?#:@]*)', 1) IN ('api.crossref.org', 'api.openalex.org', 'export.arxiv.org', 'eutils.ncbi.nlm.nih.gov', 'pubmed.ncbi.nlm.nih.gov', 'doi.org') AS allowed FROM p""")
 def url_allow(spark, sf):
-    """C46."""
-    host = F.expr("try_parse_url(url, 'HOST')")
-    return t(spark, sf, "pages").select("page_id", host.alias("host"), (F.col("url").startswith("https://") & host.rlike(r"example\.org$")).alias("allowed"))
+    """pages' addresses and some that only look like an allowed one."""
+    u = t(spark, sf, "pages").select("page_id", F.expr(_URL).alias("u"))
+    return u.select("page_id", S.url_host(F.col("u")).alias("host"), S.is_allowed_url(F.col("u")).alias("allowed"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, squash AS s FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS squash FROM documents)),
+f AS (SELECT doc_id, unnest(range(0, greatest(1, (length(s) + 56) // 57))) AS n, s FROM d),
+t AS (SELECT doc_id, n, trim(substr(s, n * 57 + 1, 17 + n % 41)) AS x FROM f),
+w AS (SELECT *, string_split(x, ' ') AS p FROM t)
+SELECT doc_id, n, x = '' OR length(x) < 40 AND (regexp_matches(x, '[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]') OR 2 * len(list_filter(p, lambda v: length(v) <= 2)) >= len(p) OR len(regexp_extract_all(x, '[A-Za-z\x{4e00}-\x{9fff}]')) < 6) AS garbage FROM w""")
+def garbage_fragments(spark, sf):
+    """Pieces of documents."""
+    s = T.squash(F.col("text"))
+    pieces = t(spark, sf, "documents").select("doc_id", s.alias("s"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((F.length(s) + 56) / 57)).cast("int") - 1)).alias("n"))
+    x = F.trim(F.substr("s", (F.col("n") * 57 + 1).cast("int"), (F.col("n") % 41 + 17).cast("int")))
+    return pieces.select("doc_id", F.col("n").cast("long").alias("n"), T.is_garbage_fragment(x).alias("garbage"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents),
+c AS (SELECT *, len(regexp_extract_all(s, '[\x{4e00}-\x{9fff}]')) AS zh, len(regexp_extract_all(s, '[A-Za-z]')) AS en, len(regexp_extract_all(s, '\[[0-9,\s]{1,20}\]')) AS cites FROM d),
+n AS (SELECT doc_id, left(s, 30 + doc_id % 300) AS t FROM d)
+SELECT c.doc_id, length(s) >= 60 AND (zh <= 3 AND en >= 80 OR zh <= 5 AND (cites >= 2 OR regexp_matches(s, '[~_|]{2}|[A-Za-z]{28}'))) AS noisy,
+  length(trim(t)) BETWEEN 3 AND 260 AND lower(trim(t)) NOT IN ('untitled', 'unknown', 'n/a') AND NOT regexp_matches(lower(t), '研究背景與動機|context\s*&\s*background|project background') AND len(regexp_extract_all(t, '[。！？!?]')) < 2 AND NOT (length(trim(t)) > 120 AND len(regexp_extract_all(t, '[，,；;]')) >= 8) AS title
+FROM c JOIN n USING (doc_id)""")
+def summary_and_title_rules(spark, sf):
+    """C26 on whole texts, C28 on their beginnings as titles."""
+    s = T.squash(F.col("text"))
+    head = F.substr(s, F.lit(1), (F.col("doc_id") % 300 + 30).cast("int"))
+    return t(spark, sf, "documents").select("doc_id", T.is_noisy_summary(F.col("text")).alias("noisy"), T.is_plausible_title(head).alias("title"))
+
+
+_ERROR = """CASE event_id % 8 WHEN 0 THEN 'HTTP 429 Quota exceeded: GenerateRequestsPerDay' WHEN 1 THEN 'Connection RESET by peer' WHEN 2 THEN 'connection refused' WHEN 3 THEN 'quota of PerProjectPerModel' WHEN 4 THEN 'daily limit' WHEN 5 THEN 'request failed after ' || event_id WHEN 6 THEN 'service unavailable' ELSE NULL END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, lower(coalesce({_ERROR}, '')) AS x FROM events)
+SELECT event_id, regexp_matches(x, 'timeout|timed out|request failed after|503|429|resource_exhausted|quota throttle|rate limit|connection reset') AS retryable, regexp_matches(x, 'quota|429') AND regexp_matches(x, 'perday|per day|daily|perprojectpermodel') AS daily FROM e""")
+def error_rules(spark, sf):
+    """C36, C47."""
+    e = t(spark, sf, "events").select("event_id", F.expr(_ERROR).alias("x"))
+    return e.select("event_id", T.is_retryable(F.col("x")).alias("retryable"), T.is_daily_quota(F.col("x")).alias("daily"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE rtrim(substr(s, 1, 120)) || '...' END AS clipped, sha1(lower(s)) AS query_key, CASE WHEN length(s) <= 1200 THEN s ELSE substr(s, 1, 380) || substr(s, length(s) // 2, 380) || substr(s, length(s) - 379, 380) END AS sampled FROM d""")
