@@ -50,11 +50,13 @@ def score_evidence(evidence: DataFrame, queries: list[tuple[str, str]]) -> DataF
     is a sum of these counts, so nothing is joined or shuffled; rows leave as (row, query) only
     where the score is above 0."""
     spark = evidence.sparkSession
-    asked = spark.createDataFrame([(i, q) for i, q in queries], "id string, query string").select("id", "query", F.array_distinct(T.tokens(F.col("query"))).alias("q"), T.compact_identifier(F.col("query")).alias("c")).collect()
-    terms = sorted({w for r in asked for w in r.q})
+    asked = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.array_distinct(T.tokens(F.lit(q))).alias("q"), T.compact_identifier(F.lit(q)).alias("c")) for i, q in queries]))).collect()
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv])[F.col("source_type")], F.lit(0.5))
     body = F.concat_ws(" ", "paper_id", "source_id", "paper_id", "paper_title", "title", "text")
     names = F.array_distinct(F.concat(T.identifier_variants(F.col("paper_id")), T.identifier_variants(F.col("paper_title"))))
+    cores = spark.sparkContext.defaultParallelism
+    if evidence.rdd.getNumPartitions() < cores:  # few splits: a small table leaves cores idle otherwise
+        evidence = evidence.repartition(cores)
     rows = evidence.where(~T.is_non_evidence_title(F.col("title"))).withColumn("words", T.tokens(body)).withColumn("names", names).withColumn("priority", kind)
     rows = rows.withColumn("counts", F.array(*[F.size("words") - F.size(F.array_remove("words", w)) for w in terms]) if terms else F.array().cast("array<int>"))
 
