@@ -1042,3 +1042,6 @@ def visible_sections(spark, sf):
     """Section-scoped roles see what they are assigned; others all."""
     n = t(spark, sf, "nation").where("n_regionkey % 2 = 1 OR n_nationkey % 3 = 0")
     return n.groupBy(F.col("n_regionkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sections"))
+
+
+from corvane.plans import library  # noqa: E402,F401  its queries register themselves
