@@ -117,3 +117,15 @@ def upgrade_chain(version: Column, current: int = 1) -> Column:
     """The schema version after an upgrade; a newer one than current is an error."""
     v = F.coalesce(version.try_cast("int"), F.lit(0))
     return F.when(v > current, F.raise_error(F.concat(F.lit("Unsupported context_chain schema_version="), v.cast("string"))).cast("int")).otherwise(F.lit(current))
+
+
+def verified_ranking(ranked: DataFrame, group: str, position: str, *, checked: int = 20) -> DataFrame:
+    """Re-ranks (group, position, confidence, link_ok): the first so many are checked, those that
+    fail lose 0.15; by confidence, then checked ones that hold, then position (G05). Only links of
+    the first `checked` positions count."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(position))
+    r = ranked.withColumn("n", n).withColumn("is_verified", (F.col("n") <= checked) & F.coalesce("link_ok", F.lit(False)))
+    less = F.greatest(F.lit(0.0), F.round(F.coalesce("confidence", F.lit(0.0)) - 0.15, 4))
+    r = r.withColumn("confidence", F.when((F.col("n") <= checked) & ~F.col("is_verified"), less).otherwise(F.coalesce("confidence", F.lit(0.0))))
+    order = Window.partitionBy(group).orderBy(F.col("confidence").desc(), F.col("is_verified").desc(), "n")
+    return r.withColumn("rank", F.row_number().over(order)).drop("n")

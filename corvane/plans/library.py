@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import blocks as K
+from corvane.functions import metadata as M
 from corvane.operators import library as Y
 from corvane.plans.catalog import _BLOCKS, _sq, blocks, query, t
 
@@ -121,3 +122,24 @@ def pack_fingerprints(spark, sf):
     """Each conversation's turns as a context pack."""
     c = t(spark, sf, "conversations").select("conv_id", "turn", F.lit("chat").alias("source_type"), F.col("role").alias("source_id"), F.lit(None).cast("string").alias("paper_id"), F.col("turn").cast("string").alias("segment_id"), F.lit("").alias("fingerprint"), F.col("text").alias("snippet"), F.length("text").alias("estimated_tokens"))
     return Y.pack_metadata(c, "conv_id", "turn")
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, (doc_id * 37 % 100) / 100 AS c, doc_id % 3 = 0 AS ok FROM documents),
+v AS (SELECT *, n <= 20 AND ok AS is_verified, CASE WHEN n <= 20 AND NOT ok THEN greatest(0.0, round(c - 0.15, 4)) ELSE c END AS confidence FROM r)
+SELECT doc_id, confidence, is_verified, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, is_verified DESC, n)::INT AS rank FROM v""")
+def verified_ranks(spark, sf):
+    """Documents of a source as its ranked papers."""
+    d = t(spark, sf, "documents").select("doc_id", "source", (F.col("doc_id") * 37 % 100 / 100).alias("confidence"), (F.col("doc_id") % 3 == 0).alias("link_ok"))
+    return Y.verified_ranking(d, "source", "doc_id").select("doc_id", "confidence", "is_verified", "rank")
+
+
+@query("""SELECT p_partkey, p_partkey % 4 < 2 AS csl, CASE p_partkey % 4 WHEN 3 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 0 THEN 1900 + p_size WHEN p_partkey % 4 = 2 THEN 2000 + p_size END AS year, CASE p_partkey % 4 WHEN 0 THEN 'Fam, Giv;Lit' WHEN 1 THEN 'Name' WHEN 2 THEN 'One;Two' ELSE '' END AS authors, p_brand AS venue FROM part""")
+def entry_fields(spark, sf):
+    """Parts as entries in four spellings."""
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.format_string('{"title": "%s", "author": [{"family": "Fam", "given": "Giv"}, {"literal": "Lit"}], "issued": {"date-parts": [["%d", 2]]}, "container-title": "%s"}', "p_name", F.col("p_size") + 1900, "p_brand"))
+    raw = raw.when(k == 1, F.format_string('{"title": "%s", "author": [{"name": "Name"}], "DOI": null, "container-title": "%s"}', "p_name", "p_brand"))
+    raw = raw.when(k == 2, F.format_string('{"paper_title": " %s ", "authors": "One; Two", "year": [], "publish_date": "in %d-01", "journal": "%s"}', "p_name", F.col("p_size") + 2000, "p_brand")).otherwise(F.format_string('{"title": "", "authors": [], "venue": "%s"}', "p_brand"))
+    p = t(spark, sf, "part").select("p_partkey", raw.alias("raw")).withColumn("csl", M.looks_like_csl(F.col("raw")))
+    e = p.withColumn("e", M.entry_metadata(F.when(F.col("csl"), M.csl_to_raw(F.col("raw"))).otherwise(F.col("raw"))))
+    return e.select("p_partkey", "csl", "e.title", "e.year", F.array_join("e.authors", ";").alias("authors"), "e.venue")

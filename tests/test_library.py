@@ -65,3 +65,25 @@ def test_chain_versions(spark):
     assert [one(v) for v in (None, "", "x", "0", "1")] == [1] * 5
     with pytest.raises(Exception, match="Unsupported context_chain"):
         one("2")
+
+
+def test_metadata_of_any_spelling(spark):
+    from corvane.functions import metadata as M
+
+    csl = [('{"author": [{"family": null}]}', True), ('{"author": [{"name": "x"}]}', False), ('{"DOI": null}', True), ('{"author": "family"}', False), ("no json", False), (None, False), ("{}", False)]
+    df = spark.createDataFrame(csl, "raw string, want boolean")
+    assert [r.got for r in df.select(M.looks_like_csl(F.col("raw")).alias("got")).collect()] == [w for _, w in csl]
+    raw = '{"title": null, "paper_title": " T ", "author": ["A B", {"name": " C "}, {"literal": "no"}, ""], "publish_year": "c. 1999", "container_title": "J", "DOI": "d", "link": "u", "publisher": " P "}'
+    r = spark.createDataFrame([(raw,), ("bad",), (None,)], "raw string").select(M.paper_metadata(F.col("raw")).alias("p"), M.entry_metadata(F.col("raw")).alias("e")).collect()
+    assert r[0].p.asDict() == {"title": "T", "authors": ["A B", "C"], "year": "1999", "journal": "J", "doi": "d", "url": "u", "abstract": "", "publisher": "P"}
+    assert (r[0].e.authors, r[0].e.year, r[0].e.venue, r[0].e.citations) == (["A B", "C", "no"], 1999, "J", 0)
+    for x in r[1:]:
+        assert x.p.authors == [] and x.p.title == x.p.year == "" and x.e.year is None
+
+
+def test_verified_ranking_checks_the_first_only(spark):
+    rows = [("q", i, 0.5, i % 2 == 0) for i in range(25)] + [("r", 0, None, None)]
+    got = {(x.g, x.p): x for x in Y.verified_ranking(spark.createDataFrame(rows, "g string, p int, confidence double, link_ok boolean"), "g", "p").collect()}
+    want = sorted(((-(0.5 if i >= 20 or i % 2 == 0 else 0.35), not (i < 20 and i % 2 == 0), i) for i in range(25)))
+    assert [i for *_, i in want] == sorted(range(25), key=lambda i: got["q", i]["rank"])
+    assert got["r", 0].confidence == 0 and not got["r", 0].is_verified
