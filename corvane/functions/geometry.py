@@ -59,11 +59,15 @@ def center_inside(small: Column, big: Column) -> Column:
     return F.coalesce((b[0] <= cx) & (cx <= b[2]) & (b[1] <= cy) & (cy <= b[3]), F.lit(False))
 
 
-def column_id(box: Column, gutter: Column, page_width: Column) -> Column:
-    """left, right, span or full, by the gutter of a page."""
-    s = _sides(box)
-    width = s[2] - s[0]
-    return F.when(width >= 0.82 * page_width, "full").when((s[0] < gutter) & (s[2] > gutter) & (width > 0.5 * page_width), "span").when((s[0] + s[2]) / 2.0 < gutter, "left").otherwise("right")
+def column_id(box: Column, page_width: Column, split: Column, half_gutter: Column) -> Column:
+    """left, right, span or full (I34). On a page of two columns, by the gutter about split; where
+    split is null, only boxes of at most 0.48 of the width that end or begin near the middle are
+    left or right. Boxes without a width or four numbers are full."""
+    s = [F.floor(v) for v in _sides(box)]
+    two = F.when(s[2] <= split - half_gutter, "left").when(s[0] >= split + half_gutter, "right").otherwise("span")
+    narrow = (s[2] - s[0]) / F.greatest(F.lit(1), page_width) <= 0.48
+    one = F.when(narrow & (s[2] <= F.floor(page_width * 0.54)), "left").when(narrow & (s[0] >= F.floor(page_width * 0.46)), "right").otherwise("full")
+    return F.when(s[3].isNull() | F.coalesce(s[2] <= s[0], F.lit(True)), "full").when(split.isNotNull(), two).otherwise(one)
 
 
 def block_score(score: Column, type_confidence: Column) -> Column:
