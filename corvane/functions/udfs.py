@@ -350,6 +350,11 @@ def data_url_text(url: str | None) -> str:
     return ""
 
 
+@F.pandas_udf(T.StringType())
+def decode_data_url(url: pd.Series) -> pd.Series:
+    return url.map(data_url_text)
+
+
 def stub_reply(prompt: str | None) -> str:
     """A fixed answer that names the prompt's length and its turns."""
     p = prompt or ""
