@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -139,11 +139,21 @@ def equation_score(r: Region) -> Column:
         [(0.20, (r.grid >= 0.018) & (r.crossings >= 0.00055)), (0.18, (r.density >= 4.2) & (r.parts >= 95)), (0.05, (r.y1 <= F.floor(r.page_h * 0.10)) & (r.h <= F.floor(r.page_h * 0.06)))])
 
 
-def type_scores(r: Region, column: Column) -> Column:
-    """(table, figure, body, equation, pred, confidence, reasons) of a region (C43). Table needs no
-    less than figure, both more than body; an equation more than the best of these and 0.62; a
-    table without a strict grid yields to a figure of nearly its score, or to the body."""
-    table, figure, body, equation = (_unit(s) for s in (table_score(r), figure_score(r), body_score(r, column), equation_score(r)))
+def with_types(regions: DataFrame, column: Column, name: str = "types") -> DataFrame:
+    """Adds (table, figure, body, equation, pred, confidence, reasons) of each region (C43); column
+    as in body_score. The scores are a step of their own, so each is computed once."""
+    r = Region.of_columns()
+    scores = {"table": table_score(r), "figure": figure_score(r), "body": body_score(r, column), "equation": equation_score(r)}
+    scored = regions.withColumn(name, F.struct(*[_unit(s).alias(k) for k, s in scores.items()]))
+    pred, confidence, reasons = decide(r, F.col(name))
+    return scored.withColumn(name, F.struct(f"{name}.*", pred.alias("pred"), confidence.alias("confidence"), reasons.alias("reasons")))
+
+
+def decide(r: Region, scores: Column) -> tuple[Column, Column, Column]:
+    """Kind, confidence and reasons. Table needs no less than figure, both more than body; an
+    equation more than the best of these and 0.62; a table without a strict grid yields to a figure
+    of nearly its score, or to the body."""
+    table, figure, body, equation = (scores[k] for k in ("table", "figure", "body", "equation"))
     best = F.greatest(body, table, figure)
     is_equation = (equation > best) & (equation >= F.greatest(F.lit(0.62), body - 0.04))
     is_table = ~is_equation & (table >= figure) & (table > body)
@@ -156,8 +166,7 @@ def type_scores(r: Region, column: Column) -> Column:
         ("GRID_STRONG", r.grid >= 0.012), ("GRID_INTERSECTIONS", r.crossings >= 0.0008), ("LARGE_REGION", r.area >= 0.05), ("TEXT_DENSE", r.density >= 2.2), ("LOW_TEXT_DENSITY", r.density <= 1.2),
         ("HV_LINES_BALANCED", (r.line_h >= 0.004) & (r.line_v >= 0.004)), ("EQUATION_LIKE", equation >= 0.66), ("TABLE_STRICT_CHECK", table >= F.greatest(F.lit(0.60), figure)),
     ]
-    said = F.array_compact(F.array(*[F.when(c, name) for name, c in reasons]))
-    return F.struct(table.alias("table"), figure.alias("figure"), body.alias("body"), equation.alias("equation"), pred.alias("pred"), confidence.alias("confidence"), said.alias("reasons"))
+    return pred, confidence, F.array_compact(F.array(*[F.when(c, name) for name, c in reasons]))
 
 
 def needs_review(r: Region, scores: Column) -> Column:

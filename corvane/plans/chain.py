@@ -46,7 +46,7 @@ def region_scores(spark, sf):
     r = Q.Region.of_columns()
     split = F.when(F.col("l_orderkey") % 2 == 1, 500)
     column = F.when(split.isNotNull(), column_id(F.array("x1", "y1", "x2", F.col("y1") + F.col("h")), F.col("page_w"), split, F.lit(25)))
-    s = regions(spark, sf).withColumn("s", Q.type_scores(r, column))
+    s = Q.with_types(regions(spark, sf), column, "s")
     return s.select("l_orderkey", "l_linenumber", "s.*", Q.needs_review(r, F.col("s")).alias("review")).withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -25,15 +25,14 @@ FORMULA = PAGE | {"area_ratio": 0.02, "text_density": 1.45, "small_cc_count": 12
 
 
 def test_scores_worked_out_by_hand(spark):
-    r = Q.Region.of_columns()
-    got = [x.s for x in region(spark, GRID, BLANK, FORMULA, PAGE).select(Q.type_scores(r, F.lit(None).cast("string")).alias("s")).collect()]
+    got = [x.types for x in Q.with_types(region(spark, GRID, BLANK, FORMULA, PAGE), F.lit(None).cast("string")).collect()]
     assert got[0].table == pytest.approx(1.0) and (got[0].pred, got[0].confidence) == ("Table", got[0].table)
     assert list(got[0].reasons) == ["GRID_STRONG", "GRID_INTERSECTIONS", "LARGE_REGION", "LOW_TEXT_DENSITY", "HV_LINES_BALANCED", "TABLE_STRICT_CHECK"]
     assert got[1].figure == pytest.approx(1.0) and got[1].pred == "Figure"
     assert got[1].table == 0  # 0.11 * 0.1 / 0.12 + 0.08, less 0.20, 0.16 and 0.18, is below 0
     assert got[2].equation == pytest.approx(1.0) and got[2].pred == "Equation"
     assert got[3].body == pytest.approx(0.16 + 0.09 + 0.08 * 0.65)
-    wide = region(spark, FORMULA).select(Q.type_scores(r, F.lit("left")).alias("s")).first().s
+    wide = Q.with_types(region(spark, FORMULA), F.lit("left")).first().types
     assert wide.body == pytest.approx(got[2].body + 0.05)
 
 
