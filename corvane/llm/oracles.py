@@ -52,9 +52,48 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format("t")} AS ws, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN g USING (doc_id)),
+h AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS earlier
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+m AS (
+  SELECT part, n, good, toxic, fails, filter_order, step, x, contains(fails, x) AS bad,
+         translate(earlier, fails, '') <> earlier AS gone
+  FROM h, s),
+r AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (WHERE NOT bad AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE bad AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE bad AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = x), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE bad AND NOT gone), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE bad AND NOT gone), 0) AS toxic_lost
+  FROM m GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op3_warc": OP3,
     "op4_exact_dedup": OP4,
     "op6_exact_topk": OP6,
+    "op13_filter_audit": OP13,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.filter_audit import audit_filters
 from corvane.llm.html_text import extract_main_text
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_sources
@@ -76,6 +77,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
+    "op13_filter_audit": op13_filter_audit,
 }
