@@ -90,10 +90,45 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 FROM r
 """
 
+# CRC-32 a byte at a time, eight shifts a byte; a conversation's path is its turns' hashes in a row.
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         len({_WORDS.format("coalesce(text, '')")}) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS head,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: {_CRC_BYTE}), 4294967295) % 4 AS h
+  FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS own, o.pos, o.k, o.w FROM c JOIN o ON o.conv_id = c.head AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.k, o.w FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+d AS (
+  SELECT conv_id, k, w, row_number() OVER s AS depth, string_agg(k, '') OVER s AS path
+  FROM r WINDOW s AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, depth, w, path FROM d UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+z AS (SELECT conv_id, max(depth) AS turns FROM m GROUP BY conv_id),
+n AS (
+  SELECT path, depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256
+  FROM m JOIN z USING (conv_id) GROUP BY path, depth),
+k AS (SELECT left(path, 64 * (depth - 1)::INTEGER) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT left(path, 64 * a::INTEGER) AS path, n_convs, w, n_children FROM (SELECT *, unnest(range(depth + 1)) AS a FROM b)),
+s AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM u GROUP BY path)
+SELECT b.conv_id, b.depth, p.conv_id AS parent_conv_id, b.n_convs, b.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, b.ends_sha256
+FROM b JOIN s USING (path) LEFT JOIN b p ON b.depth > 0 AND p.path = left(b.path, 64 * (b.depth - 1)::INTEGER)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op3_warc": OP3,
     "op4_exact_dedup": OP4,
     "op6_exact_topk": OP6,
+    "op11_prefix_trie": OP11,
     "op13_filter_audit": OP13,
 }
