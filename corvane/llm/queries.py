@@ -12,6 +12,7 @@ from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.filter_audit import audit_filters
 from corvane.llm.html_text import extract_main_text
 from corvane.llm.line_dedup import line_dedup
+from corvane.llm.metric_join import jaccard_join
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import fit_quality, score_quality
@@ -82,6 +83,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_filter_audit": op13_filter_audit,
 }
