@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import join_hot, materialize, mix64, shuffle_partitions, text_bytes
+from corvane.llm.common import join_hot, materialize, materialize_at, mix64, shared_path, shuffle_partitions, text_bytes
 from corvane.llm.components import connected_components
 from corvane.llm.near_dedup import BROADCAST_IDS, CELL, _edges_of, _grid, _stars, _with_component, overlap_counts, shingle_set
 
@@ -206,7 +206,7 @@ class _Join:
         self.edges: list[DataFrame] = []
 
     def _with_texts(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.texts, "doc").repartition(self.tasks, "cell").sortWithinPartitions("cell", F.xxhash64("doc"))
+        return rows.join(self.texts, "doc").repartition(self.tasks, "cell").sortWithinPartitions("cell", "doc")
 
     def join_small(self, rows: DataFrame) -> None:
         """Regions of CELL documents at most."""
@@ -276,14 +276,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialize(taking_part.groupBy("ident").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "join-classes")
     total = signed.count()
 
-    # Regions: documents that share a prefix shingle, under the pivot of that shingle.
+    # Regions: documents that share a prefix shingle, under the smallest id that holds it.
     prefixes = base.where("doc IS NOT NULL").mapInArrow(_prefixes(words, percent, shingle_levels(both)), "doc long, ident binary, prefix array<long>")
-    reps = prefixes.join(classes.select(F.col("rep").alias("doc"), "ident"), ["doc", "ident"], "left_semi")
-    keys = materialize(reps.select("doc", "prefix"), "join-prefixes").select("doc", F.explode("prefix").alias("s"))
-    first = F.min(F.struct(F.xxhash64("doc"), F.col("doc")))["doc"]
-    shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), first.alias("region"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("s", "c", "region")
+    rep = classes.select(F.col("rep").alias("doc"), "ident")
+    if total - rep.count() <= BROADCAST_IDS:
+        copies = taking_part.select("doc", "ident").join(rep, ["doc", "ident"], "left_anti")
+        reps = prefixes.join(F.broadcast(copies), ["doc", "ident"], "left_anti")
+    else:
+        reps = prefixes.join(rep, ["doc", "ident"], "left_semi")
+    path = shared_path(docs.sparkSession, "join-prefixes")
+    keys = materialize_at(reps.select("doc", "prefix"), path).select("doc", F.explode("prefix").alias("s"))
+    shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("region"), F.max("doc").alias("last")).where("region <> last").select("s", "c", "region")
     met = join_hot(keys, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc").distinct()
-    members = materialize(counted(materialize(met, "join-met")), "join-regions")
+    met = materialize_at(met, shared_path(docs.sparkSession, "join-met"), path)
+    members = materialize(counted(met), "join-regions")
     wanted = materialize(members.select("doc").distinct(), "join-candidates")
     few = wanted.count() <= BROADCAST_IDS
     texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").dropDuplicates(["doc", "text"])

@@ -90,6 +90,23 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 FROM r
 """
 
+OP12 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION SELECT r.doc_id, CASE WHEN e.x = r.other THEN e.y ELSE e.x END FROM r JOIN e ON e.x = r.other OR e.y = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 # CRC-32 a byte at a time, eight shifts a byte; a conversation's path is its turns' hashes in a row.
 _CRC_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
 
@@ -130,5 +147,6 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4,
     "op6_exact_topk": OP6,
     "op11_prefix_trie": OP11,
+    "op12_jaccard_join": OP12,
     "op13_filter_audit": OP13,
 }
