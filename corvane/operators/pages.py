@@ -9,37 +9,6 @@ from pyspark.sql import functions as F
 from corvane.functions.udfs import pack_batches
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    inter = max(0, w) * max(0, h)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return inter / union if union > 0 else 0.0
-
-
-def _inside(small, big) -> bool:
-    x, y = (small[0] + small[2]) / 2, (small[1] + small[3]) / 2
-    return big[0] <= x <= big[2] and big[1] <= y <= big[3]
-
-
-def rescue(emitted: DataFrame, unused: DataFrame, page: list[str]) -> DataFrame:
-    """Unused blocks of the second reader that nothing emitted yet covers, earlier rescues
-    included, in order of seq_id (D06, D07). Both: page columns, seq_id, bbox."""
-    columns = [*page, "seq_id", "bbox"]
-    # New names on one side: both may come from one table.
-    right = unused.select(*[F.col(c).alias(f"r_{c}") for c in columns])
-
-    def run(kept, rest):
-        boxes, out = [list(b) for b in kept["bbox"]], []
-        for row in rest.sort_values("r_seq_id").to_dict("records"):
-            box = list(row["r_bbox"])
-            if not any(_iou(box, b) > 0.2 or _inside(box, b) for b in boxes):
-                boxes.append(box)
-                out.append([row[f"r_{c}"] for c in columns])
-        return pd.DataFrame(out, columns=columns)
-
-    return emitted.select(*columns).groupBy(*page).cogroup(right.groupBy(*[f"r_{c}" for c in page])).applyInPandas(run, unused.select(*columns).schema)
-
-
 def merge_bodies(blocks: DataFrame, paper: str, order: str) -> DataFrame:
     """Consecutive mergeable bodies joined by a space with united boxes; whether one may be merged
     is asked of the block as merged so far (F06). Columns: type, text, noise, bbox."""

@@ -936,14 +936,6 @@ def protected_spans(spark, sf):
     return d.select("doc_id", F.size(F.col("p.spans")).alias("spans"), (back == F.col("text")).alias("restored"))
 
 
-@query()
-def reader_rescue(spark, sf):
-    """D06, D07."""
-    b = blocks(spark, sf)
-    used = _reader(b.where("type = 'Body'"), 0)
-    return P.rescue(used, _reader(b.where("type <> 'Body'"), 10), ["doc_id", "page"]).select("doc_id", "page", "seq_id")
-
-
 @query()
 def merged_bodies(spark, sf):
     """F06, C21."""
@@ -1044,4 +1036,4 @@ def visible_sections(spark, sf):
     return n.groupBy(F.col("n_regionkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sections"))
 
 
-from corvane.plans import chain, library, sections  # noqa: E402,F401  their queries register themselves
+from corvane.plans import chain, library, reading, sections  # noqa: E402,F401  their queries register themselves

@@ -9,6 +9,7 @@ from corvane.operators import accounts as A
 from corvane.operators import layout as L
 from corvane.operators import pages as P
 from corvane.operators import retrieval as R
+from corvane.operators.arbitration import rescued
 from corvane.plans import catalog
 from corvane.sources import files
 from corvane.streaming import windows as W
@@ -86,8 +87,8 @@ def test_readers_and_rescue(spark):
     schema = "page int, seq_id string, type string, bbox array<int>, content string, score double"
     a = spark.createDataFrame([(1, "A", "Body", [0, 0, 100, 100], "text of a", 0.9)], schema)
     b = spark.createDataFrame([(1, "B", "Body", [0, 80, 100, 180], "other text", 0.9), (1, "C", "Body", [0, 90, 100, 175], "inside B", 0.9), (1, "D", "Body", [0, 0, 90, 90], "inside A", 0.9)], schema)
-    got = P.rescue(a, b, ["page"]).collect()
-    assert [r.seq_id for r in got] == ["B"]
+    got = rescued(a, b.select("page", F.struct(F.col("seq_id").alias("pos"), "seq_id", "bbox").alias("block")), ["page"]).collect()
+    assert [r.block.seq_id for r in got] == ["B"]
     out = L.arbitrate(a, b, ["page"]).first()
     assert out.seq_id == "A" and out.source == "stack_a"
 
