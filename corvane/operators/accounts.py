@@ -87,17 +87,6 @@ def rate_windows(events: DataFrame, ts: str, tokens: Column, minute_limit: int)
     return g.withColumn("over", F.col("requests") > minute_limit)
 
 
-def admitted(events: DataFrame, ts: str, tokens: str, token_limit: int, tie: str) -> DataFrame:
-    """Which requests a minute's token budget lets in, in order; what is refused uses nothing.
-
-    Sequential within a minute: a minute's requests are folded by one array expression."""
-    minute = F.floor(micros(F.col(ts)) / 60_000_000).alias("minute")
-    g = events.groupBy(minute).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("id"), F.col(tokens).cast("long").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    fold = F.aggregate("rows", start, lambda a, r: F.when(a["used"] + r["n"] <= token_limit, F.struct((a["used"] + r["n"]).alias("used"), F.concat(a["ids"], F.array(r["id"])).alias("ids"))).otherwise(a))
-    return g.select("minute", F.size("rows").alias("requests"), fold["used"].alias("used_tokens"), F.size(fold["ids"]).alias("admitted"))
-
-
 def pid_aliases(pid: Column) -> Column:
     """A project's id, its base and its formal id."""
     base = F.regexp_replace(pid, "-p$", "")

@@ -19,6 +19,7 @@ from corvane.functions import udfs as U
 from corvane.operators import accounts as A
 from corvane.operators import layout as L
 from corvane.operators import pages as P
+from corvane.operators import quota as K
 from corvane.operators import retrieval as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,11 +532,21 @@ def rate_windows(spark, sf):
     return A.rate_windows(t(spark, sf, "events"), "ts", (F.col("event_id") * 11) % 900, 2)
 
 
-@query()
+# Sequential within a key's day: a list of requests is folded, its state carried in the first of two.
+_ADMIT = """CASE WHEN (CASE WHEN r.m = a.m THEN a.rm ELSE 0 END) + 1 > 2 THEN 'rpm_limit' WHEN (CASE WHEN r.m = a.m THEN a.tm ELSE 0 END) + r.n > 1300 THEN 'tpm_limit' WHEN a.rd + 1 > 55 THEN 'rpd_limit' ELSE 'ok' END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type AS k, epoch_us(ts) // 1000000 AS s, epoch_us(ts) AS us, greatest(1, (event_id * 11) % 900) AS n FROM events),
+g AS (SELECT k, s // 86400 AS d, list({{'m': s // 60, 'n': n, 'rm': 0::BIGINT, 'tm': 0::BIGINT, 'rd': 0::BIGINT, 'out': [{{'id': event_id, 's': s, 'why': ''}}]}} ORDER BY us, event_id) AS l FROM e GROUP BY ALL),
+f AS (SELECT list_reduce(list_prepend({{'m': -1::BIGINT, 'n': 0::BIGINT, 'rm': 0::BIGINT, 'tm': 0::BIGINT, 'rd': 0::BIGINT, 'out': []::STRUCT(id BIGINT, s BIGINT, why VARCHAR)[]}}, l), lambda a, r: {{'m': r.m, 'n': r.n,
+  'rm': (CASE WHEN r.m = a.m THEN a.rm ELSE 0 END) + ({_ADMIT} = 'ok')::INT, 'tm': (CASE WHEN r.m = a.m THEN a.tm ELSE 0 END) + CASE WHEN {_ADMIT} = 'ok' THEN r.n ELSE 0 END, 'rd': a.rd + ({_ADMIT} = 'ok')::INT,
+  'out': list_append(a.out, {{'id': r.out[1].id, 's': r.out[1].s, 'why': {_ADMIT}}})}}).out AS o FROM g),
+x AS (SELECT unnest(o) AS o FROM f)
+SELECT o.id AS event_id, o.why = 'ok' AS allowed, CASE o.why WHEN 'ok' THEN 0.0 WHEN 'rpd_limit' THEN greatest(60, 86400 - o.s % 86400) ELSE greatest(1, 60 - o.s % 60) END::DOUBLE AS wait_seconds, o.why AS reason FROM x""")
 def rate_admission(spark, sf):
-    """Refused requests use nothing, so a minute is folded in order."""
-    e = t(spark, sf, "events").withColumn("tokens", (F.col("event_id") * 11) % 900)
-    return A.admitted(e, "ts", "tokens", 1000, "event_id")
+    """Requests of each event type under limits a minute (2 and 1300 tokens) and a day (55)."""
+    e = t(spark, sf, "events").withColumn("tokens", (F.col("event_id") * 11) % 900).withColumn("ts", F.col("ts").cast("timestamp"))
+    return K.admissions(e, "event_type", "ts", "event_id", "tokens", K.Limits(2, 1300, 55, 1)).select("event_id", "allowed", "wait_seconds", "reason")
 
 
 # Bibliography -----------------------------------------------------------------------------------

@@ -1,13 +1,9 @@
-"""Structured Streaming forms of sessions, rates and latest states."""
+"""Structured Streaming forms of sessions and rates; stateful.py has quotas and presence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def session_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", idle: str = "300 seconds", late: str = "10 minutes") -> DataFrame:
@@ -20,31 +16,3 @@ def rate_stream(events: DataFrame, ts: str = "ts", width: str = "1 minute", toke
     """Requests and tokens of each tumbling window."""
     g = events.withWatermark(ts, late).groupBy(F.window(ts, width))
     return g.agg(F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens")).select(F.col("window.start").alias("start"), "requests", "tokens")
-
-
-def presence_stream(events: DataFrame, sid: str = "sid") -> DataFrame:
-    """The latest state of each connection."""
-    return events.groupBy(sid).agg(F.max_by("state", "ts").alias("state"), F.max("ts").alias("ts"))
-
-
-def admission_stream(requests: DataFrame, key: str, ts: str, tokens: str, limit: int, late: str = "2 minutes") -> DataFrame:
-    """Requests in arrival order against a minute's token budget; what is refused uses nothing
-    (J03, J04). State is one number for each key and minute, dropped once the watermark has
-    passed the minute."""
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        for b in batches:
-            ok = []
-            for n in b[tokens]:
-                fits = used + int(n) <= limit
-                used += int(n) if fits else 0
-                ok.append(fits)
-            yield pd.DataFrame({key: b[key], "minute": group[1], tokens: b[tokens], "admitted": ok})
-        state.update((used,))
-        state.setTimeoutTimestamp(max((int(group[1]) + 1) * 60_000, int(state.getCurrentWatermarkMs()) + 1))
-
-    timed = requests.withWatermark(ts, late).withColumn("minute", F.floor(F.unix_micros(F.col(ts)) / 60_000_000))
-    return timed.groupBy(key, "minute").applyInPandasWithState(run, f"{key} string, minute long, {tokens} long, admitted boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)

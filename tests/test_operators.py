@@ -128,13 +128,6 @@ def test_sessions_end_before_the_gap(spark):
     assert [(r.beats, r.seconds) for r in got] == [(3, 400), (1, 0), (1, 0)]
 
 
-def test_admission_skips_what_does_not_fit(spark):
-    base = dt.datetime(2024, 1, 1)
-    rows = [(i, base + dt.timedelta(seconds=i), n) for i, n in enumerate((60, 50, 40, 10))]
-    got = A.admitted(spark.createDataFrame(rows, "event_id long, ts timestamp, tokens long"), "ts", "tokens", 100, "event_id").first()
-    assert (got.requests, got.admitted, got.used_tokens) == (4, 2, 100)
-
-
 def test_library_merge_facts(spark):
     s = "key string, pos int, title string, venue string, abstract string, source string, verified boolean, confidence double"
     rows = [("a", 1, "First title", "", "", "x", False, 0.5), ("a", 2, "Other title", "V", "filled", "y", True, 0.9), ("b", 3, "B", None, None, "x", False, 0.1)]
@@ -189,10 +182,6 @@ def test_streams(spark, tmp_path):
 
     assert [(r.beats, (r.ended_at - r.login_at).seconds) for r in run(W.session_stream(events, idle="300 seconds", late="0 seconds"), "s")] == [(2, 100)]
     assert sorted(r.requests for r in run(W.rate_stream(events, late="0 seconds"), "r", "complete")) == [1, 1, 1]
-    assert len(run(W.presence_stream(events.withColumnRenamed("user_id", "sid").withColumn("state", F.lit("on"))), "p", "complete")) == 1
-    same = events.withColumn("ts", F.lit(base).cast("timestamp"))
-    got = run(W.admission_stream(same, "user_id", "ts", "tokens", 25), "a")
-    assert sorted(r.admitted for r in got) == [False, True, True]
 
 
 def test_error_rates_of_whole_texts(spark, tmp_path):
