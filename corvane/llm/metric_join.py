@@ -7,6 +7,8 @@
    shares one of the first n - ceil(0.8 n) + 1 shingles of both sets, in any one order of all
    shingles. Each such shared shingle has a pivot, one of the documents that hold it; a region is
    a pivot with the documents that meet it. Rare shingles come first, by a sketch of counts.
+   Documents of a small region whose counts in 256 parts of all shingles differ too much from those
+   of all others there leave it: these counts never lie farther apart than the sets.
 3. Each document goes to its largest region first. Documents within r of the pivot are linked to
    it, and among them nothing more need be compared. Of others, x and y are compared only where
    their distances to the pivot differ by r at most.
@@ -35,6 +37,8 @@ from corvane.llm.near_dedup import BROADCAST_IDS, CELL, _edges_of, _grid, _stars
 
 #: Counters of the sketch of shingle counts, and the pieces that it is added up in.
 COUNTERS, SLICES = 1 << 18, 64
+#: Parts of all shingles in which a set is counted, a byte each.
+FOLDS = 256
 #: Most pivots that divide a region at one level.
 PIVOTS = 16
 #: A part that holds more than this share of its region is not divided again.
@@ -95,14 +99,43 @@ def _prefixes(words: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            idents, firsts = [], []
+            idents, firsts, sizes, folds = [], [], [], []
             for raw in text_bytes(table, "text"):
                 s = shingle_set(raw, words)
+                sizes.append(len(s))
+                folds.append(fold_of(s).tobytes())
                 idents.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 firsts.append(prefix_of(s, levels, percent).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             values = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), pa.array(idents, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc", "ident", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), pa.array(idents, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(sizes, pa.int64()), pa.array(folds, pa.binary())], names=["doc", "ident", "prefix", "n", "fold"])
+
+    return run
+
+
+def fold_of(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in FOLDS parts of all shingles, 255 at most. The sum of two sets'
+    differences is never more than the number of shingles that only one of them has."""
+    part = (s >> np.uint64(20)).astype(np.int64) % FOLDS
+    return np.minimum(np.bincount(part, minlength=FOLDS), 255).astype(np.uint8)
+
+
+def _possible(percent: int):
+    """Of each small region the documents that another one of it may be linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _cells(batches):
+            n = np.array(table.column("n").to_pylist(), dtype=np.int64)
+            fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), dtype=np.uint8).reshape(-1, FOLDS).astype(np.int16)
+            near = np.zeros(len(n), dtype=bool)
+            for i in range(len(n) - 1):
+                apart = np.abs(fold[i + 1 :] - fold[i]).sum(axis=1, dtype=np.int64)
+                met = (100 + percent) * apart <= (100 - percent) * (n[i + 1 :] + n[i])
+                near[i + 1 :] |= met
+                near[i] |= met.any()
+            if near.any():
+                rows = table.filter(pa.array(near))
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_pylist(), pa.int64()) for c in ("cell", "doc")], names=["region", "doc"])
 
     return run
 
@@ -180,7 +213,7 @@ def _place(words: int, percent: int):
             ids, is_pivot = table.column("doc").to_pylist(), table.column("is_pivot").to_pylist()
             pivots = sorted((ids[i], i) for i in range(len(ids)) if is_pivot[i])
             part = [mix64(np.array([table.column("region")[0].as_py(), k], dtype=np.int64).view(np.uint64)) for k, _ in pivots]
-            part = [int((x[0] * _FOLD + x[1]).view(np.int64)) for x in part]
+            part = [int((x[:1] * _FOLD + x[1:]).view(np.int64)[0]) for x in part]
             before, out = table.column("c")[0].as_py(), []
             for i in range(len(ids)):
                 if is_pivot[i]:
@@ -277,7 +310,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = signed.count()
 
     # Regions: documents that share a prefix shingle, under the smallest id that holds it.
-    prefixes = base.where("doc IS NOT NULL").mapInArrow(_prefixes(words, percent, shingle_levels(both)), "doc long, ident binary, prefix array<long>")
+    prefixes = base.where("doc IS NOT NULL").mapInArrow(_prefixes(words, percent, shingle_levels(both)), "doc long, ident binary, prefix array<long>, n long, fold binary")
     rep = classes.select(F.col("rep").alias("doc"), "ident")
     if total - rep.count() <= BROADCAST_IDS:
         copies = taking_part.select("doc", "ident").join(rep, ["doc", "ident"], "left_anti")
@@ -285,11 +318,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         reps = prefixes.join(rep, ["doc", "ident"], "left_semi")
     path = shared_path(docs.sparkSession, "join-prefixes")
-    keys = materialize_at(reps.select("doc", "prefix"), path).select("doc", F.explode("prefix").alias("s"))
+    held = materialize_at(reps.select("doc", "prefix", "n", "fold"), path)
+    keys = held.select("doc", F.explode("prefix").alias("s"))
     shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("region"), F.max("doc").alias("last")).where("region <> last").select("s", "c", "region")
     met = join_hot(keys, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc").distinct()
-    met = materialize_at(met, shared_path(docs.sparkSession, "join-met"), path)
-    members = materialize(counted(met), "join-regions")
+    met = counted(materialize(met, "join-met"))
+
+    # Without documents that differ too much from all others of their small region.
+    small = met.where(F.col("c") <= CELL).select(F.col("region").alias("cell"), "doc").join(held.select("doc", "n", "fold"), "doc")
+    some = small.repartition(4 * shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "doc").mapInArrow(_possible(percent), "region long, doc long")
+    some = materialize_at(some.unionAll(met.where(F.col("c") > CELL).select("region", "doc")), shared_path(docs.sparkSession, "join-met"), path)
+    members = materialize(counted(some), "join-regions")
     wanted = materialize(members.select("doc").distinct(), "join-candidates")
     few = wanted.count() <= BROADCAST_IDS
     texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").dropDuplicates(["doc", "text"])

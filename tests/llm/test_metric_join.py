@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from corvane.llm import metric_join, near_dedup
-from corvane.llm.metric_join import COUNTERS, _cells, jaccard_join, prefix_of, window_links
+from corvane.llm.metric_join import COUNTERS, _cells, _possible, fold_of, jaccard_join, prefix_of, window_links
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -98,6 +98,21 @@ def test_prefixes_of_linked_sets_meet():
             assert len(np.intersect1d(prefix_of(x, levels, 80), prefix_of(y, levels, 80)))
 
 
+def test_counts_in_parts_keep_every_linked_document():
+    r = np.random.default_rng(7)
+    base = [np.unique(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 40, 400, 4000)]
+    sets = [x for s in base for x in (s, s[: len(s) - len(s) // 9], s[len(s) // 2 :], np.unique(np.append(s, s[:1] + np.uint64(1))))]
+    for x in sets:
+        for y in sets:
+            gap = np.abs(fold_of(x).astype(int) - fold_of(y)).sum()
+            assert gap <= len(np.setxor1d(x, y))
+    docs = np.arange(len(sets))
+    table = pa.RecordBatch.from_arrays([pa.array([5] * len(sets)), pa.array(docs), pa.array([len(s) for s in sets]), pa.array([fold_of(s).tobytes() for s in sets])], names=["cell", "doc", "n", "fold"])
+    kept = {d for b in _possible(80)([table]) for d in b.column(1).to_pylist()}
+    linked = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert linked <= kept < set(docs.tolist())
+
+
 def test_window_links_against_all_pairs():
     r = np.random.default_rng(2)
     for _ in range(60):
