@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.text import squash as _squash
+
 # Fixed values.
 ERRORS = {"timeout": "timeout", "quota_exhausted": "quota", "missing_source": "source_missing", "cancelled": "cancelled"}
 PROGRESS = {"idle": "waiting", "queued": "waiting", "running": "processing", "processing": "processing", "done": "ready", "completed": "ready", "failed": "failed", "error": "failed"}
@@ -51,9 +53,11 @@ def sequence_parts(seq_id: Column) -> Column:
 
 
 def caption(kind: Column, text: Column) -> Column:
-    """Figure n or Table n and what follows, at most 700 characters, else 420 of the text."""
-    found = F.regexp_extract(text, r"(?is)((?:figure|fig\.?|table)\s*[0-9]+[.:]?.*)", 1)
-    return F.when(found != "", F.trim(F.substring(found, 1, 700))).otherwise(F.trim(F.substring(F.coalesce(text, F.lit("")), 1, 420)))
+    """From Figure n. or Table n: on, as the kind asks, at most 700 characters, else 420 of the
+    whole text; white space squashed (I67)."""
+    src = _squash(text)
+    found = F.when(kind == "figure", F.regexp_extract(src, r"(?is)(Figure\s*\d+[.:]\s*.+)", 1)).when(kind == "table", F.regexp_extract(src, r"(?is)(Table\s*\d+[.:]\s*.+)", 1)).otherwise("")
+    return F.when(found != "", F.substring(found, 1, 700)).otherwise(F.substring(src, 1, 420))
 
 
 def image_type(data: Column) -> Column:

@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 # Fixed values.
 SENTENCE_END = re.compile(r"(?<=[.!?。！？；;])\s+|\n+")
-MARKER = "\n[...]"
+MARKER = "\n...[context truncated by token budget]"
 HITS_PER_TOKEN = 50
 LEAD_CHARS = 80
-PROTECTED = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|\\\(.+?\\\)|\\\[.+?\\\]|https?://\S+|\b10\.\d{4,9}/\S+", re.S)
+PROTECTED = re.compile(r"\$\$.*?\$\$|\\\(.*?\\\)|\\\[.*?\\\]|\$[^$\n]{1,200}\$|https?://\S+|doi:\s*\S+|10\.\d{4,9}/\S+", re.S)
 WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -104,7 +104,7 @@ def cut_to_budget(text: str | None, budget: int) -> str:
         return ""
     if estimate(text) <= budget:
         return text
-    mark = MARKER if estimate(MARKER) <= budget else ""
+    mark = MARKER if estimate(MARKER) < budget else ""
     low, high = 0, len(text)
     while low < high:
         mid = (low + high + 1) // 2
@@ -148,19 +148,20 @@ def snippet(size: int = 3000):
 
 
 def pack_sentences(text: str | None, most: int) -> list[str]:
-    """Sentences joined by a space into pieces of at most that many characters; longer ones are
-    cut (F15)."""
+    """A text within the limit as it is; else sentences joined by a space into pieces of at most
+    that many characters. Longer sentences are cut, and their pieces stay alone (F15)."""
+    whole = (text or "").strip()
+    if len(whole) <= most:
+        return [whole] if whole else []
     out, now = [], ""
-    for s in (x.strip() for x in SENTENCE_END.split(text or "")):
-        if not s:
-            continue
-        if now and len(now) + 1 + len(s) > most:
+    for s in (x.strip() for x in SENTENCE_END.split(whole)):
+        if now and (len(s) > most or len(now) + 1 + len(s) > most):
             out.append(now)
             now = ""
-        while len(s) > most:
-            out.append(s[:most])
-            s = s[most:]
-        now = f"{now} {s}".strip() if s else now
+        if len(s) > most:
+            out += [s[i : i + most] for i in range(0, len(s), most)]
+        elif s:
+            now = f"{now} {s}" if now else s
     return [*out, now] if now else out
 
 
@@ -184,12 +185,12 @@ def pack_batches(sizes: list[int], most_items: int = 4, most_chars: int = 1800)
 
 
 def plain_text(raw: str | None) -> str:
-    """Line breaks for br and closing blocks, bullets for items, no tags, entities decoded."""
-    s = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", raw or "")
-    s = re.sub(r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|table|ul|ol|blockquote|section|article)\s*>", "\n", s)
-    s = html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?i)<li\b[^>]*>", "- ", s)))
-    s = re.sub(r"[ \t\xa0]+", " ", s)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", s)).strip()
+    """Line breaks for br and closing p, div, li, h1 to h6 and tr, bullets for items, no tags (what
+    is in scripts stays), entities decoded, no control characters (I57)."""
+    s = re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)>", "\n", raw or "")
+    s = html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?i)<li[^>]*>", "• ", s)))
+    s = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\u3000]+", " ", s))
+    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", s).strip()
 
 
 @F.pandas_udf(T.StringType())
@@ -279,30 +280,6 @@ def hash_embedding(dim: int = 32):
     return of
 
 
-def clean_lines(text: str | None, least: int = 20, key_chars: int = 90, most_lines: int = 10, most_chars: int = 1800, drop=None) -> str:
-    """Lines squashed, short and repeated ones dropped, within the limits."""
-    seen, out, used = set(), [], 0
-    for line in (text or "").splitlines():
-        s = " ".join(line.split())
-        key = s[:key_chars].lower()
-        if len(s) < least or key in seen or (drop is not None and drop(s)):
-            continue
-        if len(out) >= most_lines or used + len(s) > most_chars:
-            break
-        seen.add(key)
-        out.append(s)
-        used += len(s)
-    return "\n".join(out)
-
-
-def clean_text(**limits):
-    @F.pandas_udf(T.StringType())
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series([clean_lines(t, **limits) for t in text])
-
-    return of
-
-
 def docx_text(data: bytes | None) -> str:
     """Paragraphs of a word document, then of its headers, footers and notes."""
     try:

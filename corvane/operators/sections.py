@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import cleaning as C
 from corvane.functions import text as T
 from corvane.functions import udfs as U
 
@@ -20,7 +21,7 @@ READY_MODES = ["task_5b_reflow", "task_5interpret", "heuristic_fallback"]
 
 
 def _cleaned(text: Column) -> Column:
-    return U.clean_text(most_lines=SECTION_LINES, most_chars=SECTION_CHARS)(T.clip(text, SECTION_CHARS))
+    return C.extractive(T.clip(text, SECTION_CHARS), SECTION_LINES, SECTION_CHARS)
 
 
 def _in_order(keep: Column, order: Column, value: Column) -> Column:
@@ -33,7 +34,8 @@ def section_buckets(blocks: DataFrame, summaries: DataFrame) -> DataFrame:
     each block belongs to the last heading with a known label, before any by its page's share of
     the paper (E19). Blocks that say little are left out, headings of under 24 characters too; so are longer
     headings up to 100, once they have named what follows. A Chinese summary
-    (paper_id, summary_zh) fills an abstract that has no Chinese. Confidence is 0.86 below a
+    (paper_id, abstract_zh, key_findings), or where it is empty the first three findings, fills an
+    abstract that has no Chinese. Confidence is 0.86 below a
     heading, 0.62 by position, 0.58 for the summary, averaged; a section is inferred where no
     heading names it. Texts beyond the limit of a section are dropped before they are gathered."""
     b = blocks.select("paper_id", "page", "pages", "block", "type", T.squash(F.col("content")).alias("en"), T.squash(F.col("content_zh")).alias("zh"))
@@ -54,8 +56,11 @@ def section_buckets(blocks: DataFrame, summaries: DataFrame) -> DataFrame:
     b = b.withColumn("n", F.row_number().over(Window.partitionBy("paper_id", "label").orderBy("page", "block")))
     b = b.select("paper_id", "label", "page", "block", "en", "zh", "n", F.col("named").isNotNull().alias("named"), F.lit(None).cast("string").alias("summary"))
     none = lambda kind: F.lit(None).cast(kind)
-    s = summaries.where(F.trim("summary_zh") != "").join(blocks.select("paper_id").distinct(), "paper_id", "left_semi")
-    s = s.select("paper_id", F.lit("Abstract").alias("label"), none("int").alias("page"), none("int").alias("block"), none("string").alias("en"), none("string").alias("zh"), none("int").alias("n"), F.lit(False).alias("named"), F.trim("summary_zh").alias("summary"))
+    said = F.filter(F.transform(F.slice(F.coalesce("key_findings", F.array().cast("array<string>")), 1, 3), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    given = F.trim(F.coalesce("abstract_zh", F.lit("")))
+    summaries = summaries.select("paper_id", F.when(given != "", given).otherwise(F.array_join(said, "\n")).alias("summary_zh"))
+    s = summaries.where("summary_zh <> ''").join(blocks.select("paper_id").distinct(), "paper_id", "left_semi")
+    s = s.select("paper_id", F.lit("Abstract").alias("label"), none("int").alias("page"), none("int").alias("block"), none("string").alias("en"), none("string").alias("zh"), none("int").alias("n"), F.lit(False).alias("named"), F.col("summary_zh").alias("summary"))
     at, is_block = F.struct("page", "block"), F.col("page").isNotNull()
     g = b.unionByName(s).groupBy("paper_id", "label").agg(
         F.min(F.when(is_block, at)).alias("first"), F.max("summary").alias("summary"), F.max("named").alias("named"), F.count("page").alias("blocks"), F.sum(F.when(is_block, F.when(F.col("named"), 0.86).otherwise(0.62)).otherwise(0.0)).alias("sure"),

@@ -912,13 +912,6 @@ def densest_snippet(spark, sf):
     return hits.select("query_id", "rank", "segment_id", U.snippet(600)(F.col("text"), words).alias("snippet"))
 
 
-@query()
-def budget_truncation(spark, sf):
-    """An equal share for each text."""
-    d = t(spark, sf, "documents").select("doc_id", U.truncate_to_budget(F.col("text"), F.lit(200)).alias("cut"))
-    return d.withColumn("tokens", T.estimate_cjk(F.col("cut")))
-
-
 @query()
 def sentence_packing(spark, sf):
     """F15, F16."""
@@ -926,13 +919,6 @@ def sentence_packing(spark, sf):
     return P.request_batches(pieces, "doc_id", "n", "piece").select("doc_id", "n", F.length("piece").alias("chars"), "batch")
 
 
-@query()
-def line_cleaners(spark, sf):
-    """F18, F19, F20, F21."""
-    d = t(spark, sf, "documents")
-    return d.select("doc_id", U.clean_text()(F.col("text")).alias("strict"), U.clean_text(least=14, key_chars=120)(F.col("text")).alias("relaxed"), U.clean_text(least=4, key_chars=180, most_lines=40, most_chars=12000)(F.col("text")).alias("extractive"))
-
-
 @query()
 def hash_embedding(spark, sf):
     """I10, L01."""
@@ -1047,4 +1033,4 @@ def visible_sections(spark, sf):
     return n.groupBy(F.col("n_regionkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sections"))
 
 
-from corvane.plans import chain, library, reading, sections  # noqa: E402,F401  their queries register themselves
+from corvane.plans import chain, cleaning, library, reading, sections  # noqa: E402,F401  their queries register themselves

@@ -16,7 +16,7 @@ def section_buckets(spark, sf):
     text = F.when(F.col("pos") % 9 == 4, F.element_at(headings, F.floor(F.col("pos") / 9).cast("int") % 4 + 1)).otherwise(F.col("text"))
     pages = b.groupBy(F.col("doc_id").alias("d")).agg(F.max("page").alias("pages"))
     b = b.join(pages, F.col("doc_id") == F.col("d")).select(F.col("doc_id").alias("paper_id"), F.col("page").cast("int").alias("page"), F.col("pages").cast("int").alias("pages"), F.col("pos").cast("int").alias("block"), "type", text.alias("content"), F.lit("").alias("content_zh"))
-    s = S.section_buckets(b, t(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("摘要 "), "source").alias("summary_zh")))
+    s = S.section_buckets(b, t(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("摘要 "), "source")).alias("abstract_zh"), F.array(F.lit(" "), F.concat(F.lit("發現 "), "lang")).alias("key_findings")))
     return s.select("paper_id", "n", "section_label", "confidence", "inferred_label", F.array_join("source_block_refs", ",").alias("refs"), F.md5("content_en").alias("en_md5"), "content_zh")
 
 

