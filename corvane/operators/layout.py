@@ -11,18 +11,22 @@ from corvane.functions import text as T
 MISSING_ORDER = 1_000_000_000
 
 
-def reading_order(blocks: DataFrame, page: list[str], band: float = 0.6) -> DataFrame:
-    """Dense order 1..n on each page (F01). blocks: x0, y0, y1, column (left, right, full, span)
-    and two_columns. One column: by y, x. Two: full-width blocks near the top, left, right,
-    other full-width blocks."""
+def reading_order(blocks: DataFrame, page: list[str], page_h: Column, tie: str = "seq_id") -> DataFrame:
+    """Dense order 1..n on each page (F01). blocks: x0, y0, column (left, right, span, full, others)
+    and two_columns; columns named zone and reading_order are replaced. One column: by y, x. Two,
+    told or seen (two blocks or more on each side, a third of the page in all): full-width blocks
+    down to 0.6 of a band below the top of the columns, left, right, other full-width blocks, the
+    rest. A band is 8 % of the page, 120 at least."""
     w = Window.partitionBy(*page)
-    top = F.min("y0").over(w)
-    height = F.max(F.col("y1") - F.col("y0")).over(w)
+    side = F.col("column").isin("left", "right")
+    left, right = F.count(F.when(F.col("column") == "left", 1)).over(w), F.count(F.when(F.col("column") == "right", 1)).over(w)
+    seen = (left >= 2) & (right >= 2) & (left + right >= F.greatest(F.lit(4), F.floor(F.count(F.lit(1)).over(w) * 0.35)))
+    top = F.coalesce(F.min(F.when(side, F.floor("y0"))).over(w), F.lit(0))
+    limit = top + F.floor(F.greatest(F.lit(120), F.floor(page_h * 0.08)) * 0.6)
     wide = F.col("column").isin("full", "span")
-    preface = wide & (F.col("y0") <= F.col("__top") + band * F.col("__height"))
-    zone = F.when(~F.col("two_columns"), 0).when(preface, 0).when(F.col("column") == "left", 1).when(F.col("column") == "right", 2).when(wide, 3).otherwise(4)
-    b = blocks.withColumn("__top", top).withColumn("__height", height).withColumn("zone", zone)
-    return b.withColumn("reading_order", F.row_number().over(w.orderBy("zone", "y0", "x0", "seq_id"))).drop("__top", "__height")
+    zone = F.when(~(F.coalesce("two_columns", F.lit(False)) | seen), 0).when(wide & (F.floor("y0") <= limit), 0).when(F.col("column") == "left", 1).when(F.col("column") == "right", 2).when(wide, 3).otherwise(4)
+    b = blocks.withColumn("zone", zone)
+    return b.withColumn("reading_order", F.row_number().over(w.orderBy("zone", F.floor("y0"), F.floor("x0"), tie)))
 
 
 def neighbour_links(blocks: DataFrame, page: list[str], order: str = "reading_order") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.udfs import pack_batches
@@ -31,66 +31,32 @@ def merge_bodies(blocks: DataFrame, paper: str, order: str) -> DataFrame:
     return blocks.groupBy(paper).applyInPandas(run, blocks.schema)
 
 
-def merge_boxes(boxes: DataFrame, page: list[str], x_gap: int = 24, y_gap: int = 16) -> DataFrame:
-    """Rectangles within the gaps of one already merged join it, in order of y, x."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        merged: list[list] = []
-        for b in sorted((list(x) for x in g["bbox"]), key=lambda b: (b[1], b[0])):
-            for m in merged:
-                if b[0] <= m[2] + x_gap and m[0] <= b[2] + x_gap and b[1] <= m[3] + y_gap and m[1] <= b[3] + y_gap:
-                    m[:] = [min(m[0], b[0]), min(m[1], b[1]), max(m[2], b[2]), max(m[3], b[3])]
-                    break
-            else:
-                merged.append(b)
-        keys = {c: g[c].iloc[0] for c in page}
-        return pd.DataFrame([{**keys, "bbox": m} for m in merged])
-
-    return boxes.select(*page, "bbox").groupBy(*page).applyInPandas(run, boxes.select(*page, "bbox").schema)
-
-
-def pair_score(main, cap, page_w: float, page_h: float, main_column: str, cap_column: str) -> float:
-    """Overlap, gap, width and column of a figure or table and a caption (I32): nothing without
-    18 % of overlap, or unless the caption lies below or, closer, above."""
-    x1, y1, x2, y2 = (int(v) for v in main[:4])
-    u1, v1, u2, v2 = (int(v) for v in cap[:4])
-    width, other = x2 - x1, u2 - u1
-    if width <= 0 or other <= 0 or y2 <= y1 or v2 <= v1:
-        return 0.0
-    overlap = max(0, min(x2, u2) - max(x1, u1)) / min(width, other)
-    near = 0.0
-    if v1 >= y2:
-        near = 1 - (v1 - y2) / max(1, int(0.09 * page_h))
-    if y1 >= v2:
-        near = max(near, 0.85 * (1 - (y1 - v2) / max(1, int(0.03 * page_h))))
-    if overlap < 0.18 or near <= 0:
-        return 0.0
-    alike = 1 - abs(width - other) / max(width, other)
-    column = main_column == cap_column or "span" in (main_column, cap_column)
-    return min(1.0, 0.55 * overlap + 0.25 * near + 0.12 * alike + 0.08 * column)
-
-
-def pair_captions(blocks: DataFrame, page: list[str], page_w: float, page_h: float, least: float = 0.58) -> DataFrame:
-    """Each figure or table, in order of y, x, takes the best caption left.
-    Columns: page columns, seq_id, kind (figure, table, caption), column, bbox."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = g.to_dict("records")
-        captions = [r for r in rows if r["kind"] == "caption"]
-        used, out = set(), []
-        for m in sorted((r for r in rows if r["kind"] != "caption"), key=lambda r: (r["bbox"][1], r["bbox"][0])):
-            best, score = None, -1.0
-            for c in captions:
-                if c["seq_id"] not in used:
-                    s = pair_score(m["bbox"], c["bbox"], page_w, page_h, m["column"], c["column"])
-                    if s > score:
-                        best, score = c, s
-            if best is not None and score >= least:
-                used.add(best["seq_id"])
-                out.append({**{c: m[c] for c in page}, "seq_id": m["seq_id"], "caption_id": best["seq_id"], "score": round(min(1.0, score), 4)})
-        return pd.DataFrame(out, columns=[*page, "seq_id", "caption_id", "score"])
-
-    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in page) + ", seq_id string, caption_id string, score double"
-    return blocks.groupBy(*page).applyInPandas(run, schema)
+def merge_boxes(boxes: DataFrame, page: list[str], order: str, page_w: Column, x_gap: int = 24, y_gap: int = 16) -> DataFrame:
+    """Rectangles of each page, in the order given: one within the gaps of a rectangle so far joins
+    the first such, unless that would bridge two columns (over 0.62 of the page's width from parts
+    under 0.46); those under 10 wide or high are left out (F27). boxes: page columns, order, bbox
+    (x, y, w, h). Returns page columns, n (order), bbox. A fold over one page's boxes, in the JVM."""
+    rows = boxes.where((F.col("bbox")[2] >= 10) & (F.col("bbox")[3] >= 10))
+    lists = rows.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.transform("bbox", lambda v: v.cast("long")).alias("b")))).alias("all"), F.max(page_w).alias("pw"))
+    wide, narrow = F.col("pw") * 0.62, F.col("pw") * 0.46
+
+    def joins(a: Column, m: Column) -> Column:
+        shared = F.least(a[0] + a[2], m[0] + m[2]) - F.greatest(a[0], m[0])
+        apart_y = F.greatest(a[1], m[1]) - F.least(a[1] + a[3], m[1] + m[3])
+        union = F.greatest(a[0] + a[2], m[0] + m[2]) - F.least(a[0], m[0])
+        return (apart_y <= y_gap) & (-shared <= x_gap) & ~((union > wide) & (F.greatest(a[2], m[2]) < narrow))
+
+    def union(a: Column, m: Column) -> Column:
+        x, y = F.least(a[0], m[0]), F.least(a[1], m[1])
+        return F.array(x, y, F.greatest(a[0] + a[2], m[0] + m[2]) - x, F.greatest(a[1] + a[3], m[1] + m[3]) - y)
+
+    def step(acc: Column, e: Column) -> Column:
+        a = e["b"]
+        at = F.array_position(F.transform(acc, lambda m: joins(a, m)), True)
+        return F.when(at == 0, F.concat(acc, F.array(a))).otherwise(F.transform(acc, lambda m, i: F.when(i == at - 1, union(a, m)).otherwise(m)))
+
+    merged = F.aggregate("all", F.array().cast("array<array<bigint>>"), step)
+    return lists.select(*page, F.posexplode(merged).alias("n", "bbox"))
 
 
 def unique_keys(sections: DataFrame, project: str, order: str, key: str = "section_key") -> DataFrame:

@@ -311,16 +311,6 @@ def fixed_batches(spark, sf):
 
 # Layout ---------------------------------------------------------------------------------------
 
-@query(f"""WITH b AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'full' ELSE 'other' END AS col, doc_id % 2 = 0 AS two, min(y0) OVER (PARTITION BY doc_id, page) AS top FROM {_BLOCKS}),
-z AS (SELECT *, CASE WHEN NOT two THEN 0 WHEN col = 'full' AND y0 <= top + 0.6 * 20 THEN 0 WHEN col = 'left' THEN 1 WHEN col = 'right' THEN 2 WHEN col = 'full' THEN 3 ELSE 4 END AS zone FROM b)
-SELECT doc_id, page, seq_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY zone, y0, x0, seq_id)::INT AS reading_order FROM z""")
-def reading_order(spark, sf):
-    """F01, G08, G09."""
-    b = blocks(spark, sf).withColumn("y1", F.col("y0") + 20).withColumn("two_columns", F.col("doc_id") % 2 == 0)
-    b = b.withColumn("column", F.when(F.col("pos") % 4 == 0, "left").when(F.col("pos") % 4 == 1, "right").when(F.col("pos") % 4 == 2, "full").otherwise("other"))
-    return L.reading_order(b, ["doc_id", "page"]).select("doc_id", "page", "seq_id", "reading_order")
-
-
 @query(f"""WITH b AS (SELECT doc_id, page, pos, seq_id, type, lag(seq_id) OVER w AS prev_id, lead(seq_id) OVER w AS next_id, lag(type) OVER w AS pt, lead(type) OVER w AS nt FROM {_BLOCKS} WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos))
 SELECT seq_id, prev_id, next_id, 'eq:' || CASE WHEN type = 'Equation' THEN seq_id WHEN nt = 'Equation' THEN next_id WHEN pt = 'Equation' THEN prev_id END AS affinity FROM b""")
 def prev_next_links(spark, sf):
@@ -940,21 +930,6 @@ def merged_bodies(spark, sf):
     return P.merge_bodies(b, "doc_id", "pos").select("doc_id", "pos", "type", F.length("text").alias("chars"), "bbox")
 
 
-@query()
-def merged_boxes(spark, sf):
-    """F27."""
-    b = blocks(spark, sf).select("doc_id", "page", F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox"))
-    return P.merge_boxes(b, ["doc_id", "page"])
-
-
-@query()
-def caption_pairs(spark, sf):
-    """D09, I32, I33, C42."""
-    kind = F.when(F.col("type") == "Figure", "figure").when(F.col("type") == "Table", "table").when(F.col("pos") % 2 == 0, "caption")
-    b = blocks(spark, sf).select("doc_id", "page", "seq_id", kind.alias("kind"), F.when(F.col("x0") < 200, "left").otherwise("right").alias("column"), F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox"))
-    return P.pair_captions(b.where("kind IS NOT NULL"), ["doc_id", "page"], 520, 760)
-
-
 @query()
 def section_keys(spark, sf):
     """K18."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import arbitration as X
-from corvane.plans.catalog import _BLOCKS, blocks, query
+from corvane.operators import captions as Y
+from corvane.operators import layout as L
+from corvane.operators import pages as P
+from corvane.plans.catalog import _BLOCKS, blocks, query, t
 
 # Two readers of documents' lines: reader B sees boxes 15 lower, other words in every third block,
 # and shares only every fourth block's id.
@@ -83,3 +86,75 @@ def reader_rescue(spark, sf):
     box = F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60).alias("bbox")
     free = b.where("type <> 'Body'").select("doc_id", "page", "pos", F.struct("pos", "seq_id", box).alias("block"))
     return X.rescued(b.where("type = 'Body'").select("doc_id", "page", box), free, ["doc_id", "page"]).select("doc_id", "page", "block.seq_id")
+
+
+# Layout: a third of the documents on pages that are told to have two columns.
+@query(f"""WITH b AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'full' WHEN 3 THEN CASE doc_id % 2 WHEN 0 THEN 'left' ELSE 'span' END ELSE CASE doc_id % 5 WHEN 0 THEN 'other' ELSE 'right' END END AS col, pos // 11 AS sheet FROM {_BLOCKS}),
+c AS (SELECT *, count(*) FILTER (col = 'left') OVER w AS l, count(*) FILTER (col = 'right') OVER w AS r, count(*) OVER w AS n, coalesce(min(y0) FILTER (col IN ('left', 'right')) OVER w, 0) AS top FROM b WINDOW w AS (PARTITION BY doc_id, sheet)),
+z AS (SELECT *, CASE WHEN NOT (doc_id % 3 = 0 OR (l >= 2 AND r >= 2 AND l + r >= greatest(4, floor(n * 0.35)))) THEN 0 WHEN col IN ('full', 'span') AND y0 <= top + 72 THEN 0 WHEN col = 'left' THEN 1 WHEN col = 'right' THEN 2 WHEN col IN ('full', 'span') THEN 3 ELSE 4 END AS zone FROM c)
+SELECT doc_id, sheet::BIGINT AS sheet, seq_id, row_number() OVER (PARTITION BY doc_id, sheet ORDER BY zone, y0, x0, seq_id)::INT AS reading_order FROM z""")
+def reading_order(spark, sf):
+    """F01, G08, G09."""
+    p, d = F.col("pos"), F.col("doc_id")
+    column = F.when(p % 5 == 0, "left").when(p % 5 == 1, "right").when(p % 5 == 2, "full").when(p % 5 == 3, F.when(d % 2 == 0, "left").otherwise("span")).otherwise(F.when(d % 5 == 0, "other").otherwise("right"))
+    b = blocks(spark, sf).withColumn("sheet", F.floor(p / 11)).withColumn("column", column).withColumn("two_columns", d % 3 == 0)
+    return L.reading_order(b, ["doc_id", "sheet"], F.lit(760)).select("doc_id", "sheet", "seq_id", "reading_order")
+
+
+_BOX = "[x0, y0 % 260, 6 + (x0 * 7 + pos) % 190, 4 + (y0 * 3 + pos) % 70]"
+
+
+@query(f"""WITH b AS (SELECT doc_id, pos // 12 AS sheet, list([{_BOX}] ORDER BY pos) AS l FROM {_BLOCKS} WHERE 6 + (x0 * 7 + pos) % 190 >= 10 AND 4 + (y0 * 3 + pos) % 70 >= 10 GROUP BY ALL),
+m AS (SELECT doc_id, sheet, list_reduce(list_prepend([]::BIGINT[][], l), lambda acc, e: CASE WHEN list_position(list_transform(acc, lambda m: greatest(m[2], e[1][2]) - least(m[2] + m[4], e[1][2] + e[1][4]) <= 16 AND greatest(m[1], e[1][1]) - least(m[1] + m[3], e[1][1] + e[1][3]) <= 24
+    AND NOT (greatest(m[1] + m[3], e[1][1] + e[1][3]) - least(m[1], e[1][1]) > 600 * 0.62 AND greatest(m[3], e[1][3]) < 600 * 0.46)), true) IS NULL THEN list_concat(acc, e)
+  ELSE list_transform(acc, lambda m, i: CASE WHEN i = list_position(list_transform(acc, lambda m: greatest(m[2], e[1][2]) - least(m[2] + m[4], e[1][2] + e[1][4]) <= 16 AND greatest(m[1], e[1][1]) - least(m[1] + m[3], e[1][1] + e[1][3]) <= 24
+    AND NOT (greatest(m[1] + m[3], e[1][1] + e[1][3]) - least(m[1], e[1][1]) > 600 * 0.62 AND greatest(m[3], e[1][3]) < 600 * 0.46)), true)
+    THEN [least(m[1], e[1][1]), least(m[2], e[1][2]), greatest(m[1] + m[3], e[1][1] + e[1][3]) - least(m[1], e[1][1]), greatest(m[2] + m[4], e[1][2] + e[1][4]) - least(m[2], e[1][2])] ELSE m END) END) AS b FROM b)
+SELECT doc_id, sheet::BIGINT AS sheet, n::INT AS n, array_to_string(b[n + 1], ',') AS box FROM (SELECT *, unnest(range(len(b))) AS n FROM m)""")
+def merged_boxes(spark, sf):
+    """twelve lines a page, 600 wide."""
+    p, x, y = F.col("pos"), F.col("x0"), F.col("y0")
+    b = blocks(spark, sf).select("doc_id", F.floor(p / 12).alias("sheet"), "pos", F.array(x, y % 260, 6 + (x * 7 + p) % 190, 4 + (y * 3 + p) % 70).alias("bbox"))
+    return P.merge_boxes(b, ["doc_id", "sheet"], "pos", F.lit(600)).select("doc_id", "sheet", "n", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("box"))
+
+
+# Regions: line items of an order as a page of 700 by 1000, captions on odd lines.
+_R = """SELECT l_orderkey, l_linenumber, (l_partkey % 3) * 220 AS x, 60 + l_linenumber * 110 + l_partkey % 45 AS y, CASE WHEN l_suppkey % 37 = 0 THEN 0 ELSE 90 + l_suppkey % 160 END AS w, CASE WHEN l_linenumber % 2 = 1 THEN 22 + l_suppkey % 60 ELSE 60 + l_orderkey % 50 END AS h,
+  ['left', 'right', 'full', 'span', ''][l_partkey % 5 + 1] AS col, ['Figure', 'Table', 'Figure', 'Body'][l_suppkey % 4 + 1] AS kind FROM lineitem"""
+
+
+def caption_regions(spark, sf):
+    i = t(spark, sf, "lineitem")
+    k, n, p, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    x, y = (p % 3) * 220, 60 + n * 110 + p % 45
+    w, h = F.when(s % 37 == 0, 0).otherwise(90 + s % 160), F.when(n % 2 == 1, 22 + s % 60).otherwise(60 + k % 50)
+    kind = pick(["Figure", "Table", "Figure", "Body"], s % 4)
+    return i.select("l_orderkey", n.alias("pos"), F.array(x, y, x + w, y + h).alias("bbox"), pick(["left", "right", "full", "span", ""], p % 5).alias("column"), kind.alias("kind"), F.lit(700).alias("page_w"), F.lit(1000).alias("page_h"), s, p)
+
+
+@query(f"""WITH r AS ({_R}), p AS (
+  SELECT a.l_orderkey, a.l_linenumber AS pos, c.l_linenumber AS cap, a.h AS ah, c.h AS ch, a.w AS aw, c.w AS cw, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) / greatest(1, least(a.w, c.w)) AS o, c.y - a.y - a.h AS below, a.y - c.y - c.h AS above,
+    CASE a.col WHEN '' THEN 'full' ELSE a.col END AS m, CASE c.col WHEN '' THEN 'full' ELSE c.col END AS n, a.col AS mc, c.col AS cc, a.kind AS ak, c.kind AS ck FROM r a JOIN r c ON a.l_orderkey = c.l_orderkey AND a.l_linenumber % 2 = 0 AND c.l_linenumber % 2 = 1),
+g AS (SELECT *, greatest(CASE WHEN below >= 0 THEN greatest(0, 1 - below / 90) ELSE 0 END, CASE WHEN above >= 0 THEN 0.85 * greatest(0, 1 - above / 30) ELSE 0 END) AS gap FROM p)
+SELECT l_orderkey, pos, cap, CASE WHEN aw = 0 OR cw = 0 THEN 'BAD_GEOMETRY' WHEN m <> n AND NOT (m IN ('full', 'span') AND n IN ('full', 'span')) THEN 'CAPTION_NOT_SAME_COLUMN' WHEN o < 0.18 THEN 'CAPTION_X_OVERLAP_LOW' WHEN below < 0 AND above < 0 THEN 'CAPTION_NOT_ABOVE_OR_BELOW'
+  WHEN below >= 0 AND below > 100 THEN 'CAPTION_GAP_TOO_FAR' WHEN below < 0 AND above > 70 THEN 'CAPTION_GAP_TOO_FAR_TOP' WHEN ck = 'Body' THEN 'CAPTION_TYPE_UNKNOWN' WHEN ak = 'Body' THEN 'MAIN_TYPE_INVALID' WHEN ak <> ck THEN 'CAPTION_TYPE_MISMATCH'
+  WHEN ch > greatest(200, floor(ah * 0.95)) THEN 'CAPTION_TOO_TALL' ELSE 'OK' END AS reason,
+  round(CASE WHEN aw = 0 OR cw = 0 OR o < 0.18 OR gap <= 0 THEN 0 ELSE least(1, 0.55 * o + 0.25 * gap + 0.12 * (1 - abs(aw - cw) / greatest(aw, cw)) + 0.08 * (mc = cc OR mc = 'span' OR cc = 'span')::INT) END, 6)::DOUBLE AS score FROM g""")
+def caption_pair_rules(spark, sf):
+    """All pairs of a figure or table and a caption of an order."""
+    r = caption_regions(spark, sf)
+    a = r.where("pos % 2 = 0").select("l_orderkey", "pos", F.struct("bbox", "column", "kind").alias("a"), "page_h")
+    c = r.where("pos % 2 = 1").select("l_orderkey", F.col("pos").alias("cap"), F.struct("bbox", "column", "kind").alias("c"))
+    box = (F.col("a.bbox"), F.col("c.bbox"), F.col("a.column"), F.col("c.column"), F.col("page_h"))
+    return a.join(c, "l_orderkey").select("l_orderkey", "pos", "cap", Y.pair_reason(*box, F.col("a.kind"), F.col("c.kind")).alias("reason"), F.round(Y.pair_score(*box), 6).alias("score"))
+
+
+@query()
+def caption_pairs(spark, sf):
+    """Captions of orders assigned to figures and tables, some with one inside."""
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    r = caption_regions(spark, sf).withColumn("is_major", F.col("pos") % 2 == 0).withColumn("is_caption", F.col("pos") % 2 == 1)
+    r = r.select("l_orderkey", "pos", "bbox", "column", "page_w", "page_h", "is_major", "is_caption", F.col("kind").alias("pred"), (s % 10 / 10.0).alias("figure_score"), (p % 10 / 10.0).alias("table_score"), (s % 7 != 0).alias("can_figure"), (p % 7 != 0).alias("can_table"), F.when(F.col("kind") != "Body", F.col("kind")).otherwise("").alias("target"),
+        F.when(p % 4 == 1, "Figure").when(p % 4 == 2, "Table").otherwise("").alias("embedded"), F.when(s % 3 == 0, "ocr").when(s % 3 == 1, "hint").otherwise("geom").alias("embedded_by"), F.when(s % 5 == 0, "Figure").otherwise("").alias("read_target"), F.array().cast("array<string>").alias("reasons"))
+    return Y.assign_captions(r, ["l_orderkey"])

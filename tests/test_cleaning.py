@@ -40,7 +40,7 @@ def plain(text, sentences, least, key, rest, drop, empty, most_lines, most_chars
     whole = " ".join(raw.split())
     if out:
         return "\n\n".join(out)
-    return "" if whole in empty else whole if len(whole) <= most_chars else whole[:most_chars].rstrip() + "..."
+    return "" if whole in empty or empty and META in whole and len(whole) <= 240 else whole if len(whole) <= most_chars else whole[:most_chars].rstrip() + "..."
 
 
 KINDS = {

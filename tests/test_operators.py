@@ -98,10 +98,6 @@ def test_merges_on_a_page(spark):
     rows = [(1, 0, "Body", "One.", False, [0, 0, 10, 10]), (1, 1, "Body", "Two.", False, [0, 10, 20, 20]), (1, 2, "Body", "no end", False, [0, 20, 10, 30]), (1, 3, "Title", "T.", False, [0, 30, 10, 40])]
     got = P.merge_bodies(spark.createDataFrame(rows, s), "d", "pos").orderBy("pos").collect()
     assert [(r.text, r.bbox) for r in got] == [("One. Two.", [0, 0, 20, 20]), ("no end", [0, 20, 10, 30]), ("T.", [0, 30, 10, 40])]
-    boxes = spark.createDataFrame([(1, [0, 0, 10, 10]), (1, [20, 0, 30, 10]), (1, [200, 200, 210, 210])], "d int, bbox array<int>")
-    assert sorted(r.bbox for r in P.merge_boxes(boxes, ["d"]).collect()) == [[0, 0, 30, 10], [200, 200, 210, 210]]
-    pairs = spark.createDataFrame([(1, "f", "figure", "left", [0, 0, 100, 100]), (1, "c1", "caption", "left", [0, 102, 100, 120]), (1, "c2", "caption", "right", [300, 600, 400, 620])], "d int, seq_id string, kind string, column string, bbox array<int>")
-    assert [(r.seq_id, r.caption_id) for r in P.pair_captions(pairs, ["d"], 500, 700).collect()] == [("f", "c1")]
 
 
 def test_keys_and_chunks(spark):

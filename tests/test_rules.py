@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corvane.functions import status as S
 from corvane.functions import text as T
 from corvane.operators import layout as L
-from corvane.operators.pages import pair_score
 
 
 def values(spark, rule, texts):
@@ -64,17 +63,6 @@ def test_urls(spark):
     assert all(r.got == r.want for r in df.select("want", S.is_allowed_url(F.lit("https://doi.org/"), addresses=F.col("a")).alias("got")).collect())
 
 
-def test_caption_scores():
-    main = [100, 100, 300, 200]
-    assert pair_score(main, [100, 210, 300, 230], 600, 800, "left", "left") == pytest.approx(0.55 + 0.25 * (1 - 10 / 72) + 0.12 + 0.08)
-    assert pair_score(main, [100, 70, 300, 90], 600, 800, "left", "span") == pytest.approx(0.55 + 0.25 * 0.85 * (1 - 10 / 24) + 0.12 + 0.08)
-    assert pair_score(main, [100, 300, 300, 320], 600, 800, "left", "left") == 0  # too far below
-    assert pair_score(main, [280, 210, 480, 230], 600, 800, "left", "left") == 0  # too little overlap
-    assert pair_score(main, [100, 150, 300, 170], 600, 800, "left", "left") == 0  # neither below nor above
-    assert pair_score(main, [100, 210, 100, 230], 600, 800, "left", "left") == 0
-    assert pair_score(main, [150, 210, 250, 230], 600, 800, "left", "right") == pytest.approx(0.55 + 0.25 * (1 - 10 / 72) + 0.12 * 0.5)
-
-
 def test_fusion_quality(spark):
     rows = [("p", f"w{i} x", "stack_b1") for i in range(20)] + [("q", "one two three four five", "STACK_A")] * 20 + [("r", "one", "stack_b")] * 15 + [("s", "one two three four five", " stack_b")] * 30 + [("s", " ", "stack_a")]
     got = {x.g: x for x in L.quality_metrics(spark.createDataFrame(rows, "g string, text string, source string"), "g").collect()}
