@@ -7,8 +7,8 @@
    shares one of the first n - ceil(0.8 n) + 1 shingles of both sets, in any one order of all
    shingles. Each such shared shingle has a pivot, one of the documents that hold it; a region is
    a pivot with the documents that meet it. Rare shingles come first, by a sketch of counts.
-   Documents of a small region whose counts in 256 parts of all shingles differ too much from those
-   of all others there leave it: these counts never lie farther apart than the sets.
+   Documents of a small region whose counts in parts of all shingles differ too much from those of
+   all others there leave it: these counts never lie farther apart than the sets.
 3. Each document goes to its largest region first. Documents within r of the pivot are linked to
    it, and among them nothing more need be compared. Of others, x and y are compared only where
    their distances to the pivot differ by r at most.
@@ -37,8 +37,6 @@ from corvane.llm.near_dedup import BROADCAST_IDS, CELL, _edges_of, _grid, _stars
 
 #: Counters of the sketch of shingle counts, and the pieces that it is added up in.
 COUNTERS, SLICES = 1 << 18, 64
-#: Parts of all shingles in which a set is counted, a byte each.
-FOLDS = 256
 #: Most pivots that divide a region at one level.
 PIVOTS = 16
 #: A part that holds more than this share of its region is not divided again.
@@ -114,10 +112,34 @@ def _prefixes(words: int, percent: int, levels: np.ndarray):
 
 
 def fold_of(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in FOLDS parts of all shingles, 255 at most. The sum of two sets'
-    differences is never more than the number of shingles that only one of them has."""
-    part = (s >> np.uint64(20)).astype(np.int64) % FOLDS
-    return np.minimum(np.bincount(part, minlength=FOLDS), 255).astype(np.uint8)
+    """Counts of a set's shingles in parts of all shingles, 255 at most: a power of two of parts,
+    4 to 8 shingles each. The sum of two sets' differences is never more than the number of
+    shingles that only one of them has, nor where pairs of parts are added up."""
+    parts = 1 << max(5, int(len(s) // 4).bit_length() - 1)
+    part = ((s >> np.uint64(20)) & np.uint64(parts - 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=parts), 255).astype(np.uint8)
+
+
+def possible(n: np.ndarray, folds: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of some sets, given sizes and counts in parts, may be linked with another of them.
+
+    Sets within the threshold have as many parts, or twice as many, and these are added up."""
+    size = np.array([len(f) for f in folds])
+    near = np.zeros(len(n), dtype=bool)
+    for parts in np.unique(size):
+        own, other = np.flatnonzero(size == parts), np.flatnonzero(size == 2 * parts)
+        rows = np.concatenate([own, other])
+        counts = [np.stack([folds[i] for i in own]).astype(np.int16)]
+        if len(other):
+            twice = np.stack([folds[i] for i in other]).astype(np.int16)
+            counts.append(twice[:, :parts] + twice[:, parts:])
+        counts, sizes = np.concatenate(counts), n[rows]
+        for i in range(len(own)):
+            apart = np.abs(counts[i + 1 :] - counts[i]).sum(axis=1, dtype=np.int64)
+            met = (100 + percent) * apart <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
+            near[rows[i + 1 :][met]] = True
+            near[rows[i]] |= met.any()
+    return near
 
 
 def _possible(percent: int):
@@ -125,14 +147,8 @@ def _possible(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _cells(batches):
-            n = np.array(table.column("n").to_pylist(), dtype=np.int64)
-            fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), dtype=np.uint8).reshape(-1, FOLDS).astype(np.int16)
-            near = np.zeros(len(n), dtype=bool)
-            for i in range(len(n) - 1):
-                apart = np.abs(fold[i + 1 :] - fold[i]).sum(axis=1, dtype=np.int64)
-                met = (100 + percent) * apart <= (100 - percent) * (n[i + 1 :] + n[i])
-                near[i + 1 :] |= met
-                near[i] |= met.any()
+            folds = [np.frombuffer(x, dtype=np.uint8) for x in table.column("fold").to_pylist()]
+            near = possible(np.array(table.column("n").to_pylist(), dtype=np.int64), folds, percent)
             if near.any():
                 rows = table.filter(pa.array(near))
                 yield pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_pylist(), pa.int64()) for c in ("cell", "doc")], names=["region", "doc"])
@@ -235,7 +251,7 @@ class _Join:
 
     def __init__(self, texts: DataFrame, words: int, percent: int) -> None:
         self.texts, self.words, self.percent = texts, words, percent
-        self.tasks = 4 * shuffle_partitions(texts.sparkSession)
+        self.tasks = shuffle_partitions(texts.sparkSession)
         self.edges: list[DataFrame] = []
 
     def _with_texts(self, rows: DataFrame) -> DataFrame:
@@ -326,7 +342,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Without documents that differ too much from all others of their small region.
     small = met.where(F.col("c") <= CELL).select(F.col("region").alias("cell"), "doc").join(held.select("doc", "n", "fold"), "doc")
-    some = small.repartition(4 * shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "doc").mapInArrow(_possible(percent), "region long, doc long")
+    some = small.repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "doc").mapInArrow(_possible(percent), "region long, doc long")
     some = materialize_at(some.unionAll(met.where(F.col("c") > CELL).select("region", "doc")), shared_path(docs.sparkSession, "join-met"), path)
     members = materialize(counted(some), "join-regions")
     wanted = materialize(members.select("doc").distinct(), "join-candidates")
@@ -351,12 +367,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = materialize(join_hot(told.select("region", "doc"), several, "region", "c", total, F.xxhash64("doc")), "join-rest")
     work.edges = [_stars(comps)]
     stuck = work.join(rest)
+    if stuck is not None:
+        cells = _grid(_with_component(stuck.select("region", "doc"), comps), "region", total)
+        work.join_small(cells.select("doc", F.col("cell").alias("region")))
     comps = materialize(connected_components(_union(work.edges)), "join-components")
-    if stuck is not None and not stuck.isEmpty():
-        cells = _grid(_with_component(stuck.select("region", "doc"), comps), "region", total).select("doc", "cell")
-        work.edges = [_stars(comps)]
-        work.join_small(cells.withColumnRenamed("cell", "region"))
-        comps = materialize(connected_components(_union(work.edges)), "join-components")
 
     of = _with_component(classes.select("ident", "copies", F.col("rep").alias("doc")), comps).select("ident", "copies", "comp")
     classed = join_hot(taking_part, of, "ident", "copies", total, F.xxhash64("doc")).select("doc", "n", "comp")
