@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, shuffle_partitions, unused, without
-from corvane.llm.html_tree import align, dump, in_main, is_furniture, line_text, load, match, parse, slot_paths
+from corvane.llm.html_tree import align, dump, in_main, is_furniture, is_own, line_text, load, match, parse, slot_paths
 
 #: Bytes of all wrappers up to which they are broadcast; beyond that, pages are joined by host.
 BROADCAST_BYTES = 32 << 20
@@ -44,10 +44,11 @@ def _key(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _bare(signs: tuple[str, ...]) -> bool:
-    """Whether a slot lies in an article with nothing that has a name of its own around it."""
+def _kept(signs: tuple[str, ...], heading: bool) -> bool:
+    """Whether a line can't be template: in an article, a heading, below nothing that has a name of
+    its own, or below a name that parts of articles have."""
     last = max((i for i, s in enumerate(signs) if s in ("article", "main")), default=None)
-    return last is not None and all("." not in s for s in signs[last:])
+    return last is not None and (heading or is_own(signs) or all("." not in s for s in signs[last:]))
 
 
 @lru_cache(maxsize=1024)
@@ -94,13 +95,13 @@ def page_counts(source: str, wrapper: str) -> Iterator[tuple[int, int | None, in
         if slot < 0:
             continue
         of = total.setdefault(slot, [0, 0, 0])
-        for _, raw, links in lines:
+        for _, raw, links, heading in lines:
             if text := line_text(raw):
                 of[0] += len(text)
                 of[1] += min(links, len(text))
                 of[2] += 1
                 whole.update(text.encode("utf-8", "surrogatepass") + b"\n")
-                if not _bare(paths[slot][1]):
+                if not _kept(paths[slot][1], heading):
                     seen[slot, _key(text)] = len(text)
     seen[-1, whole.intdigest() - (1 << 63)] = 0
     for slot, of in total.items():
@@ -118,11 +119,13 @@ def judge_slots(wrapper: str, counts: dict[int, tuple[int, int, int, int]], repe
     paths = _wrapper(wrapper)[2]
     pages = counts.get(-1, (0,) * 4)[0]
     empty = (0, 0, 0, 0)
-    menu = {s for s, (n, chars, links, lines) in counts.items() if s >= 0 and n >= max(LEAST_PAGES, NEARLY_ALL * pages) and links >= NEARLY_ALL * chars > 0 and lines >= 3 * n and paths[s][1] and paths[s][1][-1] not in ("article", "main")}
-    able = [s for s in range(len(paths)) if s not in menu and not is_furniture(paths[s][1])]
     fixed: dict[int, int] = {}
     for s, _, chars in repeated:
         fixed[s] = fixed.get(s, 0) + chars
+    menu = {s for s, (n, chars, links, lines) in counts.items() if s >= 0 and n >= max(LEAST_PAGES, NEARLY_ALL * pages) and links >= NEARLY_ALL * chars > 0 and lines >= 3 * n and paths[s][1] and paths[s][1][-1] not in ("article", "main")}
+    # A list of links in an article is a menu only if pages have its links in common.
+    menu = {s for s in menu if not in_main(paths[s][1]) or not is_own(paths[s][1]) and 2 * fixed.get(s, 0) * counts[s][0] >= counts[s][1]}
+    able = [s for s in range(len(paths)) if s not in menu and not is_furniture(paths[s][1])]
     mass = {s: max(0, counts.get(s, empty)[1] - counts.get(s, empty)[2] - fixed.get(s, 0)) for s in able}
     rest = [s for s in able if not in_main(paths[s][1])]
     whole, names = sum(mass[s] for s in rest), _names(wrapper)
@@ -161,8 +164,8 @@ def main_text(source: str, rules: str) -> tuple[str, bool]:
                 continue
         elif slot not in (main if has_main else rest):
             continue
-        for block, raw, _ in lines:
-            if not template or (slot, _key(line_text(raw))) not in template:
+        for block, raw, _, heading in lines:
+            if not template or heading and slot >= 0 and _kept(paths[slot][1], True) or (slot, _key(line_text(raw))) not in template:
                 blocks.setdefault(block, []).append(raw)
     found = (line_text("".join(parts)) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in found if x), not strange
@@ -248,8 +251,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
     markup and reader comments; where a page has article or main elements, all outside them; what
-    nearly all pages of a host (3 at least) repeat in one slot, but for text that lies in the
-    article under no name of its own. Character references are decoded, white space inside a
+    nearly all pages of a host (3 at least) repeat in one slot, but for headings of the
+    article and its text under no name of its own or a name like byline or references. Character references are decoded, white space inside a
     block becomes one space, blocks are trimmed and joined by a newline. Returns page columns but
     html_col, with text, n_chars (code points) and fits_wrapper. Null html: empty text. Null or
     odd url: pages of one unnamed host. Rows that repeat an id are each extracted. Empty table:

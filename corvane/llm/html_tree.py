@@ -39,6 +39,12 @@ _EDGE, _END = r"(?:^|[\s_-])(?:", r")(?:$|[\s_-])"
 STRONG = re.compile(_EDGE + r"ad|ads|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|subscribe|newsletter|comment|comments|disqus" + _END, re.I)
 #: Words in class, id, role or label that mark a container.
 MARKED = re.compile(_EDGE + r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|footer|cookie\w*|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|share|sharing|social|related|recommend\w*|comment|comments|respond|disqus|widget|toolbar|contentinfo|complementary|search|skip" + _END, re.I)
+#: A class, id or role that marks a part of an article as none of it: such a word, alone or with
+#: words that only say what kind of box it is. Longer names say what a text is about.
+EXACT = re.compile(r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|cookies?|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|share|sharing|social|related|recommend\w*|comments?|respond|disqus|widget|toolbar|contentinfo|complementary|search|skip)(?:[-_](?:ads?|area|articles?|banner|bar|block|box|button|buttons|container|content|feed|footer|form|header|icons?|inner|item|items|label|link|links|list|media|menu|notice|panel|posts?|reading|section|sidebar|signup|slot|stories|thread|toolbar|unit|widget|wrap|wrapper|0))*", re.I)
+#: Names of parts of an article that may look alike on all pages of a host.
+OWN = re.compile(r"(?:abstract|authors?|bibliography|byline|citations?|dateline|footnotes?|lead|refs?|references?)(?:[-_](?:box|inner|item|items|line|list|name|section|wrap|wrapper|0))*", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADED = re.compile(_EDGE + r"header|masthead" + _END, re.I)
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<({RAW})\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>|[^<]++|<", re.S | re.I)
 _EMBED = re.compile(rf"<(?:{'|'.join(sorted(EMBEDDED))})\b", re.I)
@@ -47,7 +53,8 @@ _ATTR = re.compile(r"[\s\"'](class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([
 
 
 class Node:
-    """A slot ("#"), a group ("()") or an element; lines are [block, text, characters in links]."""
+    """A slot ("#"), a group ("()") or an element; lines are [block, text, characters in links,
+    whether it is a heading]."""
 
     __slots__ = ("sign", "kids", "rep", "opt", "lines")
 
@@ -232,15 +239,24 @@ def in_main(signs: tuple[str, ...]) -> bool:
     return any(s.partition(".")[0] in MAIN for s in signs)
 
 
+def is_own(signs: tuple[str, ...]) -> bool:
+    """Whether a slot lies in a part of an article that is named as such."""
+    last = max((i for i, s in enumerate(signs) if s.partition(".")[0] in MAIN), default=len(signs))
+    return any(OWN.fullmatch(w) for s in signs[last:] for w in s.partition(".")[2].split())
+
+
 def is_furniture(signs: tuple[str, ...]) -> bool:
-    """Whether names of elements, classes or roles say that a slot is no part of the article."""
+    """Whether names of elements, classes or roles say that a slot is no part of the article: any
+    telling word outside of it, in it only names that say nothing else."""
     inside = False
     for sign in signs:
         tag, _, words = sign.partition(".")
         inside = inside or tag in MAIN
-        if tag in FURNITURE or tag == "header" and not inside:
+        if tag in FURNITURE or tag == "header" and not inside or "hidden" in words.split():
+            return True
+        if words and inside and any((STRONG.search(w) if tag in TEXTUAL or tag in SIBLINGS else True) and EXACT.fullmatch(w) for w in words.split()):
             return True
-        if words and ((STRONG if tag in TEXTUAL or tag in SIBLINGS else MARKED).search(words) or "hidden" in words.split() or not inside and HEADED.search(words)):
+        if words and not inside and (STRONG if tag in TEXTUAL or tag in SIBLINGS else MARKED).search(words) or words and not inside and HEADED.search(words):
             return True
     return False
 
@@ -266,7 +282,8 @@ def _words(token: str, tag: str) -> str:
     if tag in UNNAMED or "=" not in token and "hidden" not in token.lower():
         return ""
     few = tag in TEXTUAL or tag in SIBLINGS
-    found = [x for name, *values in _ATTR.findall(token) for x in values if x and not (few and name.lower() in ("id", "aria-label"))]
+    # A label is one name, whatever words it has.
+    found = ["_".join(x.split()) if name.lower() == "aria-label" else x for name, *values in _ATTR.findall(token) for x in values if x and not (few and name.lower() in ("id", "aria-label"))]
     return re.sub(r"\d+", "0", " ".join(found))
 
 
@@ -317,7 +334,7 @@ def parse(source: str) -> list[Node]:
                     continue
                 if not here.kids or here.kids[-1].sign != "#":
                     here.kids.append(Node("#"))
-                line, within = [block, "", 0], here
+                line, within = [block, "", 0, any(e[0] in HEADINGS for e in stack)], here
                 here.kids[-1].lines.append(line)
             line[1] += token
             if links:
@@ -352,7 +369,9 @@ def parse(source: str) -> list[Node]:
                 close(i)
         words = _words(token, tag)
         sign = f"{tag}.{words}" if words else tag
-        named = tag in CONTAINERS or tag in FURNITURE or bool(words) and (tag in TEXTUAL or is_furniture((sign,)))
+        # A button or label amid a sentence is a word of it.
+        amid = tag in ("button", "label") and line is not None and line[0] == block and bool(line[1].strip()) and "hidden" not in words.split() and next((e[0] for e in reversed(stack) if e[0] in BLOCK), "") in TEXTUAL - SIBLINGS
+        named = not amid and (tag in CONTAINERS or tag in FURNITURE or bool(words) and (tag in TEXTUAL or is_furniture((sign,))))
         hides = tag in EMBEDDED or tag == "head" or named and depth >= MOST_DEPTH and is_furniture((sign,))
         node = Node(sign) if named and not hides and depth < MOST_DEPTH else None
         stack.append((tag, node, here, hides))

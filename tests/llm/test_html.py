@@ -65,6 +65,11 @@ def test_a_wrapper_accepts_all_its_pages():
         ("<article><p class='intro'>a<p class='intro'>b</article>", "a\nb"),
         ("<article><p class='ad'>buy</p><p>c</article>", "c"),
         ("<header><p>site</p></header><article>c</article>", "c"),
+        # Longer names say what a text is about; single words, alone or of a box, are furniture.
+        ("<article><section id='related-work'><h2>Related work</h2><p>a</section><div class='social-history'>b</div><div class='search-algorithms'><p>c</div></article>", "Related work\na\nb\nc"),
+        ("<article><p>a<div class='related-posts'>no</div><div class='share'>no</div><div class='ad-slot-7'>no</div><section class='x comments'>no</section><div aria-label='Search results of 1900'>b</div></article>", "a\nb"),
+        ("<article><p>Press the <button>Start</button> key and <label>hold it</label> down.</p><button>Share this</button><p><button>Print</button></p></article>", "Press the Start key and hold it down."),
+        ("<article><ul><li><button>Like</button></li></ul><p>a</article>", "a"),
     ],
 )
 def test_main_text(body, want):
@@ -115,6 +120,21 @@ def test_the_wrapper_finds_the_container_of_pages_without_an_article():
     assert "Site name" in alone(sources[2])
 
 
+def test_an_article_keeps_its_headings_references_and_byline():
+    def source(i):
+        parts = f"<section class='abstract'><h2>Abstract</h2><p>Sum of {i}.</section><section id='methods'><h2>Methods</h2><p>We did {i}.</section>"
+        refs = "".join(f"<li><a href='{i}-{k}'>Paper {i}-{k}</a>" for k in range(4))
+        links = "".join(f"<li><a href='{k}'>More {k}</a>" for k in range(4))
+        return f"<body><article><h1>T</h1><div class='byline'>By Jane Doe</div>{parts}<div class=q2>Read us daily</div><ul class='refs'>{refs}</ul><ul class=mm>{links}</ul><ul class=nn>{refs}</ul></article>"
+
+    sources = [source(i) for i in range(10)]
+    rules = rules_of(sources)
+    refs = "\n".join(f"Paper 3-{k}" for k in range(4))
+    assert main_text(sources[3], rules)[0] == f"T\nBy Jane Doe\nAbstract\nSum of 3.\nMethods\nWe did 3.\n{refs}\n{refs}"
+    # Here the wrapper decides: one page alone keeps the line and the links that all pages share.
+    assert main_text(sources[3], rules)[0] != alone(sources[3]) and "Read us daily" in alone(sources[3]) and "More 2" in alone(sources[3])
+
+
 def test_constant_text_outside_an_article_is_template():
     sources = [f"<body><div><p>Shared banner text</p><p>own text number {i} of this page here</p></div></body>" for i in range(4)]
     assert main_text(sources[2], rules_of(sources))[0] == "own text number 2 of this page here"
