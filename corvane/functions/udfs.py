@@ -32,13 +32,17 @@ WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def edit_distance(a, b) -> int:
-    """Levenshtein over any two sequences."""
-    row = list(range(len(b) + 1))
+    """Levenshtein over any two sequences (I24), a row of the table at a time."""
+    number = {x: i for i, x in enumerate(dict.fromkeys((*a, *b)))}
+    q = np.array([number[x] for x in b], dtype=np.int64)
+    at = np.arange(len(q) + 1)
+    row = at
     for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+        best = np.empty_like(row)
+        best[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (q != number[x]), out=best[1:])
+        row = np.minimum.accumulate(best - at) + at  # insertions run along the row
+    return int(row[-1])
 
 
 def word_error(prediction: str | None, truth: str | None) -> float:

@@ -234,26 +234,31 @@ def overlap_report(spark, sf):
     return c.select("conv_id", "turn", T.overlap_jaccard(F.col("text"), F.col("prev")).alias("overlap"))
 
 
-@query(r"""WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS nxt FROM benchmark),
-n AS (SELECT item_id, lower(trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'))) AS g, lower(trim(regexp_replace(substr(coalesce(nxt, ''), 1, 120), '\s+', ' ', 'g'))) AS p FROM b)
-SELECT item_id, round(CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(g, p) / length(g) END, 6) AS cer FROM n WHERE NOT regexp_matches(g || p, '[^\x00-\x7F]')""")
+_TURNS = "(SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS g, lower(trim(regexp_replace(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '\\s+', ' ', 'g'))) AS p FROM conversations)"
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as true texts, whole, each with the turn before it as what was read."""
+    return t(spark, sf, "conversations").withColumn("read", F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+
+
+# DuckDB's levenshtein counts bytes: letters that take two become capitals, of which there are none.
+_ASCII = "translate({}, 'ßäçèéêíñóöüàâîôûëïáú', 'ABCDEFGHIJKLMNOPQRST')"
+
+
+@query(f"SELECT conv_id, turn, round(CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({_ASCII.format('g')}, {_ASCII.format('p')}) / length(g) END, 6) AS cer FROM {_TURNS}")
 def ocr_cer(spark, sf):
-    """I23, I24 and I25 on ASCII prefixes only, where both engines count the same characters;
-    ocr_error_rates has the whole texts of all rows."""
-    b = t(spark, sf, "benchmark").withColumn("nxt", F.lead("text").over(Window.orderBy("item_id")))
-    g, p = F.substring("text", 1, 120), F.substring(F.coalesce("nxt", F.lit("")), 1, 120)
-    return b.where(~F.regexp_like(F.concat(T.normalize_metric_text(g), T.normalize_metric_text(p)), F.lit(r"[^\x00-\x7F]"))).select("item_id", F.round(T.character_error_rate(p, g), 6).alias("cer"))
+    """Whole turns."""
+    return readings(spark, sf).select("conv_id", "turn", F.round(T.character_error_rate(F.col("read"), F.col("text")), 6).alias("cer"))
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Error rates of each benchmark text, whole, against the next."""
-    b = t(spark, sf, "benchmark").withColumn("nxt", F.coalesce(F.lead("text").over(Window.orderBy("item_id")), F.lit("")))
-    return b.select("item_id", T.character_error_rate(F.col("nxt"), F.col("text")).alias("cer"), U.word_error_rate(F.col("nxt"), F.col("text")).alias("wer"))
+    return readings(spark, sf).select("conv_id", "turn", T.character_error_rate(F.col("read"), F.col("text")).alias("cer"), U.word_error_rate(F.col("read"), F.col("text")).alias("wer"))
 
 
 @query()
 def ocr_error_rates(spark, sf):
-    """I23, I24, I25, I26 of whole texts; no SQL, as DuckDB's levenshtein counts bytes."""
+    """I23, I24, I25, I26 of whole turns."""
     return rates(spark, sf)
 
 
@@ -672,24 +677,15 @@ def mentor_dashboard(spark, sf):
     return c.select("c_custkey", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("projects", "open_tasks", "total")])
 
 
-@query("""SELECT DISTINCT a.o_custkey AS mentor, b.o_custkey AS mentee FROM (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 0) a JOIN (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 10 = 1) b ON a.d = b.d""")
-def shared_projects(spark, sf):
-    """D22 in part: pairs that share a project (here, a day), of customers ending in 0 and 1 only;
-    mentor_project_links has all customers and the roles."""
-    o = t(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).distinct()
-    a, b = o.where("o_custkey % 10 = 0").withColumnRenamed("o_custkey", "mentor"), o.where("o_custkey % 10 = 1").withColumnRenamed("o_custkey", "mentee")
-    return a.join(b, "d").select("mentor", "mentee").distinct()
-
-
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS u, o_orderdate::DATE AS pid FROM orders WHERE o_orderpriority <> '5-LOW' OR day(o_orderdate) % 7 = 0)
-SELECT c_custkey // 5 AS mentor, c_custkey AS mentee FROM customer WHERE c_custkey // 5 <> c_custkey AND EXISTS (SELECT 1 FROM m a JOIN m b ON a.pid = b.pid WHERE a.u = c_custkey // 5 AND b.u = c_custkey)""")
+@query("""WITH m AS (SELECT DISTINCT doc_id // 3 AS u, 'p' || doc_id % 41 AS pid FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 41 % 7 = 0)
+SELECT k.u // 4 AS mentor, k.u AS mentee FROM (SELECT DISTINCT doc_id // 3 AS u FROM documents) k WHERE k.u // 4 <> k.u AND EXISTS (SELECT 1 FROM m a JOIN m b ON a.pid = b.pid WHERE a.u = k.u // 4 AND b.u = k.u)""")
 def mentor_project_links(spark, sf):
-    """Every customer and a mentor derived from the key; orders are memberships of the day's
-    project, the low ones as coauthors; each seventh day's project is open to them."""
-    links = t(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 5).cast(t(spark, sf, "customer").schema["c_custkey"].dataType).alias("mentor"), F.col("c_custkey").alias("mentee")).where("mentor <> mentee")
-    role = F.when(F.col("o_orderpriority") == "5-LOW", "coauthor").otherwise("editor")
-    members = t(spark, sf, "orders").select(F.col("o_custkey").alias("user"), F.to_date("o_orderdate").alias("pid"), role.alias("role"), (F.dayofmonth("o_orderdate") % 7 == 0).alias("open"))
-    return A.shared_project_links(links, members)
+    """Documents as memberships of users, three each, in 41 projects; each fifth as a
+    coauthor; each seventh project is open to those. A user's mentor is derived from the key."""
+    k = F.col("doc_id")
+    d = t(spark, sf, "documents").select(F.floor(k / 3).alias("user"), F.concat(F.lit("p"), k % 41).alias("pid"), F.when(k % 5 == 0, "coauthor").otherwise("editor").alias("role"), (k % 41 % 7 == 0).alias("open"))
+    links = d.select(F.floor(F.col("user") / 4).alias("mentor"), F.col("user").alias("mentee")).distinct().where("mentor <> mentee")
+    return A.shared_project_links(links, d)
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE (o_orderpriority = '1-URGENT') OR (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0)""")
@@ -813,15 +809,15 @@ def url_allow(spark, sf):
 
 
 @query(r"""WITH d AS (SELECT doc_id, squash AS s FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS squash FROM documents)),
-f AS (SELECT doc_id, unnest(range(0, greatest(1, (length(s) + 56) // 57))) AS n, s FROM d),
-t AS (SELECT doc_id, n, trim(substr(s, n * 57 + 1, 17 + n % 41)) AS x FROM f),
+f AS (SELECT doc_id, unnest(range(0, greatest(1, (length(s) + 36) // 37))) AS n, s FROM d),
+t AS (SELECT doc_id, n, trim(substr(s, n * 37 + 1, 37)) AS x FROM f),
 w AS (SELECT *, string_split(x, ' ') AS p FROM t)
 SELECT doc_id, n, x = '' OR length(x) < 40 AND (regexp_matches(x, '[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]') OR 2 * len(list_filter(p, lambda v: length(v) <= 2)) >= len(p) OR len(regexp_extract_all(x, '[A-Za-z\x{4e00}-\x{9fff}]')) < 6) AS garbage FROM w""")
 def garbage_fragments(spark, sf):
     """Pieces of documents."""
     s = T.squash(F.col("text"))
-    pieces = t(spark, sf, "documents").select("doc_id", s.alias("s"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((F.length(s) + 56) / 57)).cast("int") - 1)).alias("n"))
-    x = F.trim(F.substr("s", (F.col("n") * 57 + 1).cast("int"), (F.col("n") % 41 + 17).cast("int")))
+    pieces = t(spark, sf, "documents").select("doc_id", s.alias("s"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((F.length(s) + 36) / 37)).cast("int") - 1)).alias("n"))
+    x = F.trim(F.substr("s", (F.col("n") * 37 + 1).cast("int"), F.lit(37)))
     return pieces.select("doc_id", F.col("n").cast("long").alias("n"), T.is_garbage_fragment(x).alias("garbage"))
 
 
@@ -869,9 +865,8 @@ def html_text(spark, sf):
 
 @query()
 def ocr_wer(spark, sf):
-    """Each benchmark text against the next."""
-    b = t(spark, sf, "benchmark").withColumn("nxt", F.lead("text").over(Window.orderBy("item_id")))
-    return b.select("item_id", F.round(U.word_error_rate(F.coalesce("nxt", F.lit("")), F.col("text")), 6).alias("wer"))
+    """Whole turns."""
+    return readings(spark, sf).select("conv_id", "turn", F.round(U.word_error_rate(F.col("read"), F.col("text")), 6).alias("wer"))
 
 
 @query()
@@ -879,19 +874,19 @@ def title_similarity(spark, sf):
     """Candidates of one block compared with the first of it."""
     c = prepared(spark, sf)
     first = c.groupBy("venue").agg(F.min_by("title", "pos").alias("t0"))
-    j = c.join(F.broadcast(first), "venue").select("pos", F.round(U.title_similarity(F.col("title"), F.col("t0")), 6).alias("ratio"))
+    j = c.join(first, "venue").select("pos", F.round(U.title_similarity(F.col("title"), F.col("t0")), 6).alias("ratio"))
     return j.withColumn("same", F.col("ratio") >= 0.82)
 
 
 @query()
 def resolved_references(spark, sf):
-    """Every part cited with a word left out or a later year, looked for among all parts of
-    its brand; a DOI among all parts."""
-    c = prepared(spark, sf)
-    k = F.col("pos")
-    refs = c.select(k.alias("ref"), "venue", F.when(k % 3 == 0, F.regexp_replace("title", r"^\S+ ", "")).when(k % 7 == 0, "").otherwise(F.col("title")).alias("title"), (F.col("year") + k % 4).cast("int").alias("year"), F.when(k % 2 == 0, F.col("doi")).otherwise("").alias("doi"))
-    papers = c.select(k.alias("paper"), "venue", "title", "year", "doi", "source")
-    return A.resolve_references(refs, papers, ["venue"])
+    """Every page cited with a word of its title left out or a later year, looked for among
+    all pages of its host; a DOI among all pages."""
+    k = F.col("page_id")
+    p = t(spark, sf, "pages").select(k, S.url_host(F.col("url")).alias("venue"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), (1990 + k % 30).cast("int").alias("year"), F.when(k % 5 == 0, F.concat(F.lit("10.1234/p."), k)).otherwise("").alias("doi"), F.lit("page").alias("source"))
+    title = F.when(k % 3 == 0, F.regexp_replace("title", r"^\S+ ", "")).when(k % 7 == 0, "").otherwise(F.col("title"))
+    refs = p.select(k.alias("ref"), "venue", title.alias("title"), (F.col("year") + k % 4).cast("int").alias("year"), F.when(k % 2 == 0, F.col("doi")).otherwise("").alias("doi"))
+    return A.resolve_references(refs, p.select(k.alias("paper"), "venue", "title", "year", "doi", "source"), ["venue"])
 
 
 @query()

@@ -26,12 +26,12 @@ def flow_kinds(spark, sf):
 
 
 @query(rf"""SELECT seq_id, CASE WHEN type = 'Body' AND s <> '' AND length(s) <= 64 AND len(regexp_extract_all(s, '\S+')) <= 9 AND (regexp_matches(s, '^\d+(?:\.\d+)*\.?\s+[A-Z]') OR regexp_matches(s, '(?i)^(?:Abstract|Introduction|Related Work|Background|Motivation|Preliminaries|Methods?|Materials and Methods|Approach|Model|Experiments?|Experimental Setup|Results?|Evaluation|Discussion|Conclusions?|Future Work|References|Bibliography|Acknowledge?ments?|Appendix|Data)\b')) THEN 'Title' ELSE type END AS type
-FROM (SELECT seq_id, type, CASE pos % 5 WHEN 0 THEN left(trim(text), 50) WHEN 1 THEN '2.' || pos || ' ' || upper(left(trim(text), 30)) WHEN 2 THEN 'Results of ' || left(trim(text), 60) WHEN 3 THEN 'Dataset' ELSE 'data ' || left(trim(text), 20) END AS s FROM {_BLOCKS}) WHERE s = trim(s)""")
+FROM (SELECT seq_id, type, CASE pos % 5 WHEN 0 THEN left(trim(text), 50) WHEN 1 THEN '2.' || pos || ' ' || upper(left(trim(text), 30)) WHEN 2 THEN 'Results of ' || left(trim(text), 60) WHEN 3 THEN 'Dataset' ELSE 'data ' || left(trim(text), 20) END AS r, trim(r) AS s FROM {_BLOCKS})""")
 def retagged_titles(spark, sf):
     """Beginnings of lines, numbered or behind a heading's word."""
     x, p = F.trim("text"), F.col("pos")
     s = F.when(p % 5 == 0, F.left(x, F.lit(50))).when(p % 5 == 1, F.concat(F.lit("2."), p, F.lit(" "), F.upper(F.left(x, F.lit(30))))).when(p % 5 == 2, F.concat(F.lit("Results of "), F.left(x, F.lit(60)))).when(p % 5 == 3, "Dataset").otherwise(F.concat(F.lit("data "), F.left(x, F.lit(20))))
-    return blocks(spark, sf).withColumn("s", s).where("s = trim(s)").select("seq_id", K.retag_title(F.col("type"), F.col("s")).alias("type"))
+    return blocks(spark, sf).withColumn("s", F.trim(s)).select("seq_id", K.retag_title(F.col("type"), F.col("s")).alias("type"))
 
 
 @query(f"""WITH b AS (SELECT seq_id, CASE WHEN pos % 4 = 0 THEN '' ELSE text END AS b, x0 / 400 AS bs, CASE WHEN pos % 3 = 0 THEN NULL ELSE 'a ' || text END AS a, CASE WHEN pos % 5 = 0 THEN x0 / 400 ELSE y0 / 700 END AS "as", type FROM {_BLOCKS})

@@ -182,7 +182,7 @@ def test_streams(spark, tmp_path):
 
 def test_error_rates_of_whole_texts(spark, tmp_path):
     texts = ["a" * 150 + "b" * 30, "a" * 150 + "c" * 30, "Größe  深度學習 café", "", "größe 深度学习 cafe"]
-    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, i, x) for i, x in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -195,12 +195,12 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
     def rate(p, g):
         return distance(p, g) / len(g) if g else float(bool(p))
 
-    norm = [" ".join(x.lower().split()) for x in texts] + [""]
-    want = [(i, rate(norm[i + 1], norm[i]), rate(norm[i + 1].split(), norm[i].split())) for i in range(5)]
+    norm = [" ".join(x.lower().split()) for x in ["", *texts]]
+    want = [(7, i, rate(norm[i], norm[i + 1]), rate(norm[i].split(), norm[i + 1].split())) for i in range(5)]
     got = sorted(catalog.ocr_error_rates(spark, str(tmp_path)).collect())
     assert [tuple(x) for x in got] == [pytest.approx(w) for w in want]
     mean = catalog.ocr_average(spark, str(tmp_path)).first()
-    assert tuple(mean) == pytest.approx((5, sum(w[1] for w in want) / 5, sum(w[2] for w in want) / 5))
+    assert tuple(mean) == pytest.approx((5, sum(w[2] for w in want) / 5, sum(w[3] for w in want) / 5))
     assert tuple(T.average_error_rates(spark.createDataFrame([], "cer double, wer double")).first()) == (0, 0.0, 0.0)
 
 
