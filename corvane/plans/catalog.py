@@ -1003,4 +1003,4 @@ def visible_sections(spark, sf):
     return n.groupBy(F.col("n_regionkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sections"))
 
 
-from corvane.plans import chain, cleaning, library, reading, sections  # noqa: E402,F401  their queries register themselves
+from corvane.plans import chain, cleaning, library, reading, repairs, sections  # noqa: E402,F401  their queries register themselves
