@@ -63,7 +63,7 @@ def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
     return stored.select(F.col("key.digest").alias("digest"), top.getField("id").alias("keep_id"), top.getField("locator").alias("locator"), n.alias("group_size"))
 
 
-def _maybe_shared(rows: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
+def maybe_shared(rows: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
     """rows with maybe: false only where no digest of shared is that of the row.
 
     One bit of a bitmap for each hash of a shared digest; the bitmap's size is bounded, past
@@ -95,7 +95,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     total, n_shared = state.agg(F.sum("group_size"), F.count(F.when(F.col("group_size") > 1, 1))).first()
 
     docs = spark.read.parquet(path).select(F.col(id_col).cast("long").alias("doc_id"), _locator().alias("own"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    docs = _maybe_shared(docs, state.where("group_size > 1"), n_shared).withColumn("norm", F.when(F.col("maybe"), F.col("norm"))).drop("maybe")
+    docs = maybe_shared(docs, state.where("group_size > 1"), n_shared).withColumn("norm", F.when(F.col("maybe"), F.col("norm"))).drop("maybe")
     found = join_hot(docs, state, "digest", "group_size", total or 0, F.xxhash64("own"))
     found = materialize(found.withColumn("norm", F.when(F.col("group_size") > 1, F.col("norm"))), "exact-dedup-rows")
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import join_hot, materialize, materialize_at, mix64, shared_path, shuffle_partitions, text_bytes
 from corvane.llm.components import connected_components
+from corvane.llm.exact_dedup import maybe_shared
 from corvane.llm.near_dedup import BROADCAST_IDS, CELL, _edges_of, _grid, _stars, _with_component, overlap_counts, shingle_set
 
 #: Counters of the sketch of shingle counts, and the pieces that it is added up in.
@@ -337,7 +338,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = materialize_at(reps.select("doc", "prefix", "n", "fold"), path)
     keys = held.select("doc", F.explode("prefix").alias("s"))
     shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("region"), F.max("doc").alias("last")).where("region <> last").select("s", "c", "region")
-    met = join_hot(keys, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc").distinct()
+    shared = materialize(shared, "join-shared")
+    # Most shingles are one document's: a bitmap of bounded size keeps nearly all of them from the join.
+    some = maybe_shared(keys.withColumnRenamed("s", "digest"), shared.withColumnRenamed("s", "digest"), shared.count())
+    some = some.where("maybe").select("doc", F.col("digest").alias("s"))
+    met = join_hot(some, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc").distinct()
     met = counted(materialize(met, "join-met"))
 
     # Without documents that differ too much from all others of their small region.
