@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import ledger as K
 from corvane.operators import repairs as Y
+from corvane.operators import status as S
 from corvane.plans.catalog import blocks, query, t
 
 
@@ -73,3 +75,31 @@ def comparisons(spark, sf):
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", point.alias("p")))).alias("a"))
     g = g.select("conv_id", Y.comparison_points(F.transform("a", lambda x: x["p"])).alias("points"))
     return g.select("conv_id", F.array_join(F.transform("points", lambda p: p["significance"]), ",").alias("significance"), F.md5(Y.comparison_text(F.col("points"))).alias("analysis_md5"))
+
+
+@query()
+def layer_commits(spark, sf):
+    """Turns of conversations as refreshes and overrides, two commits, the ledger."""
+    c, n = t(spark, sf, "conversations"), F.col("turn")
+    paper = lambda i: F.struct(F.concat(F.col("role"), F.lit(f" {i}")).alias("title"), (2000 + (n * 7 + i) % 20).cast("int").alias("year"), F.lit("web").alias("source"), F.lit("").alias("doi"), F.lit("").alias("url"), ((n + i) % 10 / 10.0).alias("confidence"))
+    kind = F.when(n % 3 == 0, "refresh").otherwise("override")
+    events = c.select(F.concat(F.lit("p"), "conv_id").alias("pid"), n.cast("long").alias("seq"), (F.lit(1000) + n - n % 3).cast("long").alias("ts"), kind.alias("kind"), F.col("role").alias("topic"), F.substring("text", 1, 80).alias("reasoning"), F.array(*map(paper, range(9))).alias("papers"),
+        F.when(n % 2 == 0, "t1").alias("tenant_id"), F.lit("internal").alias("access_level"), F.format_string("lit-%d-%d", 1000 + n - n % 3, n % 3 * 4).alias("claim_id"), F.create_map(F.lit("title"), F.substring("text", 1, 40)).alias("patch"), F.lit("editor").alias("editor"))
+    first = K.commit(K.empty_state(spark), events.where(n < 4))
+    state = K.commit({k: first[k] for k in K.STATE}, events.where(n >= 4))
+    return state["ledger"].select("pid", "version", "event", "claim_id", "claims_count", "truncated_count", "before", "after")
+
+
+@query()
+def paper_states(spark, sf):
+    """Documents as papers with artifacts, summaries, reflows and stored rows."""
+    k = F.col("doc_id")
+    d = t(spark, sf, "documents").select(F.concat(F.lit("p"), k % 50).alias("pid"), k.cast("string").alias("paper_id"), k, "text")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    artifacts = d.select("pid", "paper_id", *[(k % (3 + i) != 0).alias(f) for i, f in enumerate(S.FLAGS)])
+    summaries = d.where(k % 3 != 1).select("pid", "paper_id", F.to_json(F.struct(pick(["ok", "degraded", "error_fallback", ""], k % 4).alias("mode"), F.when(k % 2 == 0, F.col("text")).alias("abstract_zh"))).alias("raw"))
+    reflows = d.where(k % 4 != 2).select("pid", "paper_id", (k % 3).alias("sections"), pick(["", "task_5b_reflow", "heuristic_fallback", "other"], k % 4).alias("mode"), pick(["", "used=task_5interpret"], k % 2).alias("note"))
+    now = F.lit("2024-05-01 12:00:00").cast("timestamp")
+    rows = d.where(k % 5 != 3).select("pid", "paper_id", F.lit("T").alias("title"), pick(["pending", "analyzing", "t5_queued", "gold_ready", "failed", "processing_B", "ready_b", ""], k % 8).alias("status"), (now - F.make_dt_interval(secs=(k * 37 % 9000).cast("decimal(18,6)"))).alias("updated_at"))
+    locks = d.where(k % 7 == 0).select("pid", now.alias("locked_at"))
+    return S.paper_status(artifacts, summaries, reflows, rows, locks, now)
