@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions.body import body_phase
+from corvane.functions.regions import Region
 from corvane.operators import arbitration as X
 from corvane.operators import captions as Y
 from corvane.operators import layout as L
@@ -158,3 +160,31 @@ def caption_pairs(spark, sf):
     r = r.select("l_orderkey", "pos", "bbox", "column", "page_w", "page_h", "is_major", "is_caption", F.col("kind").alias("pred"), (s % 10 / 10.0).alias("figure_score"), (p % 10 / 10.0).alias("table_score"), (s % 7 != 0).alias("can_figure"), (p % 7 != 0).alias("can_table"), F.when(F.col("kind") != "Body", F.col("kind")).otherwise("").alias("target"),
         F.when(p % 4 == 1, "Figure").when(p % 4 == 2, "Table").otherwise("").alias("embedded"), F.when(s % 3 == 0, "ocr").when(s % 3 == 1, "hint").otherwise("geom").alias("embedded_by"), F.when(s % 5 == 0, "Figure").otherwise("").alias("read_target"), F.array().cast("array<string>").alias("reasons"))
     return Y.assign_captions(r, ["l_orderkey"])
+
+
+# Body regions: line items on pages of 1000 by 1400, scores and labels by arithmetic.
+_BODY = {
+    "x1": "l_suppkey % 640", "y1": "(l_partkey * 7) % 1200", "w": "20 + (l_orderkey * 7 + l_linenumber * 31) % 620", "h": "8 + (l_partkey * 13 + l_orderkey) % 90", "text_density": "(l_partkey % 26) / 10.0", "small_cc_count": "l_suppkey % 110", "table_grid_score": "(l_orderkey % 30) / 1000.0",
+    "grid_intersection_ratio": "((l_orderkey + l_partkey) % 12) / 10000.0", "t": "(l_partkey % 90) / 100.0", "f": "(l_suppkey % 90) / 100.0", "b": "(l_orderkey % 95) / 100.0", "e": "((l_orderkey + l_suppkey) % 92) / 100.0", "c": "(l_linenumber * 17 % 100) / 100.0",
+}
+_BODY_SQL = f"""(SELECT l_orderkey, l_linenumber, {', '.join(f'cast({v} AS DOUBLE) AS {k}' for k, v in _BODY.items())}, l_orderkey % 3 AS page, l_suppkey % 4 = 0 AS lost, l_partkey % 9 = 0 AS eq, CASE l_partkey % 11 WHEN 0 THEN 'MainTitle' WHEN 1 THEN 'SubSubtitle' WHEN 2 THEN 'Other' ELSE '' END AS hint, CASE l_suppkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'left' ELSE 'span' END AS col FROM lineitem)"""
+
+
+@query(f"""WITH r AS (SELECT *, x1 + w AS x2, eq AND c >= 0.70 AND w >= 100 AND h >= 19 AS forced FROM {_BODY_SQL}),
+k AS (SELECT *, CASE WHEN forced OR (e >= greatest(0.68, b - 0.04) AND table_grid_score <= 0.022 AND grid_intersection_ratio <= 0.00065 AND w >= 140 AND h >= 22) THEN 1 WHEN page >= 2 AND y1 <= 84 AND h <= 49 AND w <= 700 THEN 2 WHEN hint IN ('MainTitle', 'Subtitle', 'SubSubtitle') AND c >= 0.70 THEN 3
+  WHEN h >= 18 AND h <= 44 AND w BETWEEN 40 AND 260 AND y1 <= 840 AND x1 >= 50 AND x2 <= 950 AND text_density <= 1.95 AND small_cc_count <= 78 AND t < greatest(0.68, b + 0.03) AND f < greatest(0.68, b + 0.03) THEN 4 WHEN lost AND greatest(t, f) >= greatest(0.72, b + 0.04) THEN 5
+  WHEN col IN ('full', 'span') AND y1 <= 252 AND h <= 140 AND h >= 35 AND w >= 520 AND text_density <= 2.40 AND t < greatest(0.70, b + 0.02) AND f < greatest(0.70, b + 0.02) THEN 6
+  WHEN h >= 22 AND h <= 63 AND w BETWEEN 160 AND 420 AND x1 <= 620 AND y1 <= 1120 AND text_density <= 1.95 AND small_cc_count <= 95 AND t < greatest(0.70, b + 0.03) AND f < greatest(0.70, b + 0.03) THEN 7 ELSE 0 END AS rule FROM r)
+SELECT l_orderkey, l_linenumber, CASE rule WHEN 1 THEN 'Equation' WHEN 2 THEN 'Header' WHEN 3 THEN hint WHEN 4 THEN 'Subtitle' WHEN 5 THEN 'Unknown' WHEN 6 THEN 'MainTitle' WHEN 7 THEN CASE WHEN h >= 30 THEN 'Subtitle' ELSE 'SubSubtitle' END ELSE 'Body' END AS type,
+  round(CASE rule WHEN 1 THEN greatest(b, e, c * 0.95, 0.7) WHEN 2 THEN greatest(b, 0.7) WHEN 3 THEN greatest(b, c * 0.95, 0.72) WHEN 4 THEN greatest(b, 0.73) WHEN 5 THEN greatest(0.52, least(0.78, greatest(t, f) * 0.82)) WHEN 6 THEN greatest(b, 0.78) WHEN 7 THEN greatest(b, 0.7) ELSE b END, 4)::DOUBLE AS confidence,
+  array_to_string(list_sort(list_filter(['S', CASE WHEN lost THEN 'CAPTION_REQUIRED_FAIL_DEMOTE' END, CASE rule WHEN 1 THEN 'EQUATION_FALLBACK_PROMOTE' WHEN 2 THEN 'RUNNING_HEADER_ZONE' WHEN 3 THEN 'LLM_HEADING_PROMOTE' WHEN 4 THEN 'SMALL_HEADING_ZONE' WHEN 5 THEN 'DEMOTE_TO_UNKNOWN_NO_CAPTION' WHEN 6 THEN 'HEADER_ZONE' WHEN 7 THEN 'SECTION_HEADING' END, CASE WHEN rule = 1 AND forced THEN 'LLM_FORCE_EQUATION' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM k""")
+def body_regions(spark, sf):
+    """All line items as regions."""
+    i = t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(f"cast({v} AS DOUBLE) AS {k}" for k, v in _BODY.items()))
+    zero = F.lit(0.0)
+    r = i.withColumns({"x2": F.col("x1") + F.col("w"), "page_w": F.lit(1000.0), "page_h": F.lit(1400.0), "area_ratio": zero, "line_h_ratio": zero, "line_v_ratio": zero, "fg_ratio": zero})
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    hint = F.when(p % 11 == 0, "MainTitle").when(p % 11 == 1, "SubSubtitle").when(p % 11 == 2, "Other").otherwise("")
+    column = F.when(s % 3 == 0, "full").when(s % 3 == 1, "left").otherwise("span")
+    b = body_phase(Region.of_columns(), F.col("t"), F.col("f"), F.col("b"), F.col("e"), column, F.col("l_orderkey") % 3, s % 4 == 0, F.when(p % 9 == 0, "Equation"), F.col("c"), hint, F.array(F.lit("S"), F.lit(" ")))
+    return r.withColumn("k", b).select("l_orderkey", "l_linenumber", "k.type", F.col("k.type_confidence").alias("confidence"), F.array_join("k.reasons", ",").alias("reasons"))

@@ -179,3 +179,23 @@ def test_reading_order_by_hand(spark):
     for x in reading_order(spark.createDataFrame([(d, s, x, y, c, t) for d, s, x, y, c, t in seen], kind), ["d"], F.lit(1000)).orderBy("d", "reading_order").collect():
         got.setdefault(x.d, []).append(x.seq_id)
     assert got == {1: ["t", "wide", "l1", "l2", "r1", "r2", "late", "odd"], 2: ["odd", "r1", "l1", "t", "wide", "late", "r2"]}
+
+
+def test_body_phase_by_hand(spark):
+    from corvane.functions.body import body_phase
+
+    names = "area_ratio text_density small_cc_count table_grid_score line_h_ratio line_v_ratio grid_intersection_ratio fg_ratio x1 y1 x2 w h page_w page_h".split()
+    plain_body = dict(zip(names, [0.01, 1.0, 5, 0.05, 0, 0, 0, 0, 100, 900, 900, 800, 200, 1000, 1400])) | {"t": 0.1, "f": 0.1, "b": 0.4, "e": 0.1, "col": "left", "page": 1, "lost": False, "label": None, "sure": None, "hint": None}
+    cases = [
+        ({}, ("Body", 0.4, [])), ({"b": None}, ("Body", 0.0, [])), ({"label": "Equation", "sure": 0.8}, ("Equation", 0.76, ["EQUATION_FALLBACK_PROMOTE", "LLM_FORCE_EQUATION"])), ({"e": 0.9, "table_grid_score": 0.02}, ("Equation", 0.9, ["EQUATION_FALLBACK_PROMOTE"])),
+        ({"page": 2, "y1": 84, "h": 49, "w": 700}, ("Header", 0.7, ["RUNNING_HEADER_ZONE"])), ({"page": 1, "y1": 84, "h": 49, "w": 700}, ("Body", 0.4, [])), ({"hint": "MainTitle", "sure": 0.7}, ("MainTitle", 0.72, ["LLM_HEADING_PROMOTE"])), ({"hint": "Title", "sure": 0.9}, ("Body", 0.4, [])),
+        ({"h": 20, "w": 200, "x2": 300, "y1": 800}, ("Subtitle", 0.73, ["SMALL_HEADING_ZONE"])), ({"lost": True, "t": 0.8}, ("Unknown", 0.656, ["CAPTION_REQUIRED_FAIL_DEMOTE", "DEMOTE_TO_UNKNOWN_NO_CAPTION"])), ({"lost": True}, ("Body", 0.4, ["CAPTION_REQUIRED_FAIL_DEMOTE"])),
+        ({"col": None, "y1": 100, "h": 60, "w": 520}, ("MainTitle", 0.78, ["HEADER_ZONE"])), ({"y1": 100, "h": 60, "w": 520}, ("Body", 0.4, [])), ({"h": 30, "w": 400, "y1": 1000}, ("Subtitle", 0.7, ["SECTION_HEADING"])), ({"h": 29, "w": 400, "y1": 1000}, ("SubSubtitle", 0.7, ["SECTION_HEADING"])), ({"h": 29, "w": 400, "y1": 1000, "f": 0.7}, ("Body", 0.4, [])),
+    ]
+    keys = [*names, "t", "f", "b", "e", "col", "page", "lost", "label", "sure", "hint"]
+    kinds = {"col": "string", "page": "int", "lost": "boolean", "label": "string", "hint": "string"}
+    rows = [(i, *(float(v) if (v := {**plain_body, **c}[k]) is not None and k not in kinds else v for k in keys)) for i, (c, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{k} {kinds.get(k, 'double')}" for k in keys))
+    b = body_phase(Region.of_columns(), *(F.col(c) for c in ("t", "f", "b", "e", "col", "page", "lost", "label", "sure", "hint")), F.array(F.lit(" ")))
+    got = {r.i: (r.k.type, r.k.type_confidence, r.k.reasons) for r in df.select("i", b.alias("k")).collect()}
+    assert [(cases[i][0], got[i], w) for i, (_, w) in enumerate(cases) if got[i] != w] == []
