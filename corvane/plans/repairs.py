@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import ledger as K
+from corvane.operators import rebuild as B
 from corvane.operators import repairs as Y
 from corvane.operators import status as S
 from corvane.plans.catalog import blocks, query, t
@@ -103,3 +104,15 @@ def paper_states(spark, sf):
     rows = d.where(k % 5 != 3).select("pid", "paper_id", F.lit("T").alias("title"), pick(["pending", "analyzing", "t5_queued", "gold_ready", "failed", "processing_B", "ready_b", ""], k % 8).alias("status"), (now - F.make_dt_interval(secs=(k * 37 % 9000).cast("decimal(18,6)"))).alias("updated_at"))
     locks = d.where(k % 7 == 0).select("pid", now.alias("locked_at"))
     return S.paper_status(artifacts, summaries, reflows, rows, locks, now)
+
+
+@query("""WITH d AS (SELECT 'p' || doc_id // 12 AS pid, doc_id, doc_id % 7 = 3 AS broken, doc_id % 5 = 2 AS bare, length(trim(text)) >= 20 AS long FROM documents)
+SELECT pid, count(*) FILTER (NOT broken AND NOT bare AND long) AS papers_indexed, count(*) FILTER (NOT broken AND (bare OR long IS NOT TRUE)) AS papers_skipped, count(*) FILTER (broken) AS papers_failed FROM d GROUP BY pid""")
+def rebuild_reports(spark, sf):
+    """Documents as papers of one section, some broken, some without sections."""
+    k = F.col("doc_id")
+    d = t(spark, sf, "documents").select(F.concat(F.lit("p"), F.floor(k / 12)).alias("pid"), k.cast("string").alias("paper_id"), k, "text")
+    one = F.to_json(F.struct(F.when(k % 5 != 2, F.array(F.struct(F.lit("Results").alias("section_label"), F.col("text").alias("content_en")))).otherwise(F.array().cast("array<struct<section_label:string,content_en:string>>")).alias("sections")))
+    semantic = d.select("pid", "paper_id", F.lit("semantic").alias("stage"), one.alias("raw"))
+    summary = d.select("pid", "paper_id", F.lit("summary").alias("stage"), F.when(k % 7 == 3, "{broken").otherwise('{"conclusion": "the end of this paper"}').alias("raw"))
+    return B.rebuild_project(semantic.unionAll(summary))[2]
