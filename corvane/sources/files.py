@@ -49,7 +49,7 @@ def pages_to_blocks(documents: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files, whole; one that doesn't parse is a row with quality error."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return raw.withColumn("doc", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("quality", F.when(F.try_parse_json("value").isNull(), "error").otherwise("ok")).drop("value")
 
 
@@ -63,7 +63,7 @@ def chat_records(spark: SparkSession, path: str, schema: str, limit: int = 40) -
 
 def prediction_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Ground truth *.gt.txt with the first of .pred.txt, .txt, .ocr.txt; missing is empty."""
-    raw = spark.read.option("wholetext", "true").text(root).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.gt|\.pred|\.ocr)?\.txt$", 1).alias("sample"), F.regexp_extract("_metadata.file_name", r"(\.gt|\.pred|\.ocr)?\.txt$", 1).alias("kind"), "value")
+    raw = spark.read.text(root, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.gt|\.pred|\.ocr)?\.txt$", 1).alias("sample"), F.regexp_extract("_metadata.file_name", r"(\.gt|\.pred|\.ocr)?\.txt$", 1).alias("kind"), "value")
     rank = F.when(F.col("kind") == ".pred", 0).when(F.col("kind") == "", 1).otherwise(2)
     best = raw.where("kind <> '.gt'").groupBy("sample").agg(F.min_by("value", rank).alias("prediction"))
     return raw.where("kind = '.gt'").select("sample", F.col("value").alias("truth")).join(best, "sample", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
@@ -102,3 +102,15 @@ def append_events(events: DataFrame, path: str) -> None:
 def write_entries(entries: DataFrame, path: str, column: str = "entry", gap: str = "\n\n") -> None:
     """Export text, entries parted by a gap."""
     entries.select(F.col(column).alias("value")).write.option("lineSep", gap).text(path)
+
+
+SEGMENT = "seq_id string, type string, page int, pair_id string, bbox array<int>, png_path string, caption_text string, caption string, has_caption boolean, caption_bbox array<int>"
+
+
+def segmentation_records(spark: SparkSession, path: str) -> DataFrame:
+    """(pid, paper_id, pos, fields of SEGMENT) from projects' <pid>_vns.json files, whole and over
+    several lines: papers is a map of ids to records (A35). A file that doesn't parse, and papers
+    without records, give no rows."""
+    docs = read_documents(spark, path, f"struct<papers: map<string, struct<records: array<struct<{SEGMENT}>>>>>")
+    papers = docs.select(F.regexp_extract("path", r"([^/]+)_vns\.json$", 1).alias("pid"), F.explode("doc.papers").alias("paper_id", "p"))
+    return papers.select("pid", "paper_id", F.posexplode("p.records").alias("pos", "r")).where("r IS NOT NULL").select("pid", "paper_id", "pos", "r.*")
