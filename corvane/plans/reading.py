@@ -9,6 +9,7 @@ from corvane.functions.regions import Region
 from corvane.operators import arbitration as X
 from corvane.operators import captions as Y
 from corvane.operators import layout as L
+from corvane.operators import media as M
 from corvane.operators import pages as P
 from corvane.plans.catalog import _BLOCKS, blocks, query, t
 
@@ -188,3 +189,24 @@ def body_regions(spark, sf):
     column = F.when(s % 3 == 0, "full").when(s % 3 == 1, "left").otherwise("span")
     b = body_phase(Region.of_columns(), F.col("t"), F.col("f"), F.col("b"), F.col("e"), column, F.col("l_orderkey") % 3, s % 4 == 0, F.when(p % 9 == 0, "Equation"), F.col("c"), hint, F.array(F.lit("S"), F.lit(" ")))
     return r.withColumn("k", b).select("l_orderkey", "l_linenumber", "k.type", F.col("k.type_confidence").alias("confidence"), F.array_join("k.reasons", ",").alias("reasons"))
+
+
+@query()
+def media_galleries(spark, sf):
+    """Figures of documents, half with a sidecar, two thirds with a picture."""
+    b = blocks(spark, sf)
+    d, p = F.col("doc_id"), F.col("pos")
+    seq = F.format_string("p%d_figure_%d", F.col("page").cast("int"), p.cast("int"))
+    pid = F.concat(F.lit("p"), F.floor(d / 20))
+    none = F.lit(None).cast("string")
+    box = F.array("x0", "y0", F.col("x0") + 120, F.col("y0") + 60)
+    png = F.concat(F.lit("/x/"), d, F.lit("_"), seq, F.lit(".png"))
+    fields = [F.col("type"), F.col("page").cast("int").alias("page"), none.alias("pair_id"), box.alias("bbox"), F.when(p % 3 == 0, png).alias("png_path"), none.alias("caption_text"), (p % 2 == 0).alias("has_caption"), F.when(p % 5 == 0, box).alias("caption_bbox")]
+    f = b.where("type = 'Figure'")
+    seq = F.concat(seq, F.lit("_"), d)
+    records = f.where(d % 4 != 3).select(pid.alias("pid"), d.alias("paper_id"), p.alias("pos"), seq.alias("seq_id"), F.concat(F.lit("Figure 1. "), "text").alias("caption"), *fields)
+    ocr = F.struct(F.col("text").alias("b_text"), F.lit(0.4).alias("b_score"), F.reverse("text").alias("a_text"), (p % 10 / 10.0).alias("a_score"))
+    sidecars = f.where((p % 2 == 1) | (d % 4 == 3)).select(pid.alias("pid"), F.concat(seq, F.lit(".json")).alias("name"), d.cast("string").alias("paper_id"), seq.alias("seq_id"), *fields, ocr.alias("ocr"))
+    images = f.where(p % 3 != 1).select(pid.alias("pid"), F.concat(seq, F.lit(".png")).alias("name"), png.alias("path"))
+    g = M.media_gallery(records.withColumn("paper_id", F.col("paper_id").cast("string")), sidecars, images, "figure")
+    return g.select("pid", "paper_id", "n", "seq_id", "page", "picture", F.md5("caption_text").alias("caption_md5"), "ocr_source", "ocr_score")
