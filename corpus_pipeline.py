@@ -1,4 +1,8 @@
-"""From raw documents to sampled token sequences: each stage works on what the last one kept."""
+"""From raw documents to sampled token sequences: each stage works on what the last one kept.
+
+All stages but the last return the columns of documents (COLUMNS); others are dropped at the first
+stage. Null and empty texts, null ids, ties, repeated rows and empty tables are treated as the
+operators say; texts are whole, whatever their length. An empty table gives an empty result."""
 
 from __future__ import annotations
 
