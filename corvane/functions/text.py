@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ POSITION_LABELS = [(0.12, "Abstract"), (0.35, "Introduction"), (0.62, "Methods")
 HEADING_TYPES = ["title", "maintitle", "subtitle", "subsubtitle", "heading", "section_title"]
 TEMPLATE_TITLES = r"(?U)研究背景與動機|context\s*&\s*background|project background"
 RETRYABLE = ["timeout", "timed out", "request failed after", "503", "429", "resource_exhausted", "quota throttle", "rate limit", "connection reset"]
+# Eight crumbs as good as more; words end where ASCII ones do, and no group repeats without bound
+# (Java recurses once a turn: a line of 2,000 crumbs would overflow an executor's stack).
+CRUMBS = r"(?:(?<![A-Za-z0-9_])[A-Za-z]{1,2}(?![A-Za-z0-9_])[\s,;:\-|]*+){8}"
 LATEX_WORDS = r"(?i)\b(sum|prod|frac|sqrt|alpha|beta|gamma|theta|lambda)\b"
 STOP_WORDS = "the and for with from that this into using based study research analysis of in on to a an".split()
 
@@ -118,19 +123,21 @@ def is_citation_needed(text: Column) -> Column:
     return F.regexp_like(F.coalesce(text, F.lit("")), F.lit(CITATION_NEEDED))
 
 
-def is_low_information(text: Column) -> Column:
-    """Too short, too few letters, mostly digits, or a chain of one- and two-letter tokens (C11)."""
-    t = squash(text)
+def bind(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value worked out once, however often it is named."""
+    return F.transform(F.array(value), of)[0]
+
+
+def low_information_line(t: Column) -> Column:
+    """is_low_information of a squashed line."""
     keep = F.regexp_count(t, F.lit(f"[A-Za-z0-9{CJK}]"))
     letters = F.regexp_count(t, F.lit(f"[A-Za-z{CJK}]"))
     digits = F.regexp_count(t, F.lit(r"[0-9%#\-+./]"))
-    crumbs = F.regexp_like(t, F.lit(r"(?:\b[A-Za-z]{1,2}\b[\s,;:\-|]*){8,}"))
-    return (F.length(t) < 24) | (keep < 0.48 * F.length(t)) | ((letters < 10) & (digits >= 10)) | crumbs
+    return (F.length(t) < 24) | (keep < 0.48 * F.length(t)) | ((letters < 10) & (digits >= 10)) | F.regexp_like(t, F.lit(CRUMBS))
 
 
-def is_meta_noise(text: Column) -> Column:
-    """A line of boilerplate, or a list of capitalised names."""
-    t = squash(text)
+def meta_noise_line(t: Column) -> Column:
+    """is_meta_noise of a squashed line. Long lines are let through before they are looked at."""
     words = F.regexp_extract_all(t, F.lit(r"[A-Za-z][A-Za-z\-']+"), F.lit(0))
     joins = F.regexp_count(t, F.lit(r"[,;]\s*[A-Za-z]"))
     capital = F.size(F.filter(words, lambda w: F.regexp_like(w, F.lit("^[A-Z]"))))
@@ -157,6 +164,16 @@ def is_heading_like(text: Column, kind: Column | None = None) -> Column:
     return plain if kind is None else F.lower(F.trim(F.coalesce(kind, F.lit("")))).isin(HEADING_TYPES) | plain
 
 
+def is_low_information(text: Column) -> Column:
+    """Too short, too few letters, mostly digits, or a chain of one- and two-letter tokens (C11)."""
+    return bind(squash(text), low_information_line)
+
+
+def is_meta_noise(text: Column) -> Column:
+    """A line of boilerplate, or a list of capitalised names."""
+    return bind(squash(text), meta_noise_line)
+
+
 def section_label(text: Column) -> Column:
     """The first label whose pattern a heading contains, else empty."""
     norm = normalize_heading(text)

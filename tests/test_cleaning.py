@@ -127,3 +127,12 @@ def test_spans_and_markup(spark):
     rows = [("figure", "See Figure 2: a  b\nc", "Figure 2: a b c"), ("figure", "Fig. 2: a", "Fig. 2: a"), ("table", "Figure 2: a", "Figure 2: a"), ("table", "x TABLE 3. y", "TABLE 3. y"), ("figure", "Figure 4 a", "Figure 4 a"), ("figure", "q" * 500, "q" * 420), (None, None, ""), ("table", "Table 1. " + "r" * 900, ("Table 1. " + "r" * 900)[:700])]
     got = spark.createDataFrame(rows, "k string, t string, want string").select("want", S.caption(F.col("k"), F.col("t")).alias("got"))
     assert all(r.got == r.want for r in got.collect())
+
+
+def test_cleaners_of_long_texts(spark):
+    """Texts of many and of one very long line, some of crumbs only: within limits, in order."""
+    rows = [(0, "\n".join(f"line {i} tells something of its own kind" for i in range(20_000))), (1, "of " * 60_000), (2, "word " * 60_000)]
+    d = spark.createDataFrame(rows, "i int, x string")
+    got = d.select("i", C.strict(F.col("x")).alias("s"), C.relaxed(F.col("x")).alias("r")).orderBy("i").collect()
+    assert got[0].s == got[0].r == "\n\n".join(f"line {i} tells something of its own kind" for i in range(10))
+    assert got[1].s == "" and got[1].r == ("of " * 600).rstrip() + "..." and len(got[2].s) <= 1803 and got[2].r.endswith("...")

@@ -184,3 +184,25 @@ def test_states(spark):
     assert one(spark, T.retry_after_seconds(F.lit("429, retry in 12.5s"))) == 12.5
     assert one(spark, T.overlap_jaccard(F.lit("alpha beta"), F.lit("beta gamma"))) == pytest.approx(33.3)
     assert one(spark, T.search_keywords(F.lit("The study of Deep nets"))) == ["The study of Deep nets", "deep", "nets"]
+
+
+def test_crumbs_on_a_long_line(spark):
+    """Lines of 200,000 crumbs overflow no stack; words end where ASCII letters do, as in SQL."""
+    lines = ["a b " * 100_000, "su de y de de do y ciónmi and more words behind", "su de y de de words y a lot more of them behind"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", T.is_low_information(F.col("x")).alias("low")).orderBy("i").collect()
+    assert [r.low for r in got] == [True, True, False]
+
+
+def test_exact_estimates(spark):
+    """140 characters are 49 tokens; sums of doubles make 48 of some such lengths."""
+    off = [n for n in range(20, 60_000, 20) if int(0.35 * n) != 7 * n // 20]
+    assert off and all(U.estimate_exact("a" * n) == 7 * n // 20 for n in off[:20])
+    x = "a" * off[0]
+    assert one(spark, T.estimate_exact(F.lit(x))) == 7 * off[0] // 20
+    cut = U.cut_to_budget("a" * 70_000, 7 * off[0] // 20, U.estimate_exact)
+    assert U.estimate_exact(cut) <= 7 * off[0] // 20 < U.estimate_exact(cut + "a")
+
+
+def test_upper_case_by_characters(spark):
+    assert one(spark, T.upper_simple(F.lit("ßtraße ünd"))) == "ßTRAßE ÜND"
+    assert one(spark, T.upper_simple(F.lit("plain é"))) == "PLAIN É"
