@@ -200,11 +200,13 @@ def label_by_position(page: Column, pages: Column) -> Column:
 def is_garbage_fragment(text: Column) -> Column:
     """Empty, or under 40 characters with brackets or mathematical signs, half short tokens, or
     under 6 letters (C18)."""
-    t = squash(text)
-    parts = F.filter(F.split(t, " "), lambda w: F.length(w) > 0)
-    short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
-    symbols = F.regexp_like(t, F.lit(r"(?U)[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]"))
-    return (t == "") | (F.length(t) < 40) & (symbols | (2 * short >= F.size(parts)) | (F.regexp_count(t, F.lit(f"[A-Za-z{CJK}]")) < 6))
+    def of(t: Column) -> Column:
+        parts = F.filter(F.split(t, " "), lambda w: F.length(w) > 0)
+        few = bind(parts, lambda p: 2 * F.size(F.filter(p, lambda w: F.length(w) <= 2)) >= F.size(p))
+        symbols = F.regexp_like(t, F.lit(r"(?U)[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]"))
+        return (t == "") | (F.length(t) < 40) & (symbols | few | (F.regexp_count(t, F.lit(f"[A-Za-z{CJK}]")) < 6))
+
+    return bind(squash(text), of)
 
 
 def is_failed_equation(text: Column) -> Column:

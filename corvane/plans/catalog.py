@@ -815,10 +815,9 @@ w AS (SELECT *, string_split(x, ' ') AS p FROM t)
 SELECT doc_id, n, x = '' OR length(x) < 40 AND (regexp_matches(x, '[=\[\]{}\\|^_]|\bdef\b|[∫∑∏]') OR 2 * len(list_filter(p, lambda v: length(v) <= 2)) >= len(p) OR len(regexp_extract_all(x, '[A-Za-z\x{4e00}-\x{9fff}]')) < 6) AS garbage FROM w""")
 def garbage_fragments(spark, sf):
     """Pieces of documents."""
-    s = T.squash(F.col("text"))
-    pieces = t(spark, sf, "documents").select("doc_id", s.alias("s"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((F.length(s) + 36) / 37)).cast("int") - 1)).alias("n"))
-    x = F.trim(F.substr("s", (F.col("n") * 37 + 1).cast("int"), F.lit(37)))
-    return pieces.select("doc_id", F.col("n").cast("long").alias("n"), T.is_garbage_fragment(x).alias("garbage"))
+    cut = F.regexp_extract_all(T.squash(F.col("text")), F.lit("(?s).{1,37}"), F.lit(0))
+    pieces = t(spark, sf, "documents").select("doc_id", F.posexplode(T.bind(cut, lambda c: F.when(F.size(c) == 0, F.array(F.lit(""))).otherwise(c))).alias("n", "x"))
+    return pieces.select("doc_id", F.col("n").cast("long").alias("n"), T.is_garbage_fragment(F.trim("x")).alias("garbage"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents),

@@ -69,3 +69,14 @@ def test_fusion_quality(spark):
     assert got["p"].reasons == ["avg_tokens_per_block=2.00<4.00", "stack_b_ratio=1.000>0.920 with avg_tokens=2.00<8.00"] and got["p"].low_quality
     assert not got["q"].low_quality and got["q"].stack_a_ratio == 1.0 and not got["r"].low_quality
     assert got["s"].reasons == ["stack_b_ratio=1.000>0.920 with avg_tokens=5.00<8.00"] and got["s"].block_count == 30
+
+
+def test_garbage_fragments_of_a_long_text(spark, tmp_path):
+    """Half a million characters are cut once; positions count characters, null has one piece."""
+    from corvane.plans import catalog
+
+    long = "größe und wörter " * 30_000
+    spark.createDataFrame([(1, long), (2, None), (3, "x" * 38), (4, "x" * 37)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n): r.garbage for r in catalog.garbage_fragments(spark, str(tmp_path)).collect()}
+    assert sum(d == 1 for d, _ in got) == -(-len(long.strip()) // 37) and got[2, 0] and [k for k in sorted(got) if k[0] > 2] == [(3, 0), (3, 1), (4, 0)]
+    assert not got[4, 0] and got[3, 1] and not got[1, 0]
