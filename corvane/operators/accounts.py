@@ -77,7 +77,9 @@ def sessions(events: DataFrame, user: str, ts: str, idle_seconds: int = IDLE_SEC
 def activity(sessions_df: DataFrame, user: str) -> DataFrame:
     """Logins, seconds, minutes, mean minutes and last login of each user."""
     g = sessions_df.groupBy(user).agg(F.count(F.lit(1)).alias("logins"), F.sum("seconds").alias("total_seconds"), F.max("login_at").alias("last_login"))
-    return g.withColumn("total_minutes", F.round(F.col("total_seconds") / 60, 1)).withColumn("mean_minutes", F.round(F.col("total_seconds") / 60 / F.col("logins"), 1))
+    # Rounded as SQL does, by tenths of the double: 2.4499999999999997 is 24.5 tenths, thus 2.5.
+    tenths = lambda x: F.round(x * 10) / 10
+    return g.withColumn("total_minutes", tenths(F.col("total_seconds") / 60)).withColumn("mean_minutes", tenths(F.col("total_seconds") / 60 / F.col("logins")))
 
 
 def rate_windows(events: DataFrame, ts: str, tokens: Column, minute_limit: int) -> DataFrame:

@@ -87,3 +87,12 @@ def test_verified_ranking_checks_the_first_only(spark):
     want = sorted(((-(0.5 if i >= 20 or i % 2 == 0 else 0.35), not (i < 20 and i % 2 == 0), i) for i in range(25)))
     assert [i for *_, i in want] == sorted(range(25), key=lambda i: got["q", i]["rank"])
     assert got["r", 0].confidence == 0 and not got["r", 0].is_verified
+
+
+def test_activity_rounds_tenths_as_sql(spark):
+    """333 seconds in 3 sessions: 1.8499999999999999 minutes are 1.9 in SQL, 1.8 by decimals."""
+    from corvane.operators import accounts as A
+
+    s = spark.sql("SELECT 1 AS u, 111L AS seconds, timestamp'2024-01-01' + make_interval(0, 0, 0, id) AS login_at FROM range(3)".replace("id)", "CAST(id AS INT))"))
+    r = A.activity(s, "u").first()
+    assert (r.mean_minutes, r.total_minutes) == (1.9, 5.6)
