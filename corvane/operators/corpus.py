@@ -22,10 +22,10 @@ def assemble_corpus(papers: DataFrame, notes: DataFrame, budget: int = BUDGET) -
     Texts are cut before they are gathered; repeated names stay, the smaller text first."""
     named = papers.select("pid", F.coalesce("name", F.lit("")).alias("name"), F.trim(T.sanitize(F.col("text"))).alias("text"))
     told = notes.select("pid", F.trim(T.sanitize(F.col("text"))).alias("n")).where("n <> ''").select("pid", F.concat(F.lit(NOTES), "n").alias("note"))
-    told = told.withColumn("note_tokens", T.estimate_cjk(F.col("note")))
+    told = told.withColumn("note_tokens", T.estimate_exact(F.col("note")))
     many = named.groupBy("pid").agg(F.count(F.when(F.col("text") != "", 1)).alias("papers"))
     share = many.join(told, "pid", "full").select("pid", "note", F.greatest(F.lit(LEAST_SHARE), F.floor(F.greatest(F.lit(0), F.lit(budget) - F.coalesce("note_tokens", F.lit(0))) / F.greatest(F.lit(1), F.coalesce("papers", F.lit(0))))).cast("int").alias("share"))
-    cut = named.join(share.select("pid", "share"), "pid").withColumn("cut", F.when(F.col("text") == "", "").otherwise(U.truncate_to_budget(F.col("text"), F.col("share"))))
+    cut = named.join(share.select("pid", "share"), "pid").withColumn("cut", F.when(F.col("text") == "", "").otherwise(U.truncate_to_exact_budget(F.col("text"), F.col("share"))))
     head = F.concat(F.lit(PAPER), F.substring(F.trim(T.sanitize(F.col("name"))), 1, 200), F.lit("]\n"))
     parts = cut.groupBy("pid").agg(
         F.array_sort(F.collect_list(F.when(F.col("cut") != "", F.struct("name", F.concat(head, F.col("cut")).alias("part"))))).alias("parts"),
@@ -37,4 +37,4 @@ def assemble_corpus(papers: DataFrame, notes: DataFrame, budget: int = BUDGET) -
     named_parts = F.transform(F.coalesce(F.col("parts.name"), none), lambda n: F.concat(F.lit("paper:"), n))
     sources = F.concat(F.when(F.col("note").isNotNull(), F.array(F.lit("study_notes"))).otherwise(none), named_parts)
     out = out.select("pid", corpus.alias("corpus"), F.coalesce("skipped", none).alias("skipped"), sources.alias("sources"))
-    return out.withColumn("estimated_tokens", T.estimate_cjk(F.col("corpus")))
+    return out.withColumn("estimated_tokens", T.estimate_exact(F.col("corpus")))
