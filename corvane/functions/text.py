@@ -41,6 +41,13 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def upper_simple(text: Column) -> Column:
+    """Upper case by characters, as SQL has it: one that would become several (ß) stays."""
+    whole = F.upper(text)
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(c))
+    return F.when(F.length(whole) == F.length(text), whole).otherwise(F.array_join(each, ""))
+
+
 def clip(text: Column, n: int) -> Column:
     """At most n characters, else the prefix, right-trimmed, and three dots."""
     t = F.trim(F.coalesce(text, F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import blocks as K
 from corvane.functions import metadata as M
+from corvane.functions import text as T
 from corvane.operators import library as Y
 from corvane.plans.catalog import _BLOCKS, _sq, blocks, query, t
 
@@ -30,7 +31,7 @@ FROM (SELECT seq_id, type, CASE pos % 5 WHEN 0 THEN left(trim(text), 50) WHEN 1
 def retagged_titles(spark, sf):
     """Beginnings of lines, numbered or behind a heading's word."""
     x, p = F.trim("text"), F.col("pos")
-    s = F.when(p % 5 == 0, F.left(x, F.lit(50))).when(p % 5 == 1, F.concat(F.lit("2."), p, F.lit(" "), F.upper(F.left(x, F.lit(30))))).when(p % 5 == 2, F.concat(F.lit("Results of "), F.left(x, F.lit(60)))).when(p % 5 == 3, "Dataset").otherwise(F.concat(F.lit("data "), F.left(x, F.lit(20))))
+    s = F.when(p % 5 == 0, F.left(x, F.lit(50))).when(p % 5 == 1, F.concat(F.lit("2."), p, F.lit(" "), T.upper_simple(F.left(x, F.lit(30))))).when(p % 5 == 2, F.concat(F.lit("Results of "), F.left(x, F.lit(60)))).when(p % 5 == 3, "Dataset").otherwise(F.concat(F.lit("data "), F.left(x, F.lit(20))))
     return blocks(spark, sf).withColumn("s", F.trim(s)).select("seq_id", K.retag_title(F.col("type"), F.col("s")).alias("type"))
 
 
