@@ -81,13 +81,6 @@ def estimate_cjk(text: Column) -> Column:
     return F.floor(1.5 * cjk + 0.35 * (F.length(t) - cjk)).cast("long")
 
 
-def estimate_quarter(text: Column) -> Column:
-    """max(1, length // 4)."""
-    return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
-
-
-def estimate_provider(text: Column, output: int = 0, images: int = 0, per_image: int = 0) -> Column:
-    """max(1, ceil(length / 3.6) + output + images)."""
 def estimate_exact(text: Column) -> Column:
     """estimate_cjk in twentieths: no token is lost where 0.35 a character is a whole number."""
     t = F.coalesce(text, F.lit(""))
@@ -95,6 +88,13 @@ def estimate_exact(text: Column) -> Column:
     return F.floor((30 * cjk + 7 * (F.length(t) - cjk)) / 20).cast("long")
 
 
+def estimate_quarter(text: Column) -> Column:
+    """max(1, length // 4)."""
+    return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
+
+
+def estimate_provider(text: Column, output: int = 0, images: int = 0, per_image: int = 0) -> Column:
+    """max(1, ceil(length / 3.6) + output + images)."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(text, F.lit(""))) / 3.6) + output + images * per_image).cast("long")
 
 
@@ -153,13 +153,27 @@ def low_information_line(t: Column) -> Column:
 def meta_noise_line(t: Column) -> Column:
     """is_meta_noise of a squashed line. Long lines are let through before they are looked at."""
     words = F.regexp_extract_all(t, F.lit(r"[A-Za-z][A-Za-z\-']+"), F.lit(0))
+
+    def listed(w: Column) -> Column:
+        capital = F.size(F.filter(w, lambda x: F.regexp_like(x, F.lit("^[A-Z]"))))
+        letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        return (F.size(w) >= 8) & (capital >= 6) & (letters <= 10 * F.size(w))
+
     joins = F.regexp_count(t, F.lit(r"[,;]\s*[A-Za-z]"))
-    capital = F.size(F.filter(words, lambda w: F.regexp_like(w, F.lit("^[A-Z]"))))
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    names = (F.size(words) >= 8) & (joins >= 3) & (F.length(t) <= 220) & (capital >= 6) & (letters <= 10 * F.size(words))
+    names = (F.length(t) <= 220) & (joins >= 3) & bind(words, listed)
     return (F.length(t) == 0) | ((F.length(t) <= 240) & (F.regexp_like(t, F.lit(META_NOISE)) | names))
 
 
+def is_low_information(text: Column) -> Column:
+    """Too short, too few letters, mostly digits, or a chain of one- and two-letter tokens (C11)."""
+    return bind(squash(text), low_information_line)
+
+
+def is_meta_noise(text: Column) -> Column:
+    """A line of boilerplate, or a list of capitalised names."""
+    return bind(squash(text), meta_noise_line)
+
+
 def normalize_heading(text: Column) -> Column:
     """Lower-cased, without a leading number or roman numeral."""
     return F.lower(F.trim(F.regexp_replace(squash(text), r"^(?:[0-9]+(?:\.[0-9]+)*[.)]?|[IVXivx]+[.)])\s+", "")))
@@ -178,16 +192,6 @@ def is_heading_like(text: Column, kind: Column | None = None) -> Column:
     return plain if kind is None else F.lower(F.trim(F.coalesce(kind, F.lit("")))).isin(HEADING_TYPES) | plain
 
 
-def is_low_information(text: Column) -> Column:
-    """Too short, too few letters, mostly digits, or a chain of one- and two-letter tokens (C11)."""
-    return bind(squash(text), low_information_line)
-
-
-def is_meta_noise(text: Column) -> Column:
-    """A line of boilerplate, or a list of capitalised names."""
-    return bind(squash(text), meta_noise_line)
-
-
 def section_label(text: Column) -> Column:
     """The first label whose pattern a heading contains, else empty."""
     norm = normalize_heading(text)
