@@ -216,3 +216,21 @@ def test_references_resolve_to_the_best_of_a_block(spark):
     refs = [(1, "x", "Deep learning of glucose", 2011, ""), (2, "x", "Deep learning of glucose", 2012, ""), (3, "x", "Deep learnings of glucose!", None, "10.1/A"), (4, "x", "Wholly different words", 2010, "10.1/a"), (5, "x", None, None, "10.1/b"), (6, "x", None, 2000, "10.1/c"), (7, "x", "Sleep and memories", 1901, ""), (8, "y", "Deep learning on glucose", 1990, "")]
     got = A.resolve_references(spark.createDataFrame(refs, "ref int, venue string, title string, year int, doi string"), spark.createDataFrame(papers, "paper int, venue string, title string, year int, doi string, source string"), ["venue"])
     assert sorted((x.ref, x.paper, x.match) for x in got.collect()) == [(1, 3, "title"), (3, 4, "doi"), (5, 5, "doi"), (7, 6, "title"), (8, 5, "title")]
+
+
+def test_sequential_rules_over_many_keys(spark):
+    """Rules that go row by row keep one key's state apart from the next one's, null keys too."""
+    keys = [("a", i, "x" if i % 7 else "") for i in range(9)] + [(None, i, "x") for i in range(9)]
+    d = spark.createDataFrame(keys, "paper string, n int, affinity string").repartition(3)
+    got = P.affinity_chunks(d, "paper", "n", 4).orderBy("paper", "n").collect()
+    assert [r.chunk for r in got] == [0] * 8 + [1] + [0] * 7 + [1] * 2
+    assert "FlatMapGroupsInPandas" not in P.affinity_chunks(d, "paper", "n", 4)._jdf.queryExecution().toString()
+    s = P.unique_keys(spark.createDataFrame([(None, 1, "k"), (None, 2, "k"), ("b", 1, "k")], "p string, n int, section_key string"), "p", "n")
+    assert [tuple(r) for r in s.orderBy("p", "n").collect()] == [(None, 1, "k"), (None, 2, "sec_2"), ("b", 1, "k")]
+
+
+def test_bodies_merge_without_python(spark):
+    rows = [("p", i, "Body", t, False, [i, 0, i + 1, 1]) for i, t in enumerate(["One.", "Two. \u001c", "open", "x" * 150, "End!", None])]
+    m = P.merge_bodies(spark.createDataFrame(rows, "paper string, n int, type string, text string, noise boolean, bbox array<int>"), "paper", "n")
+    assert "Python" not in m._jdf.queryExecution().toString() and "InPandas" not in m._jdf.queryExecution().toString()
+    assert [(r.n, r.text, r.bbox) for r in m.orderBy("n").collect()] == [(0, "One. Two. \u001c", [0, 0, 2, 1]), (2, "open", [2, 0, 3, 1]), (3, "x" * 150 + " End!", [3, 0, 5, 1]), (5, None, [5, 0, 6, 1])]
