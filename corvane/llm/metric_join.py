@@ -7,8 +7,10 @@
    shares one of the first n - ceil(0.8 n) + 1 shingles of both sets, in any one order of all
    shingles. Each such shared shingle has a pivot, one of the documents that hold it; a region is
    a pivot with the documents that meet it. Rare shingles come first, by a sketch of counts.
-   Documents of a small region whose counts in parts of all shingles differ too much from those of
-   all others there leave it: these counts never lie farther apart than the sets.
+   Which shingles may be shared is found from four bytes of each; only these are grouped whole.
+   Documents of a small region leave it where no other there has nearly their size, and then where
+   their counts in parts of all shingles differ too much from those of all others there: these
+   counts never lie farther apart than the sets.
 3. Each document goes to its largest region first. Documents within r of the pivot are linked to
    it, and among them nothing more need be compared. Of others, x and y are compared only where
    their distances to the pivot differ by r at most.
@@ -38,6 +40,8 @@ from corvane.llm.near_dedup import BROADCAST_IDS, CELL, _edges_of, _grid, _stars
 
 #: Counters of the sketch of shingle counts, and the pieces that it is added up in.
 COUNTERS, SLICES = 1 << 18, 64
+#: Parts of all prefix shingles, each looked through for repeated ones by itself: a power of two.
+PACKS = 1024
 #: Most pivots that divide a region at one level.
 PIVOTS = 16
 #: A part that holds more than this share of its region is not divided again.
@@ -112,6 +116,44 @@ def _prefixes(words: int, percent: int, levels: np.ndarray):
     return run
 
 
+def pack_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pack of each shingle, and the four bytes that stand for it there."""
+    return (s & np.uint64(PACKS - 1)).astype(np.int32), (s >> np.uint64(32)).astype(np.uint32)
+
+
+def pack_digest(s: Column) -> Column:
+    """Pack and bytes of a shingle in one number, as _repeated gives them."""
+    return F.shiftrightunsigned(s, 32) * PACKS + s.bitwiseAND(F.lit(PACKS - 1))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, keys): of each batch's prefixes what stands for the shingles of a pack."""
+    for batch in batches:
+        s = np.concatenate([np.zeros(0, dtype=np.int64), batch.column(0).flatten().to_numpy(zero_copy_only=False)]).astype(np.int64).view(np.uint64)
+        pack, key = pack_keys(s)
+        order = np.argsort(pack, kind="stable")
+        pack, key = pack[order], key[order]
+        at = np.flatnonzero(np.diff(pack, prepend=-1))
+        keys = [x.tobytes() for x in np.split(key, at[1:])] if len(at) else []
+        yield pa.RecordBatch.from_arrays([pa.array(pack[at], pa.int32()), pa.array(keys, pa.binary())], names=["cell", "keys"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands for shingles more than once, as pack_digest; a pack at a time."""
+    for table in _cells(batches):
+        key = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint32))
+        again = np.unique(key[1:][key[1:] == key[:-1]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(again * PACKS + table.column("cell")[0].as_py(), pa.int64())], names=["digest"])
+
+
+def of_like_size(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (region, n, ...) that another of their region can be linked with by their sizes."""
+    w = Window.partitionBy("region").orderBy("n")
+    down = F.col("n") * percent <= F.lag("n").over(w) * 100
+    up = F.lead("n").over(w) * percent <= F.col("n") * 100
+    return rows.withColumn("like", F.coalesce(down, F.lit(False)) | F.coalesce(up, F.lit(False))).where("like").drop("like")
+
+
 def fold_of(s: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles in parts of all shingles, 255 at most: a power of two of parts,
     4 to 8 shingles each. The sum of two sets' differences is never more than the number of
@@ -256,7 +298,15 @@ class _Join:
         self.edges: list[DataFrame] = []
 
     def _with_texts(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.texts, "doc").repartition(self.tasks, "cell").sortWithinPartitions("cell", "doc")
+        """Texts go to their cells in one shuffle; those that rows don't ask for never move."""
+        rows = materialize(rows, "join-dealt")
+        n = rows.count()
+        if n <= BROADCAST_IDS:
+            met = self.texts.join(F.broadcast(rows), "doc")
+        else:
+            wanted = maybe_shared(self.texts.withColumn("digest", F.col("doc")), rows.select(F.col("doc").alias("digest")), n)
+            met = rows.join(wanted.where("maybe").select("doc", "text"), "doc")
+        return met.repartition(self.tasks, "cell").sortWithinPartitions("cell", "doc")
 
     def join_small(self, rows: DataFrame) -> None:
         """Regions of CELL documents at most."""
@@ -304,6 +354,18 @@ class _Join:
             rows = parts.where(~stuck).select("region", "doc", "c")
 
 
+def once_each(texts: DataFrame, again: DataFrame) -> DataFrame:
+    """texts (doc, text) without repeated rows; again holds the ids of more rows than one, so that
+    texts of other ids stay where they are."""
+    n = again.count()
+    if n > BROADCAST_IDS:
+        return texts.dropDuplicates(["doc", "text"])
+    if n == 0:
+        return texts
+    few = F.broadcast(again)
+    return texts.join(few, "doc", "left_anti").unionAll(texts.join(few, "doc", "left_semi").dropDuplicates(["doc", "text"]))
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """rows of (region, doc, ...) with c, the size of their region."""
     size = rows.groupBy("region").agg(F.count(F.lit(1)).alias("c"))
@@ -336,26 +398,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         reps = prefixes.join(rep, ["doc", "ident"], "left_semi")
     path = shared_path(docs.sparkSession, "join-prefixes")
     held = materialize_at(reps.select("doc", "prefix", "n", "fold"), path)
-    keys = held.select("doc", F.explode("prefix").alias("s"))
+    # Most shingles are one document's: a bitmap of bounded size keeps nearly all of them from what follows.
+    tasks = shuffle_partitions(docs.sparkSession)
+    packs = held.select("prefix").mapInArrow(_packed, "cell int, keys binary").repartition(tasks, "cell").sortWithinPartitions("cell")
+    again = materialize(packs.mapInArrow(_repeated, "digest long"), "join-again")
+    keys = maybe_shared(held.select("doc", "n", F.explode("prefix").alias("s")).withColumn("digest", pack_digest(F.col("s"))), again, again.count())
+    some = shared_path(docs.sparkSession, "join-keys")
+    keys = materialize_at(keys.where("maybe").select("doc", "n", "s"), some)
     shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("region"), F.max("doc").alias("last")).where("region <> last").select("s", "c", "region")
     shared = materialize(shared, "join-shared")
-    # Most shingles are one document's: a bitmap of bounded size keeps nearly all of them from the join.
-    some = maybe_shared(keys.withColumnRenamed("s", "digest"), shared.withColumnRenamed("s", "digest"), shared.count())
-    some = some.where("maybe").select("doc", F.col("digest").alias("s"))
-    met = join_hot(some, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc").distinct()
-    met = counted(materialize(met, "join-met"))
+    met = join_hot(keys, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc", "n").distinct()
+    met = counted(materialize_at(met, shared_path(docs.sparkSession, "join-met"), some))
 
     # Without documents that differ too much from all others of their small region.
-    small = met.where(F.col("c") <= CELL).select(F.col("region").alias("cell"), "doc").join(held.select("doc", "n", "fold"), "doc")
-    some = small.repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "doc").mapInArrow(_possible(percent), "region long, doc long")
+    small = of_like_size(met.where(F.col("c") <= CELL), percent).select(F.col("region").alias("cell"), "doc")
+    small = small.join(held.select("doc", "n", "fold"), "doc").repartition(tasks, "cell").sortWithinPartitions("cell", "doc")
+    some = small.mapInArrow(_possible(percent), "region long, doc long")
     some = materialize_at(some.unionAll(met.where(F.col("c") > CELL).select("region", "doc")), shared_path(docs.sparkSession, "join-met"), path)
     members = materialize(counted(some), "join-regions")
     wanted = materialize(members.select("doc").distinct(), "join-candidates")
     few = wanted.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").dropDuplicates(["doc", "text"])
-    work = _Join(materialize(texts, "join-texts"), words, percent)
+    texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    again = taking_part.groupBy("doc").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = materialize(again, "join-again")
+    work = _Join(materialize(once_each(texts, again.select("doc")), "join-texts"), words, percent)
     # An id of several sets joins their classes.
-    several = taking_part.groupBy("doc").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).where("lo <> hi").select("doc")
+    several = again.where("lo <> hi").select("doc")
     work.edges.append(taking_part.join(several, "doc").join(classes, "ident").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
 
     # Each document once, in its largest region.

@@ -145,3 +145,44 @@ def test_cells_span_batches():
 def test_supplied_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert found(jaccard_join(df)) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_texts_reach_their_cells_in_one_shuffle(spark):
+    """A text moved twice a round, asked for or not, once by its id and once to its cell."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(9)], DOCS.replace("doc_id", "doc"))
+    rows = spark.createDataFrame([(2, 7), (3, 7), (3, 8)], "doc long, cell long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = metric_join._Join(texts, 5, 80)._with_texts(rows)
+        assert "SortMergeJoin" not in met._jdf.queryExecution().toString()
+        assert sorted(map(tuple, met.select("cell", "doc", "text").collect())) == [(7, 2, "text 2"), (7, 3, "text 3"), (8, 3, "text 3")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    both = texts.unionAll(texts.where("doc = 4"))
+    assert metric_join.once_each(both, texts.where("doc = 4").select("doc")).count() == 9
+
+
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_many_texts_meet_their_cells_by_a_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(metric_join, "BROADCAST_IDS", most)
+    r = random.Random(9)
+    rows = family(r, 0, 20, 40, 3) + family(r, 50, 10, 30, 2) + [(3, "a b c d e f"), (3, "a b c d e f")]
+    assert found(jaccard_join(spark.createDataFrame(rows, DOCS))) == brute(rows)
+
+
+def test_repeated_shingles_are_found_in_packs(spark):
+    r = np.random.default_rng(3)
+    s = r.integers(-(2**63), 2**63 - 1, 4000)
+    rows = [(s[i : i + 500].tolist(),) for i in range(0, 4000, 500)] + [(s[100:120].tolist(),), ([],)]
+    held = spark.createDataFrame(rows, "prefix array<long>").repartition(3)
+    packs = held.mapInArrow(metric_join._packed, "cell int, keys binary").repartition(4, "cell").sortWithinPartitions("cell")
+    again = {x.digest for x in packs.mapInArrow(metric_join._repeated, "digest long").collect()}
+    told = spark.createDataFrame([(int(x),) for x in s[100:120]], "s long").select(metric_join.pack_digest(metric_join.F.col("s")).alias("d"))
+    assert again == {x.d for x in told.collect()} and len(again) == 20
+
+
+def test_sizes_too_far_apart_leave_a_region(spark):
+    rows = [(1, 10, 80), (1, 11, 100), (1, 12, 126), (2, 20, 79), (2, 21, 100), (3, 30, 5), (3, 31, 5)]
+    left = metric_join.of_like_size(spark.createDataFrame(rows, "region long, doc long, n long"), 80)
+    assert sorted(x.doc for x in left.collect()) == [10, 11, 30, 31]
