@@ -13,7 +13,6 @@ import math
 import re
 import urllib.parse
 import zipfile
-from functools import lru_cache
 from xml.etree import ElementTree
 
 import numpy as np
@@ -74,26 +73,61 @@ def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([title_ratio(a, b) for a, b in zip(left, right)])
 
 
-@lru_cache(maxsize=1 << 16)
-def _letters(title: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(title.encode("ascii", "replace"), dtype=np.uint8) & 127, minlength=128)
+#: Columns that pairs of characters are counted in, and rows compared at once.
+PAIR_COLUMNS, ROWS_AT_ONCE = 512, 256
 
 
-def title_similarity_from(floor: float):
-    """title_similarity of normalised titles, null below floor; pairs whose letters in common
-    cannot reach it are not compared."""
+def common_lengths(key: str, codes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a title of 64 characters at most and each row of
+    codes (characters, 0 where a title has ended), all rows at once: one bit for each character of
+    the key, cleared where it is matched."""
+    masks = np.zeros(128, dtype=np.uint64)
+    for i, c in enumerate(key.encode("ascii", "replace")):
+        masks[c & 127] |= np.uint64(1 << i)
+    v = np.full(len(codes), np.uint64(2**64 - 1))
+    for column in codes.T:
+        m = v & masks[column]
+        v = (v + m) | (v - m)
+    return len(key) - np.bitwise_count(v & np.uint64((1 << len(key)) - 1)).astype(np.int64) if len(key) else np.zeros(len(codes), dtype=np.int64)
 
-    @F.pandas_udf(T.DoubleType())
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.full(len(left), np.nan)
-        if len(left):
-            a, b = np.stack([_letters(x) for x in left]), np.stack([_letters(x) for x in right])
-            most = 2 * np.minimum(a, b).sum(axis=1) / np.maximum(1, a.sum(axis=1) + b.sum(axis=1))
-            for i in np.flatnonzero(most >= floor - 1e-9):
-                out[i] = title_ratio(left.iat[i], right.iat[i])
-        return pd.Series(out).where(out >= floor)
 
-    return similarity
+def pair_counts(titles: list[str]) -> np.ndarray:
+    """How often each title holds each pair of neighbouring characters; pairs may share a column."""
+    out = np.zeros((len(titles), PAIR_COLUMNS), dtype=np.float32)
+    for i, x in enumerate(titles):
+        c = np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8).astype(np.int64)
+        out[i] = np.bincount((c[:-1] * 37 + c[1:]) % PAIR_COLUMNS, minlength=PAIR_COLUMNS)
+    return out
+
+
+def similar_titles(keys: list[str], known: list[str], floor: float) -> tuple[list[int], list[int], list[float]]:
+    """Places (i, j) of normalised titles whose ratio is floor at least, and that ratio.
+
+    M characters matched of S in both titles lie in at most S - 2M + 1 blocks, as between two
+    blocks one title holds a character more; so the titles share at least 3M - S - 1 pairs of
+    neighbours, and the product of their counts is no less. The blocks are a common subsequence.
+    Pairs of titles that either bound tells apart are not compared."""
+    found: tuple[list[int], list[int], list[float]] = ([], [], [])
+    if not keys or not known:
+        return found
+    a, b = pair_counts(keys), pair_counts(known)
+    na, nb = (np.array([len(x) for x in t], dtype=np.float64) for t in (keys, known))
+    codes = np.zeros((len(known), int(nb.max())), dtype=np.uint8)
+    for j, x in enumerate(known):
+        codes[j, : len(x)] = np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8)
+    for at in range(0, len(keys), ROWS_AT_ONCE):
+        size = na[at : at + ROWS_AT_ONCE, None] + nb[None, :]
+        may = a[at : at + ROWS_AT_ONCE] @ b.T >= (1.5 * floor - 1) * size - 1 - 1e-6
+        for i, row in enumerate(may, at):
+            some = np.flatnonzero(row)
+            if len(some) and len(keys[i]) <= 64:
+                some = some[2 * common_lengths(keys[i], codes[some]) >= (floor - 1e-9) * (na[i] + nb[some])]
+            for j in some.tolist():
+                s = title_ratio(keys[i], known[j])
+                if s >= floor:
+                    for place, value in zip(found, (i, j, s)):
+                        place.append(value)
+    return found
 
 
 def estimate(text: str) -> int:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.biblio import blank, normalize_year
-from corvane.functions.udfs import normal_title, title_similarity, title_similarity_from
+from corvane.functions.udfs import normal_title, similar_titles, title_similarity
 
 # USD per million tokens (input, cached input, output), a second rate for long
 # prompts (threshold, input, cached, output), and names that stand for changing models.
@@ -193,6 +194,33 @@ def shared_project_links(links: DataFrame, members: DataFrame) -> DataFrame:
 
 #: Services in the order in which titles are looked for (D21); others come last.
 FINDERS = ("crossref", "openalex", "pubmed", "arxiv")
+#: Most titles of a side, about, that meet in one cell.
+CELL_TITLES = 2000
+
+
+def like_titles(keys: DataFrame, known: DataFrame, block: list[str], floor: float) -> DataFrame:
+    """(block, key, known, s): titles of a block whose ratio s is floor at least. All pairs of a
+    block are looked at, as the ratio is no metric and its bounds are too wide for an index; cells
+    of bounded size share them out, so memory is bounded and no pair is shuffled.
+    keys: block, key; known: block, known; distinct."""
+    def dealt(rows: DataFrame, title: str, own: str, other: str) -> DataFrame:
+        held = rows.withColumn(own, F.pmod(F.xxhash64(title), F.col(f"{own}s")).cast("int"))
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).select(*[F.col(c).alias(c) for c in block], "row", "column", title)
+
+    many = lambda rows, name: rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / CELL_TITLES).cast("int").alias(name))
+    sizes = F.broadcast(many(keys, "rows").join(many(known, "columns"), block))
+    left, right = dealt(keys.join(sizes, block), "key", "row", "column"), dealt(known.join(sizes, block), "known", "column", "row")
+    cell = [*block, "row", "column"]
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (rows.repartition(tasks, *cell) for rows in (left, right))  # few bytes and much work: not to be put together
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j, s = similar_titles(a["key"].tolist(), b["known"].tolist(), floor)
+        out = a.iloc[i][[*block, "key"]].reset_index(drop=True)
+        return out.assign(known=b["known"].iloc[j].to_numpy(), s=pd.Series(s, dtype="float64"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.select(*block, "key").schema)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, f"{schema}, known string, s double")
 
 
 def resolve_references(refs: DataFrame, papers: DataFrame, block: list[str], *, doi_floor: float = 0.55, title_floor: float = 0.82, verbatim: float = 0.95, years: int = 1) -> DataFrame:
@@ -203,7 +231,7 @@ def resolve_references(refs: DataFrame, papers: DataFrame, block: list[str], *,
     from doi_floor on, or where the reference has no title. Else the best title of the
     block from title_floor on, the earlier service on ties; once a service has a verbatim one,
     later services are not asked. The best one's year may be years off where both are known.
-    Each pair of different titles that share a block is compared once."""
+    A title that its block holds word for word, with its first service, is not compared further."""
     rank = F.lit(len(FINDERS))
     for i, name in enumerate(FINDERS):
         rank = F.when(F.lower("source") == name, F.lit(i)).otherwise(rank)
@@ -215,12 +243,15 @@ def resolve_references(refs: DataFrame, papers: DataFrame, block: list[str], *,
 
     asked = r.where("title <> ''").join(by_doi.select("ref"), "ref", "left_anti").withColumn("key", normal_title(F.col("title")))
     held = p.groupBy(*block, normal_title(F.col("title")).alias("known"), "rank").agg(F.min("paper").alias("paper"), F.min_by("year", "paper").alias("found_year"))
-    keys = asked.select(*block, "key").distinct()
-    pairs = keys.join(held.select(*block, "known").distinct(), block).select("key", "known").distinct()
-    like = pairs.withColumn("s", title_similarity_from(title_floor)(F.col("key"), F.col("known"))).where("s IS NOT NULL")
+    keys = asked.select(*block, "key").where("key <> ''").distinct()
+    # Nothing ranks before the first service's equal title.
+    first = held.groupBy(*block, "known").agg(F.min("rank").alias("rank")).join(held.groupBy(*block).agg(F.min("rank").alias("least")), block)
+    equal = keys.join(first.where("rank = least").select(*block, F.col("known").alias("key")), [*block, "key"], "left_semi").select(*block, "key", F.col("key").alias("known"), F.lit(1.0).alias("s"))
+    rest = keys.join(equal.select(*block, "key"), [*block, "key"], "left_anti")
+    like = equal.unionByName(like_titles(rest, held.select(*block, "known").where("known <> ''").distinct(), block, title_floor))
     sure, at = F.col("s") >= verbatim, F.col("rank").cast("double")
     order = F.struct((~sure).alias("a"), F.when(sure, at).otherwise(-F.col("s")).alias("b"), F.when(sure, -F.col("s")).otherwise(at).alias("c"), "paper", "found_year", "s")
-    best = keys.join(like, "key").join(held, [*block, "known"]).groupBy(*block, "key").agg(F.min(order).alias("best")).select(*block, "key", "best.paper", "best.found_year", "best.s")
+    best = like.join(held, [*block, "known"]).groupBy(*block, "key").agg(F.min(order).alias("best")).select(*block, "key", "best.paper", "best.found_year", "best.s")
     found = normalize_year(F.col("found_year"))
     near = F.coalesce(F.abs(F.col("year") - found) <= years, F.lit(True))
     by_title = asked.join(best, [*block, "key"]).where(near).select("ref", "paper", F.lit("title").alias("match"), F.round("s", 4).alias("score"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,24 @@ def test_bodies_merge_without_python(spark):
     m = P.merge_bodies(spark.createDataFrame(rows, "paper string, n int, type string, text string, noise boolean, bbox array<int>"), "paper", "n")
     assert "Python" not in m._jdf.queryExecution().toString() and "InPandas" not in m._jdf.queryExecution().toString()
     assert [(r.n, r.text, r.bbox) for r in m.orderBy("n").collect()] == [(0, "One. Two. \u001c", [0, 0, 2, 1]), (2, "open", [2, 0, 3, 1]), (3, "x" * 150 + " End!", [3, 0, 5, 1]), (5, None, [5, 0, 6, 1])]
+
+
+def test_like_titles_in_cells_are_those_of_all_pairs(spark, monkeypatch):
+    """Titles met in pairs that were shuffled and made distinct; now in cells, without the pairs."""
+    import random
+
+    from corvane.functions.udfs import common_lengths, similar_titles, title_ratio
+
+    r = random.Random(4)
+    words = ["the", "er", "and", "th", "tion", "a", "aa", "of sleep", "x" * 9]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(60)] + ["la " * 40 + "end"]
+    known = sorted({*base, *(t[: len(t) // 2] + r.choice("aeo ") + t[len(t) // 2 :] for t in base)} - {""})
+    keys = sorted({" ".join(t.split()[1:]) or "z" for t in known} | {"la " * 39 + "end"})
+    want = sorted((k, t, title_ratio(k, t)) for k in keys for t in known if title_ratio(k, t) >= 0.82)
+    i, j, s = similar_titles(keys, known, 0.82)
+    assert sorted((keys[a], known[b], c) for a, b, c in zip(i, j, s)) == want and len(want) > 60
+    assert common_lengths("abcb", np.array([list(b"bcb\0"), list(b"zzzz"), list(b"aabb")], dtype=np.uint8)).tolist() == [3, 0, 3]
+    monkeypatch.setattr(A, "CELL_TITLES", 20)
+    a, b = (spark.createDataFrame([("v", x) for x in t], f"venue string, {n} string") for t, n in ((keys, "key"), (known, "known")))
+    got = A.like_titles(a, b.unionAll(spark.createDataFrame([("w", keys[0])], b.schema)), ["venue"], 0.82)
+    assert sorted((x.key, x.known, x.s) for x in got.collect()) == want
