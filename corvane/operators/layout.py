@@ -67,16 +67,32 @@ def title_segments(blocks: DataFrame, paper: str, order: str, is_title: Column,
     return seg.withColumn("segment", F.row_number().over(Window.partitionBy(paper).orderBy("island"))).select(paper, "segment", "title", "text")
 
 
+def _norm(text: str, most_chars: int) -> Column:
+    """The squashed text in lower case; null where its beginning alone is too long for a header."""
+    start = T.squash(F.substring(text, 1, 2 * most_chars))
+    may = (F.length(text) <= 2 * most_chars) | (F.length(start) < most_chars)
+    return F.lower(F.when(may, T.squash(F.col(text))))
+
+
+def _fits(norm: str, most_chars: int) -> Column:
+    """Whether a text has 1 character at least and fewer than most_chars; names norm only once, as
+    Spark works it out anew for each name in a filter."""
+    return F.pmod(F.length(norm) - 1, F.lit(1 << 30)) < most_chars - 1
+
+
 def running_headers(rows: DataFrame, group: str, page: str, text: str, least_pages: int = 3, most_chars: int = 90) -> DataFrame:
     """Short texts that repeat on three pages of a group or more (C17)."""
-    norm = F.lower(T.squash(F.col(text)))
-    r = rows.select(group, page, norm.alias("norm")).where((F.col("norm") != "") & (F.length("norm") < most_chars))
+    r = rows.select(group, page, _norm(text, most_chars).alias("norm")).where(_fits("norm", most_chars))
     return r.groupBy(group, "norm").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= least_pages)
 
 
-def without_running_headers(rows: DataFrame, group: str, page: str, text: str, **limits) -> DataFrame:
-    heads = running_headers(rows, group, page, text, **limits).select(F.col(group).alias("g"), "norm")
-    return rows.join(heads, (F.col(group) == F.col("g")) & (F.lower(T.squash(F.col(text))) == F.col("norm")), "left_anti")
+def without_running_headers(rows: DataFrame, group: str, page: str, text: str, least_pages: int = 3, most_chars: int = 90) -> DataFrame:
+    """rows whose text is no running header. The others' keys are a column, so that no text moves
+    for its key alone; texts that can be none meet nothing, each page's on its own."""
+    heads = running_headers(rows, group, page, text, least_pages, most_chars).select(F.col(group).alias("g"), "norm")
+    own = F.concat(F.lit("\n"), F.coalesce(F.col(page).cast("string"), F.lit("")))
+    keyed = rows.withColumn("__norm", _norm(text, most_chars)).withColumn("__key", F.when(_fits("__norm", most_chars), F.col("__norm")).otherwise(own))
+    return keyed.join(heads, (F.col(group) == F.col("g")) & (F.col("__key") == F.col("norm")), "left_anti").drop("__norm", "__key")
 
 
 def match_readers(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:

@@ -256,3 +256,15 @@ def test_like_titles_in_cells_are_those_of_all_pairs(spark, monkeypatch):
     a, b = (spark.createDataFrame([("v", x) for x in t], f"venue string, {n} string") for t, n in ((keys, "key"), (known, "known")))
     got = A.like_titles(a, b.unionAll(spark.createDataFrame([("w", keys[0])], b.schema)), ["venue"], 0.82)
     assert sorted((x.key, x.known, x.s) for x in got.collect()) == want
+
+
+def test_long_and_empty_lines_move_without_their_text(spark):
+    """Every line was shuffled whole for its key, empty ones of a group to one task."""
+    rows = [("p", k, x) for k in (1, 2, 3) for x in ("Head  Line", "", "x" * 89, "y" * 90, "z" * 50 + " " * 200 + "z", "  ", f"own {k}", None)]
+    df = spark.createDataFrame(rows, "paper string, page int, text string")
+    assert sorted((r.norm, r.pages) for r in L.running_headers(df, "paper", "page", "text").collect()) == [("head line", 3), ("x" * 89, 3), ("z" * 50 + " z", 3)]
+    left = L.without_running_headers(df.withColumn("n", F.length("text")), "paper", "page", "text")
+    assert left.count() == 3 * 5 and "__key" not in left.columns
+    plan = left.groupBy("page").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
+    assert "regexp_replace" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "LeftAnti" in x)
