@@ -59,6 +59,27 @@ def center_inside(small: Column, big: Column) -> Column:
     return F.coalesce((b[0] <= cx) & (cx <= b[2]) & (b[1] <= cy) & (cy <= b[3]), F.lit(False))
 
 
+def frame(box: Column) -> Column:
+    """Sides, area and centre of a box as doubles, for functions that compare a box with many; null
+    where it has fewer than four numbers."""
+    s = [v.cast("double") for v in _sides(box)]
+    fields = {"x0": s[0], "y0": s[1], "x1": s[2], "y1": s[3], "area": _area(s), "cx": (s[0] + s[2]) / 2.0, "cy": (s[1] + s[3]) / 2.0}
+    return F.when(F.size(box) >= 4, F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def overlaps(a: Column, b: Column, share: float) -> Column:
+    """Whether iou of two frames is above a share of at least 0; false or null where not."""
+    w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+    h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+    union = a["area"] + b["area"] - w * h
+    return (w > 0) & (h > 0) & F.when(union > 0, w * h / union > share)
+
+
+def holds_center(big: Column, small: Column) -> Column:
+    """center_inside of two frames; false or null where not."""
+    return (big["x0"] <= small["cx"]) & (small["cx"] <= big["x1"]) & (big["y0"] <= small["cy"]) & (small["cy"] <= big["y1"])
+
+
 def column_id(box: Column, page_width: Column, split: Column, half_gutter: Column) -> Column:
     """left, right, span or full (I34). On a page of two columns, by the gutter about split; where
     split is null, only boxes of at most 0.48 of the width that end or begin near the middle are

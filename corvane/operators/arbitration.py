@@ -1,12 +1,17 @@
 """Two readers of one page become one: matching, choice, release, rescue and order.
 
-Which block of reader B is still free is decided by the last block of reader A that had it for a
-candidate, so one aggregation finds it; only the rescue depends on what was rescued before, and
-folds over the free blocks of a page, in their order, inside the JVM."""
+A page's blocks of both readers meet in one row, so each text moves once and all further steps are
+functions on that row. Which block of reader B is still free is decided by the last block of reader
+A that had it for a candidate: texts are compared with that one only, and only where no block of A
+covers the place. The rescue depends on what was rescued before, and folds over the free blocks of a
+page, in their order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import geometry as G
@@ -18,83 +23,148 @@ FAILED_MARK = "<Failed to OCR Equation>"
 UNORDERED = 1_000_000_000
 #: What a block may have besides pos, seq_id, bbox, type, content, score; absent ones are null.
 OPTIONAL = {"reading_order": "int", "source": "string", "equation_failed": "boolean", "equation_marker": "string", "equation_failure_reason": "string", "equation_source": "string", "equation_png_path": "string", "png_path": "string"}
+#: Unicode's white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What arbitration gives a block.
+MERGED = {"content": "string", "source": "string", "score": "double", "stack_a_score": "double", "stack_b_score": "double", "arbiter_score": "double", "equation_failed": "boolean", "equation_marker": "string", "equation_failure_reason": "string", "equation_source": "string", "equation_png_path": "string"}
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-
-
-def is_box(box: Column) -> Column:
-    return F.coalesce(F.size(box) >= 4, F.lit(False))
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITE))
 
 
 def covers(box: Column, other: Column) -> Column:
-    """Whether other leaves no room for box: an overlap over 0.2, or its centre inside."""
-    return (G.iou(box, other) > COVERED) | G.center_inside(box, other)
+    """Whether a frame other leaves no room for box: its centre inside, or an overlap over 0.2."""
+    return G.holds_center(other, box) | G.overlaps(box, other, COVERED)
 
 
 def has_same_text(a: Column, b: Column) -> Column:
     """One text holds the other, or their words overlap by 0.6; case and white space apart."""
-    x, y = F.lower(T.squash(a)), F.lower(T.squash(b))
-    u, v = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
-    alike = F.size(F.array_intersect(u, v)) >= SAME_WORDS * F.size(F.array_union(u, v))
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | alike)
+    def shared(u: Column, v: Column) -> Column:
+        n, all_ = F.size(F.array_intersect(u, v)), F.size(u) + F.size(v)
+        could = F.least(F.size(u), F.size(v)) >= SAME_WORDS * F.greatest(F.size(u), F.size(v))
+        return could & T.bind(n, lambda n: n >= SAME_WORDS * (all_ - n))
+
+    def words(t: Column) -> Column:
+        return F.array_distinct(F.split(t, " "))
+
+    def of(x: Column, y: Column) -> Column:
+        alike = T.bind(words(x), lambda u: T.bind(words(y), lambda v: shared(u, v)))
+        return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | alike)
 
+    return T.bind(F.lower(T.squash(a)), lambda x: T.bind(F.lower(T.squash(b)), lambda y: of(x, y)))
 
-def _reader(blocks: DataFrame, page: list[str]) -> DataFrame:
+
+def _reader(blocks: DataFrame, page: list[str], reader: str) -> DataFrame:
     have = {c.lower() for c in blocks.columns}
     more = [(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()]
-    return blocks.select(*page, "pos", F.struct("pos", _strip(F.col("seq_id")).alias("seq_id"), "bbox", F.coalesce("type", F.lit("")).alias("type"), _strip(F.col("content")).alias("content"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), *more).alias("block"))
-
-
-def candidates(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
-    """(page, a, b, by_id): for each block of A those of B with its seq_id, whatever their box;
-    where there are none, those of like place (D05)."""
-    left, right = a.withColumnRenamed("block", "a").drop("pos"), b.withColumnRenamed("block", "b").drop("pos")
-    left = left.where(is_box(F.col("a.bbox")))
-    keyed = left.withColumn("k", F.when(F.col("a.seq_id") != "", F.col("a.seq_id")))
-    names = right.select(*page, F.col("b.seq_id").alias("k")).where("k <> ''").distinct().withColumn("known", F.lit(True))
-    told = keyed.join(names, [*page, "k"], "left")
-    by_id = told.where("known").join(right.withColumn("k", F.col("b.seq_id")), [*page, "k"]).select(*page, "a", "b", F.lit(True).alias("by_id"))
-    place = (G.iou(F.col("a.bbox"), F.col("b.bbox")) > SAME_PLACE) | G.center_inside(F.col("b.bbox"), F.col("a.bbox"))
-    by_place = told.where("known IS NULL").join(right.where(is_box(F.col("b.bbox"))), page).where(place)
-    return by_id.unionByName(by_place.select(*page, "a", "b", F.lit(False).alias("by_id")))
-
-
-def chosen(a: DataFrame, found: DataFrame, page: list[str], margin: float) -> DataFrame:
-    """(page, a, b: its candidates in order, by_id, pick): one row for each block of A."""
-    per = found.groupBy(*page, F.col("a.pos").alias("pos")).agg(F.array_sort(F.collect_list("b")).alias("b"), F.max("by_id").alias("by_id"))
-    rows = a.where(is_box(F.col("block.bbox"))).withColumnRenamed("block", "a").join(per, [*page, "pos"], "left").withColumn("b", F.coalesce("b", F.array().cast(per.schema["b"].dataType)))
-    text = F.array_join(F.filter(F.transform("b", lambda x: x["content"]), lambda t: t != ""), " ")
-    mean = F.when(F.size("b") > 0, F.aggregate("b", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("b")).otherwise(0.0)
-    rows = rows.withColumn("b_text", text).withColumn("b_score", mean)
-    return rows.withColumn("pick", G.decide_content(F.col("a.type"), F.col("a.content"), F.col("a.score"), F.col("b_text"), F.col("b_score"), margin))
-
-
-def free_blocks(b: DataFrame, rows: DataFrame, page: list[str]) -> DataFrame:
-    """Blocks of B with a box that are no candidate, or that the last block of A which had them
-    gave back: it kept its own text, they were matched by place, and their text differs from it."""
-    kept_own = (F.col("pick.source") != "stack_b_override") & ~F.col("by_id")
-    given = rows.select(*page, F.col("pos").alias("a_pos"), kept_own.alias("kept_own"), F.col("pick.content").alias("final"), F.explode("b").alias("x"))
-    back = F.col("kept_own") & (F.col("x.content") != "") & ~has_same_text(F.col("x.content"), F.col("final"))
-    last = given.groupBy(*page, F.col("x.pos").alias("pos")).agg(F.max_by(back, "a_pos").alias("back"))
-    free = b.join(last, [*page, "pos"], "left").where(F.coalesce("back", F.lit(True)) & is_box(F.col("block.bbox")))
-    return free.select(*page, "pos", "block")
+    return blocks.select(*page, F.lit(reader).alias("reader"), "pos", _strip(F.col("seq_id")).alias("seq_id"), "bbox", F.coalesce("type", F.lit("")).alias("type"), _strip(F.col("content")).alias("content"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), *more)
+
+
+def _pages(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
+    """(page, a, b): one row for each page, the blocks of each reader in order of pos."""
+    both = _reader(a, page, "a").unionByName(_reader(b, page, "b"))
+    block = F.struct("pos", "seq_id", "bbox", G.frame(F.col("bbox")).alias("box"), "type", "content", "score", *OPTIONAL)
+    return both.groupBy(*page).agg(*[F.sort_array(F.collect_list(F.when(F.col("reader") == r, block))).alias(r) for r in ("a", "b")])
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Whether block b lies where block a does: its centre inside, or an overlap over 0.1."""
+    return G.holds_center(a["box"], b["box"]) | G.overlaps(a["box"], b["box"], SAME_PLACE)
+
+
+def same_id(a: Column, b: Column) -> Column:
+    return (a["seq_id"] != "") & (a["seq_id"] == b["seq_id"])
+
+
+def candidates(a: Column, others: Column) -> Column:
+    """(by_id, b): of the other reader's blocks those with a's seq_id, whatever their box; where
+    there are none, those of like place (D05)."""
+    def of(told: Column) -> Column:
+        by_id = F.size(told) > 0
+        return F.struct(by_id.alias("by_id"), F.when(by_id, told).otherwise(F.filter(others, lambda b: same_place(a, b))).alias("b"))
+
+    return T.bind(F.filter(others, lambda b: same_id(a, b)), of)
+
+
+def chosen(a: Column, found: Column, margin: float) -> Column:
+    """(b_score, pick: content and source) of a block of A and its candidates, in order."""
+    text = F.array_join(F.filter(F.transform(found["b"], lambda x: x["content"]), lambda t: t != ""), " ")
+    mean = F.when(F.size(found["b"]) > 0, F.aggregate(found["b"], F.lit(0.0), lambda s, x: s + x["score"]) / F.size(found["b"])).otherwise(0.0)
+    both = F.struct(text.alias("text"), mean.alias("score"))
+    return T.bind(both, lambda b: F.struct(b["score"].alias("b_score"), G.decide_content(a["type"], a["content"], a["score"], b["text"], b["score"], margin).alias("pick")))
+
+
+def is_free(b: Column, rows: Column) -> Column:
+    """Whether a block of B is no candidate, or the last block of A which had it gave it back: that
+    kept its own text, they were matched by place, and their text differs. rows: those of merged."""
+    def given_back(last: Column) -> Column:
+        return last.isNull() | (last["kept_own"].isNotNull() & (b["content"] != "") & ~has_same_text(b["content"], last["kept_own"]))
+
+    had = F.filter(rows, lambda m: F.when(m["by_id"], same_id(m, b)).otherwise(same_place(m, b)))
+    return T.bind(F.try_element_at(had, F.lit(-1)), given_back)
+
+
+def is_clear(x: Column, kept: Column) -> Column:
+    """Whether none of kept covers x; all have a frame box."""
+    return ~F.coalesce(F.exists(kept, lambda o: covers(x["box"], o["box"])), F.lit(False))
+
+
+def _fold(rest: Column) -> Column:
+    """Blocks of rest, in order, that those taken before leave clear."""
+    return F.aggregate(rest, F.slice(rest, 1, 0), lambda out, x: F.when(is_clear(x, out), F.concat(out, F.array(x))).otherwise(out))
 
 
 def rescued(kept: DataFrame, free: DataFrame, page: list[str]) -> DataFrame:
     """Free blocks, in order, that nothing covers: neither kept boxes nor rescues before.
     kept: page, bbox; free: page, pos, block with bbox. A page's free blocks are one array."""
-    boxes = kept.groupBy(*page).agg(F.collect_list("bbox").alias("boxes"))
-    rest = free.groupBy(*page).agg(F.array_sort(F.collect_list("block")).alias("rest")).join(boxes, page, "left")
-    kind = rest.schema["rest"].dataType
-    start = F.struct(F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)).alias("boxes"), F.array().cast(kind).alias("out"))
+    boxes = kept.groupBy(*page).agg(F.collect_list(F.struct(G.frame(F.col("bbox")).alias("box"))).alias("boxes"))
+    one = F.struct("block", G.frame(F.col("block.bbox")).alias("box"))
+    rest = free.groupBy(*page).agg(F.array_sort(F.collect_list(one)).alias("rest")).join(boxes, page, "left")
+    none = F.array().cast(boxes.schema["boxes"].dataType)
+    return rest.select(*page, F.explode(_fold(F.filter("rest", lambda x: is_clear(x, F.coalesce("boxes", none))))).alias("x")).select(*page, "x.block")
+
+
+def _row(block: Column, reader: str, **fields: Column) -> Column:
+    """A block as it leaves arbitration; its first fields are its order on the page."""
+    order = F.when(block["reading_order"] > 0, block["reading_order"]).otherwise(UNORDERED)
+    return F.struct(
+        order.alias("_order"), block["bbox"][1].cast("long").alias("_y"), block["bbox"][0].cast("long").alias("_x"), F.lit(reader).alias("reader"), *[block[c].alias(c) for c in ("pos", "seq_id", "type", "bbox")],
+        *[fields[c].cast(t).alias(c) for c, t in MERGED.items()], block["reading_order"].alias("reading_order"))
+
+
+def merged(a: Column, found: Column, choice: Column) -> Column:
+    """(seq_id, box, by_id, kept_own, row): a block of A with the content chosen for it. kept_own:
+    its text where it may give candidates back, else null."""
+    source, text, own, other = choice["pick"]["source"], choice["pick"]["content"], a["score"], choice["b_score"]
+    final = F.when(source == "stack_b_override", other).otherwise(F.when(own > 0, own).otherwise(other))
+    zero = F.lit(0.0)
+    is_eq = a["type"] == "Equation"
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.struct(F.concat(acc["boxes"], F.array(x["bbox"])).alias("boxes"), F.concat(acc["out"], F.array(x)).alias("out"))
-        return F.when(F.exists(acc["boxes"], lambda o: covers(x["bbox"], o)), acc).otherwise(more)
+    def first(*found: Column) -> Column:
+        return _strip(F.coalesce(*[F.when(c != "", c) for c in found]))
 
-    return rest.select(*page, F.explode(F.aggregate("rest", start, step)["out"]).alias("block"))
+    def row(t: Column) -> Column:
+        failed = F.coalesce(t["equation_failed"], F.lit(False)) | T.is_failed_equation(text)
+        mark = T.bind(_strip(t["equation_marker"]), lambda m: F.when(m == "", FAILED_MARK).otherwise(m))
+        mark = F.when(failed, mark).otherwise("")
+        return _row(
+            a, "a", content=F.when(is_eq & failed, mark).otherwise(text), source=source,
+            score=F.round(F.greatest(zero, final), 4), stack_a_score=F.round(F.greatest(zero, own), 4), stack_b_score=F.round(F.greatest(zero, other), 4), arbiter_score=F.round(F.greatest(own, other), 4),
+            equation_failed=F.when(is_eq, failed).otherwise(a["equation_failed"]), equation_marker=F.when(is_eq, mark).otherwise(a["equation_marker"]),
+            equation_failure_reason=F.when(is_eq, F.coalesce(t["equation_failure_reason"], F.lit(""))).otherwise(a["equation_failure_reason"]),
+            equation_source=F.when(is_eq, F.coalesce(first(t["equation_source"], t["source"], a["equation_source"]), F.lit(""))).otherwise(a["equation_source"]),
+            equation_png_path=F.when(is_eq, F.coalesce(first(t["equation_png_path"], t["png_path"], a["equation_png_path"]), F.lit(""))).otherwise(a["equation_png_path"]))
+
+    taken = F.when((source == "stack_b_override") & (F.size(found["b"]) > 0), found["b"][0]).otherwise(a)
+    gives = (source != "stack_b_override") & ~found["by_id"]
+    return F.struct(a["seq_id"].alias("seq_id"), a["box"].alias("box"), found["by_id"].alias("by_id"), F.when(gives, text).alias("kept_own"), T.bind(taken, row).alias("row"))
+
+
+def _saved(b: Column) -> Column:
+    score, none = F.round(b["score"], 4), F.lit(None)
+    same = {c: b[c] for c in MERGED if c.startswith("equation_")}
+    return _row(b, "b", content=b["content"], source=F.lit("stack_b_rescue"), score=score, stack_a_score=none, stack_b_score=none, arbiter_score=score, **same)
 
 
 def arbitrate_pages(a: DataFrame, b: DataFrame, page: list[str], margin: float = 0.10) -> DataFrame:
@@ -106,39 +176,25 @@ def arbitrate_pages(a: DataFrame, b: DataFrame, page: list[str], margin: float =
     Returns page columns, n (1 ...), seq_id, type, bbox, content, source, the scores, the fields of
     equations, and the pos and reader it comes from. Order: reading_order, then y, x; blocks
     without one (null or not positive) come last; ties by reader, then pos. Pages that only one
-    reader has are kept. Empty tables: empty result."""
-    left, right = _reader(a, page), _reader(b, page)
-    rows = chosen(left, candidates(left, right, page), page, min(0.5, max(0.0, margin)))
-    source, own, other = F.col("pick.source"), F.col("a.score"), F.col("b_score")
-    final = F.when(source == "stack_b_override", other).otherwise(F.when(own > 0, own).otherwise(other))
-    zero = F.lit(0.0)
+    reader has are kept; where a page column is null, no blocks match. Empty tables: empty result.
+    A page's blocks are one row."""
+    margin = min(0.5, max(0.0, margin))
+    told = reduce(and_, [F.col(c).isNotNull() for c in page])
+
+    def of(x: Column) -> Column:
+        others = F.when(told, x["b"]).otherwise(F.slice(x["b"], 1, 0))
+
+        def one(v: Column, others: Column) -> Column:
+            return T.bind(candidates(v, others), lambda f: T.bind(chosen(v, f, margin), lambda c: merged(v, f, c)))
+
+        rows = T.bind(others, lambda o: F.transform(F.filter(x["a"], lambda v: v["box"].isNotNull()), lambda v: one(v, o)))
+        return T.bind(rows, lambda r: settled(r, x["b"]))
+
+    def settled(rows: Column, others: Column) -> Column:
+        met = F.when(told, rows).otherwise(F.slice(rows, 1, 0))
+        saved = T.bind(met, lambda m: _fold(F.filter(others, lambda b: b["box"].isNotNull() & is_clear(b, m) & is_free(b, m))))
+        return F.sort_array(F.concat(F.transform(rows, lambda m: m["row"]), F.transform(saved, _saved)))
 
-    taken = F.when((source == "stack_b_override") & (F.size("b") > 0), F.col("b")[0]).otherwise(F.col("a"))
-    rows = rows.withColumn("t", taken)
-    failed = F.coalesce("t.equation_failed", F.lit(False)) | T.is_failed_equation(F.col("pick.content"))
-    mark = _strip(F.col("t.equation_marker"))
-    mark = F.when(failed, F.when(mark == "", FAILED_MARK).otherwise(mark)).otherwise("")
-    is_eq = F.col("a.type") == "Equation"
-
-    def first(*names: str) -> Column:
-        return _strip(F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names]))
-
-    merged = rows.select(
-        *page, "pos", F.lit("a").alias("reader"), F.col("a.seq_id").alias("seq_id"), F.col("a.type").alias("type"), F.col("a.bbox").alias("bbox"),
-        F.when(is_eq & failed, mark).otherwise(F.col("pick.content")).alias("content"), source.alias("source"),
-        F.round(F.greatest(zero, final), 4).alias("score"), F.round(F.greatest(zero, own), 4).alias("stack_a_score"), F.round(F.greatest(zero, other), 4).alias("stack_b_score"), F.round(F.greatest(own, other), 4).alias("arbiter_score"),
-        F.when(is_eq, failed).otherwise(F.col("a.equation_failed")).alias("equation_failed"), F.when(is_eq, mark).otherwise(F.col("a.equation_marker")).alias("equation_marker"),
-        F.when(is_eq, F.coalesce("t.equation_failure_reason", F.lit(""))).otherwise(F.col("a.equation_failure_reason")).alias("equation_failure_reason"),
-        F.when(is_eq, F.coalesce(first("t.equation_source", "t.source", "a.equation_source"), F.lit(""))).otherwise(F.col("a.equation_source")).alias("equation_source"),
-        F.when(is_eq, F.coalesce(first("t.equation_png_path", "t.png_path", "a.equation_png_path"), F.lit(""))).otherwise(F.col("a.equation_png_path")).alias("equation_png_path"),
-        F.col("a.reading_order").alias("reading_order"))
-    saved = rescued(merged.select(*page, "bbox"), free_blocks(right, rows, page), page)
-    x = F.col("block")
-    score = F.round(x["score"], 4)
-    saved = saved.select(
-        *page, x["pos"].alias("pos"), F.lit("b").alias("reader"), x["seq_id"].alias("seq_id"), x["type"].alias("type"), x["bbox"].alias("bbox"), x["content"].alias("content"), F.lit("stack_b_rescue").alias("source"),
-        score.alias("score"), F.lit(None).cast("double").alias("stack_a_score"), F.lit(None).cast("double").alias("stack_b_score"), score.alias("arbiter_score"),
-        *[x[c].alias(c) for c in ("equation_failed", "equation_marker", "equation_failure_reason", "equation_source", "equation_png_path", "reading_order")])
-    order = F.when(F.col("reading_order") > 0, F.col("reading_order")).otherwise(UNORDERED)
-    at = Window.partitionBy(*page).orderBy(order, F.col("bbox")[1].cast("long"), F.col("bbox")[0].cast("long"), "reader", "pos")
-    return merged.unionByName(saved).withColumn("n", F.row_number().over(at))
+    found = _pages(a, b, page).select(*page, F.posexplode(T.bind(F.struct("a", "b"), of)).alias("_n", "_row"))
+    out = ["pos", "reader", "seq_id", "type", "bbox", *MERGED, "reading_order"]
+    return found.select(*page, *[F.col(f"_row.{c}").alias(c) for c in out], (F.col("_n") + 1).alias("n"))

@@ -2,7 +2,9 @@
 
 import random
 
-from corvane.operators.arbitration import arbitrate_pages
+from pyspark.sql import functions as F
+
+from corvane.operators.arbitration import arbitrate_pages, has_same_text
 
 KIND = "doc int, page int, pos int, seq_id string, bbox array<int>, type string, content string, score double, reading_order int, equation_failed boolean, equation_marker string, source string"
 NAMES = [c.split()[0] for c in KIND.split(", ")]
@@ -119,3 +121,33 @@ def test_blocks_of_few_columns_and_empty_tables(spark):
     one = spark.createDataFrame([(1, 1, 0, None, [0, 0, 9, 9], "Body", "x", None)], few)
     assert [(r.reader, r.source, r.score) for r in arbitrate_pages(none, one, ["doc", "page"]).collect()] == [("b", "stack_b_rescue", 0.0)]
     assert [(r.reader, r.source) for r in arbitrate_pages(one, none, ["doc", "page"]).collect()] == [("a", "stack_a")]
+
+
+def test_texts_move_once(spark):
+    few = "doc int, page int, pos int, seq_id string, bbox array<int>, type string, content string, score double"
+    rows = spark.createDataFrame([(1, 1, 0, "a", [0, 0, 9, 9], "Body", "x", 0.5)], few)
+    plan = arbitrate_pages(rows, rows, ["doc", "page"])._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hashpartitioning"), plan.count("Join"), plan.count("Window")) == (1, 0, 0)
+
+
+def test_pages_without_a_key_and_boxes_with_nulls(spark):
+    few = "doc int, page int, pos int, seq_id string, bbox array<int>, type string, content string, score double"
+    a = [(None, 1, 0, "s", [0, 0, 100, 100], "Body", "own", 0.5), (1, 1, 0, "s", [0, None, 100, 100], "Body", "own", 0.5)]
+    b = [(None, 1, 0, "s", [0, 0, 100, 100], "Body", "other", 0.9), (1, 1, 0, "t", [0, 10, 100, 100], "Body", "other", 0.9)]
+    rows = arbitrate_pages(spark.createDataFrame(a, few), spark.createDataFrame(b, few), ["doc", "page"]).collect()
+    got = {(r.doc, r.reader): (r.source, r.content) for r in rows}
+    assert got == {(None, "a"): ("stack_a", "own"), (None, "b"): ("stack_b_rescue", "other"), (1, "a"): ("stack_a", "own"), (1, "b"): ("stack_b_rescue", "other")}
+
+
+def test_contents_lose_every_kind_of_white_space(spark):
+    few = "doc int, page int, pos int, seq_id string, bbox array<int>, type string, content string, score double"
+    text = "\u2003\x85\n kept \xa0\u3000\u200b"
+    a = spark.createDataFrame([(1, 1, 0, " s\u2028", [0, 0, 9, 9], "Body", text, 0.5)], few)
+    row = arbitrate_pages(a, a.limit(0), ["doc", "page"]).first()
+    assert (row.seq_id, row.content) == ("s", "kept \xa0\u3000\u200b")
+
+
+def test_texts_that_are_the_same(spark):
+    rows = [("A  b", "a B c", True), ("a b c d", "d c b a", True), ("a b c", "a b d", False), ("a b c d x", "a b d c y", True), ("", "a", False), (" ", " ", False), ("a a a b c", "c b q", False), ("q r s t", "t", True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r.got == r.want == alike(r.a, r.b) for r in df.select("*", has_same_text(F.col("a"), F.col("b")).alias("got")).collect())
