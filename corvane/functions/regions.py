@@ -141,16 +141,29 @@ def equation_score(r: Region) -> Column:
 
 def with_types(regions: DataFrame, column: Column, name: str = "types") -> DataFrame:
     """Adds (table, figure, body, equation, pred, confidence, reasons) of each region (C43); column
-    as in body_score. The scores are a step of their own, so each is computed once."""
+    as in body_score. The scores are a step of their own, so each is computed once. The reasons that
+    features alone give belong to that step: Spark plans array functions outside its whole-stage
+    code, in methods small enough for the JVM to compile; all scores in one method are interpreted."""
     r = Region.of_columns()
     scores = {"table": table_score(r), "figure": figure_score(r), "body": body_score(r, column), "equation": equation_score(r)}
-    scored = regions.withColumn(name, F.struct(*[_unit(s).alias(k) for k, s in scores.items()]))
+    scored = regions.withColumn(name, F.struct(*[_unit(s).alias(k) for k, s in scores.items()], _reasons_of_features(r).alias("seen")))
     pred, confidence, reasons = decide(r, F.col(name))
-    return scored.withColumn(name, F.struct(f"{name}.*", pred.alias("pred"), confidence.alias("confidence"), reasons.alias("reasons")))
+    return scored.withColumn(name, F.struct(*[F.col(f"{name}.{k}") for k in scores], pred.alias("pred"), confidence.alias("confidence"), reasons.alias("reasons")))
+
+
+def _named(reasons: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in reasons]))
+
+
+def _reasons_of_features(r: Region) -> Column:
+    return _named([
+        ("GRID_STRONG", r.grid >= 0.012), ("GRID_INTERSECTIONS", r.crossings >= 0.0008), ("LARGE_REGION", r.area >= 0.05), ("TEXT_DENSE", r.density >= 2.2), ("LOW_TEXT_DENSITY", r.density <= 1.2),
+        ("HV_LINES_BALANCED", (r.line_h >= 0.004) & (r.line_v >= 0.004)),
+    ])
 
 
 def decide(r: Region, scores: Column) -> tuple[Column, Column, Column]:
-    """Kind, confidence and reasons. Table needs no less than figure, both more than body; an
+    """Kind, confidence and reasons, those of the features (seen) first. Table needs no less than figure, both more than body; an
     equation more than the best of these and 0.62; a table without a strict grid yields to a figure
     of nearly its score, or to the body."""
     table, figure, body, equation = (scores[k] for k in ("table", "figure", "body", "equation"))
@@ -162,11 +175,8 @@ def decide(r: Region, scores: Column) -> tuple[Column, Column, Column]:
     is_figure = ~is_equation & (figure > table) & (figure > body) | yields & (figure >= body)
     pred = F.when(is_equation, "Equation").when(is_figure, "Figure").when(is_table & ~yields, "Table").otherwise("Body")
     confidence = F.when(is_equation, equation).when(yields & ~is_figure, body).when(yields, F.greatest(figure, body)).otherwise(best)
-    reasons = [
-        ("GRID_STRONG", r.grid >= 0.012), ("GRID_INTERSECTIONS", r.crossings >= 0.0008), ("LARGE_REGION", r.area >= 0.05), ("TEXT_DENSE", r.density >= 2.2), ("LOW_TEXT_DENSITY", r.density <= 1.2),
-        ("HV_LINES_BALANCED", (r.line_h >= 0.004) & (r.line_v >= 0.004)), ("EQUATION_LIKE", equation >= 0.66), ("TABLE_STRICT_CHECK", table >= F.greatest(F.lit(0.60), figure)),
-    ]
-    return pred, confidence, F.array_compact(F.array(*[F.when(c, name) for name, c in reasons]))
+    reasons = F.concat(scores["seen"], _named([("EQUATION_LIKE", equation >= 0.66), ("TABLE_STRICT_CHECK", table >= F.greatest(F.lit(0.60), figure))]))
+    return pred, confidence, reasons
 
 
 def needs_review(r: Region, scores: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corvane.functions import regions as Q
@@ -20,7 +22,8 @@ _REGIONS = f"SELECT *, {_WHOLE} FROM (SELECT l_orderkey, l_linenumber, {_REGION}
 
 
 def regions(spark, sf):
-    r = t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *(f"cast({v} AS DOUBLE) AS {k}" for k, v in _FEATURES.items()))
+    double = {k: re.sub(r"\d\.0", r"\g<0>D", v) for k, v in _FEATURES.items()}  # Spark reads 10.0 as a decimal
+    r = t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *(f"cast({v} AS DOUBLE) AS {k}" for k, v in double.items()))
     return r.selectExpr("*", *_WHOLE.split(", "))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from corvane.functions import geometry as G
 from corvane.functions import regions as Q
 from corvane.functions import udfs as U
 from corvane.operators import chain as C
+from corvane.plans import chain as chain_plans
 
 NAMES = "area_ratio text_density small_cc_count table_grid_score line_h_ratio line_v_ratio grid_intersection_ratio fg_ratio x1 y1 x2 w h page_w page_h".split()
 
@@ -118,3 +120,17 @@ def test_rendered_pack_counts_its_items(spark):
     block = C.render_pack(spark.createDataFrame(rows, kind), "g", "o").first().block
     assert block.startswith("[Injected Context Pack]\ntotal_estimated_tokens: 7\n") and block.endswith("snippet: second")
     assert block.index("[Context 1]\nsource_type: s") < block.index("snippet: first\n\n[Context 2]") and "score: 0\nestimated_tokens: 0" in block
+
+
+def test_scores_are_in_methods_that_the_jvm_compiles(spark):
+    typed = Q.with_types(chain_plans.regions(spark, "/root/testdata/sf0.001"), F.when(F.col("x1") > 3, "left"))
+    debug = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    code = typed._jdf.queryExecution().explainString(debug)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # the JVM leaves longer ones interpreted
+    assert typed.first().types.asDict().keys() == {"table", "figure", "body", "equation", "pred", "confidence", "reasons"}
+
+
+def test_features_of_regions_are_divided_as_doubles(spark):
+    plan = chain_plans.regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan
