@@ -8,9 +8,9 @@
    shingles. Each such shared shingle has a pivot, one of the documents that hold it; a region is
    a pivot with the documents that meet it. Rare shingles come first, by a sketch of counts.
    Which shingles may be shared is found from four bytes of each; only these are grouped whole.
-   Documents of a small region leave it where no other there has nearly their size, and then where
-   their counts in parts of all shingles differ too much from those of all others there: these
-   counts never lie farther apart than the sets.
+   Documents leave a region where no other there has nearly their size, and then where their counts
+   in parts of all shingles differ too much from those of all others there: these counts never lie
+   farther apart than the sets. What is left is looked at again with counts in more parts.
 3. Each document goes to its largest region first. Documents within r of the pivot are linked to
    it, and among them nothing more need be compared. Of others, x and y are compared only where
    their distances to the pivot differ by r at most.
@@ -18,13 +18,15 @@
    to its nearest pivot (a Voronoi region) and, as the triangle inequality asks, to every other
    pivot not farther than 2r beyond that, and than r beyond the region's radius. Regions divide
    again while they shrink.
-5. Regions that hold several components after step 3 are joined in the same way, all of them.
+5. Regions that hold several components after step 3 are joined in the same way, all of them, with
+   those documents that counts in parts leave possible partners of another component.
    Those that pivots don't shrink meet as a grid of bounded cells between components.
 6. Large-star and small-star label the links' components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,10 @@ PACKS = 1024
 PIVOTS = 16
 #: A part that holds more than this share of its region is not divided again.
 SHRINK = 0.7
+#: Most documents of a cell in which counts in parts are compared, and most parts of a set.
+FOLDED, PARTS = 1024, 1 << 15
+#: Parts that are compared at a time.
+STEP = 1024
 #: For windows of floating-point distances; links are decided in whole numbers.
 SLACK = 1e-9
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -154,51 +160,108 @@ def of_like_size(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("like", F.coalesce(down, F.lit(False)) | F.coalesce(up, F.lit(False))).where("like").drop("like")
 
 
-def fold_of(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in parts of all shingles, 255 at most: a power of two of parts,
-    4 to 8 shingles each. The sum of two sets' differences is never more than the number of
-    shingles that only one of them has, nor where pairs of parts are added up."""
-    parts = 1 << max(5, int(len(s) // 4).bit_length() - 1)
+def fold_of(s: np.ndarray, finer: int = 0, top: int = 255) -> np.ndarray:
+    """Counts of a set's shingles in parts of all shingles, top at most: a power of two of parts, 4
+    to 8 shingles each, or half as many for each step finer. The sum of two sets' differences is
+    never more than the number of shingles that only one of them has, nor where pairs of parts are
+    added up."""
+    parts = min(PARTS, 1 << max(5, int(len(s) // 4).bit_length() - 1 + finer))
     part = ((s >> np.uint64(20)) & np.uint64(parts - 1)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=parts), 255).astype(np.uint8)
+    return np.minimum(np.bincount(part, minlength=parts), top).astype(np.uint8)
 
 
-def possible(n: np.ndarray, folds: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of some sets, given sizes and counts in parts, may be linked with another of them.
+def possible(n: np.ndarray, folds: list[np.ndarray], percent: int, comp: np.ndarray | None = None, top: int = 255) -> np.ndarray:
+    """Which of some sets, given sizes and counts in parts, may be linked with another of them, and,
+    where comp is given, of another component.
 
     Sets within the threshold have as many parts, or twice as many, and these are added up."""
     size = np.array([len(f) for f in folds])
     near = np.zeros(len(n), dtype=bool)
     for parts in np.unique(size):
-        own, other = np.flatnonzero(size == parts), np.flatnonzero(size == 2 * parts)
+        own, other = (x[np.argsort(n[x], kind="stable")] for x in (np.flatnonzero(size == parts), np.flatnonzero(size == 2 * parts)))
         rows = np.concatenate([own, other])
         counts = [np.stack([folds[i] for i in own]).astype(np.int16)]
         if len(other):
             twice = np.stack([folds[i] for i in other]).astype(np.int16)
-            counts.append(twice[:, :parts] + twice[:, parts:])
+            counts.append(np.minimum(twice[:, :parts] + twice[:, parts:], top))
         counts, sizes = np.concatenate(counts), n[rows]
+        most = sizes[: len(own)] * 100 // percent  # no larger set is within the threshold
+        end = np.searchsorted(sizes[: len(own)], most, side="right")
+        end_other = len(own) + np.searchsorted(sizes[len(own) :], most, side="right")
         for i in range(len(own)):
-            apart = np.abs(counts[i + 1 :] - counts[i]).sum(axis=1, dtype=np.int64)
-            met = (100 + percent) * apart <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
-            near[rows[i + 1 :][met]] = True
-            near[rows[i]] |= met.any()
+            at = np.concatenate([np.arange(i + 1, end[i]), np.arange(len(own), end_other[i])])
+            if near[rows[i]]:
+                at = at[~near[rows[at]]]
+            if comp is not None:
+                at = at[comp[rows[at]] != comp[rows[i]]]
+            apart, bound = np.zeros(len(at), dtype=np.int64), (100 - percent) * (sizes[at] + sizes[i])
+            for lo in range(0, parts, STEP):  # most are told apart by the first parts
+                apart += np.abs(counts[at, lo : lo + STEP] - counts[i, lo : lo + STEP]).sum(axis=1, dtype=np.int64)
+                met = (100 + percent) * apart <= bound
+                at, apart, bound = at[met], apart[met], bound[met]
+            near[rows[at]] = True
+            near[rows[i]] |= len(at) > 0
     return near
 
 
-def _possible(percent: int):
-    """Of each small region the documents that another one of it may be linked with."""
+def packed(fold: np.ndarray) -> bytes:
+    """Counts of 15 at most, two a byte."""
+    return (fold[::2] | (fold[1::2] << np.uint8(4))).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, dtype=np.uint8)
+    return np.stack([x & np.uint8(15), x >> np.uint8(4)], axis=1).ravel()
+
+
+def _folds(words: int):
+    """(doc, n, fold) of each text, with counts in four times as many parts as its prefix comes with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, folds = [], []
+            for raw in text_bytes(pa.Table.from_batches([batch]), "text"):
+                s = shingle_set(raw, words)
+                sizes.append(len(s))
+                folds.append(packed(fold_of(s, 2, 15)))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), pa.array(sizes, pa.int64()), pa.array(folds, pa.binary())], names=["doc", "n", "fold"])
+
+    return run
+
+
+def _possible(percent: int, fine: bool = False):
+    """Of each cell its own documents that another one there may be linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _cells(batches):
-            folds = [np.frombuffer(x, dtype=np.uint8) for x in table.column("fold").to_pylist()]
-            near = possible(np.array(table.column("n").to_pylist(), dtype=np.int64), folds, percent)
+            folds = [unpacked(x) if fine else np.frombuffer(x, dtype=np.uint8) for x in table.column("fold").to_pylist()]
+            columns = {c: np.array(table.column(c).to_pylist()) for c in table.column_names if c != "fold"}
+            near = possible(columns["n"], folds, percent, columns.get("comp"), 15 if fine else 255) & columns.get("own", True)
             if near.any():
-                rows = table.filter(pa.array(near))
-                yield pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_pylist(), pa.int64()) for c in ("cell", "doc")], names=["region", "doc"])
+                region = columns.get("region", columns["cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[near], pa.int64()) for x in (region, columns["doc"], columns["n"])], names=["region", "doc", "n"])
 
     return run
 
 
+def nearer(rows: DataFrame, folds: DataFrame, percent: int, total: int, fine: bool = False) -> DataFrame:
+    """(region, doc, n) of the rows (region, doc, n, comp, c) that another of their region and of
+    another component may be linked with; folds: doc, n, fold.
+
+    Regions of more than FOLDED rows are looked at by size: documents of one class of sizes with
+    those of the next smaller and larger ones. Where even these are more, all stay."""
+    size_class = F.floor(F.ln(F.col("n")) / math.log((100 / percent) * (1 + SLACK)))
+    small = rows.where(F.col("c") <= FOLDED).select(F.col("region").alias("cell"), "region", "doc", "n", "comp", F.lit(True).alias("own"))
+    large = rows.where(F.col("c") > FOLDED).select("region", "doc", "n", "comp", size_class.alias("k")).withColumn("at", F.explode(F.sequence(F.col("k") - 1, F.col("k") + 1)))
+    large = large.select(F.xxhash64("region", "at").alias("cell"), "region", "doc", "n", "comp", (F.col("at") == F.col("k")).alias("own"))
+    sizes = large.groupBy("cell").agg(F.count(F.lit(1)).alias("k"))
+    large = join_hot(large, sizes, "cell", "k", total, F.xxhash64("doc"))
+    cells = small.unionAll(large.where(F.col("k") <= FOLDED).drop("k")).join(folds.select("doc", "n", "fold"), ["doc", "n"])
+    cells = cells.repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "doc")
+    rest = large.where((F.col("k") > FOLDED) & F.col("own")).select("region", "doc", "n")
+    return cells.mapInArrow(_possible(percent, fine), "region long, doc long, n long").unionAll(rest)
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of a task sorted by cell, one cell at a time."""
     held: list[pa.RecordBatch] = []
@@ -304,8 +367,7 @@ class _Join:
         if n <= BROADCAST_IDS:
             met = self.texts.join(F.broadcast(rows), "doc")
         else:
-            wanted = maybe_shared(self.texts.withColumn("digest", F.col("doc")), rows.select(F.col("doc").alias("digest")), n)
-            met = rows.join(wanted.where("maybe").select("doc", "text"), "doc")
+            met = rows.join(maybe_of(self.texts, rows, n), "doc")
         return met.repartition(self.tasks, "cell").sortWithinPartitions("cell", "doc")
 
     def join_small(self, rows: DataFrame) -> None:
@@ -366,6 +428,15 @@ def once_each(texts: DataFrame, again: DataFrame) -> DataFrame:
     return texts.join(few, "doc", "left_anti").unionAll(texts.join(few, "doc", "left_semi").dropDuplicates(["doc", "text"]))
 
 
+def maybe_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """rows whose doc is among ids (doc), of which there are about n; where n is large a bitmap tells
+    them, which lets few others pass, and no row moves."""
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids.select("doc")), "doc", "left_semi")
+    told = maybe_shared(rows.withColumn("digest", F.col("doc")), ids.select(F.col("doc").alias("digest")), n)
+    return told.where("maybe").select(*rows.columns)
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """rows of (region, doc, ...) with c, the size of their region."""
     size = rows.groupBy("region").agg(F.count(F.lit(1)).alias("c"))
@@ -389,13 +460,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = signed.count()
 
     # Regions: documents that share a prefix shingle, under the smallest id that holds it.
-    prefixes = base.where("doc IS NOT NULL").mapInArrow(_prefixes(words, percent, shingle_levels(both)), "doc long, ident binary, prefix array<long>, n long, fold binary")
+    levels = shingle_levels(both)
     rep = classes.select(F.col("rep").alias("doc"), "ident")
-    if total - rep.count() <= BROADCAST_IDS:
-        copies = taking_part.select("doc", "ident").join(rep, ["doc", "ident"], "left_anti")
-        reps = prefixes.join(F.broadcast(copies), ["doc", "ident"], "left_anti")
-    else:
-        reps = prefixes.join(rep, ["doc", "ident"], "left_semi")
+    copies, n_copies = taking_part.select("doc", "ident").join(rep, ["doc", "ident"], "left_anti"), total - rep.count()
+
+    def prefixes(texts: DataFrame) -> DataFrame:
+        return texts.where("doc IS NOT NULL").mapInArrow(_prefixes(words, percent, levels), "doc long, ident binary, prefix array<long>, n long, fold binary")
+
+    if n_copies <= BROADCAST_IDS:
+        reps = prefixes(base).join(F.broadcast(copies), ["doc", "ident"], "left_anti")
+    else:  # prefixes move only where a document may be a copy and may stand for a class
+        told = maybe_shared(base.withColumn("digest", F.col("doc")), copies.select(F.col("doc").alias("digest")), n_copies)
+        both_ways = maybe_of(told.where("maybe").select("doc", "text"), rep, total - n_copies)
+        reps = prefixes(told.where("NOT maybe").select("doc", "text")).unionAll(prefixes(both_ways).join(rep, ["doc", "ident"], "left_semi"))
     path = shared_path(docs.sparkSession, "join-prefixes")
     held = materialize_at(reps.select("doc", "prefix", "n", "fold"), path)
     # Most shingles are one document's: a bitmap of bounded size keeps nearly all of them from what follows.
@@ -408,17 +485,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = keys.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("region"), F.max("doc").alias("last")).where("region <> last").select("s", "c", "region")
     shared = materialize(shared, "join-shared")
     met = join_hot(keys, shared, "s", "c", total, F.xxhash64("doc")).select("region", "doc", "n").distinct()
-    met = counted(materialize_at(met, shared_path(docs.sparkSession, "join-met"), some))
-
-    # Without documents that differ too much from all others of their small region.
-    small = of_like_size(met.where(F.col("c") <= CELL), percent).select(F.col("region").alias("cell"), "doc")
-    small = small.join(held.select("doc", "n", "fold"), "doc").repartition(tasks, "cell").sortWithinPartitions("cell", "doc")
-    some = small.mapInArrow(_possible(percent), "region long, doc long")
-    some = materialize_at(some.unionAll(met.where(F.col("c") > CELL).select("region", "doc")), shared_path(docs.sparkSession, "join-met"), path)
-    members = materialize(counted(some), "join-regions")
+    first, some = some, shared_path(docs.sparkSession, "join-met")
+    met = counted(materialize_at(met, some, first))
+
+    # Without documents that differ too much from all others of their region.
+    first, some = some, shared_path(docs.sparkSession, "join-met")
+    like = of_like_size(met.where(F.col("c") <= CELL), percent).unionAll(met.where(F.col("c") > CELL))
+    like = materialize_at(like.select("region", "doc", "n", F.col("doc").alias("comp"), "c"), some, first)
+    met = materialize_at(nearer(like, held, percent, total), shared_path(docs.sparkSession, "join-met"), some)
+    wanted = met.select("doc").distinct()
+    folds = maybe_of(base, wanted, wanted.count()).mapInArrow(_folds(words), "doc long, n long, fold binary")
+    folds = materialize_at(folds, shared_path(docs.sparkSession, "join-folds"), path)
+    met = counted(met.withColumn("comp", F.col("doc")))
+    members = materialize(counted(nearer(met, folds, percent, total, True).distinct()), "join-regions")
     wanted = materialize(members.select("doc").distinct(), "join-candidates")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    texts = maybe_of(base, wanted, wanted.count())
     again = taking_part.groupBy("doc").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1")
     again = materialize(again, "join-again")
     work = _Join(materialize(once_each(texts, again.select("doc")), "join-texts"), words, percent)
@@ -435,9 +516,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = materialize(connected_components(_union(work.edges)), "join-components")
 
     # Then every region that still holds several components.
-    told = _with_component(members.select("region", "doc"), comps)
+    told = _with_component(members.select("region", "doc", "n"), comps)
     several = told.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("region", "c")
-    rest = materialize(join_hot(told.select("region", "doc"), several, "region", "c", total, F.xxhash64("doc")), "join-rest")
+    rest = materialize(join_hot(told, several, "region", "c", total, F.xxhash64("doc")), "join-several")
+    rest = materialize(counted(nearer(rest, folds, percent, total, True).select("region", "doc").distinct()), "join-rest")
     work.edges = [_stars(comps)]
     stuck = work.join(rest)
     if stuck is not None:

@@ -186,3 +186,63 @@ def test_sizes_too_far_apart_leave_a_region(spark):
     rows = [(1, 10, 80), (1, 11, 100), (1, 12, 126), (2, 20, 79), (2, 21, 100), (3, 30, 5), (3, 31, 5)]
     left = metric_join.of_like_size(spark.createDataFrame(rows, "region long, doc long, n long"), 80)
     assert sorted(x.doc for x in left.collect()) == [10, 11, 30, 31]
+
+
+def test_possible_partners_by_size_component_and_parts(monkeypatch):
+    monkeypatch.setattr(metric_join, "STEP", 16)
+    r = np.random.default_rng(11)
+    base = [np.unique(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in (6, 90, 255, 257, 900) for _ in range(3)]
+    sets = [x for s in base for x in (s, s[: len(s) - len(s) // 9], s[: len(s) - len(s) // 3])]
+    n = np.array([len(s) for s in sets])
+    comp = np.array([i // 9 if i % 2 else -i for i in range(len(sets))])
+    linked = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))]
+    for finer, top in ((0, 255), (2, 15)):
+        folds = [fold_of(s, finer, top) for s in sets]
+        if top == 15:
+            folds = [metric_join.unpacked(metric_join.packed(f)) for f in folds]
+        near = metric_join.possible(n, folds, 80, top=top)
+        other = metric_join.possible(n, folds, 80, comp, top)
+        assert {i for i, _ in linked} <= set(np.flatnonzero(near).tolist()) and not near.all()
+        assert {i for i, j in linked if comp[i] != comp[j]} <= set(np.flatnonzero(other).tolist()) and not (other & ~near).any()
+    same = metric_join.possible(n[:2], folds[:2], 80, np.array([4, 4]), 15)
+    assert not same.any()
+
+
+@pytest.mark.parametrize("folded", [2, 5, 1024])
+def test_large_regions_keep_only_possible_partners(spark, monkeypatch, folded):
+    monkeypatch.setattr(metric_join, "FOLDED", folded)
+    r = np.random.default_rng(5)
+    sets = {}
+    for k, n in enumerate((40, 80, 160, 320, 640)):
+        x = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        sets |= {10 * k: x, 10 * k + 1: x[: n - n // 8], 10 * k + 2: np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))}
+    rows = spark.createDataFrame([(7, d, len(s), d, len(sets)) for d, s in sets.items()], "region long, doc long, n long, comp long, c long")
+    folds = spark.createDataFrame([(d, len(s), bytearray(metric_join.packed(fold_of(s, 2, 15)))) for d, s in sets.items()], "doc long, n long, fold binary")
+    left = [(x.region, x.doc, x.n) for x in metric_join.nearer(rows, folds, 80, 100, True).collect()]
+    linked = {(7, d, len(s)) for d, s in sets.items() if d % 10 < 2}
+    assert len(left) == len(set(left)) and (set(left) == linked if folded > 2 else set(left) >= linked)
+
+
+def test_documents_of_a_large_region_without_partner_are_no_candidates(spark, monkeypatch):
+    """A long text that shares a passage with each of many others made all of them candidates."""
+    monkeypatch.setattr(metric_join, "CELL", 4)
+    asked, write = {}, metric_join.materialize
+
+    def told(df, tag):
+        asked[tag] = write(df, tag)
+        return asked[tag]
+
+    monkeypatch.setattr(metric_join, "materialize", told)
+    passages = [" ".join(f"p{i}_{k}" for k in range(12)) for i in range(12)]
+    rows = [(0, " ".join(passages))] + [(i + 1, p + " " + " ".join(f"own{i}_{k}" for k in range(12))) for i, p in enumerate(passages)] + [(50, "a b c d e f g h"), (51, "a b c d e f g h i")]
+    assert found(jaccard_join(spark.createDataFrame(rows, DOCS))) == brute(rows)
+    assert {x.doc for x in asked["join-candidates"].collect()} == {50, 51}
+
+
+def test_texts_of_many_candidates_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BROADCAST_IDS", 0)
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(50)], DOCS.replace("doc_id", "doc"))
+    met = metric_join.maybe_of(texts, texts.where("doc < 9").select("doc"), 9)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and met.columns == ["doc", "text"]
+    assert set(range(9)) <= {x.doc for x in met.collect()} and met.count() < 50
