@@ -233,8 +233,8 @@ def test_documents_of_a_large_region_without_partner_are_no_candidates(spark, mo
         return asked[tag]
 
     monkeypatch.setattr(metric_join, "materialize", told)
-    passages = [" ".join(f"p{i}_{k}" for k in range(12)) for i in range(12)]
-    rows = [(0, " ".join(passages))] + [(i + 1, p + " " + " ".join(f"own{i}_{k}" for k in range(12))) for i, p in enumerate(passages)] + [(50, "a b c d e f g h"), (51, "a b c d e f g h i")]
+    passages = [" ".join(f"p{i}_{k}" for k in range(40)) for i in range(12)]
+    rows = [(0, " ".join(passages))] + [(i + 1, p + " " + " ".join(f"own{i}_{k}" for k in range(5))) for i, p in enumerate(passages)] + [(50, "a b c d e f g h"), (51, "a b c d e f g h i")]
     assert found(jaccard_join(spark.createDataFrame(rows, DOCS))) == brute(rows)
     assert {x.doc for x in asked["join-candidates"].collect()} == {50, 51}
 
